@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -154,7 +155,7 @@ class WordTokenizer:
 
     _PLAIN = regex.compile(r"[\x21-\x7e\xa1-\xac\xae-\xff]+")
     _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-    KEPT = 400_000
+    KEPT = 600_000
 
     def __init__(self, path: str):
         import os
@@ -166,30 +167,40 @@ class WordTokenizer:
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.pieces.normalizer = None
         self.pieces.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)
-        self.by_word: dict[str, tuple] = {}
-        self.by_piece: dict[str, tuple] = {}
+        self.by_word: dict[str, bytes] = {}
+        self.by_piece: dict[str, bytes] = {}
         self.vocabulary = self.whole.get_vocab_size(with_added_tokens=True)
 
-    def words(self, words: list[str]) -> list[tuple]:
+    def words(self, words: list[str]) -> list[bytes]:
+        """Each word's ids as 32-bit numbers."""
         known = self.by_word
         new = [w for w in words if w not in known]
         if len(known) + len(new) > self.KEPT:
             known.clear()
             new = words
-        plain, other = [], []
+        joined = "\n".join(new)
+        special = [s for s in self.special if s in joined]
+        cut: dict[str, list[str]] = {}
+        other = []
         for w in new:
-            (plain if self._PLAIN.fullmatch(w) and not any(s in w for s in self.special) else other).append(w)
+            if special and any(s in w for s in special):
+                other.append(w)
+            elif w.isascii() and w.isprintable():
+                cut[w] = [w.lower()] if w.isalpha() else self._PIECE.findall(w.lower())
+            elif self._PLAIN.fullmatch(w):
+                cut[w] = self._PIECE.findall(w.lower())
+            else:
+                other.append(w)
         for w, e in zip(other, self.whole.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            known[w] = tuple(e.ids)
-        cut = [self._PIECE.findall(w.lower()) for w in plain]
+            known[w] = array("I", e.ids).tobytes()
         if len(self.by_piece) > self.KEPT:
             self.by_piece.clear()
         own = self.by_piece
-        unseen = [p for p in dict.fromkeys(p for ps in cut for p in ps) if p not in own]
+        unseen = list({p for ps in cut.values() for p in ps if p not in own})
         for p, e in zip(unseen, self.pieces.encode_batch_fast(unseen, add_special_tokens=False), strict=True):
-            own[p] = tuple(e.ids)
-        for w, ps in zip(plain, cut, strict=True):
-            known[w] = own[ps[0]] if len(ps) == 1 else tuple(i for p in ps for i in own[p])
+            own[p] = array("I", e.ids).tobytes()
+        for w, ps in cut.items():
+            known[w] = own[ps[0]] if len(ps) == 1 else b"".join([own[p] for p in ps])
         return [known[w] for w in words]
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -197,9 +208,9 @@ class WordTokenizer:
         words, starts = common.split_words(texts)
         coded = words.dictionary_encode()
         per = self.words(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, per), np.int64, len(per))
+        sizes = np.fromiter(map(len, per), np.int64, len(per)) // 4
         begin = np.concatenate(([0], np.cumsum(sizes)))
-        flat = np.fromiter((i for ids in per for i in ids), np.uint32, begin[-1])
+        flat = np.frombuffer(b"".join(per), np.uint32)
         code = coded.indices.to_numpy(zero_copy_only=False)
         size = sizes[code] if len(code) else np.zeros(0, np.int64)
         before = np.concatenate(([0], np.cumsum(size)))
