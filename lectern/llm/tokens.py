@@ -12,6 +12,7 @@ frequency table lies beside them. Spark's writers put both in place, so a lost e
 
 from __future__ import annotations
 
+import gc
 import struct
 import zlib
 from array import array
@@ -170,6 +171,7 @@ class WordTokenizer:
         self.by_word: dict[str, bytes] = {}
         self.by_piece: dict[str, bytes] = {}
         self.vocabulary = self.whole.get_vocab_size(with_added_tokens=True)
+        gc.disable()  # the caches are large and hold no cycles
 
     def words(self, words: list[str]) -> list[bytes]:
         """Each word's ids as 32-bit numbers."""
