@@ -2,5 +2,367 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lectern.functions import markup, model_json, segments, text
+from lectern.operators import reads, state
+from lectern.sources import tables
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+#: The present, in compared queries.
+NOW = "1998-06-01 12:00:00"
+
+
+def query(sql: str | None = None, views: bool = False):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = f"WITH {tables.SQL} {sql}" if views else sql
+        return f
+
+    return add
+
+
+def _items(spark, d) -> DataFrame:
+    return reads.items(tables.stories(spark, d), tables.sources(spark, d), tables.newsletters(spark, d))
+
+
+_SHOWN = ("id", "source_name", "title", "primary_topic", "relevance_score", "scored_at", "received")
+_COLS = ", ".join(_SHOWN)
+_TODAY = "SELECT {} FROM v_items WHERE kind = 'story' AND relevance_score IS NOT NULL {} ORDER BY relevance_score DESC, scored_at DESC, id LIMIT {}"
+
+
+@query(_TODAY.format(_COLS, "", 200), True)
+def top1_today_feed(spark, d):
+    return reads.today(_items(spark, d)).select(*_SHOWN)
+
+
+@query(_TODAY.format(_COLS, "AND scored_at > TIMESTAMP '1997-01-01'", 200), True)
+def flt3_today_since(spark, d):
+    return reads.today(_items(spark, d), F.lit("1997-01-01").cast("timestamp_ntz")).select(*_SHOWN)
+
+
+@query(_TODAY.format(_COLS, "AND opened_at IS NULL", 15), True)
+def top2_brief(spark, d):
+    return reads.today(_items(spark, d), limit=15, unopened=True).select(*_SHOWN)
+
+
+_FILTER = reads.ArchiveFilter(topic="ECONOMY", since="1995-01-01", until="1998-01-01", query=" brand_1 ", limit=200, offset=5)
+_ARCHIVE = "SELECT {} FROM v_items WHERE kind = 'story' {} ORDER BY received DESC, position, id LIMIT {} OFFSET {}"
+
+
+@query(_ARCHIVE.format(_COLS, "AND primary_topic = 'ECONOMY' AND received >= TIMESTAMP '1995-01-01' AND received < TIMESTAMP '1998-01-01' AND (title ILIKE '%brand_1%' OR summary ILIKE '%brand_1%' OR snippet ILIKE '%brand_1%')", 200, 5), True)
+def top3_archive_filtered(spark, d):
+    return reads.archive(_items(spark, d), _FILTER).select(*_SHOWN)
+
+
+@query(_ARCHIVE.format(_COLS, "AND source_id = '1'", 500, 0), True)
+def flt5_archive_source(spark, d):
+    return reads.archive(_items(spark, d), reads.ArchiveFilter(source_id="1", limit=9999)).select(*_SHOWN)
+
+
+@query("""SELECT so.id, so.name, count(*) FILTER (WHERE st.kind = 'story') AS story_count, count(st.relevance_score) AS scored_count,
+  count(*) FILTER (WHERE st.bookmarked) AS bookmark_count, count(*) FILTER (WHERE st.user_rating = 1) AS up_count,
+  count(*) FILTER (WHERE st.user_rating = -1) AS down_count, round(avg(st.relevance_score), 6) AS avg_relevance
+  FROM v_sources so LEFT JOIN v_stories st ON st.source_id = so.id GROUP BY so.id, so.name""", True)
+def agg1_source_rollup(spark, d):
+    return reads.source_rollup(tables.sources(spark, d), tables.stories(spark, d)).withColumn("avg_relevance", F.round("avg_relevance", 6))
+
+
+@query("SELECT so.id, so.name FROM v_sources so WHERE EXISTS (SELECT 1 FROM v_stories st WHERE st.source_id = so.id AND st.kind = 'story')", True)
+def ui3_sidebar_sources(spark, d):
+    return reads.source_rollup(tables.sources(spark, d), tables.stories(spark, d)).filter("story_count > 0").select("id", "name")
+
+
+_HUE = "list_reduce(list_concat([2166136261::BIGINT], list_transform(range(1, octet_length(encode({0})) + 1), lambda i: ('0x' || substr(hex(encode({0})), 2 * i - 1, 2))::BIGINT)), lambda h, b: (xor(h, b) * 16777619) & 4294967295) % 360"
+
+
+@query(f"SELECT primary_topic AS topic, count(*) AS n, 'hsl(' || CAST({_HUE.format('primary_topic')} AS VARCHAR) || ', 62%, 56%)' AS colour FROM v_stories WHERE kind = 'story' AND primary_topic <> '' GROUP BY primary_topic", True)
+def agg2_topic_registry(spark, d):
+    return reads.topic_registry(tables.stories(spark, d))
+
+
+_PAGE = "page AS (SELECT *, row_number() OVER (ORDER BY relevance_score DESC, scored_at DESC, id) AS rn FROM v_items WHERE kind = 'story' AND relevance_score IS NOT NULL ORDER BY relevance_score DESC, scored_at DESC, id LIMIT 200)"
+_CHIPS = "chips AS (SELECT primary_topic AS topic, count(*) AS n, min(rn) AS first FROM page WHERE primary_topic <> '' GROUP BY primary_topic)"
+
+
+def _chips(spark, d):
+    return reads.topic_chips(reads.today(_items(spark, d)), F.desc("relevance_score"), F.desc("scored_at"), "id")
+
+
+@query(f", {_PAGE}, {_CHIPS} SELECT topic, n, first FROM chips", True)
+def agg3_topic_chips(spark, d):
+    return _chips(spark, d)
+
+
+@query(f", {_PAGE}, {_CHIPS}, t AS (SELECT list(lower(topic) ORDER BY n DESC, first)[1:3] AS t FROM chips) SELECT CASE len(t) WHEN 0 THEN '' WHEN 1 THEN t[1] WHEN 2 THEN t[1] || ' and ' || t[2] ELSE t[1] || ', ' || t[2] || ' and ' || t[3] END AS headline FROM t", True)
+def top9_headline(spark, d):
+    return reads.headline(_chips(spark, d))
+
+
+@query(f""", page AS ({_ARCHIVE.format('*', '', 200, 0)}) SELECT strftime(received, '%Y-%m-%d') AS day,
+  CASE WHEN received::DATE = DATE '1998-06-01' THEN 'Today' WHEN received::DATE = DATE '1998-05-31' THEN 'Yesterday' WHEN received::DATE > DATE '1998-05-25' THEN strftime(received, '%A') ELSE strftime(received, '%b %-d, %Y') END AS label,
+  count(*) AS n, string_agg(id, ' ' ORDER BY received DESC, position, id) AS ids FROM page GROUP BY 1, 2""", True)
+def agg4_archive_days(spark, d):
+    return reads.day_groups(reads.archive(_items(spark, d), reads.ArchiveFilter()), F.lit(NOW).cast("timestamp_ntz"))
+
+
+@query(f", page AS ({_ARCHIVE.format('id', '', 200, 100)}) SELECT count(*) AS total FROM page", True)
+def agg5_page_total(spark, d):
+    return reads.archive(_items(spark, d), reads.ArchiveFilter(offset=100)).agg(F.count(F.lit(1)).alias("total"))
+
+
+@query("SELECT id, (SELECT count(*) FROM v_stories s WHERE s.newsletter_id = v_stories.newsletter_id) > 1 AS segmented FROM v_stories", True)
+def jn3_segmented(spark, d):
+    return reads.segmented(tables.stories(spark, d))
+
+
+@query("SELECT newsletter_id, count(*) AS n FROM v_stories GROUP BY newsletter_id", True)
+def agg6_stories_per_newsletter(spark, d):
+    return tables.stories(spark, d).groupBy("newsletter_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f", a AS ({_TODAY.format('id, bookmarked, user_rating', '', 200)}), b AS ({_ARCHIVE.format('id, bookmarked, user_rating', '', 200, 0)}) SELECT count(*) FILTER (WHERE bookmarked) AS bookmarked, count(user_rating) AS rated FROM (SELECT * FROM a UNION SELECT * FROM b)", True)
+def agg7_engagement_counters(spark, d):
+    items = _items(spark, d)
+    return reads.engagement(reads.today(items), reads.archive(items, reads.ArchiveFilter()))
+
+
+@query("SELECT newsletter_id, concat_ws(', ', " + ", ".join(f"CASE WHEN count(*) FILTER (WHERE kind = '{k}') > 0 THEN '{k}=' || CAST(count(*) FILTER (WHERE kind = '{k}') AS VARCHAR) END" for k in text.KINDS) + ") AS breakdown FROM v_stories GROUP BY newsletter_id", True)
+def agg8_kind_breakdown(spark, d):
+    return reads.kind_breakdown(tables.stories(spark, d))
+
+
+@query("SELECT newsletter_id, count(*) AS n, count(*) BETWEEN 2 AND 5 AS passed FROM v_stories WHERE kind = 'story' GROUP BY newsletter_id", True)
+def agg10_eval_bounds(spark, d):
+    counted = reads.curated(tables.stories(spark, d)).groupBy("newsletter_id").agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("passed", F.col("n").between(2, 5))
+
+
+@query("SELECT id, coalesce(title, '') AS title, coalesce(summary, '') AS summary, coalesce(snippet, '') AS snippet, coalesce(primary_topic, '') AS primary_topic, coalesce(relevance_score, 0) AS score, CASE user_rating WHEN 1 THEN 'up' WHEN -1 THEN 'down' ELSE 'none' END AS rating, opened_at IS NOT NULL AS read, bookmarked FROM v_stories", True)
+def flt12_item_view(spark, d):
+    return reads.dto(tables.stories(spark, d))
+
+
+@query("SELECT id, CASE WHEN kind NOT IN ('story', 'blurb', 'ad', 'promo') THEN 'kind' WHEN relevance_score NOT BETWEEN 0 AND 100 THEN 'score' ELSE 'rating' END AS broken FROM v_stories WHERE kind NOT IN ('story', 'blurb', 'ad', 'promo') OR relevance_score NOT BETWEEN 0 AND 100 OR user_rating NOT IN (-1, 1)", True)
+def flt14_invalid_rows(spark, d):
+    return state.invalid_stories(tables.stories(spark, d))
+
+
+@query(f", page AS ({_ARCHIVE.format('*', '', 50, 0)}) SELECT id, coalesce(title, '') AS title, 'https://x.example/#' || id AS link, coalesce(nullif(summary, ''), snippet, '') AS description, coalesce(primary_topic, '') AS category, strftime(received, '%a, %d %b %Y %H:%M:%S +0000') AS published FROM page", True)
+def snk2_rss_items(spark, d):
+    return reads.rss_items(reads.archive(_items(spark, d), reads.ArchiveFilter(limit=50)), "https://x.example").drop("received", "position")
+
+
+@query()
+def snk2_rss(spark, d):
+    return reads.rss(reads.archive(_items(spark, d), reads.ArchiveFilter(limit=50)), "https://x.example", "Items")
+
+
+@query(f", page AS ({_TODAY.format('id, title', '', 200)}) SELECT id, '{{\"id\":\"' || id || '\",\"title\":\"' || title || '\"}}' AS json FROM page", True)
+def snk1_json_items(spark, d):
+    return reads.today(_items(spark, d)).select("id", F.to_json(F.struct("id", "title")).alias("json"))
+
+
+# --- queue and state ------------------------------------------------------------------------------
+
+
+@query("SELECT id, ingested_at FROM v_newsletters WHERE processing_status = 'pending_scoring' ORDER BY ingested_at, id LIMIT 20", True)
+def src10_pending_queue(spark, d):
+    return state.pending(tables.newsletters(spark, d), 20).select("id", "ingested_at")
+
+
+@query("SELECT n.id, CASE WHEN t.id IS NOT NULL THEN 'scoring' ELSE n.processing_status END AS processing_status, n.scoring_attempts + CASE WHEN t.id IS NOT NULL THEN 1 ELSE 0 END AS scoring_attempts, t.id IS NOT NULL AS claimed FROM v_newsletters n LEFT JOIN (SELECT id FROM v_newsletters WHERE processing_status = 'pending_scoring' ORDER BY ingested_at, id LIMIT 5) t ON t.id = n.id", True)
+def dml3_claim_batch(spark, d):
+    return state.claim(tables.newsletters(spark, d)).select("id", "processing_status", "scoring_attempts", "claimed")
+
+
+@query("SELECT CASE processing_status WHEN 'scoring' THEN 'pending_scoring' ELSE processing_status END AS processing_status, count(*) AS n FROM v_newsletters GROUP BY 1", True)
+def dml5_requeue_stale(spark, d):
+    return state.requeue_stale(tables.newsletters(spark, d)).groupBy("processing_status").agg(F.count(F.lit(1)).alias("n"))
+
+
+_OUTCOME = "CASE o_orderkey % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'transport' WHEN 2 THEN 'truncated' WHEN 3 THEN 'empty' ELSE 'other' END"
+
+
+@query(f"""SELECT o_orderkey AS id, CASE WHEN x = 'ok' THEN 'scored' WHEN x = 'transport' THEN 'pending_scoring' WHEN x IN ('truncated', 'empty') AND NOT det AND att < 3 THEN 'pending_scoring' WHEN x = 'truncated' AND items > 0 THEN 'scored' ELSE 'failed' END AS status
+  FROM (SELECT o_orderkey, {_OUTCOME} AS x, o_orderkey % 2 = 0 AS det, o_orderkey % 4 AS att, o_orderkey % 3 AS items FROM orders)""")
+def str4_routing(spark, d):
+    o, key = tables.table(spark, d, "orders"), F.col("o_orderkey")
+    return o.select(key.alias("id"), state.route(F.expr(_OUTCOME), key % 2 == 0, key % 4, key % 3).alias("status"))
+
+
+@query("SELECT x AS outcome, count(*) AS n FROM (SELECT " + _OUTCOME + " AS x FROM orders) GROUP BY x")
+def agg9_batch_outcomes(spark, d):
+    return tables.table(spark, d, "orders").groupBy(F.expr(_OUTCOME).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_ACTION = "CASE event_type WHEN 'view' THEN 'open' WHEN 'click' THEN 'toggle' WHEN 'purchase' THEN 'up' WHEN 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'none' ELSE 'down' END ELSE CASE WHEN event_id % 7 = 0 THEN 'ad' ELSE 'seen' END END"
+
+
+@query(f"""WITH e AS (SELECT event_id % 200 AS story, event_id AS seq, {_ACTION} AS action FROM events)
+  SELECT story, count(*) FILTER (WHERE action = 'toggle') % 2 = 1 AS bookmarked, nullif(arg_max(action, seq) FILTER (WHERE action IN ('up', 'down', 'none')), 'none') AS rating, min(seq) FILTER (WHERE action = 'open') AS opened_seq, bool_or(action = 'ad') AS is_ad FROM e GROUP BY story""")
+def dml9_engagement_fold(spark, d):
+    e = tables.table(spark, d, "events").select((F.col("event_id") % 200).alias("story"), F.col("event_id").alias("seq"), F.expr(_ACTION).alias("action"))
+    return state.engagement(e)
+
+
+@query("SELECT user_id AS label, max(ts) AS last_viewed_at FROM events WHERE event_type = 'signup' GROUP BY user_id")
+def dml13_sessions(spark, d):
+    return state.sessions(tables.table(spark, d, "events").filter("event_type = 'signup'").select(F.col("user_id").alias("label"), "ts"))
+
+
+_BODY = r"trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g'))"
+_DELIVERIES = f"deliveries AS (SELECT doc_id AS seq, CASE WHEN doc_id % 7 = 0 THEN 'm' || CAST(doc_id // 21 AS VARCHAR) END AS message_id, CASE WHEN {_BODY} <> '' THEN sha256(lower({_BODY})) END AS hash FROM documents)"
+
+
+def _deliveries(spark, d):
+    key = F.col("doc_id")
+    body = text.collapse(F.col("text"))
+    return tables.table(spark, d, "documents").select(key.alias("seq"), F.when(key % 7 == 0, F.concat(F.lit("m"), F.floor(key / 21).cast("string"))).alias("message_id"), text.dedupe_hash(body).alias("hash"))
+
+
+@query(f"""WITH {_DELIVERIES}, ids AS (SELECT message_id, min(seq) AS seq FROM deliveries WHERE message_id IS NOT NULL GROUP BY message_id),
+  kept AS (SELECT d.* FROM deliveries d JOIN ids USING (seq)), known AS (SELECT hash, min(seq) AS known FROM kept WHERE hash IS NOT NULL GROUP BY hash),
+  firsts AS (SELECT hash, min(seq) AS seq FROM deliveries WHERE message_id IS NULL AND hash IS NOT NULL GROUP BY hash)
+  SELECT seq, message_id, hash FROM kept UNION ALL SELECT f.seq, NULL, f.hash FROM firsts f LEFT JOIN known k ON k.hash = f.hash WHERE k.known IS NULL OR k.known > f.seq
+  UNION ALL SELECT seq, NULL, hash FROM deliveries WHERE message_id IS NULL AND hash IS NULL""")
+def dml2_dedupe(spark, d):
+    return state.surviving(_deliveries(spark, d))
+
+
+@query(f"WITH {_DELIVERIES} SELECT hash, max(seq) AS seq FROM deliveries WHERE hash IS NOT NULL GROUP BY hash")
+def win2_latest_by_hash(spark, d):
+    return state.latest_by_hash(_deliveries(spark, d).filter("hash is not null")).select("hash", "seq")
+
+
+@query("SELECT 'newsletter' AS kind, source AS identity, arg_min(lang, doc_id) AS name, min(doc_id) AS first_seq FROM documents GROUP BY source")
+def dml1_sources(spark, d):
+    return state.first_sources(tables.table(spark, d, "documents").select(F.lit("newsletter").alias("kind"), F.col("source").alias("identity"), F.col("lang").alias("name"), F.col("doc_id").alias("seq")))
+
+
+_NEW = "SELECT id, newsletter_id, 'u' || summary AS url FROM v_stories WHERE position = 1"
+_PRIOR = "SELECT id, position, 'u' || summary AS url, bookmarked, user_rating, opened_at FROM v_stories WHERE position > 1"
+
+
+@query(f", prior AS ({_PRIOR}), held AS (SELECT url, arg_max((bookmarked, user_rating, opened_at), (position, id)) AS was FROM prior WHERE bookmarked OR user_rating IS NOT NULL OR opened_at IS NOT NULL GROUP BY url) SELECT n.id, n.newsletter_id, n.url, coalesce(was[1], false) AS bookmarked, was[2] AS user_rating, was[3] AS opened_at FROM ({_NEW}) n LEFT JOIN held USING (url)", True)
+def jn6_carry_over(spark, d):
+    s = tables.stories(spark, d).withColumn("url", F.concat(F.lit("u"), "summary"))
+    return state.carry_over(s.filter("position = 1").select("id", "newsletter_id", "url"), s.filter("position > 1").select("id", "position", "url", "bookmarked", "user_rating", "opened_at"))
+
+
+@query("SELECT id, newsletter_id, position FROM v_stories WHERE newsletter_id NOT IN (SELECT newsletter_id FROM v_stories WHERE position = 5) UNION ALL SELECT id || '-new', newsletter_id, position FROM v_stories WHERE position = 5", True)
+def dml8_replace_all(spark, d):
+    s = tables.stories(spark, d).select("id", "newsletter_id", "position")
+    return state.replace_all(s, s.filter("position = 5").withColumn("id", F.concat("id", F.lit("-new"))))
+
+
+# --- text -----------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, sha256({_BODY}) AS body, left({_BODY}, 80) AS head FROM documents")
+def txt1_collapse(spark, d):
+    body = text.collapse(F.col("text"))
+    return tables.table(spark, d, "documents").select("doc_id", F.sha2(body, 256).alias("body"), text.truncate(body, 80).alias("head"))
+
+
+@query(f"WITH {_DELIVERIES} SELECT seq, hash FROM deliveries")
+def hsh1_dedupe_hash(spark, d):
+    return _deliveries(spark, d).select("seq", "hash")
+
+
+@query(r"""SELECT c_custkey AS id, coalesce(nullif(lower(trim(c_name)), ''), 'unknown') AS address, CASE WHEN instr(c_name || '@x', '@') > 1 THEN split_part(c_name || '@x', '@', 1) END AS display,
+  CASE WHEN lower(trim(c_mktsegment)) IN ('title', 'story', 'ad') THEN '' ELSE trim(c_mktsegment) END AS topic, length(c_mktsegment) BETWEEN 1 AND 32 AND upper(c_mktsegment) = c_mktsegment AND regexp_matches(c_mktsegment, '\p{L}') AS label,
+  list_reduce(list_concat([0::BIGINT], list_transform(string_split(c_name, ''), lambda c: ascii(c)::BIGINT)), lambda s, c: (s + c) % 997) % 5 AS height FROM customer""")
+def txt4_scalars(spark, d):
+    name, seg = F.col("c_name"), F.col("c_mktsegment")
+    return tables.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), text.address(name).alias("address"), text.display_name(F.concat(name, F.lit("@x"))).alias("display"), text.clean_topic(seg).alias("topic"), text.is_label(seg).alias("label"), text.card_height(name).cast("long").alias("height"))
+
+
+@query(r"SELECT doc_id, list_slice(regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+'), 1, 14) AS anchor FROM documents WHERE len(regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+')) >= 3")
+def txt9_anchors(spark, d):
+    return tables.table(spark, d, "documents").select("doc_id", text.anchor(F.col("text")).alias("anchor")).filter("size(anchor) > 0")
+
+
+@query()
+def txt6_repair(spark, d):
+    return tables.table(spark, d, "documents").select("doc_id", text.repair(F.col("text")).alias("text"))
+
+
+@query()
+def txt10_lcs(spark, d):
+    a = tables.table(spark, d, "benchmark").select("item_id", text.anchor(F.col("text")).alias("a"), text.anchor(F.expr("substring(text, 20)")).alias("b"))
+    return a.select("item_id", text.lcs_length("a", "b").alias("n"))
+
+
+@query("SELECT doc_id, list_filter(list_transform(string_split_regex(replace(text, '. ', chr(10) || chr(10)), '\\n{2,}'), lambda p: trim(p)), lambda p: p <> '') AS paragraphs FROM documents")
+def txt20_paragraphs(spark, d):
+    return tables.table(spark, d, "documents").select("doc_id", text.paragraphs(F.replace("text", F.lit(". "), F.lit("\n\n"))).alias("paragraphs"))
+
+
+@query("SELECT event_id AS id, coalesce(TRY_CAST(trunc(value + 0.5) AS INT), 0) AS n, greatest(0, least(100, coalesce(TRY_CAST(trunc(value + 0.5) AS INT), 0))) AS score FROM events")
+def jsn5_flexible_int(spark, d):
+    n = text.flexible_int(F.col("value").cast("string"))
+    return tables.table(spark, d, "events").select(F.col("event_id").alias("id"), n.alias("n"), text.score(n).alias("score"))
+
+
+@query("SELECT id, l[1:5] AS labels FROM (SELECT id, list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: lower(y)), lower(x)) = i) AS l FROM (SELECT doc_id AS id, list_filter(list_transform(string_split(left(text, 60), ' '), lambda t: trim(t)), lambda t: t <> '') AS l FROM documents))")
+def arr1_labels(spark, d):
+    return tables.table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.labels(F.split(F.left("text", F.lit(60)), " ")).alias("labels"))
+
+
+_GAP = "date_diff('second', o_orderdate, TIMESTAMP '1998-06-01 12:00:00')"
+
+
+@query(f"""SELECT o_orderkey AS id, CASE WHEN g < 60 THEN 'moments ago' WHEN g < 3600 THEN CAST(g // 60 AS VARCHAR) || CASE WHEN g // 60 = 1 THEN ' minute ago' ELSE ' minutes ago' END WHEN g < 86400 THEN CAST(g // 3600 AS VARCHAR) || CASE WHEN g // 3600 = 1 THEN ' hour ago' ELSE ' hours ago' END ELSE CAST(g // 86400 AS VARCHAR) || CASE WHEN g // 86400 = 1 THEN ' day ago' ELSE ' days ago' END END AS gap,
+  CASE WHEN g < 3600 THEN 'now' WHEN g < 86400 THEN CAST(g // 3600 AS VARCHAR) || 'h' WHEN g < 2592000 THEN CAST(g // 86400 AS VARCHAR) || 'd' WHEN g < 31536000 THEN CAST(g // 2592000 AS VARCHAR) || 'm' ELSE CAST(g // 31536000 AS VARCHAR) || 'y' END AS short FROM (SELECT o_orderkey, {_GAP} AS g FROM orders)""")
+def dt5_gaps(spark, d):
+    gap = text.seconds_between(F.lit(NOW).cast("timestamp_ntz"), F.col("o_orderdate"))
+    return tables.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), text.human_gap(gap).alias("gap"), text.short_gap(gap).alias("short"))
+
+
+# --- markup and links -----------------------------------------------------------------------------
+
+_FLAT = r"""trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<head\b.*?</head>|<script\b.*?</script>|<style\b.*?</style>|<title\b.*?</title>|<noscript\b.*?</noscript>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&quot;?', '"', 'g'), '&copy;?', '©', 'g'), '&middot;?|&nbsp;?', '·', 'g'), '&amp', '&'), '[\s\p{Z}]+', ' ', 'g'))"""
+_FLAT = _FLAT.replace("replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html", "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html", 1).replace("'·', 'g'), '&amp', '&')", "'·', 'g'), '&amp;?', '&', 'g')")
+
+
+@query(f"SELECT page_id, sha256({_FLAT}) AS body, length({_FLAT}) AS n FROM pages")
+def html1_clean_text(spark, d):
+    flat = text.clean_html(F.col("html"))
+    return tables.table(spark, d, "pages").select("page_id", F.sha2(flat, 256).alias("body"), F.length(flat).cast("long").alias("n"))
+
+
+@query(f"SELECT page_id, sha256({_FLAT}) AS body FROM pages")
+def html1_clean_text_any(spark, d):
+    return tables.table(spark, d, "pages").select("page_id", F.sha2(markup.flat_text_udf("html"), 256).alias("body"))
+
+
+@query()
+def html2_block_text(spark, d):
+    return tables.table(spark, d, "pages").select("page_id", markup.block_text_udf("html").alias("body"))
+
+
+@query(r"""SELECT page_id, list_distinct(l) = [] AS none, list_reduce(list_concat([[]::VARCHAR[]], list_transform(l, lambda u: [u])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END)[1:50] AS links FROM (SELECT page_id, list_transform(regexp_extract_all(html, 'https?://[^\s"''<>]+'), lambda u: regexp_replace(u, '[.,);]+$', '')) AS l FROM pages)""")
+def url2_links(spark, d):
+    links = text.links(F.col("html"))
+    return tables.table(spark, d, "pages").select("page_id", (F.size(links) == 0).alias("none"), links.alias("links"))
+
+
+@query()
+def txt12_segments(spark, d):
+    """Each benchmark passage's part of the documents that hold several lines, by its own anchor."""
+    docs = tables.table(spark, d, "documents").filter("instr(text, '\n') > 0")
+    lines = F.filter(F.split("text", "\n"), lambda x: F.length(x) > 20)
+    sib = F.transform(lines, lambda x, i: F.struct(i.alias("position"), x.alias("snippet"), F.lit("").alias("title")))
+    return docs.select("doc_id", segments.segment_udf("text", sib, F.lit(0)).alias("part"))
+
+
+@query()
+def jsn1_parse_items(spark, d):
+    """Items of answers made from conversation turns."""
+    turn = tables.table(spark, d, "conversations").select("conv_id", "turn", F.to_json(F.array(F.struct(F.left("text", F.lit(40)).alias("title"), F.col("role").alias("kind"), F.col("turn").alias("relevance_score")))).alias("answer"))
+    parsed = turn.select("conv_id", "turn", model_json.parse_udf("answer").alias("p"))
+    return parsed.select("conv_id", "turn", "p.outcome", F.posexplode_outer("p.items").alias("pos", "item")).select("conv_id", "turn", "outcome", "item.title", "item.kind", "item.relevance_score")
