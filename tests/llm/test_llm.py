@@ -1,0 +1,268 @@
+"""The training-data operators on small tables: brute force, round trips, held-out accuracy, odd rows."""
+
+import hashlib
+import importlib
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from lectern.llm import common, decontamination, fingerprints, jaccard, langid, linededup, lmscore, mixing, pii, sharding, tokens
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, copies int, bands string, words string"
+LOWER = {c: c + 32 for c in range(65, 91)}
+WHITE = " \t\n\x0b\x0c\r"
+
+
+@pytest.fixture(scope="module")
+def rows():
+    """Nulls in any column, empty and long texts, ties, repeated rows and columns with clashing names."""
+    draw = random.Random(3)
+    vocabulary = ["".join(draw.choice(["an", "the", "re", "on", "é", "ß", "li"]) for _ in range(draw.randint(1, 4))) for _ in range(300)]
+    say = lambda n: " ".join(draw.choice(vocabulary) for _ in range(n))
+    line = "A Line that stands in many documents, and is long enough."
+    base, long = say(80), say(9000)
+    texts = [None, "", " \n ", "word", "Two words", base, base, base + " more", base.upper(), long, long + " end", "mail a.b@c.org or +1 (988) 555-2485 at 10.0.0.1"]
+    texts += [f"{say(20)}\n  {line}\t\n{say(5)}" for _ in range(7)] + [say(draw.randint(1, 60)) for _ in range(40)]
+    out = [(i, t, draw.choice(["en", "fr", None]), draw.choice(["a", "b", None]), None, 1, "x", "y") for i, t in enumerate(texts)]
+    return [*out, out[5], (None, base, None, None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def order(rows):
+    return sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], r[1] or ""))
+
+
+def shingles(text, n=5):
+    w = [x.translate(LOWER) for x in (text or "").split()]
+    return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
+
+
+def test_ans_round_trip_and_checkpoints():
+    draw = np.random.default_rng(1)
+    for n in (0, 1, 5, 1000, 70_000):
+        ids = np.minimum(draw.zipf(1.3, n), 999).astype(np.uint32)
+        freq = tokens.scaled(np.bincount(ids, minlength=1000))
+        block = tokens.encode(ids, freq, lanes=64, segment=16_384)
+        assert (tokens.decode(block, freq) == ids).all()
+        parts = tokens.segments_of(block)
+        for i, part in enumerate(parts):  # each alone
+            assert (tokens.decode_segment(*part, freq) == ids[i * 16_384 : (i + 1) * 16_384]).all()
+    with pytest.raises(ValueError):
+        tokens.decode(block[:-8] + b"\0" * 8, freq)
+
+
+def test_token_output(docs, rows, empty):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok, start, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), 0, []
+    for r in order(rows):
+        ids = [*tok.encode(r[1] or "", add_special_tokens=False).ids, 1]
+        want.append((r[0], start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = [tuple(r) for r in tokens.encoded(docs).collect()]
+    assert sorted(got, key=lambda r: r[1]) == want
+    assert tokens.encoded(empty).count() == 0
+
+
+def test_word_tokenizer_on_odd_words():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, mine = Tokenizer.from_file(path), tokens.WordTokenizer(path)
+    texts = ["It's WE'LL x<|endoftext|>y", "İstanbul ΣΑΣ ½ é  nbsp em", "tab\tnew\nline \x1f ctrl", "don't 12,345.67 !!!", "", "日本語 混ぜ"]
+    ids, n = mine.texts(pa.array(texts))
+    want = [[*e.ids, 1] for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_sharding(spark, docs, rows, empty, tmp_path):
+    got = sharding.shard(docs, 3).collect()
+    assert len(got) == len(rows) and Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows)
+    by = defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert sharding.shard(empty, 3).count() == 0
+    weights = [random.Random(i).randint(1, 50) for i in range(500)]
+    first = sharding.SlotMap.even(weights, 8)
+    grown = first.rebalance(weights, 9)
+    loads = [sum(w for w, s in zip(weights, grown.shard, strict=True) if s == k) for k in range(9)]
+    assert max(loads) - min(loads) <= 100 and grown.version == 2
+    first.save(spark, str(tmp_path / "map"))
+    grown.save(spark, str(tmp_path / "map"))
+    assert sharding.SlotMap.load(spark, str(tmp_path / "map")) == grown and sharding.SlotMap.load(spark, str(tmp_path / "map"), 1) == first
+
+
+def test_mixing(docs, rows, empty, monkeypatch):
+    sizes = Counter()
+    for r in rows:
+        sizes[r[3]] += len((r[1] or "").split())
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    want = dict(zip(names, mixing.allot([sizes[n] for n in names], [3, 1, 2], 1.5 * sum(sizes.values()), 2.0), strict=True))
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows) and all(r["taken"] <= 2 * r["size"] and r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(want[r["source"]]) for r in got)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs).collect()))
+    emitted = mixing.emit(docs)
+    assert emitted.columns == docs.columns and emitted.count() == sum(r["copies"] for r in got)
+    assert mixing.mix(empty).count() == 0 and mixing.emit(empty).count() == 0
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 0)  # the way for many sources
+    assert {(r["source"], round(r["target"], 6)) for r in mixing.mix(docs).collect()} == {(s, round(t, 6)) for s, t in want.items()}
+
+
+def test_allot_caps_and_reshares():
+    assert mixing.allot([10, 100, 100], [3, 1, 2], 315, 2) == [20, pytest.approx(98.333333), pytest.approx(196.666667)]
+
+
+def test_lm_scoring(docs, rows, empty):
+    counts, n_docs = Counter(), 0
+    tokens_of = lambda t: [*(w.translate(LOWER) for w in (t or "").split()), "\0"]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    for r in rows:
+        if not held(r[0]):
+            counts.update(tokens_of(r[1]))
+    n, v = sum(counts.values()), len(counts)
+    got = lmscore.score(docs).collect()
+    want = sorted((str(r[0]), held(r[0]), len(t := tokens_of(r[1])), sum(counts[w] > 0 for w in t), n, round(sum(np.log10((counts[w] + 1) / (n + v + 1)) for w in t), 4)) for r in rows)
+    assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got) == want
+    assert all(r["score"] < 0 for r in got) and lmscore.score(empty).count() == 0
+
+
+def test_lm_is_a_probability():
+    """One step's corrections aside, the two values of every bit add up to one, so all words' shares do to one at most."""
+    code = lmscore.Code(np.ones(257, np.int64))
+    assert sum(0.5**s for s in code.size) == 1
+    rows = np.zeros((2, (1 + len(lmscore.ADAPTED)) * lmscore.STEP), np.float32)
+    rows[0, : lmscore.STEP], rows[1, : lmscore.STEP] = 1.5, -1.5
+    yes, no = (lmscore.bits_of(rows, np.array([i]), np.array([1]))[0] / lmscore.STEP for i in (0, 1))
+    assert 2**-yes + 2**-no == pytest.approx(1)
+
+
+def test_fingerprints(docs, rows, empty):
+    got = {}
+    ordered = [r for r in order(rows)]
+    for r in fingerprints.against_next(docs).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    assert sum(map(len, got.values())) == len(rows)
+    for i, r in enumerate(ordered):
+        text, follow = r[1] or "", ordered[(i + 1) % len(ordered)][1] or ""
+        half = len(text) // 2
+        digest = hashlib.sha256((text[: len(text) - half] + follow[:half]).encode()).hexdigest()
+        assert any(g["edited_sha256"] == digest and g["n_chars"] == len(text) for g in got[r[0]])
+    assert got[5][0]["fingerprint"] == got[6][0]["fingerprint"] and got[0][0]["fingerprint"] == got[1][0]["fingerprint"]
+    assert {r["doc_id"]: r["fingerprint"] for r in fingerprints.fingerprint(docs).collect()} == {i: v[0]["fingerprint"] for i, v in got.items()}
+    assert fingerprints.against_next(empty).count() == 0
+
+
+def test_decontamination(spark, docs, rows, empty, monkeypatch):
+    items = [(1, rows[5][1]), (2, rows[9][1][2000:2400]), (3, "Two words"), (4, "word"), (5, None), (6, ""), (7, "absent words that no document has at all"), (8, "mail a.b@c.org or +1")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def brute():
+        out = []
+        for j, t in items:
+            k = min(5, len((t or "").split()))
+            own = shingles(t, k) if k else set()
+            out += [(r[0], j) for r in rows if own and len(own & shingles(r[1], k)) >= 0.8 * len(own) and len((r[1] or "").split()) >= k]
+        return sorted(map(str, out))
+
+    assert sorted(str((r["doc_id"], r["item_id"])) for r in decontamination.leaks(docs, bench).collect()) == brute()
+    monkeypatch.setattr(decontamination, "BLOCK", 3)
+    assert sorted(str((r["doc_id"], r["item_id"])) for r in decontamination.leaks(docs, bench).collect()) == brute()
+    assert decontamination.leaks(empty, bench).count() == 0 and decontamination.leaks(docs, bench.filter("false")).count() == 0
+    assert decontamination.clean(docs, bench).columns == docs.columns
+
+
+def test_language_id(spark, docs, rows, empty):
+    got = langid.identify(docs).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
+    assert {r["lang_pred"] for r in got if r["doc_id"] in (0, 1, 2)} == {"und"}
+    assert langid.identify(empty).count() == 0 and langid.keep_known(empty).count() == 0
+    assert langid.keep_known(docs).columns == docs.columns
+    real = common.documents(spark, "/root/testdata/sf0.001")
+    labels = {r["doc_id"]: r["lang"] for r in real.collect()}
+    held = [r for r in langid.identify(real).collect() if r["held_out"]]
+    assert np.mean([labels[r["doc_id"]] == r["lang_pred"] for r in held]) > 0.95
+
+
+def test_jaccard_join(docs, rows, empty, monkeypatch):
+    usable = [r for r in rows if r[0] is not None]
+    sets = [shingles(r[1]) for r in usable]
+    near = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    links = [sum(near(a, b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
+    root = list(range(len(sets)))
+    for _ in sets:
+        root = [min(root[j] for j in range(len(sets)) if near(sets[i], sets[j])) for i in range(len(sets))]
+    want = Counter((r[0], usable[k][0], n) for r, k, n in zip(usable, root, links, strict=True))
+    assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.join(docs).collect()) == want
+    monkeypatch.setattr(jaccard, "CHUNK_SHINGLES", 1)  # every member a chunk of its own
+    assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.join(docs).collect()) == want
+    assert jaccard.join(empty).count() == 0 and jaccard.keep_one(empty).count() == 0
+
+
+def test_components(spark):
+    edges = [(i + 1, i) for i in range(40)] + [(100, 101), (102, 101), (200, 200)]
+    got = {r["node"]: r["root"] for r in jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100}
+
+
+def test_line_dedup(docs, rows, empty):
+    key = lambda s: s.strip(WHITE).translate(LOWER)
+    holders = defaultdict(set)
+    for r in rows:
+        for s in (r[1] or "").split("\n"):
+            if len(key(s)) >= 40 and r[0] is not None:
+                holders[key(s)].add(r[0])
+    want = []
+    for r in rows:
+        lines = (r[1] or "").split("\n")
+        kept = [s for s in lines if not (r[0] is not None and len(holders[key(s)]) >= 5 and max(holders[key(s)]) != r[0])]
+        want.append(str((r[0], len(lines), len(lines) - len(kept), "\n".join(kept))))
+    assert sorted(str(tuple(r)) for r in linededup.dedup(docs).collect()) == sorted(want)
+    assert linededup.dedup(empty).count() == 0
+
+
+def test_pii(docs, rows, empty):
+    got = {r["doc_id"]: r for r in pii.digest(docs).collect()}
+    assert (got[11]["n_email"], got[11]["n_ip"], got[11]["n_phone"], got[11]["n_card"]) == (1, 1, 1, 0)
+    assert got[11]["spans"] == "email:5:14,ip:39:47,phone:18:35"
+    assert got[0]["spans"] == "" and got[0]["base_sha256"] == hashlib.sha256(b"").hexdigest() and pii.digest(empty).count() == 0
+    assert pii.base_spans("4111 1111 1111 1111 x 1.2.3.999 y 4111-1111-1111-1112") == [("card", 0, 19)]
+    counts = np.zeros(pii.COMBINATIONS)
+    for text in ["call phone: 415 555 2671 now"] * 9 + ["sum 12 111 1111"] * 9:
+        for *_, c in pii.candidates(text):
+            counts[c] += 1
+    odds = pii.train(counts)
+    (good,), (bad,) = pii.candidates("call phone: 415 555 2671 now"), pii.candidates("sum 12 111 1111") or [(0, 0, 0, 0)]
+    assert odds[good[3]] > 0.5 > odds[bad[3]]
+
+
+def test_pipeline(spark, tmp_path):
+    pipeline = importlib.import_module("corpus_pipeline")
+    assert 4 <= len(pipeline.STAGES) <= 5
+    sf = "/root/testdata/sf0.001"
+    docs = common.documents(spark, sf)
+    for name, stage in pipeline.STAGES:
+        before, docs = docs, common.stored(stage(spark, docs, sf))
+        if name != "sharding":
+            assert docs.columns == before.columns
+        if name == "near_duplicates":
+            texts = [shingles(r["text"]) for r in docs.collect()]
+            assert len(set(texts)) == len(texts)
+        if name == "decontamination":
+            assert decontamination.leaks(docs, common.documents(spark, sf, "benchmark")).count() == 0
+    assert docs.count() > 0
