@@ -82,7 +82,7 @@ class Model:
         data, first = _bytes(texts)
         out = np.zeros((len(texts), len(self.languages)))
         full = np.flatnonzero(np.diff(first))
-        step = 1 << 21
+        step = 1 << 20
         at = 0
         while at < len(full):
             stop = max(at + 1, int(np.searchsorted(first[full], first[full[at]] + step)))
@@ -164,7 +164,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for chunk in common.text_chunks(batches, 4 << 20):
+        for chunk in common.text_chunks(batches, 2 << 20):
             texts = common.texts_of(chunk)
             letters = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
             names, score, rate = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), np.zeros(len(texts))
@@ -185,20 +185,17 @@ def keep_known(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The documents with a language, with the columns they came with: those with no letter go."""
     shared = docs.sparkSession.sparkContext.broadcast(model or train(docs))
 
-    @F.pandas_udf("boolean")
-    def known(text):
-        texts = pc.fill_null(pa.array(text, pa.string(), from_pandas=True), "")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        letters = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
-        import pandas as pd
-
-        if not m.languages:
-            return pd.Series(np.zeros(len(texts), bool))
-        bits, size = m.bits(texts)
-        rate = bits.min(axis=1) / np.maximum(size, 1)
-        return pd.Series(letters & (rate < NOISE_BITS))
+        for chunk in common.text_chunks(batches, 2 << 20):
+            texts = common.texts_of(chunk)
+            known = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False) & bool(m.languages)
+            if m.languages:
+                bits, size = m.bits(texts)
+                known &= bits.min(axis=1) < NOISE_BITS * np.maximum(size, 1)
+            yield chunk.filter(pa.array(known))
 
-    return docs.filter(known("text"))
+    return docs.mapInArrow(run, docs.schema)
 
 
 #: A text whose best code takes more bits per byte than this is noise in no learned language; even a
