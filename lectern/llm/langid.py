@@ -82,7 +82,7 @@ class Model:
         data, first = _bytes(texts)
         out = np.zeros((len(texts), len(self.languages)))
         full = np.flatnonzero(np.diff(first))
-        step = 1 << 20
+        step = 1 << 19
         at = 0
         while at < len(full):
             stop = max(at + 1, int(np.searchsorted(first[full], first[full[at]] + step)))
@@ -127,7 +127,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, everything: bool = False) -> Mo
 
     def grams(batches):
         total: dict = {}
-        for chunk in common.text_chunks(batches, 2 << 20):
+        for chunk in common.text_chunks(batches, 1 << 20):
             names = common.column_of(chunk, "lang").to_numpy(zero_copy_only=False)
             for lang in set(names):
                 texts = common.texts_of(chunk).filter(pa.array(names == lang))
@@ -164,7 +164,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for chunk in common.text_chunks(batches, 2 << 20):
+        for chunk in common.text_chunks(batches, 1 << 20):
             texts = common.texts_of(chunk)
             letters = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
             names, score, rate = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), np.zeros(len(texts))
@@ -187,7 +187,7 @@ def keep_known(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for chunk in common.text_chunks(batches, 2 << 20):
+        for chunk in common.text_chunks(batches, 1 << 20):
             texts = common.texts_of(chunk)
             known = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False) & bool(m.languages)
             if m.languages:
