@@ -58,17 +58,24 @@ def _codes(data: np.ndarray, first: np.ndarray, to: np.ndarray, order: int, symb
     return out
 
 
-def _resolve(counts: np.ndarray, order: int, symbols: int) -> np.ndarray:
-    """Code length in bits of each symbol after each context of ``order`` symbols, escapes included."""
-    p = np.full(symbols, 1 / symbols)
-    for k in range(order + 1):
-        c = counts.reshape(-1, symbols ** (k + 1)).sum(axis=0).reshape(-1, symbols)
-        n, kinds = c.sum(axis=1, keepdims=True), (c > 0).sum(axis=1, keepdims=True)
-        shorter = np.tile(p.reshape(-1, symbols), (symbols if k else 1, 1)) if k else p.reshape(1, -1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            q = np.where(c > 0, c / (n + kinds), kinds / (n + kinds) * shorter)
-        p = np.where(n > 0, q, shorter)
-    return -np.log2(p).ravel()
+def _step(c: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    """Probabilities after contexts (rows) with counts c; a context without counts has the shorter one's."""
+    n, kinds = c.sum(axis=1, keepdims=True), (c > 0).sum(axis=1, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        q = np.where(c > 0, c / (n + kinds), kinds / (n + kinds) * shorter)
+    return np.where(n > 0, q, shorter)
+
+
+def _resolve(counts: np.ndarray, order: int, symbols: int, out: np.ndarray) -> None:
+    """Fills out with the code length in bits of each symbol after each context of ``order`` symbols (one at
+    least), escapes included. The longest contexts are taken by their first symbol, so that only counts and
+    out have full length."""
+    p = np.full((1, symbols), 1 / symbols)
+    for k in range(order):
+        p = _step(counts.reshape(-1, symbols ** (k + 1)).sum(axis=0).reshape(-1, symbols), np.tile(p, (symbols if k else 1, 1)))
+    size = symbols**order
+    for lo in range(0, len(counts), size):
+        out[lo : lo + size] = -np.log2(_step(counts[lo : lo + size].reshape(-1, symbols), p)).ravel()
 
 
 class Model:
@@ -142,11 +149,11 @@ def train(docs: DataFrame, sample: int = SAMPLE, everything: bool = False) -> Mo
     table = np.zeros((SYMBOLS ** (order + 1), len(languages)), np.float16)
     rows = fit.mapInArrow(grams, "lang string, codes binary, counts binary").collect()
     for i, lang in enumerate(languages):
-        counts = np.zeros(SYMBOLS ** (order + 1), np.int64)
+        counts = np.zeros(SYMBOLS ** (order + 1), np.int32)
         for r in rows:
             if r["lang"] == lang:
                 np.add.at(counts, np.frombuffer(r["codes"], "<i4"), np.frombuffer(r["counts"], "<i4"))
-        table[:, i] = _resolve(counts, order, SYMBOLS)
+        _resolve(counts, order, SYMBOLS, table[:, i])
     return Model(languages, to, table, order, SYMBOLS)
 
 
