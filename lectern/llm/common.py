@@ -72,6 +72,15 @@ def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES, col
             start, done = stop, int(ends[stop - 1])
 
 
+def bounded(df: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
+    """The frame, after its session was told to hand Python workers batches of about ``size`` bytes. Batches
+    of 10000 rows of text otherwise take tens of MB on both sides. A smaller setting stays."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(key)) > size:
+        conf.set(key, str(size))
+    return df
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     return pc.fill_null(batch.column(batch.schema.get_field_index(column)), "")
 

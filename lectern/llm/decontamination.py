@@ -117,7 +117,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, k: int
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*sorted(rows, key=str), strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["doc_id", "item_id", "containment"])
 
-        found = docs.select("doc_id", "text").mapInArrow(run, _OUT)
+        found = common.bounded(docs).select("doc_id", "text").mapInArrow(run, _OUT)
         parts = found if parts is None else parts.unionByName(found)
     return spark.createDataFrame([], _OUT) if parts is None else parts
 

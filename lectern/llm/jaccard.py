@@ -155,7 +155,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     bands, rows = common.choose_bands(threshold, recall, functions)
     k = bands * rows
     n = common.partitions(docs)
-    usable = docs.filter("doc_id is not null")
+    usable = common.bounded(docs).filter("doc_id is not null")
     signed = common.stored(usable.select(F.col("doc_id").alias("row"), "text").mapInArrow(_bands(k, bands, rows), "row long, words binary, n_shingles long, bands array<long>"))
     classes = common.stored(signed.groupBy("words").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "n_shingles", "bands")).alias("own")).select("words", "rep", "copies", "own.n_shingles", "own.bands"))
     buckets = classes.filter("n_shingles > 0").select("rep", F.posexplode("bands").alias("band", "hash"))

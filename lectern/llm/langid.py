@@ -185,7 +185,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 score[letters], rate[letters] = p[letters], (least / np.maximum(size, 1))[letters]
             yield pa.RecordBatch.from_arrays([common.column_of(chunk, "doc_id"), common.column_of(chunk, "held_out"), pa.array(names.tolist(), pa.string()), pa.array(score), pa.array(rate)], ["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"])
 
-    return docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text").mapInArrow(run, _OUT)
+    return common.bounded(docs).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text").mapInArrow(run, _OUT)
 
 
 def keep_known(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -202,7 +202,7 @@ def keep_known(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 known &= bits.min(axis=1) < NOISE_BITS * np.maximum(size, 1)
             yield chunk.filter(pa.array(known))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.bounded(docs).mapInArrow(run, docs.schema)
 
 
 #: A text whose best code takes more bits per byte than this is noise in no learned language; even a
