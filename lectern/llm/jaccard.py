@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -161,13 +161,13 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     buckets = classes.filter("n_shingles > 0").select("rep", F.posexplode("bands").alias("band", "hash"))
     shared = buckets.groupBy("band", "hash").agg(F.min("rep").alias("root"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     candidates = common.stored(components(buckets.join(shared, ["band", "hash"]).select(F.col("rep").alias("a"), F.col("root").alias("b"))))
-    # Chunks of bounded size in each component, and every pair of chunks of a component as a block.
-    members = candidates.select(F.col("node").alias("rep"), F.col("root").alias("component")).join(classes.drop("words"), "rep")
-    along = Window.partitionBy("component").orderBy("rep")
-    heavy = F.sum(F.greatest("n_shingles", F.lit(CHUNK_SHINGLES // CHUNK_MEMBERS))).over(along.rowsBetween(Window.unboundedPreceding, -1))
-    chunked = common.stored(members.withColumn("chunk", F.floor(F.coalesce(heavy, F.lit(0)) / CHUNK_SHINGLES).cast("int")))
-    many = chunked.groupBy("component").agg(F.max("chunk").alias("last"))
-    paired = chunked.join(many, "component").withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
+    # Members are dealt by a hash to chunks of bounded size; every pair of chunks of a component is a block.
+    members = common.stored(candidates.select(F.col("node").alias("rep"), F.col("root").alias("component")).join(classes.drop("words"), "rep"))
+    least = CHUNK_SHINGLES // CHUNK_MEMBERS
+    large = members.groupBy("component").agg(F.ceil(F.sum(F.greatest("n_shingles", F.lit(least))) / CHUNK_SHINGLES).cast("int").alias("chunks")).filter("chunks > 1")
+    sized = members.join(large, "component", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    chunked = common.stored(sized.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")))
+    paired = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     blocks = paired.select("component", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", "copies", "bands")
     texts = usable.select(F.col("doc_id").alias("rep"), "text")
     # A representative's text: of rows that share its id, one with its words.
