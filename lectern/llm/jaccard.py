@@ -54,8 +54,9 @@ def components(edges: DataFrame, limit: int = 100) -> DataFrame:
     last = None
     for _ in range(limit):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # A table of its own: the join then shuffles both sides, and a node with many edges can be split by AQE.
+        least = common.stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("m")))
+        large = edges.join(least, "b").select("a", F.col("m").alias("b")).distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         edges = common.stored(large.join(small, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).distinct().filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first())
