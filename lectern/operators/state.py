@@ -14,14 +14,14 @@ def first_sources(deliveries: DataFrame) -> DataFrame:
 def surviving(deliveries: DataFrame) -> DataFrame:
     """Deliveries (seq, message_id, hash) that are stored: the first of each message id; of the rest the first of
     each hash unless an earlier stored delivery with an id has it; and those with neither."""
-    with_id = deliveries.filter("message_id is not null and message_id <> ''")
-    bare = deliveries.filter("message_id is null or message_id = ''")
-    kept = with_id.join(with_id.groupBy("message_id").agg(F.min("seq").alias("seq")), ["message_id", "seq"]).select("seq", "message_id", "hash")
-    hashes = kept.filter("hash is not null").groupBy("hash").agg(F.min("seq").alias("known"))
-    firsts = bare.filter("hash is not null").groupBy("hash").agg(F.min("seq").alias("seq"))
-    soft = firsts.join(hashes, "hash", "left").filter("known is null or known > seq").select("seq", F.lit(None).cast("string").alias("message_id"), "hash")
-    neither = bare.filter("hash is null").select("seq", F.lit(None).cast("string").alias("message_id"), "hash")
-    return kept.unionByName(soft).unionByName(neither)
+    named = F.coalesce(F.col("message_id") != "", F.lit(False))
+    bare = ~named & F.col("hash").isNotNull()
+    keys = [F.when(named, F.col("message_id")).alias("message_id"), F.when(bare, F.col("hash")).alias("bare_hash"), F.when(~named & ~bare, F.col("seq")).alias("lone")]
+    # What a delivery is comes out of the aggregate, so that no filter is pushed below it: both uses share one scan and shuffle.
+    firsts = deliveries.groupBy(*keys).agg(F.min(F.struct("seq", "hash")).alias("first"), F.bool_and(bare).alias("is_bare")).select("message_id", "first.seq", "first.hash", "is_bare")
+    by_hash = firsts.filter("hash is not null").groupBy("hash").agg(F.min(F.when(F.col("is_bare"), F.col("seq"))).alias("seq"), F.min(F.when(~F.col("is_bare"), F.col("seq"))).alias("known"))
+    soft = by_hash.filter("seq is not null and (known is null or known > seq)").select("seq", F.lit(None).cast("string").alias("message_id"), "hash")
+    return firsts.filter("not is_bare").select("seq", "message_id", "hash").unionByName(soft)
 
 
 def pending(newsletters: DataFrame, limit: int) -> DataFrame:
