@@ -2,8 +2,9 @@
 
 A text is its lower-cased words, each closed by a space, and one end symbol. Symbols are written in a prefix
 code fitted to the corpus, and every bit of that code is predicted: for several contexts (the text's
-class with the last 1 to 4 bytes in the word, or with the word so far) a table of fixed size, addressed by a hash of context and code node,
-holds how often the bit was 0 and 1 in training. Their stretched probabilities are combined by weights that
+class with the last 1 to 4 bytes in the word, or with the word so far) a table holds how often the bit was 0 and
+1 in training at each node of the code. A context is a 64-bit key and shares its counts with no other; the tables
+grow with the distinct contexts. Their stretched probabilities are combined by weights that
 a gate selects (how many contexts are known, and the place in the word), learned online by gradient descent
 over the training words with each occurrence left out of its own counts. While a text is scored, corrections
 to the mix adapt to it bit by bit, and the bits' code lengths add up to the text's probability.
@@ -12,8 +13,9 @@ The class of a text, a language as found by trees fitted to the training documen
 same cost for every class, so the whole remains a probability of the text.
 
 The corpus is read once, into blocks of documents with the block's own list of words. Words are counted over
-all blocks by a shuffle on the word; tables and weights come from these counts. Only the tables, of fixed
-size, are broadcast; each block gets its words' counts by a second shuffle.
+all blocks by a shuffle on the word. Each block sends its contexts and symbols with their counts to the parts of
+the tables, twice as many as blocks, and each part sends back the sums at the nodes that the block needs; words' counts
+come back likewise. Only the code and the gates' weights are broadcast. A bit's contexts end at the word's edge.
 """
 
 from __future__ import annotations
@@ -30,9 +32,8 @@ from pyspark.sql import functions as F
 
 from . import common, langid
 
-#: Contexts, slots of a context's table, parts in which tables are merged, gates.
-CONTEXTS, BITS, PARTS, GATES = 5, 21, 16, 18
-SLOTS = 1 << BITS
+#: Contexts, gates.
+CONTEXTS, GATES = 5, 18
 END, SPACE = 256, 32
 #: Bits of one text after which its corrections start anew, bits between updates, the rates.
 SEGMENT, STEP, RATE, LEARN = 16_384, 8, 0.004, 0.02
@@ -49,6 +50,9 @@ def held_out():
 # --- the model ---------------------------------------------------------------------------------
 
 
+_LOG = np.log(np.arange(1 << 16) + 0.4).astype(np.float32)
+
+
 class Code:
     """A prefix code of the 257 symbols: of each its nodes and bits, one after another."""
 
@@ -86,61 +90,86 @@ def _symbols(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return own, first
 
 
-def _expand(words: pa.Array, classes: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every bit of the words: slots (a row per context), the bit, the place in the word (0, 1, 2), and each word's first bit."""
-    s, first = _symbols(words)
+def _contexts(s: np.ndarray, first: np.ndarray, classes: np.ndarray) -> Iterator[np.ndarray]:
+    """Of every symbol its contexts, one after another, as 64-bit keys of the class, the kind of context and the bytes."""
     n, each = len(s), np.diff(first)
     place = np.arange(n) - np.repeat(first[:-1], each)
     u, own = s.astype(np.uint64), np.repeat(classes.astype(np.uint64) << np.uint64(48), each)
     base = np.uint64(0x9E3779B97F4A7C15)
-    size = code.size[s]
-    starts = np.concatenate(([0], np.cumsum(size)))
-    path = np.arange(starts[-1]) + np.repeat(code.at[s] - starts[:-1], size)
-    node = code.node[path] * np.uint64(0xD6E8FEB86659FD93)
-    slots = np.empty((CONTEXTS, len(path)), np.int64)
-
-    def put(k: int, context: np.ndarray) -> None:
-        h = np.repeat(common.mix64((context + own + np.uint64(k << 40)) * base), size)
-        h ^= node
-        h *= np.uint64(0xC2B2AE3D27D4EB4F)
-        h >>= np.uint64(64 - BITS)
-        slots[k] = h.view(np.int64)
-
     held = np.zeros(n, np.uint64)
     for k in range(1, 5):
         before = np.full(n, SPACE, np.uint64)
         before[k:] = np.where(place[k:] >= k, u[:-k], np.uint64(SPACE))
-        held = held | (before << np.uint64(8 * (k - 1)))
-        put(k - 1, held)
+        held |= before << np.uint64(8 * (k - 1))
+        yield common.mix64((held + own + np.uint64((k - 1) << 40)) * base)
     power = np.cumprod(np.full(int(place.max()) + 1 if n else 1, base, np.uint64))
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((u + np.uint64(1)) * power[place], dtype=np.uint64)))
-    put(4, total[:-1] - np.repeat(total[first[:-1]], each))
-    return slots, code.bit[path], np.repeat(np.minimum(place, 2), size), starts[first]
-
-
-_LOG = np.log(np.arange(1 << 16) + 0.4).astype(np.float32)
+    yield common.mix64((total[:-1] - np.repeat(total[first[:-1]], each) + own + np.uint64(4 << 40)) * base)
+
+
+class Edges:
+    """The distinct edges, pairs of context and symbol, of a list of words, dealt to the parts of the tables by context."""
+
+    def __init__(self, words: pa.Array, classes: np.ndarray, parts: int):
+        s, self.first = _symbols(words)
+        each = np.diff(self.first)
+        self.symbol, self.at, contexts, symbols, n = s.astype(np.int16), [], [], [], 0
+        self.place = np.minimum(np.arange(len(s)) - np.repeat(self.first[:-1], each), 2).astype(np.int8)
+        for h in _contexts(s, self.first, classes):
+            key = common.mix64(h ^ ((s.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)))
+            at = pa.array(key).dictionary_encode().indices.to_numpy()
+            new = np.flatnonzero(np.diff(np.maximum.accumulate(at), prepend=-1))
+            contexts.append(h[new])
+            symbols.append(self.symbol[new])
+            self.at.append(at + np.int32(n))
+            n += len(new)
+        self.context, self.of = np.concatenate(contexts), np.concatenate(symbols)
+        part = ((self.context >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        self.order = np.argsort(part, kind="stable")
+        self.cuts = np.searchsorted(part[self.order], np.arange(parts + 1))
+
+    def counts(self, often: np.ndarray) -> np.ndarray:
+        """How often each edge occurs, if each word occurs as often as given."""
+        each = np.repeat(often, np.diff(self.first)).astype(np.float64)
+        return sum(np.bincount(at, each, len(self.of)) for at in self.at).astype(np.int64)
 
 
 class Model:
-    """The code, the gates' weights and the tables: by context and slot the stretched probability in steps of
-    1/128, times 2, plus 1 if the slot is known (a bit seen twice)."""
-
-    def __init__(self, code: Code, tables: np.ndarray, weights: np.ndarray):
-        zeros, ones = tables[:, :, 0], tables[:, :, 1]
-        self.code, self.weights = code, weights.astype(np.float32)
-        self.tables = (np.rint((_LOG[ones] - _LOG[zeros]) * 128).astype(np.int16) << 1) | (np.maximum(zeros, ones) >= 2)
-
-    def inputs(self, words: pa.Array, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Groups of STEP bits of the words, each a row: the mix and the adapted contexts' inputs of its bits,
-        turned so that a positive number speaks for the bit that comes. Bits of the greatest certainty fill
-        up a word's last group. Also each word's first group and number of such bits."""
+    """The code, the gates' weights, and of a list of words the counts of zeros and ones at each node of its edges."""
+
+    def __init__(self, code: Code, edges: Edges, pairs: np.ndarray, weights: np.ndarray):
+        self.code, self.edges, self.weights = code, edges, weights.astype(np.float32)
+        sizes = code.size[edges.of[edges.order]]
+        self.start = np.empty(len(sizes), np.int64)
+        self.start[edges.order] = np.cumsum(sizes) - sizes
+        self.zeros, self.ones = pairs[0], pairs[1]
+        #: The stretched probability in steps of 1/128, times 2, plus 1 if the node is known (a bit seen twice).
+        self.table = (np.rint((_LOG[self.ones] - _LOG[self.zeros]) * 128).astype(np.int16) << 1) | (np.maximum(self.zeros, self.ones) >= 2)
+
+    def bits(self, own: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """Of every bit of the words with these numbers: its place in the counts by context, the bit, the place in the word, and each word's first bit."""
+        e = self.edges
+        n = np.diff(e.first)[own]
+        to = np.concatenate(([0], np.cumsum(n)))
+        at = np.arange(to[-1]) + np.repeat(e.first[own] - to[:-1], n)
+        s = e.symbol[at]
+        size = self.code.size[s]
+        starts = np.concatenate(([0], np.cumsum(size)))
+        within = np.arange(starts[-1]) - np.repeat(starts[:-1], size)
+        slots = [np.repeat(self.start[e.at[k][at]], size) + within for k in range(CONTEXTS)]
+        return slots, self.code.bit[np.repeat(self.code.at[s], size) + within], np.repeat(e.place[at], size), starts[to]
+
+    def inputs(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Groups of STEP bits of the words with these numbers, each a row: the mix and the adapted contexts'
+        inputs of its bits, turned so that a positive number speaks for the bit that comes. Bits of the greatest
+        certainty fill up a word's last group. Also each word's first group and number of such bits."""
         parts, groups, fills = [], [np.zeros(1, np.int64)], []
-        for lo in range(0, len(words), 2048):
-            slots, bit, place, first = _expand(words.slice(lo, 2048), classes[lo : lo + 2048], self.code)
+        for lo in range(0, len(own), 2048):
+            slots, bit, place, first = self.bits(own[lo : lo + 2048])
             x = np.empty((CONTEXTS, len(bit)), np.float32)
             gate = place
             for k in range(CONTEXTS):
-                v = self.tables[k].take(slots[k])
+                v = self.table.take(slots[k])
                 gate = gate + (v & 1) * 3
                 np.multiply(v >> 1, np.float32(1 / 128), out=x[k])
             mix = np.zeros(len(bit), np.float32)
@@ -161,34 +190,35 @@ class Model:
         return np.concatenate(parts), np.concatenate(groups), np.concatenate(fills)
 
 
-def learn(words: pa.Array, classes: np.ndarray, counts: np.ndarray, code: Code, tables: np.ndarray, weights: np.ndarray, batch: int = 1 << 14) -> tuple[np.ndarray, np.ndarray, int]:
-    """One online pass over words as often as they occur, each occurrence left out of its counts. tables: pairs
-    of counts as 32-bit numbers. Returns the gates' weights at the end, their sum over the steps, and the steps."""
-    slots, bit, place, first = _expand(words, classes, code)
-    n, total, steps = len(bit), np.zeros_like(weights), 0
-    often = np.minimum(np.repeat(counts, np.diff(first)), 100).astype(np.float32)
-    for lo in range(0, n, batch):
-        part = slice(lo, min(n, lo + batch))
-        one = bit[part].astype(np.uint32)
+def learn(model: Model, counts: np.ndarray, weights: np.ndarray, batch: int = 1 << 14) -> tuple[np.ndarray, int]:
+    """One online pass over the words, at most 100 times each, each occurrence left out of its counts. Returns the sum of the gates' weights over the steps, and the steps."""
+    own = np.flatnonzero(counts)
+    weight, first = np.minimum(counts[own], 100), np.append(np.arange(0, len(own), max(1, batch // 40)), len(own))
+    total, steps = np.zeros_like(weights), 0
+    for lo, hi in zip(first[:-1], first[1:], strict=True):
+        if lo == hi:
+            continue
+        slots, bit, place, starts = model.bits(own[lo:hi])
+        often = np.repeat(weight[lo:hi], np.diff(starts)).astype(np.float32)
+        one = bit.astype(np.uint16)
         zero = 1 - one
-        x, gate = np.empty((CONTEXTS, len(one)), np.float32), place[part]
+        x, gate = np.empty((CONTEXTS, len(one)), np.float32), place
         z, now = np.zeros(len(one), np.float32), weights.astype(np.float32)
         for k in range(CONTEXTS):
-            c = tables[k].take(slots[k][part])
-            zeros, ones = c & 0xFFFF, c >> 16
+            zeros, ones = model.zeros.take(slots[k]), model.ones.take(slots[k])
             zeros -= np.minimum(zeros, zero)
             ones -= np.minimum(ones, one)
             np.subtract(_LOG.take(ones), _LOG.take(zeros), out=x[k])
             gate = gate + (np.maximum(zeros, ones) >= 2) * 3
         for k in range(CONTEXTS):
             z += now[:, k].copy().take(gate) * x[k]
-        off = (one - 1 / (1 + np.exp(-np.clip(z, -MOST, MOST)))).astype(np.float32) * often[part]
-        sums = np.bincount(gate, often[part], GATES) + 64
+        off = (one - 1 / (1 + np.exp(-np.clip(z, -MOST, MOST)))).astype(np.float32) * often
+        sums = np.bincount(gate, often, GATES) + 64
         for k in range(CONTEXTS):
             weights[:, k] += LEARN * 8 * np.bincount(gate, off * x[k], GATES) / sums
         total += weights
         steps += 1
-    return weights, total, steps
+    return total, steps
 
 
 def bits_of(rows: np.ndarray, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -284,106 +314,138 @@ def _blocks(shared):
 def _histogram(batches):
     total = np.zeros(257, np.int64)
     for b in batches:
-        s, first = _symbols(b.column(0))
-        total += np.bincount(s, np.repeat(b.column(2).to_numpy(), np.diff(first)), 257).astype(np.int64)
+        for words, counts in zip(b.column(0), b.column(1), strict=True):
+            s, first = _symbols(words.values)
+            total += np.bincount(s, np.repeat(counts.values.to_numpy(), np.diff(first)), 257).astype(np.int64)
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(257, dtype=np.int32)), pa.array(total)], ["symbol", "n"])
 
 
-def _slot_counts(code):
+def _planes(x: np.ndarray) -> bytes:
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+_ASK = "part int, block long, n int, contexts binary, rest binary"
+
+
+def _asks(parts: int):
+    """Of each block, for each part of the tables: the block's contexts and symbols there with their training counts."""
+
     def run(batches):
-        total = np.zeros((CONTEXTS, SLOTS, 2), np.uint32)
         for b in batches:
-            for lo in range(0, b.num_rows, 4096):
-                part = b.slice(lo, 4096)
-                slots, bit, _, first = _expand(part.column(0), part.column(1).to_numpy(), code.value)
-                often = np.repeat(part.column(2).to_numpy(), np.diff(first)).astype(np.uint32)
-                for k in range(CONTEXTS):
-                    np.add.at(total[k].reshape(-1), slots[k] * 2 + bit, often)
-        size = SLOTS // PARTS
-        for k in range(CONTEXTS):
-            for i in range(PARTS):
-                own = total[k, i * size : (i + 1) * size]
-                if own.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([k * PARTS + i], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], ["part", "counts"])
+            for block, words, classes, counts in zip(*b.columns, strict=True):
+                e, out = Edges(words.values, classes.values.to_numpy(), parts), []
+                n = e.counts(counts.values.to_numpy())
+                for part in np.flatnonzero(np.diff(e.cuts)):
+                    own = e.order[e.cuts[part] : e.cuts[part + 1]]
+                    out.append((int(part), block.as_py(), len(own), e.context[own].astype("<u8").tobytes(), zlib.compress(_planes(n[own].astype("<u4")) + _planes(e.of[own].astype("<i2")), 1)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "block", "n", "contexts", "rest"])
 
     return run
 
 
-def _merge(batches):
-    """Adds up the tables' parts that reach a task, sorted by part, and scales pairs of counts to 16 bits."""
-    now, total = None, None
+_ANSWER = "part int, block long, counts binary"
+
+
+def _answers(shared):
+    """Adds up one part of the tables over all blocks, and gives each block the counts at its edges' nodes in the block's order."""
+
+    def run(asks: pa.Table) -> pa.Table:
+        code, sizes = shared.value, asks["n"].to_numpy()
+        context = np.frombuffer(b"".join(asks["contexts"].to_pylist()), "<u8")
+        often, symbol = np.empty(len(context), np.int64), np.empty(len(context), np.int64)
+        to = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        for i, raw in enumerate(asks["rest"].to_pylist()):
+            planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(6, -1)
+            often[to[i] : to[i + 1]] = np.ascontiguousarray(planes[:4].T).view("<u4")[:, 0]
+            symbol[to[i] : to[i + 1]] = np.ascontiguousarray(planes[4:].T).view("<i2")[:, 0]
+        order = np.lexsort((symbol, context))
+        c, s = context[order], symbol[order]
+        other = np.concatenate(([True], c[1:] != c[:-1]))
+        new = other | np.concatenate(([True], s[1:] != s[:-1]))
+        edge = np.empty(len(order), np.int64)
+        edge[order] = np.cumsum(new) - 1
+        n, own, s = np.add.reduceat(often[order], np.flatnonzero(new)), (np.cumsum(other) - 1)[new], s[new]
+        size = code.size[s]
+        start = np.cumsum(size) - size
+        path = np.arange(size.sum()) + np.repeat(code.at[s] - start, size)
+        _, node = np.unique(np.repeat(own, size) * 256 + code.node[path].astype(np.int64), return_inverse=True)
+        n, bit = np.repeat(n, size).astype(np.float64), code.bit[path]
+        pairs = np.array([np.bincount(node, n * (bit == v)) for v in (0, 1)])
+        pairs = np.ceil(pairs / np.maximum(1, pairs.max(axis=0) / 65_000)).astype("<u2")[:, node]
+        out = []
+        for i in range(len(sizes)):
+            at = edge[to[i] : to[i + 1]]
+            k = size[at]
+            at = np.repeat(start[at] - np.cumsum(k) + k, k) + np.arange(k.sum())
+            out.append(zlib.compress(_planes(pairs[0][at]) + _planes(pairs[1][at]), 1))
+        return pa.table({"part": asks["part"], "block": asks["block"], "counts": pa.array(out, pa.binary())})
 
-    def out():
-        scale = np.maximum(1, total.max(axis=1, keepdims=True) / 65_000)
-        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([zlib.compress(np.ceil(total / scale).astype("<u2").tobytes(), 1)], pa.binary())], ["part", "counts"])
+    return run
 
-    for b in batches:
-        for part, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if part != now:
-                if now is not None:
-                    yield out()
-                now, total = part, np.zeros((SLOTS // PARTS, 2), np.int64)
-            total += np.frombuffer(zlib.decompress(raw), np.uint32).reshape(-1, 2)
-    if now is not None:
-        yield out()
 
+def _model(table: pa.Table, row: int, code: Code, parts: int, weights: np.ndarray) -> Model:
+    """Of a block and the answers to it."""
+    given = table.filter(pc.is_valid(table["part"])).sort_by("part")
+    pairs = [np.frombuffer(zlib.decompress(x), np.uint8).reshape(4, -1) for x in given["counts"].to_pylist()]
+    pairs = np.concatenate(pairs, axis=1)
+    zeros, ones = (np.ascontiguousarray(p.T).view("<u2")[:, 0] for p in (pairs[:2], pairs[2:]))
+    return Model(code, Edges(table["words"][row].values, table["classes"][row].values.to_numpy(), parts), (zeros, ones), weights)
 
-def _weights(shared):
-    def run(batches):
-        code, tables, start = shared.value
-        pairs = [t.view(np.uint32)[:, 0] for t in tables]
-        weights, total, n = start.copy(), np.zeros_like(start), 0
-        for b in batches:
-            for lo in range(0, b.num_rows, 4096):
-                part = b.slice(lo, 4096)
-                weights, sums, steps = learn(part.column(0), part.column(1).to_numpy(), part.column(2).to_numpy(), code, pairs, weights)
-                total, n = total + sums, n + steps
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(weights.size, dtype=np.int32)), pa.array(total.ravel()), pa.array(np.full(weights.size, float(n)))], ["i", "w", "n"])
+
+def _weights(shared, parts: int):
+    def run(table: pa.Table) -> pa.Table:
+        start = np.full((GATES, CONTEXTS), 0.3, np.float64)
+        row = pc.index(pc.is_null(table["part"]), True).as_py()
+        total, n = learn(_model(table, row, shared.value, parts, start), table["own"][row].values.to_numpy(), start)
+        return pa.table({"i": pa.array(np.arange(start.size, dtype=np.int32)), "w": pa.array(total.ravel()), "n": pa.array(np.full(start.size, float(n)))})
 
     return run
 
 
-def train(counted: DataFrame) -> Model:
-    """From the training words, the empty one for ends, by class, with their counts (word, class, n)."""
-    spark = counted.sparkSession
+def train(blocks: DataFrame, parts: int) -> tuple[Code, np.ndarray, DataFrame]:
+    """The code, the gates' weights, and for each block the tables' counts at its own edges (part, block, counts)."""
+    spark = blocks.sparkSession
     histogram = np.zeros(257, np.int64)
-    for r in counted.mapInArrow(_histogram, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect():
+    for r in blocks.select("words", "counts").mapInArrow(_histogram, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect():
         histogram[r["symbol"]] = r["n"]
     code = Code(histogram)
     shared = spark.sparkContext.broadcast(code)
-    few = counted.coalesce(max(1, counted.rdd.getNumPartitions() // 4))
-    parts = few.mapInArrow(_slot_counts(shared), "part int, counts binary").repartition(CONTEXTS * PARTS, "part").sortWithinPartitions("part")
-    tables, size = np.zeros((CONTEXTS, SLOTS, 2), np.uint16), SLOTS // PARTS
-    for r in parts.mapInArrow(_merge, "part int, counts binary").collect():  # tables of fixed size
-        k, i = divmod(r["part"], PARTS)
-        tables[k, i * size : (i + 1) * size] = np.frombuffer(zlib.decompress(r["counts"]), "<u2").reshape(-1, 2)
-    start = np.full((GATES, CONTEXTS), 0.3, np.float64)
-    given = spark.sparkContext.broadcast((code, tables, start))
+    lists = blocks.select("block", "words", "classes", F.col("counts").alias("own"))
+    count, learned = _answers(shared), _weights(shared, parts)
+
+    def answers(table: pa.Table) -> pa.Table:
+        return count(table)
+
+    def weigh(table: pa.Table) -> pa.Table:
+        return learned(table)
+
+    given = common.stored(lists.mapInArrow(_asks(parts), _ASK).groupBy("part").applyInArrow(answers, _ANSWER))
     weights, weight = np.zeros(GATES * CONTEXTS), np.zeros(GATES * CONTEXTS)
-    for r in few.mapInArrow(_weights(given), "i int, w double, n double").groupBy("i").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).collect():
+    both = lists.unionByName(given, allowMissingColumns=True)
+    for r in both.groupBy("block").applyInArrow(weigh, "i int, w double, n double").groupBy("i").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).collect():
         weights[r["i"]], weight[r["i"]] = r["w"], r["n"]
-    mean = np.where(weight > 0, weights / np.maximum(weight, 1), start.ravel()).round(9)
-    return Model(code, tables, mean.reshape(GATES, CONTEXTS))
+    mean = np.where(weight > 0, weights / np.maximum(weight, 1), 0.3).round(9)
+    return code, mean.reshape(GATES, CONTEXTS), given
 
 
-#: Words of a block's list, and classes, at most; a block's number is its task's times 4096 and more.
-_POSITIONS, _CLASSES = 1 << 28, 1 << 16
+#: Words of a block's list at most; a block's number is its task's times 4096 and more.
+_POSITIONS = 1 << 28
 _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
 
 def _score(shared):
     def run(blocks: pa.Table, counts: pa.Table) -> pa.Table:
-        model, n_all, n_kinds, class_bits = shared.value
+        code, weights, parts, n_all, n_kinds, class_bits = shared.value
         out = []
         c = np.zeros(counts.num_rows, np.int64)
         told = counts["told"].to_numpy()
         c[told % _POSITIONS] = told // _POSITIONS
         log = np.log10((c + 1) / (n_all + n_kinds + 1))
-        for row in range(blocks.num_rows):
+        for row in np.flatnonzero(blocks["part"].is_null().to_numpy()).tolist():
+            model = _model(blocks, row, code, parts, weights)
             n = np.frombuffer(blocks["n_tokens"][row].as_py(), "<i8")
             codes = np.ascontiguousarray(np.frombuffer(zlib.decompress(blocks["codes"][row].as_py()), np.uint8).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int64)
-            words, classes = blocks["words"][row].values, blocks["classes"][row].values.to_numpy()
+            words = blocks["words"][row].values
             first = np.concatenate(([0], np.cumsum(n)))
             base, known = np.add.reduceat(log[codes], first[:-1]), np.add.reduceat(c[codes] > 0, first[:-1], dtype=np.int64)
             bits, size = np.zeros(len(n)), np.zeros(len(n))
@@ -392,7 +454,7 @@ def _score(shared):
                 hi = max(lo + 1, int(np.searchsorted(first, first[lo] + TOKENS, side="right")) - 1)
                 own, at = np.unique(codes[first[lo] : first[hi]], return_inverse=True)
                 part = words.take(pa.array(own))
-                rows, starts, fills = model.inputs(part, classes[own])
+                rows, starts, fills = model.inputs(own)
                 wide = np.diff(starts)[at]
                 before = np.concatenate(([0], np.cumsum(wide)))
                 ids = np.arange(before[-1]) + np.repeat(starts[:-1][at] - before[:-1], wide)
@@ -420,24 +482,19 @@ def score(docs: DataFrame) -> DataFrame:
     own = docs.select("doc_id", held_out().alias("held"), "text", "lang")
     classes = spark.sparkContext.broadcast(langid.train(own.filter("not held"), everything=True))
     blocks = common.stored(own.select("doc_id", "held", "text").mapInArrow(_blocks(classes), _BLOCK))
-    listed = blocks.select("block", F.posexplode(F.arrays_zip("words", "classes", "counts")).alias("pos", "w")).select((F.col("block") * _POSITIONS + F.col("pos")).alias("place"), F.col("w.words").alias("word"), (F.col("w.counts").cast("long") * _CLASSES + F.col("w.classes")).alias("of"))
-    # A row of 8-byte fields as narrow as can be, since there is one for each word of each block.
-    listed = listed.repartition(common.partitions(blocks), "word").select("place", "word", F.pmod("of", F.lit(_CLASSES)).alias("class"), F.shiftright("of", 16).alias("n"))
+    parts = max(1, 2 * blocks.count())  # the tables grow with the blocks, a part of them does not
+    listed = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w")).select((F.col("block") * _POSITIONS + F.col("pos")).alias("place"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    # A row as narrow as can be, since there is one for each word of each block.
+    listed = listed.repartition(common.partitions(blocks), "word")
     one = Window.partitionBy("word")
-    # In order of class and block, the first row of a word and that of a word in a class stand for it.
-    told = common.stored(
-        listed.withColumn("c", F.sum("n").over(one))
-        .withColumn("n", F.sum("n").over(Window.partitionBy("word", "class")))
-        .withColumn("in_class", F.row_number().over(Window.partitionBy("word", "class").orderBy("place")))
-        .withColumn("at_all", F.row_number().over(one.orderBy("class", "place")))
-        .select("place", "c", "class", "n", (F.col("at_all") == 1).alias("first"), F.when((F.col("in_class") == 1) & (F.col("n") > 0), F.col("word")).alias("word"))
-    )
+    told = common.stored(listed.select("place", F.sum("n").over(one).alias("c"), (F.row_number().over(one.orderBy("place")) == 1).alias("first")))
     totals = told.filter("first and c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    model = train(told.filter("word is not null").select("word", "class", "n"))
+    code, weights, given = train(blocks, parts)
     n_classes = max(1, len(classes.value.languages))
-    run = _score(spark.sparkContext.broadcast((model, totals[0], totals[1], float(np.log2(n_classes)))))
+    run = _score(spark.sparkContext.broadcast((code, weights, parts, totals[0], totals[1], float(np.log2(n_classes)))))
 
     def scored(blocks: pa.Table, counts: pa.Table) -> pa.Table:
         return run(blocks, counts)
 
-    return blocks.groupBy("block").cogroup(told.select(F.shiftright("place", 28).alias("block"), (F.pmod("place", F.lit(_POSITIONS)) + F.col("c") * _POSITIONS).alias("told")).groupBy("block")).applyInArrow(scored, _OUT)
+    both = blocks.drop("counts").unionByName(given, allowMissingColumns=True)
+    return both.groupBy("block").cogroup(told.select(F.shiftright("place", 28).alias("block"), (F.pmod("place", F.lit(_POSITIONS)) + F.col("c") * _POSITIONS).alias("told")).groupBy("block")).applyInArrow(scored, _OUT)

@@ -152,6 +152,42 @@ def test_lm_is_a_probability():
     assert 2**-yes + 2**-no == pytest.approx(1)
 
 
+def test_lm_tables_grow_with_the_contexts():
+    """Over more nodes than 2^21 slots, no context takes the counts of another one."""
+    import pyarrow as pa
+
+    draw = np.random.default_rng(5)
+    texts = ["".join(chr(97 + c) for c in w) for w in draw.integers(0, 26, (120_000, 9))] + ["an", "and", ""]
+    blocks, parts, code = [texts[:70_000], texts[60_000:]], 3, lmscore.Code(np.ones(257, np.int64))
+    counts = [draw.integers(0, 4, len(b)) for b in blocks]
+    columns = [pa.array([0, 1]), pa.array(blocks), pa.array([[0] * len(b) for b in blocks], pa.list_(pa.int32())), pa.array([c.tolist() for c in counts], pa.list_(pa.int32()))]
+    asks = pa.Table.from_batches(lmscore._asks(parts)([pa.record_batch(columns, ["block", "words", "classes", "counts"])]))
+
+    class Shared:
+        value = code
+
+    given = pa.concat_tables(lmscore._answers(Shared)(asks.filter(pa.compute.equal(asks["part"], i))) for i in range(parts))
+    nodes = Counter()
+    path = lambda s: zip(code.node[code.at[s] :][: code.size[s]].tolist(), code.bit[code.at[s] :][: code.size[s]].tolist(), strict=True)
+    spell = lambda w: [*w.encode(), 32] if w else [256]
+    for words, often in zip(blocks, counts, strict=True):
+        for w, n in zip(words, often.tolist(), strict=True):
+            for i, s in enumerate(spell(w)):
+                for node, bit in path(s):
+                    nodes[w[:i], node, bit] += n
+    assert len(nodes) > 1 << 21
+    for i, words in enumerate(blocks):
+        own = given.filter(pa.compute.equal(given["block"], i))
+        one = pa.table({"part": pa.array([None, *own["part"].to_pylist()], pa.int32()), "counts": pa.array([None, *own["counts"].to_pylist()], pa.binary()), "words": [words] + [None] * len(own), "classes": pa.array([[0] * len(words)] + [None] * len(own), pa.list_(pa.int32()))})
+        model = lmscore._model(one, 0, code, parts, np.zeros((lmscore.GATES, lmscore.CONTEXTS)))
+        some = np.append(np.arange(0, len(words), 97), len(words) - 1)
+        slots = model.bits(some)[0][4]
+        want = [(nodes[words[w][:j], node, 0], nodes[words[w][:j], node, 1]) for w in some.tolist() for j, s in enumerate(spell(words[w])) for node, _ in path(s)]
+        scaled = [max(1, max(x) / 65_000) for x in want]
+        assert model.zeros[slots].tolist() == [int(np.ceil(a / z)) for (a, _), z in zip(want, scaled, strict=True)]
+        assert model.ones[slots].tolist() == [int(np.ceil(b / z)) for (_, b), z in zip(want, scaled, strict=True)]
+
+
 def test_fingerprints(docs, rows, empty):
     got = {}
     ordered = [r for r in order(rows)]
