@@ -6,7 +6,7 @@ class with the last 1 to 4 bytes in the word, or with the word so far) a table h
 1 in training at each node of the code. A context is a 64-bit key and shares its counts with no other; the tables
 grow with the distinct contexts. Their stretched probabilities are combined by weights that
 a gate selects (how many contexts are known, and the place in the word), learned online by gradient descent
-over the training words with each occurrence left out of its own counts. While a text is scored, corrections
+over the training words, as often as they occur, with each occurrence left out of its own counts. While a text is scored, corrections
 to the mix adapt to it bit by bit, and the bits' code lengths add up to the text's probability.
 
 The class of a text, a language as found by trees fitted to the training documents, is coded first at the
@@ -190,10 +190,26 @@ class Model:
         return np.concatenate(parts), np.concatenate(groups), np.concatenate(fills)
 
 
-def learn(model: Model, counts: np.ndarray, weights: np.ndarray, batch: int = 1 << 14) -> tuple[np.ndarray, int]:
-    """One online pass over the words, at most 100 times each, each occurrence left out of its counts. Returns the sum of the gates' weights over the steps, and the steps."""
+def dealt(counts: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words as often as they occur, dealt to steps of equal weight: word numbers and their weights in order,
+    and each step's first. A word of more than an eighth of a step's weight comes in several pieces."""
     own = np.flatnonzero(counts)
-    weight, first = np.minimum(counts[own], 100), np.append(np.arange(0, len(own), max(1, batch // 40)), len(own))
+    n = counts[own].astype(np.float64)
+    pieces = np.ceil(n * 8 * steps / n.sum()).astype(np.int64) if len(own) else np.zeros(0, np.int64)
+    number = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    own, weight = np.repeat(own, pieces), np.repeat(n / np.maximum(pieces, 1), pieces)
+    order = np.argsort(common.mix64((own.astype(np.uint64) << np.uint64(32)) + number.astype(np.uint64) + np.uint64(1)), kind="stable")
+    own, weight = own[order], weight[order]
+    to = np.cumsum(weight)
+    first = np.searchsorted(to, np.arange(steps) * (to[-1] / steps if len(to) else 0), side="right")
+    return own, weight, np.append(first, len(own))
+
+
+def learn(model: Model, counts: np.ndarray, weights: np.ndarray, batch: int = 1 << 14) -> tuple[np.ndarray, int]:
+    """One online pass over the words as often as they occur, each occurrence left out of its counts, in steps of
+    equal weight. Returns the sum of the gates' weights over the steps, and the steps."""
+    bits = int(model.code.size[model.edges.symbol].sum())
+    own, weight, first = dealt(counts, max(1, bits // batch))
     total, steps = np.zeros_like(weights), 0
     for lo, hi in zip(first[:-1], first[1:], strict=True):
         if lo == hi:

@@ -188,6 +188,14 @@ def test_lm_tables_grow_with_the_contexts():
         assert model.ones[slots].tolist() == [int(np.ceil(b / z)) for (_, b), z in zip(want, scaled, strict=True)]
 
 
+def test_lm_trains_on_words_as_often_as_they_occur():
+    counts = np.array([10_000_000, 0, 3, 1, 250, *[1] * 3000])
+    own, weight, first = lmscore.dealt(counts, 50)
+    assert np.bincount(own, weight, len(counts)) == pytest.approx(counts)
+    steps = np.add.reduceat(weight, first[:-1])
+    assert len(steps) == 50 and steps.max() < 1.3 * counts.sum() / 50
+
+
 def test_fingerprints(docs, rows, empty):
     got = {}
     ordered = [r for r in order(rows)]
