@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 
 import pandas as pd
 from lectern.functions.vector import vectorised
@@ -67,13 +69,63 @@ def segment(text: str, siblings: list[tuple[int, str, str]], position: int) -> s
         end, title = next(((at, t) for at, t in others if at > start), (len(text), ""))
         if end - start > len(best[0]):
             best = (text[start:end], title)
-    part = _without_lead_in(best[0].rstrip(), best[1] or "")
+    return _trimmed(*best)
+
+
+def _trimmed(part: str, title: str) -> str:
+    part = _without_lead_in(part.rstrip(), title or "")
     lines = part.split("\n")
     while len(lines) > 1 and (not lines[-1].strip() or is_label(lines[-1])):
         lines.pop()
     return "\n".join(lines).strip()
 
 
+def all_segments(text: str, siblings: list[tuple[int, str, str]]) -> list[str]:
+    """What segment gives for each of the siblings, whose positions are distinct; equal anchors are looked for once."""
+    body, groups, where = _tokens(text), defaultdict(list), defaultdict(list)
+    words = [w for w, *_ in body]
+    for i, w in enumerate(words):
+        where[w].append(i)
+    for k, (_, snippet, _) in enumerate(siblings):
+        groups[tuple(w for w, *_ in _tokens(snippet or "")[:ANCHOR])].append(k)
+    starts, at = {}, defaultdict(list)
+    for anchor in groups:
+        need = max(LEAST, -(-len(anchor) * 6 // 10))
+        starts[anchor] = []
+        for i in where[anchor[0]] if len(anchor) >= LEAST else ():
+            window = words[i : i + len(anchor) + SLACK]
+            if sum(map(set(window).__contains__, anchor)) >= need and common_length(anchor, window) >= need:
+                starts[anchor].append(body[i][1])
+                at[body[i][1]].append(anchor)
+    places = sorted(at)
+    # The two least titles of an anchor's siblings: one of them is another sibling's.
+    titles = {anchor: sorted((siblings[k][2], k) for k in own)[:2] for anchor, own in groups.items()}
+    # For each place the next one where not the same anchor alone begins.
+    onward = list(range(1, len(places) + 1))
+    for i in range(len(places) - 2, -1, -1):
+        if at[places[i]] == at[places[i + 1]] and len(at[places[i]]) == 1:
+            onward[i] = onward[i + 1]
+    out = [""] * len(siblings)
+    for anchor, own in groups.items():
+        best = (0, 0, None)
+        for start in starts[anchor]:
+            i = bisect_right(places, start)
+            if i < len(places) and len(own) == 1 and at[places[i]] == [anchor]:
+                i = onward[i]
+            end = places[i] if i < len(places) else len(text)
+            if end - start > best[1] - best[0]:
+                best = (start, end, places[i] if i < len(places) else None)
+        for k in own:
+            title = min((t for other in at[best[2]] for t, j in titles[other] if j != k), default="") if best[2] is not None else ""
+            out[k] = _trimmed(text[best[0] : best[1]], title)
+    return out
+
+
 @vectorised("string")
 def segment_udf(text: pd.Series, siblings: pd.Series, position: pd.Series) -> pd.Series:
     return pd.Series([segment(t or "", [(s["position"], s["snippet"], s["title"]) for s in sib], p) for t, sib, p in zip(text, siblings, position, strict=True)])
+
+
+@vectorised("array<string>")
+def segments_udf(text: pd.Series, siblings: pd.Series) -> pd.Series:
+    return pd.Series([all_segments(t or "", [(s["position"], s["snippet"], s["title"]) for s in sib] if sib is not None else []) for t, sib in zip(text, siblings, strict=True)])

@@ -353,11 +353,11 @@ def url2_links(spark, d):
 
 @query()
 def txt12_segments(spark, d):
-    """Each benchmark passage's part of the documents that hold several lines, by its own anchor."""
-    docs = tables.table(spark, d, "documents").filter("instr(text, '\n') > 0")
+    """Of every document each story's part, a story being a line of more than 20 characters, by its own anchor."""
+    docs = tables.table(spark, d, "documents")
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(x) > 20)
     sib = F.transform(lines, lambda x, i: F.struct(i.alias("position"), x.alias("snippet"), F.lit("").alias("title")))
-    return docs.select("doc_id", segments.segment_udf("text", sib, F.lit(0)).alias("part"))
+    return docs.select("doc_id", F.posexplode_outer(segments.segments_udf("text", sib)).alias("position", "part"))
 
 
 @query()

@@ -1,9 +1,12 @@
 """Golden cases of functions, folds and streams."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from lectern.functions import markup, model_json, segments, text
 from lectern.operators import reads, state
+from lectern.plans import catalog
 from lectern.sources import mail
 from lectern.streaming import jobs
 
@@ -39,6 +42,19 @@ def test_segments():
     assert segments.is_label("MARKETS") and not segments.is_label("- X") and not segments.is_label("Markets")
 
 
+def test_segments_of_all_siblings(spark, tmp_path):
+    draw = random.Random(4)
+    for n in range(300):
+        lines = [" ".join(draw.choice("a b c d e f".split()[: 2 + n % 5]) for _ in range(draw.randint(1, 8))) + draw.choice(["", "\nNEWS", "\n"]) for _ in range(draw.randint(0, 9))]
+        siblings = [(i, x, draw.choice(["", "b c d", "a a"])) for i, x in enumerate(lines)]
+        body = "\n".join(lines)
+        assert segments.all_segments(body, siblings) == [segments.segment(body, siblings, i) for i in range(len(lines))]
+    texts = ["Top news about trains today in town.\nStocks fell sharply on Monday morning.", "One line alone about the weather.", "short", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r["doc_id"], r["position"], r["part"]) for r in catalog.txt12_segments(spark, str(tmp_path)).collect() if r["part"] is not None)
+    assert got == [(0, 0, "Top news about trains today in town."), (0, 1, "Stocks fell sharply on Monday morning."), (1, 0, "One line alone about the weather.")]
+
+
 def test_model_json():
     item = '{"title":"A","relevance_score":"85","kind":"odd","url":"ftp://x","labels":["x","X","",1,"y"],"primary_topic":"ad"}'
     got = model_json.parse(f"```json\n[{item}]\n```")
