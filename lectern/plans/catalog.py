@@ -363,6 +363,6 @@ def txt12_segments(spark, d):
 @query()
 def jsn1_parse_items(spark, d):
     """Items of answers made from conversation turns."""
-    turn = tables.table(spark, d, "conversations").select("conv_id", "turn", F.to_json(F.array(F.struct(F.left("text", F.lit(40)).alias("title"), F.col("role").alias("kind"), F.col("turn").alias("relevance_score")))).alias("answer"))
+    turn = tables.table(spark, d, "conversations").select("conv_id", "turn", F.to_json(F.array(F.struct(F.col("text").alias("title"), F.col("role").alias("kind"), F.col("turn").alias("relevance_score")))).alias("answer"))
     parsed = turn.select("conv_id", "turn", model_json.parse_udf("answer").alias("p"))
     return parsed.select("conv_id", "turn", "p.outcome", F.posexplode_outer("p.items").alias("pos", "item")).select("conv_id", "turn", "outcome", "item.title", "item.kind", "item.relevance_score")

@@ -66,6 +66,12 @@ def test_model_json():
     assert [model_json.flexible_int(x) for x in (12.6, -5, "85", "junk", None, 250)] == [13, -4, 85, 0, 0, 250]
 
 
+def test_parse_items_of_whole_turns(spark, tmp_path):
+    texts = ["A turn of far more than forty characters, with \"quotes\" and\na second line at its end", "short"]
+    spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert sorted((r["turn"], r["outcome"], r["title"]) for r in catalog.jsn1_parse_items(spark, str(tmp_path)).collect()) == [(i, "ok", t) for i, t in enumerate(texts)]
+
+
 def test_mail():
     raw = b'From: "A B" <A@x.org>\r\nSubject: =?utf-8?q?caf=C3=A9?=\r\nMessage-ID: <1@x>\r\nContent-Type: multipart/mixed; boundary=b\r\n\r\n--b\r\nContent-Type: text/html\r\n\r\n<p>see https://x.org/a.</p>\r\n--b\r\nContent-Type: text/plain\r\nContent-Disposition: attachment; filename=f.txt\r\n\r\nhello\r\n--b--\r\n'
     m = mail.parse(raw)
