@@ -3,8 +3,9 @@
 For each language the training texts' bytes make a variable-order context tree of frozen counts: after each
 context of up to ORDER bytes, how often each byte followed. A byte that the longest context has not seen is
 coded with that context's escape probability and then by the next shorter one. A text's exact code length
-under each language's tree decides. The trees are resolved into one table of code lengths, so scoring is
-a gather and a sum per text.
+under each language's tree decides. The trees are sparse sorted tables over all 256 bytes: a row of code lengths
+by language, escapes included, for each string of ORDER + 1 bytes and less that any language has, and a row of
+escapes' lengths for each context. They grow with the distinct strings of the samples and with the languages.
 """
 
 from __future__ import annotations
@@ -19,11 +20,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bytes of context, symbols (the commonest bytes of the sample; all rarer ones share the last), and about
+#: Bytes of context, symbols of the test for noise (the commonest bytes of the sample, and one for all rarer ones), and about
 #: how many labelled documents per language the trees are fitted to, taken by a hash of the id.
 ORDER, SYMBOLS, SAMPLE = 3, 48, 4000
-#: The table's greatest number of entries; with more languages the context gets shorter.
-ENTRIES = 1 << 26
 UNKNOWN = "und"
 
 
@@ -42,50 +41,77 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(raw, np.uint8, first[-1], begin) if first[-1] else np.zeros(0, np.uint8)), first
 
 
-def _codes(data: np.ndarray, first: np.ndarray, to: np.ndarray, order: int, symbols: int) -> np.ndarray:
-    """The number of each byte together with the ones before; before a text stands symbol 0."""
-    s = to[data]
-    out = s.astype(np.int64)
-    for k in range(1, order + 1):
-        out[k:] += s[:-k].astype(np.int64) * symbols**k if k <= len(s) else 0
-    begins, ends = first[:-1], first[1:]
-    for k in range(order):  # near a text's start the bytes before belong to another text
-        at = begins[begins + k < ends] + k
-        own = s[at].astype(np.int64)
-        for j in range(1, k + 1):
-            own += s[at - j].astype(np.int64) * symbols**j
-        out[at] = own
+def _codes(data: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Each byte, in the lowest place, together with the ones before; before a text stand spaces."""
+    out = data.astype(np.uint32)
+    for k in range(1, ORDER + 1):
+        before = np.full(len(data), 32, np.uint32)
+        before[k:] = data[:-k]
+        for j in range(k):  # near a text's start the bytes before belong to another text
+            at = first[:-1] + j
+            before[at[at < first[1:]]] = 32
+        out |= before << np.uint32(8 * k)
     return out
 
 
-def _step(c: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-    """Probabilities after contexts (rows) with counts c; a context without counts has the shorter one's."""
-    n, kinds = c.sum(axis=1, keepdims=True), (c > 0).sum(axis=1, keepdims=True)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        q = np.where(c > 0, c / (n + kinds), kinds / (n + kinds) * shorter)
-    return np.where(n > 0, q, shorter)
+def _suffix(codes: np.ndarray, k: int) -> np.ndarray:
+    return codes & np.uint32((1 << 8 * (k + 1)) - 1)
 
 
-def _resolve(counts: np.ndarray, order: int, symbols: int, out: np.ndarray) -> None:
-    """Fills out with the code length in bits of each symbol after each context of ``order`` symbols (one at
-    least), escapes included. The longest contexts are taken by their first symbol, so that only counts and
-    out have full length."""
-    p = np.full((1, symbols), 1 / symbols)
-    for k in range(order):
-        p = _step(counts.reshape(-1, symbols ** (k + 1)).sum(axis=0).reshape(-1, symbols), np.tile(p, (symbols if k else 1, 1)))
-    size = symbols**order
-    for lo in range(0, len(counts), size):
-        out[lo : lo + size] = -np.log2(_step(counts[lo : lo + size].reshape(-1, symbols), p)).ravel()
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where in the sorted keys the wanted ones stand, and whether they do."""
+    at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+    return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
 
 
-class Model:
-    """Languages, the symbols of bytes and the table: a row of code lengths per (context, symbol)."""
+def _tree(codes: np.ndarray, counts: np.ndarray) -> list[tuple]:
+    """Of one language, for each order: strings, the code length of their last byte, contexts, the length of their escape."""
+    out = []
+    for k in range(ORDER + 1):
+        strings, at = np.unique(_suffix(codes, k), return_inverse=True)
+        c = np.bincount(at, counts)
+        contexts, at = np.unique(strings >> np.uint32(8), return_inverse=True)
+        n, kinds = np.bincount(at, c), np.bincount(at)
+        out.append((strings, np.log2((n + kinds)[at] / c), contexts, np.log2((n + kinds) / kinds)))
+    return out
 
-    def __init__(self, languages: list[str], to: np.ndarray, table: np.ndarray, order: int, symbols: int):
-        self.languages, self.to, self.table, self.order, self.symbols = languages, to, table, order, symbols
 
-    def bits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Bits of each text under each language, and the texts' bytes."""
+class Model:
+    """Languages, and for each order sorted strings with rows of code lengths and sorted contexts with rows of escapes.
+    rare: the bytes that are not among the commonest."""
+
+    def __init__(self, languages: list[str], trees: list[list[tuple]], rare: np.ndarray):
+        self.languages, self.rare, self.orders = languages, rare, []
+        for k in range(ORDER + 1 if trees else 0):
+            strings, contexts = (np.unique(np.concatenate([t[k][i] for t in trees])) for i in (0, 2))
+            lengths, escapes = (np.zeros((len(x), len(languages)), np.float32) for x in (strings, contexts))
+            shorter = self.lengths(_suffix(strings, k - 1), k - 1)
+            for i, tree in enumerate(trees):
+                own, bits, own_contexts, escape = tree[k]
+                at, has = _find(own_contexts, contexts)
+                escapes[has, i] = escape[at[has]]
+                at, has = _find(own, strings)
+                lengths[:, i] = np.where(has, bits[at], escapes[np.searchsorted(contexts, strings >> np.uint32(8)), i] + shorter[:, i])
+            self.orders.append((strings, lengths, contexts, escapes))
+
+    def lengths(self, codes: np.ndarray, k: int = ORDER) -> np.ndarray:
+        """Code lengths by language of the last byte of strings of k + 1 bytes."""
+        if k < 0:
+            return np.full((len(codes), len(self.languages)), 8, np.float32)
+        strings, lengths, contexts, escapes = self.orders[k]
+        if not len(strings):
+            return self.lengths(_suffix(codes, k - 1), k - 1)
+        at, has = _find(strings, codes)
+        out = lengths[at]
+        new = np.flatnonzero(~has)
+        if len(new):
+            out[new] = self.lengths(_suffix(codes[new], k - 1), k - 1)
+            at, has = _find(contexts, codes[new] >> np.uint32(8))
+            out[new[has]] += escapes[at[has]]
+        return out
+
+    def bits(self, texts: pa.Array, noise: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Bits of each text under each language, and the texts' bytes. noise: a rare byte takes log2(SYMBOLS) at most."""
         data, first = _bytes(texts)
         out = np.zeros((len(texts), len(self.languages)))
         full = np.flatnonzero(np.diff(first))
@@ -96,10 +122,14 @@ class Model:
             own = full[at:stop]
             lo, hi = int(first[own[0]]), int(first[own[-1] + 1])
             cuts = np.append(first[own] - lo, hi - lo)
-            codes = _codes(data[lo:hi], cuts, self.to, self.order, self.symbols)
-            rows = self.table[codes]
+            coded = pa.array(_codes(data[lo:hi], cuts)).dictionary_encode()
+            distinct = coded.dictionary.to_numpy()
+            table, rows = self.lengths(distinct), coded.indices.to_numpy()
+            if noise:
+                rare = self.rare[distinct & np.uint32(255)]
+                table[rare] = np.minimum(table[rare], np.float32(np.log2(SYMBOLS)))
             for i in range(len(self.languages)):
-                out[own, i] = np.add.reduceat(rows[:, i].astype(np.float32), cuts[:-1], dtype=np.float64)
+                out[own, i] = np.add.reduceat(table[:, i].copy().take(rows), cuts[:-1], dtype=np.float64)
             at = stop
         return out, np.diff(first)
 
@@ -110,28 +140,11 @@ def train(docs: DataFrame, sample: int = SAMPLE, everything: bool = False) -> Mo
     counted = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     languages = sorted(counted)
     if not languages:
-        return Model([], np.zeros(256, np.uint8), np.zeros((1, 0), np.float16), 0, 1)
-    order = ORDER
-    while order > 1 and SYMBOLS ** (order + 1) * len(languages) > ENTRIES:
-        order -= 1
+        return Model([], [], np.zeros(256, bool))
     most = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(min(1.0, sample / counted[lang])))])
     unit = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("langid")), 11) / F.lit(float(1 << 53))
     fit = common.stored(usable.filter(unit < most[F.col("lang")]).select("lang", "text").repartition(8))
 
-    def histogram(batches):
-        n = np.zeros(256, np.int64)
-        for chunk in common.text_chunks(batches):
-            n += np.bincount(_bytes(common.texts_of(chunk))[0], minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256, dtype=np.int32)), pa.array(n)], ["byte", "n"])
-
-    n = np.zeros(256, np.int64)
-    for r in fit.select("text").mapInArrow(histogram, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
-        n[r["byte"]] = r["n"]
-    n[32] = n.max() + 1  # the space is symbol 0, as before each text
-    to = np.full(256, SYMBOLS - 1, np.uint8)
-    common_bytes = np.argsort(-n, kind="stable")[: SYMBOLS - 1]
-    to[common_bytes] = np.arange(len(common_bytes))
-
     def grams(batches):
         total: dict = {}
         for chunk in common.text_chunks(batches, 1 << 20):
@@ -139,22 +152,24 @@ def train(docs: DataFrame, sample: int = SAMPLE, everything: bool = False) -> Mo
             for lang in set(names):
                 texts = common.texts_of(chunk).filter(pa.array(names == lang))
                 data, first = _bytes(texts)
-                codes, counts = np.unique(_codes(data, first, to, order, SYMBOLS), return_counts=True)
+                codes, counts = np.unique(_codes(data, first), return_counts=True)
                 total.setdefault(lang, []).append((codes, counts))
         for lang, parts in total.items():
             codes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
             counts = np.bincount(at, np.concatenate([p[1] for p in parts]))
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([codes.astype("<i4").tobytes()]), pa.array([counts.astype("<i4").tobytes()])], ["lang", "codes", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([codes.astype("<u4").tobytes()]), pa.array([counts.astype("<i4").tobytes()])], ["lang", "codes", "counts"])
 
-    table = np.zeros((SYMBOLS ** (order + 1), len(languages)), np.float16)
-    rows = fit.mapInArrow(grams, "lang string, codes binary, counts binary").collect()
-    for i, lang in enumerate(languages):
-        counts = np.zeros(SYMBOLS ** (order + 1), np.int32)
-        for r in rows:
-            if r["lang"] == lang:
-                np.add.at(counts, np.frombuffer(r["codes"], "<i4"), np.frombuffer(r["counts"], "<i4"))
-        _resolve(counts, order, SYMBOLS, table[:, i])
-    return Model(languages, to, table, order, SYMBOLS)
+    found: dict = {lang: [] for lang in languages}
+    for r in fit.mapInArrow(grams, "lang string, codes binary, counts binary").collect():
+        found[r["lang"]].append((np.frombuffer(r["codes"], "<u4"), np.frombuffer(r["counts"], "<i4")))
+    trees, n = [], np.zeros(256)
+    for lang in languages:
+        codes, counts = (np.concatenate([x[i] for x in found[lang]]) if found[lang] else np.zeros(0, t) for i, t in enumerate((np.uint32, np.int32)))
+        trees.append(_tree(codes, counts))
+        n += np.bincount(codes & np.uint32(255), counts, 256)
+    rare = np.ones(256, bool)
+    rare[np.argsort(-n, kind="stable")[: SYMBOLS - 1]] = False
+    return Model(languages, trees, rare)
 
 
 _OUT = "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double"
@@ -198,13 +213,13 @@ def keep_known(docs: DataFrame, model: Model | None = None) -> DataFrame:
             texts = common.texts_of(chunk)
             known = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False) & bool(m.languages)
             if m.languages:
-                bits, size = m.bits(texts)
+                bits, size = m.bits(texts, noise=True)
                 known &= bits.min(axis=1) < NOISE_BITS * np.maximum(size, 1)
             yield chunk.filter(pa.array(known))
 
     return common.bounded(docs).mapInArrow(run, docs.schema)
 
 
-#: A text whose best code takes more bits per byte than this is noise in no learned language; even a
-#: code without any model takes about log2(SYMBOLS) = 5.6.
+#: A text whose best code takes more bits per byte than this is noise in no learned language. A byte that is
+#: rare in the samples counts log2(SYMBOLS) = 5.6 bits at most, so that a script not learned is no noise.
 NOISE_BITS = 7.0

@@ -243,6 +243,39 @@ def test_language_id(spark, docs, rows, empty):
     assert np.mean([labels[r["doc_id"]] == r["lang_pred"] for r in held]) > 0.95
 
 
+def test_language_id_knows_all_bytes_and_the_whole_context(spark):
+    """Two small Cyrillic languages beside large Latin ones, and code lengths against brute force."""
+    import pyarrow as pa
+
+    draw = random.Random(9)
+    word = lambda letters: "".join(draw.choice(letters) for _ in range(draw.randint(2, 7)))
+    say = lambda letters, n=40: " ".join(word(letters) for _ in range(n))
+    latin = {f"l{i}": "".join(draw.sample("abcdefghijklmnopqrstuvwxyzéàüöñçåßøæłščřžýíěůďťň", 24)) for i in range(13)}
+    rows = [(say(x), lang) for lang, x in latin.items() for _ in range(40)] + [(say(x), lang) for lang, x in (("c1", "абвгдежзик"), ("c2", "лмнопрстуф")) for _ in range(4)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
+    model = langid.train(docs, everything=True)
+    for lang, letters in (("c1", "абвгдежзик"), ("c2", "лмнопрстуф")):
+        bits, _ = model.bits(pa.array([say(letters, 5) for _ in range(20)]))
+        assert {model.languages[i] for i in bits.argmin(axis=1)} == {lang}
+    seen = {lang: defaultdict(Counter) for lang in model.languages}
+    for text, lang in rows:
+        raw = b"   " + text.lower().encode()
+        for i in range(3, len(raw)):
+            for k in range(4):
+                seen[lang][raw[i - k : i]][raw[i]] += 1
+
+    def length(c, context, byte):
+        n, kinds = sum(c[context].values()) if context in c else 0, len(c[context]) if context in c else 0
+        if n and byte in c[context]:
+            return np.log2((n + kinds) / c[context][byte])
+        return (np.log2((n + kinds) / kinds) if n else 0) + (length(c, context[1:], byte) if context else 8)
+
+    texts = ["abc лмн", "ж", say(latin["l3"], 8), "日本 x", ""]
+    want = [[sum(length(seen[lang], raw[i - 3 : i], raw[i]) for i in range(3, len(raw))) for lang in model.languages] for raw in (b"   " + x.lower().encode() for x in texts)]
+    assert model.bits(pa.array(texts))[0] == pytest.approx(np.array(want), abs=1e-2)
+    assert langid.keep_known(spark.createDataFrame([(1, "日本語の文章です", None)], "doc_id long, text string, lang string"), model).count() == 1
+
+
 def test_jaccard_join(docs, rows, empty, monkeypatch):
     usable = [r for r in rows if r[0] is not None]
     sets = [shingles(r[1]) for r in usable]
