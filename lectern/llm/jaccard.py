@@ -3,7 +3,7 @@
 Texts with equal word sequences form classes, of which one represents all. Representatives' signatures
 are cut into bands, whose numbers and rows are chosen for a target recall; band hashes are shuffled and
 representatives that share one become neighbours of the bucket's least id. The connected candidates are
-then gathered once, in blocks of bounded size, and all pairs that share a band are verified on their full
+then gathered once, in blocks of bounded size, and all pairs of a component are verified on their full
 n-gram sets by matrix products, without ever making a row per pair: a block yields each member's number of
 links and the edges that hold its groups together.
 """
@@ -100,11 +100,6 @@ def _verify(threshold: float):
         sizes = np.array([len(s) for s in sets], np.float32)
         union = sizes[a][:, None] + sizes[b][None, :] - common_
         linked = common_ >= threshold * union - 1e-4
-        near = np.zeros_like(linked)
-        own = np.array([r[6] for r in rows])
-        for k in range(own.shape[1]):
-            near |= own[a, k][:, None] == own[b, k][None, :]
-        linked &= near
         if i == j:
             np.fill_diagonal(linked, False)
         reps, copies = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])

@@ -291,6 +291,16 @@ def test_jaccard_join(docs, rows, empty, monkeypatch):
     assert jaccard.join(empty).count() == 0 and jaccard.keep_one(empty).count() == 0
 
 
+def test_jaccard_join_keeps_links_without_a_common_band(spark):
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*base[: 6 * i], f"x{i}", *base[6 * i + 1 :]]) for i in range(30)]
+    sets = [shingles(x) for x in texts]
+    got = jaccard.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), recall=0.3).collect()
+    classes = {r["doc_id"]: r["class_id"] for r in got}
+    assert len(set(classes.values())) <= 3
+    assert {r["doc_id"]: r["n_links"] for r in got} == {i: sum(classes[i] == classes[j] and len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)}
+
+
 def test_components(spark):
     edges = [(i + 1, i) for i in range(40)] + [(100, 101), (102, 101), (200, 200)]
     got = {r["node"]: r["root"] for r in jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()}
