@@ -2,7 +2,7 @@
 
 A text's word shingles are hashed, and the least values of many universal hash functions over them,
 computed in vectorised numpy, make its signature. Signatures' bands are joined in Spark to find similar
-documents, whose Jaccard similarity is then verified on the full shingle sets (``similar_pairs``).
+documents, whose Jaccard similarity is then verified on the full shingle sets (``similar``).
 """
 
 from __future__ import annotations
@@ -22,9 +22,13 @@ from . import common
 FUNCTIONS = 64
 
 
+def _sign(hashes: np.ndarray, first: np.ndarray, k: int = FUNCTIONS) -> np.ndarray:
+    return (common.signatures(hashes, first, k) >> np.uint32(16)).astype(np.uint16)
+
+
 def signatures_of(texts: pa.Array, k: int = FUNCTIONS) -> np.ndarray:
     words, starts = common.word_hashes(texts)
-    return (common.signatures(*common.shingles(words, starts), k) >> np.uint32(16)).astype(np.uint16)
+    return _sign(*common.shingles(words, starts), k)
 
 
 def as_hex(signature: np.ndarray) -> list[str]:
@@ -48,10 +52,10 @@ def fingerprint(docs: DataFrame, k: int = FUNCTIONS) -> DataFrame:
 
 def similar(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9995) -> DataFrame:
     """One row per document with its class among verified similar documents, and its number of links:
-    signature bands are joined and Jaccard is verified on full shingle sets."""
+    bands of the fingerprints' signatures are joined and Jaccard is verified on full shingle sets."""
     from . import jaccard
 
-    return jaccard.join(docs, threshold, recall)
+    return jaccard.join(docs, threshold, recall, FUNCTIONS, _sign)
 
 
 # --- neighbours in order of doc_id -------------------------------------------------------------

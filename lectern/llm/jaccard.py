@@ -25,12 +25,12 @@ THRESHOLD, RECALL, FUNCTIONS = 0.8, 0.9995, 100
 CHUNK_SHINGLES, CHUNK_MEMBERS = 1 << 19, 256
 
 
-def _bands(k: int, bands: int, rows: int):
+def _bands(k: int, bands: int, rows: int, sign=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in common.text_chunks(batches):
             words, starts = common.word_hashes(common.texts_of(chunk))
             hashes, first = common.shingles(words, starts)
-            signature = common.signatures(hashes, first, k)
+            signature = sign(hashes, first) if sign else common.signatures(hashes, first, k)
             n = np.diff(first)
             folded = np.zeros((len(n), bands), np.uint64)
             for j in range(bands):
@@ -140,19 +140,20 @@ def _verify(threshold: float):
     return run
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, functions: int = FUNCTIONS) -> DataFrame:
+def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, functions: int = FUNCTIONS, sign=None) -> DataFrame:
     """One row per document: ``text_class`` (least doc_id with the same words), ``class_id`` (least doc_id of
     the group that links hold together) and ``n_links``, the number of other documents whose n-gram sets
     (five lower-cased words; fewer words are one n-gram) have a Jaccard similarity at the threshold or above.
 
     Texts without words (null, empty, blank) are all linked with each other. Rows without an id are left
-    out. Rows that share an id count as documents of their own in ``n_links``.
+    out. Rows that share an id count as documents of their own in ``n_links``. sign: other signatures of shingles
+    and texts' first ones than this module's.
     """
     bands, rows = common.choose_bands(threshold, recall, functions)
     k = bands * rows
     n = common.partitions(docs)
     usable = common.bounded(docs).filter("doc_id is not null")
-    signed = common.stored(usable.select(F.col("doc_id").alias("row"), "text").mapInArrow(_bands(k, bands, rows), "row long, words binary, n_shingles long, bands array<long>"))
+    signed = common.stored(usable.select(F.col("doc_id").alias("row"), "text").mapInArrow(_bands(k, bands, rows, sign), "row long, words binary, n_shingles long, bands array<long>"))
     classes = common.stored(signed.groupBy("words").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "n_shingles", "bands")).alias("own")).select("words", "rep", "copies", "own.n_shingles", "own.bands"))
     buckets = classes.filter("n_shingles > 0").select("rep", F.posexplode("bands").alias("band", "hash"))
     shared = buckets.groupBy("band", "hash").agg(F.min("rep").alias("root"), F.count(F.lit(1)).alias("n")).filter("n > 1")

@@ -212,6 +212,16 @@ def test_fingerprints(docs, rows, empty):
     assert fingerprints.against_next(empty).count() == 0
 
 
+def test_similar_bands_the_fingerprints(spark, monkeypatch):
+    texts = [" ".join([*(f"w{i}" for i in range(6 * n)), f"x{n}", *(f"w{i}" for i in range(6 * n + 1, 200))]) for n in range(5)] + ["some other text of its own", None]
+    sets, docs = [shingles(x) for x in texts], spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: sum(bool(a) and len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)}
+    assert {r["doc_id"]: r["n_links"] for r in fingerprints.similar(docs).collect()} == want
+    monkeypatch.setattr(fingerprints, "_sign", lambda hashes, first: np.arange((len(first) - 1) * 64, dtype=np.uint16).reshape(-1, 64) + hashes[0].astype(np.uint16))
+    one = docs.filter("doc_id < 5").coalesce(1)
+    assert {r["n_links"] for r in fingerprints.similar(one).collect()} == {0}
+
+
 def test_decontamination(spark, docs, rows, empty, monkeypatch):
     items = [(1, rows[5][1]), (2, rows[9][1][2000:2400]), (3, "Two words"), (4, "word"), (5, None), (6, ""), (7, "absent words that no document has at all"), (8, "mail a.b@c.org or +1")]
     bench = spark.createDataFrame(items, "item_id long, text string")
