@@ -12,8 +12,8 @@ frequency table lies beside them. Spark's writers put both in place, so a lost e
 
 from __future__ import annotations
 
-import gc
 import struct
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -22,7 +22,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +29,8 @@ from . import common
 
 END = 1
 LANES = 1024
+#: Bytes of text tokenised at a time.
+CHUNK = 8 << 20
 #: Tokens between checkpoints, and the tokens at which a block ends.
 SEGMENT, BLOCK = 1 << 18, 1 << 20
 #: Frequencies add up to 2 to this power; states lie in [2^31, 2^63) and shed 32 bits at a time.
@@ -145,85 +146,122 @@ def decode(block: bytes, freq: np.ndarray) -> np.ndarray:
 # --- tokenising --------------------------------------------------------------------------------
 
 
+#: The normaliser and the pre-tokenizer for which texts may be taken apart (fixed values of the file's format).
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class WordTokenizer:
     """Ids of texts by way of their words.
 
     The tokenizer drops white space and never joins what it parts, so a text's ids are those of its
     words in order, and words repeat. Words of plain Latin-1 are cut into the pieces that the
     tokenizer's own pattern would make, and a copy of it without normaliser encodes each piece once;
-    words with other characters go through the tokenizer as they are.
+    words with other characters go through the tokenizer as they are. All this holds for one normaliser and
+    pre-tokenizer; a file with any other one encodes whole texts.
     """
 
-    _PLAIN = regex.compile(r"[\x21-\x7e\xa1-\xac\xae-\xff]+")
-    _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
     KEPT = 600_000
 
     def __init__(self, path: str):
+        import json
         import os
 
         from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        with open(path) as f:
+            told = json.load(f)
+        self.apart = told.get("normalizer") == _NORMALIZER and told.get("pre_tokenizer") == _PRE_TOKENIZER
         self.whole, self.pieces = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.pieces.normalizer = None
-        self.pieces.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)
-        self.by_word: dict[str, bytes] = {}
-        self.by_piece: dict[str, bytes] = {}
         self.vocabulary = self.whole.get_vocab_size(with_added_tokens=True)
-        gc.disable()  # the caches are large and hold no cycles
-
-    def words(self, words: list[str]) -> list[bytes]:
-        """Each word's ids as 32-bit numbers."""
-        known = self.by_word
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > self.KEPT:
+        self.dtype, self.kind = (np.uint16, "H") if self.vocabulary <= 1 << 16 else (np.uint32, "I")
+        self.by_word: dict[str, bytes] = {}
+        self.by_piece: dict[bytes, bytes] = {}
+        if self.apart:
+            self.pieces.normalizer = None
+            self.pieces.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)
+
+    def _lists(self, strings: list, tokenizer, known: dict) -> tuple[np.ndarray, np.ndarray]:
+        """The strings' ids one after another, and each one's first, by way of what is known of them. Bytes are Latin-1."""
+        if len(known) > self.KEPT:
             known.clear()
-            new = words
-        joined = "\n".join(new)
-        special = [s for s in self.special if s in joined]
-        cut: dict[str, list[str]] = {}
-        other = []
-        for w in new:
-            if special and any(s in w for s in special):
-                other.append(w)
-            elif w.isascii() and w.isprintable():
-                cut[w] = [w.lower()] if w.isalpha() else self._PIECE.findall(w.lower())
-            elif self._PLAIN.fullmatch(w):
-                cut[w] = self._PIECE.findall(w.lower())
-            else:
-                other.append(w)
-        for w, e in zip(other, self.whole.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            known[w] = array("I", e.ids).tobytes()
-        if len(self.by_piece) > self.KEPT:
-            self.by_piece.clear()
-        own = self.by_piece
-        unseen = list({p for ps in cut.values() for p in ps if p not in own})
-        for p, e in zip(unseen, self.pieces.encode_batch_fast(unseen, add_special_tokens=False), strict=True):
-            own[p] = array("I", e.ids).tobytes()
-        for w, ps in cut.items():
-            known[w] = own[ps[0]] if len(ps) == 1 else b"".join([own[p] for p in ps])
-        return [known[w] for w in words]
+        new = [s for s in strings if s not in known]
+        plain = [s.decode("latin-1") if isinstance(s, bytes) else s for s in new]
+        for s, e in zip(new, tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True):
+            known[s] = array(self.kind, e.ids).tobytes()
+        per = [known[s] for s in strings]
+        sizes = np.fromiter(map(len, per), np.int64, len(per)) // np.dtype(self.dtype).itemsize
+        return np.frombuffer(b"".join(per), self.dtype), np.concatenate(([0], np.cumsum(sizes)))
+
+    def _plain(self, words: pa.Array) -> np.ndarray:
+        """Whether each word is of visible Latin-1 characters, without an apostrophe or a special token's name."""
+        ends = np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64))
+        raw = np.frombuffer(words.buffers()[2], np.uint8, ends[-1]) if len(ends) else np.zeros(0, np.uint8)
+        odd = _ODD_BYTE[raw]
+        odd[1:] |= (raw[:-1] == 0xC2) & _ODD_AFTER_C2[raw[1:]]
+        before = np.concatenate(([0], np.cumsum(odd)))
+        plain = np.diff(before[np.concatenate(([0], ends))]) == 0
+        for s in self.special:
+            plain &= ~pc.match_substring(words, s).to_numpy(zero_copy_only=False)
+        return plain
+
+    def words(self, words: pa.Array) -> pa.ListArray:
+        """Each word's ids."""
+        words = pa.concat_arrays([words])
+        plain = self._plain(words)
+        low = pc.utf8_lower(words.filter(pa.array(plain)))
+        first = np.concatenate(([0], np.cumsum(pc.utf8_length(low).to_numpy(zero_copy_only=False).astype(np.int64))))
+        raw = (low.buffers()[2].to_pybytes()[: pc.sum(pc.binary_length(low)).as_py()] if len(low) else b"").decode().encode("latin-1")
+        kind = _KIND[np.frombuffer(raw, np.uint8)]
+        # A piece is a run of letters, one digit, or a run of other signs.
+        cut = np.ones(len(kind), bool)
+        cut[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 1)
+        cut[first[:-1]] = True
+        starts = np.flatnonzero(cut)
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(raw)).astype(np.int32)), pa.py_buffer(raw)])
+        coded = pieces.dictionary_encode()
+        taken = _ragged(*self._lists(coded.dictionary.to_pylist(), self.pieces, self.by_piece)).take(coded.indices)
+        own = _ragged(taken.values.to_numpy(), taken.offsets.to_numpy()[np.searchsorted(starts, first)])
+        if plain.all():
+            return own
+        rest = _ragged(*self._lists(words.filter(pa.array(~plain)).to_pylist(), self.whole, self.by_word))
+        return pa.concat_arrays([own, rest]).take(pa.array(np.where(plain, np.cumsum(plain) - 1, len(own) + np.cumsum(~plain) - 1)))
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end id after each text, and the texts' numbers of ids."""
+        n = len(texts)
+        if not self.apart:
+            lists = [[*e.ids, END] for e in self.whole.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.array([i for own in lists for i in own], self.dtype), np.array([len(own) for own in lists], np.int64)
         words, starts = common.split_words(texts)
         coded = words.dictionary_encode()
-        per = self.words(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, per), np.int64, len(per)) // 4
-        begin = np.concatenate(([0], np.cumsum(sizes)))
-        flat = np.frombuffer(b"".join(per), np.uint32)
-        code = coded.indices.to_numpy(zero_copy_only=False)
-        size = sizes[code] if len(code) else np.zeros(0, np.int64)
-        before = np.concatenate(([0], np.cumsum(size)))
-        n = np.diff(before[starts]) + 1
-        ends = np.cumsum(n)
-        out = np.full(ends[-1] if len(ends) else 0, END, np.uint32)
-        keep = np.ones(len(out), bool)
-        keep[ends - 1] = False
-        if len(code):
-            out[keep] = flat[np.arange(before[-1]) + np.repeat(begin[code] - before[:-1], size)]
-        return out, n
+        per = self.words(coded.dictionary)
+        # A text's end is one more word.
+        code, ends = np.full(len(words) + n, len(per), np.int32), starts[1:] + np.arange(n)
+        keep = np.ones(len(code), bool)
+        keep[ends] = False
+        code[keep] = coded.indices.to_numpy(zero_copy_only=False) if len(words) else []
+        taken = pa.concat_arrays([per, _ragged(np.array([END], self.dtype), np.array([0, 1]))]).take(pa.array(code))
+        return taken.values.to_numpy(), np.diff(taken.offsets.to_numpy()[ends + 1].astype(np.int64), prepend=0)
+
+
+#: Of Latin-1 characters 0 for letters, 1 for digits and other numbers, 2 for the rest; and the bytes of UTF-8 that no plain word has.
+_KIND = np.array([0 if c.isalpha() else 1 if unicodedata.category(c)[0] == "N" else 2 for c in map(chr, range(256))], np.uint8)
+_ODD_BYTE = np.array([b <= 0x20 or b in (0x27, 0x7F) or b >= 0xC4 for b in range(256)])
+_ODD_AFTER_C2 = np.array([b <= 0xA0 or b == 0xAD for b in range(256)])
+
+
+def _ragged(flat: np.ndarray, first: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(flat))
 
 
 @lru_cache(maxsize=1)
@@ -251,7 +289,7 @@ def _raw_blocks(tokenizer: str, block: int):
                 pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_tokens", pa.int64()), ("start", pa.int64()), *[(c, pa.binary()) for c in ("doc_ids", "null_ids", "lengths", "ids")]]),
             )
 
-        for chunk in common.text_chunks(batches, limit=4 << 20):
+        for chunk in common.text_chunks(batches, limit=CHUNK):
             keys = common.column_of(chunk, "doc_id")
             ids, n = tok.texts(common.texts_of(chunk))
             held.append((ids, n, pc.fill_null(keys, 0).to_numpy(zero_copy_only=False), keys.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)))

@@ -363,3 +363,25 @@ def test_pipeline(spark, tmp_path):
         if name == "decontamination":
             assert decontamination.leaks(docs, common.documents(spark, sf, "benchmark")).count() == 0
     assert docs.count() > 0
+
+
+def test_word_tokenizer_on_random_odd_texts_and_on_another_file(tmp_path):
+    import json
+
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path, draw = public_tokenizers.path("word_bpe_49k.json"), random.Random(11)
+    signs = list("aBé ß­İ \x85\x1f\n\t'’.-_12½²ªº٣ǅİ日é🙂​") + ["'s", "'LL", "<|endoftext|>", "the", " ", "  ", "12.5", "Ünd"]
+    texts = ["".join(draw.choice(signs) for _ in range(draw.randint(0, 25))) for _ in range(4000)]
+    other = tmp_path / "other.json"
+    told = json.loads(open(path).read())
+    told["normalizer"]["normalizers"].pop()  # upper case stays
+    other.write_text(json.dumps(told))
+    for file, apart in ((path, True), (str(other), False)):
+        mine = tokens.WordTokenizer(file)
+        assert mine.apart is apart
+        ids, n = mine.texts(pa.array(texts))
+        want = [[*e.ids, 1] for e in Tokenizer.from_file(file).encode_batch(texts, add_special_tokens=False)]
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
