@@ -10,8 +10,8 @@ probabilities decides on the spans. One pass reads the text.
 
 from __future__ import annotations
 
-import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +23,17 @@ from . import common
 
 BASE = ("email", "ip", "card", "phone")
 #: The base patterns. Fixed values.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
-CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
-PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_DIGIT = re.compile(r"[0-9]")
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+#: What the scans below use of them: an address's part before and after its sign, numbers held together by points.
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+_CHAIN = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)+")
+_CARD, _PHONE, _DIGIT = re.compile(PATTERNS["card"]), re.compile(PATTERNS["phone"]), re.compile(r"[0-9]")
 
 
 def luhn(digits: str) -> bool:
@@ -42,30 +48,81 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def _addresses(text: str, sign: re.Pattern, domain: re.Pattern, gap: int = 0) -> Iterator[tuple[int, int]]:
+    """Leftmost addresses around each sign, in time that grows with the text: an address's first part is the
+    run of its characters right before the sign (or before one blank, if ``gap`` is 1)."""
+    done = 0
+    for m in sign.finditer(text):
+        at = m.start() - (gap and text[m.start() - 1 : m.start()] == " " and m.start() > done)
+        start = done + len(text[done:at].rstrip(_LOCAL)) if at - done < 256 else _run_start(text, done, at)
+        if start < at and (after := domain.match(text, m.end())):
+            yield start, after.end()
+            done = after.end()
+
+
+def _run_start(text: str, low: int, at: int) -> int:
+    """Where the run of an address's characters that ends at a place begins, by steps that double."""
+    step = 256
+    while True:
+        begin = max(low, at - step)
+        left = len(text[begin:at].rstrip(_LOCAL))
+        if left or begin == low:
+            return begin + left
+        step *= 2
+
+
+def _small(number: str) -> bool:
+    """Whether a number of any length is at most 255."""
+    n = number.lstrip("0")
+    return len(n) <= 3 and int(n or 0) <= 255
+
+
+def _ips(text: str) -> Iterator[tuple[int, int]]:
+    """Every four numbers in a row of those that points hold together, from the left."""
+    for m in _CHAIN.finditer(text):
+        parts, at = m.group().split("."), m.start()
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i : i + 4]
+            size = sum(map(len, four)) + 3
+            if all(map(_small, four)):
+                yield at, at + size
+            at += size + 1
+
+
+_AT = re.compile("@")
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
-    """The base spans by kind as listed, then start; ends are exclusive, in code points."""
+    """The base spans by kind as listed, then start; ends are exclusive, in code points. They are those of
+    PATTERNS, found in time that grows with the text."""
     out = []
     if "@" in text:
-        out += [("email", m.start(), m.end()) for m in EMAIL.finditer(text)]
+        out += [("email", *x) for x in _addresses(text, _AT, _DOMAIN)]
     if _DIGIT.search(text):
-        out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
-        out += [("card", m.start(), m.end()) for m in CARD.finditer(text) if 16 <= len(d := _digits(m.group())) <= 19 and luhn(d)]
+        out += [("ip", *x) for x in _ips(text)]
+        out += [("card", m.start(), m.end()) for m in _CARD.finditer(text) if 16 <= len(d := _digits(m.group())) <= 19 and luhn(d)]
         if "+" in text:
-            out += [("phone", m.start(), m.end()) for m in PHONE.finditer(text) if 8 <= len(_digits(m.group())) <= 15]
+            out += [("phone", m.start(), m.end()) for m in _PHONE.finditer(text) if 8 <= len(_digits(m.group())) <= 15]
     return out
 
 
 # --- candidates and labelers -------------------------------------------------------------------
 
-#: Looser patterns by kind, each with what a text must hold for it to be tried.
+#: Looser patterns by kind, each with what a text must hold for it to be tried; the span is the group ``v`` if there is one.
 LOOSE = (
-    ("email", re.compile(r"[A-Za-z0-9._%+-]+[ ]?(?:\(at\)|\[at\]|\{at\})[ ]?[A-Za-z0-9-]+(?:[ ]?(?:\.|\(dot\)|\[dot\]|\{dot\})[ ]?[A-Za-z0-9-]+)+", re.I), re.compile(r"[\(\[\{]at[\)\]\}]", re.I)),
     ("phone", re.compile(r"(?<![0-9A-Za-z.+-])(?:\([0-9]{2,4}\)[ ]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z-]|\.[0-9])"), _DIGIT),
     ("card", re.compile(r"(?<![0-9A-Za-z.-])[0-9]{4}[ -][0-9]{4,6}[ -][0-9]{4,5}(?:[ -][0-9]{1,4})?(?![0-9A-Za-z-]|\.[0-9])"), _DIGIT),
     ("national_id", re.compile(r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"), re.compile(r"[0-9]-[0-9]{2}-")),
     ("iban", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[ ]?[0-9A-Z]{4}){3,7}(?:[ ]?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"), re.compile(r"[A-Z]{2}[0-9]{2}")),
-    ("secret", re.compile(r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?<=password=)[^\s\"']{6,}|(?<=token = \")[0-9A-Za-z_-]{12,}(?=\"))"), re.compile(r"AKIA|password=|token = \"")),
+    ("secret", re.compile(r"(?i:(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|client[_-]?secret|private[_-]?key))[\"']?[ ]{0,2}(?:=>|[=:])[ ]{0,2}(?:\"(?P<v>[^\s\"]{6,})\"|'(?P<w>[^\s']{6,})'|(?P<x>[^\s\"',;]{6,}))"), re.compile("pass|pwd|secret|token|key", re.I)),
+    ("secret", re.compile(r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{30,}|xox[abprs]-[0-9A-Za-z-]{10,}|sk-[0-9A-Za-z_-]{20,}|(?<![_-])eyJ[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+)(?![0-9A-Za-z])"), re.compile(r"AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk-|eyJ")),
+    ("secret", re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[0-9A-Za-z+/=\s]*(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?"), re.compile("PRIVATE KEY-----")),
 )
+#: Addresses whose sign or points are written out.
+_WRITTEN_AT = re.compile(r"(?:\(at\)|\[at\]|\{at\})[ ]?", re.I)
+_WRITTEN_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:[ ]?(?:\.|\(dot\)|\[dot\]|\{dot\})[ ]?[A-Za-z0-9-]+)+", re.I)
+#: How issued credentials begin. Fixed values.
+_ISSUED = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk-", "eyJ", "-----BEGIN")
 #: Gazetteers: words near a span that name its kind.
 NEAR = {
     "email": {"mail", "email", "e-mail", "contact", "write", "courriel", "correo"},
@@ -93,7 +150,7 @@ def _valid(kind: str, s: str) -> int:
         t = s.replace(" ", "")
         return 1 if int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1 else -1
     if kind == "secret":
-        return 1 if any(c.isdigit() for c in s) and len(set(s)) > 7 else 0
+        return 1 if any(c.isdigit() for c in s[:4096]) and len(set(s[:4096])) > 7 else 0
     return 1
 
 
@@ -106,7 +163,7 @@ def _listed(kind: str, s: str) -> int:
     if kind == "email":
         return 1 if re.search(r"(?:com|org|net|edu|de|fr|es)\Z", s, re.I) else 0
     if kind == "secret":
-        return 1 if s.startswith("AKIA") else 0
+        return 1 if s.startswith(_ISSUED) else 0
     return 0
 
 
@@ -119,24 +176,46 @@ def _setting(text: str, start: int, end: int) -> int:
     return 1 if last[-1:] in (":", "=", '"') and last else 0
 
 
-def candidates(text: str) -> list[tuple[str, int, int, int]]:
-    """(kind, start, end, combination): spans by looser patterns with their kind's, votes' and features' number."""
-    out = []
+def _loose(text: str) -> Iterator[tuple[str, int, int]]:
+    if _WRITTEN_AT.search(text):
+        yield from (("email", *x) for x in _addresses(text, _WRITTEN_AT, _WRITTEN_DOMAIN, 1))
     for kind, pattern, needs in LOOSE:
-        if not needs.search(text):
+        if needs.search(text):
+            for m in pattern.finditer(text):
+                group = next((g for g in "vwx" if m[g]), 0) if "v" in pattern.groupindex else 0
+                yield kind, *m.span(group)
+
+
+def candidates(text: str) -> list[tuple[str, int, int, int]]:
+    """(kind, start, end, combination): spans by looser patterns with their kind's, votes' and features' number.
+    Of spans of one kind that overlap the first and longest stays."""
+    out, last = [], {}
+    for kind, start, end in sorted(_loose(text), key=lambda x: (x[1], -x[2])):
+        if start < last.get(kind, 0):
             continue
-        for m in pattern.finditer(text):
-            s = m.group()
-            words = {w.strip(".,;:()=\"'").lower() for w in re.split(r"[\s=:]+", text[max(0, m.start() - 40) : m.start()])[-4:]}
-            votes = (_valid(kind, s), 1 if words & NEAR[kind] else 0, _listed(kind, s), _setting(text, m.start(), m.end()))
-            shape = (int(" " in s or "-" in s), int(len(s) > 16))
-            number = KINDS.index(kind)
-            for v in votes:
-                number = number * 3 + v + 1
-            out.append((kind, m.start(), m.end(), (number * 2 + shape[0]) * 2 + shape[1]))
+        last[kind] = end
+        s = text[start:end]
+        words = {w.strip(".,;:()=\"'").lower() for w in re.split(r"[\s=:]+", text[max(0, start - 40) : start])[-4:]}
+        votes = (_valid(kind, s), 1 if words & NEAR[kind] else 0, _listed(kind, s), _setting(text, start, end))
+        shape = (int(" " in s or "-" in s), int(len(s) > 16))
+        number = KINDS.index(kind)
+        for v in votes:
+            number = number * 3 + v + 1
+        out.append((kind, start, end, (number * 2 + shape[0]) * 2 + shape[1]))
     return out
 
 
+def _apart(found: list[tuple], own: list[tuple[str, int, int]]) -> list[tuple]:
+    """The candidates that no base span meets."""
+    if not own:
+        return found
+    own, reach = sorted(own, key=lambda x: x[1]), []
+    for *_, end in own:
+        reach.append(max(end, reach[-1] if reach else 0))
+    starts = [x[1] for x in own]
+    return [c for c in found if not (i := bisect_left(starts, c[2])) or reach[i - 1] <= c[1]]
+
+
 COMBINATIONS = len(KINDS) * 3 ** len(LABELERS) * 4
 
 
@@ -204,14 +283,15 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = base_spans(text)
             base.append([{"kind": k, "start": s, "end": e} for k, s, e in own])
             # Candidates that a base span already covers add nothing.
-            loose.append([{"kind": k, "start": s, "end": e, "combination": c} for k, s, e, c in candidates(text) if not any(s < y and x < e for _, x, y in own)] if text else [])
+            loose.append([{"kind": k, "start": s, "end": e, "combination": c} for k, s, e, c in _apart(candidates(text), own)] if text else [])
         yield pa.RecordBatch.from_arrays([common.column_of(chunk, "doc_id"), pa.array(base, types[1]), pa.array(loose, types[2])], ["doc_id", "base", "loose"])
 
 
 def spans(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """doc_id, base spans and added spans (those whose probability is at least ``least``, with it) of every row.
 
-    A null or empty text has none. Repeated rows get equal spans.
+    A null or empty text has none. Repeated rows get equal spans. All scans take time in proportion to the
+    text, however long it is and whatever runs it holds.
     """
     found = common.stored(docs.select("doc_id", "text").mapInArrow(_find, _FOUND))
     counts = np.zeros(COMBINATIONS)
@@ -225,7 +305,7 @@ def spans(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Counts of the base spans by kind, their digest, and all spans as text."""
+    """Counts of the base spans by kind, their digest, all spans as text, and their number (``n_spans``)."""
     joined = F.expr("concat_ws(',', transform(base, x -> concat_ws(':', x.kind, x.start, x.end)))")
     order = "case kind " + " ".join(f"when '{k}' then {i}" for i, k in enumerate((*BASE, *(k for k in KINDS if k not in BASE)))) + " end"
     of = lambda v: order.replace("case kind", f"case {v}.kind")
@@ -234,4 +314,4 @@ def digest(docs: DataFrame) -> DataFrame:
         f" (a, b) -> case when ({of('a')}) <> ({of('b')}) then ({of('a')}) - ({of('b')}) when a.start <> b.start then a.start - b.start else a.end - b.end end), x -> concat_ws(':', x.kind, x.start, x.end)))"
     )
     counts = [F.size(F.expr(f"filter(base, x -> x.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in BASE]
-    return spans(docs).select("doc_id", *counts, F.sha2(joined, 256).alias("base_sha256"), every.alias("spans"))
+    return spans(docs).select("doc_id", *counts, F.sha2(joined, 256).alias("base_sha256"), every.alias("spans"), (F.size("base") + F.size("added")).cast("long").alias("n_spans"))
