@@ -32,9 +32,11 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below the cluster's shared one; a local temporary one only where none is set."""
+    """A fresh folder below the cluster's shared one; in local mode a temporary one where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="lectern-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/lectern-{uuid.uuid4().hex}"
@@ -53,6 +55,14 @@ def partitions(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
 
 
+def free_name(df: DataFrame, name: str = "_met") -> str:
+    """A column name that the frame doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def hash_key(*names: str):
     """A 64-bit key of a row's identity; null ids hash by what follows them."""
     return F.xxhash64(*names)

@@ -130,5 +130,6 @@ def _blocks(benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The documents that hold no item, with the columns they came with. Null ids are kept."""
-    bad = common.stored(leaks(docs, benchmark, threshold).select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    name = common.free_name(docs)
+    bad = common.stored(leaks(docs, benchmark, threshold).select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(bad, docs["doc_id"] == bad[name], "left_anti")

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -48,7 +48,8 @@ def _bands(k: int, bands: int, rows: int, sign=None):
 def components(edges: DataFrame, limit: int = 100) -> DataFrame:
     """node, root for every node of the edges (a, b): root is the least node of its connected component.
 
-    Alternates large-star and small-star steps, each written to the shared folder, until nothing changes.
+    Alternates large-star and small-star steps, each written to the shared folder, until nothing changes; the
+    rounds grow with the logarithm of a component's length, and more than ``limit`` are an error.
     """
     edges = common.stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     last = None
@@ -65,6 +66,8 @@ def components(edges: DataFrame, limit: int = 100) -> DataFrame:
         if not tops and (now == last or not edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count()):
             break
         last = now
+    else:
+        raise RuntimeError(f"components did not come to rest in {limit} rounds")
     leaves = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return leaves.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
@@ -85,11 +88,11 @@ def _overlaps(sets: list[np.ndarray], others: list[np.ndarray], step: int = 1 <<
 
 
 def _verify(threshold: float):
-    """Blocks, sorted by key, of rows (component, i, j, chunk, rep, copies, bands, text)."""
+    """Blocks, sorted by key, of rows (component, i, j, chunk, rep, copies, text)."""
 
     def block(rows: list[tuple]) -> list[tuple]:
         i, j = rows[0][1:3]
-        texts = pa.array([r[7] for r in rows])
+        texts = pa.array([r[6] for r in rows])
         hashes, first = common.shingles(*common.word_hashes(texts))
         sets = [np.unique(hashes[first[x] : first[x + 1]]) for x in range(len(rows))]
         a = [x for x, r in enumerate(rows) if r[3] == i]
@@ -146,46 +149,78 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     (five lower-cased words; fewer words are one n-gram) have a Jaccard similarity at the threshold or above.
 
     Texts without words (null, empty, blank) are all linked with each other. Rows without an id are left
-    out. Rows that share an id count as documents of their own in ``n_links``. sign: other signatures of shingles
-    and texts' first ones than this module's.
+    out. Rows that share an id count as documents of their own in ``n_links``, whatever their texts. sign: other
+    signatures of shingles and texts' first ones than this module's.
     """
     bands, rows = common.choose_bands(threshold, recall, functions)
     k = bands * rows
     n = common.partitions(docs)
     usable = common.bounded(docs).filter("doc_id is not null")
     signed = common.stored(usable.select(F.col("doc_id").alias("row"), "text").mapInArrow(_bands(k, bands, rows, sign), "row long, words binary, n_shingles long, bands array<long>"))
-    classes = common.stored(signed.groupBy("words").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "n_shingles", "bands")).alias("own")).select("words", "rep", "copies", "own.n_shingles", "own.bands"))
+    classes = common.stored(signed.groupBy("words").agg(F.min("row").alias("least"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "n_shingles", "bands")).alias("own")).select("words", "least", "copies", "own.n_shingles", "own.bands"))
+    # A class's number: its least id, or if two classes share one, their place in order of id and words.
+    mixed = _repeats(classes, "least")
+    classes = _numbered(classes) if mixed else classes.withColumn("rep", F.col("least"))
     buckets = classes.filter("n_shingles > 0").select("rep", F.posexplode("bands").alias("band", "hash"))
     shared = buckets.groupBy("band", "hash").agg(F.min("rep").alias("root"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     candidates = common.stored(components(buckets.join(shared, ["band", "hash"]).select(F.col("rep").alias("a"), F.col("root").alias("b"))))
     # Members are dealt by a hash to chunks of bounded size; every pair of chunks of a component is a block.
-    members = common.stored(candidates.select(F.col("node").alias("rep"), F.col("root").alias("component")).join(classes.drop("words"), "rep"))
+    members = common.stored(candidates.select(F.col("node").alias("rep"), F.col("root").alias("component")).join(classes.select("rep", "copies", "n_shingles"), "rep"))
     least = CHUNK_SHINGLES // CHUNK_MEMBERS
     large = members.groupBy("component").agg(F.ceil(F.sum(F.greatest("n_shingles", F.lit(least))) / CHUNK_SHINGLES).cast("int").alias("chunks")).filter("chunks > 1")
     sized = members.join(large, "component", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     chunked = common.stored(sized.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")))
     paired = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    blocks = paired.select("component", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", "copies", "bands")
-    texts = usable.select(F.col("doc_id").alias("rep"), "text")
+    blocks = paired.select("component", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", "copies")
     # A representative's text: of rows that share its id, one with its words.
-    picked = texts.join(chunked.select("rep").distinct(), "rep", "left_semi")
-    one = common.stored(picked.groupBy("rep").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))) if _repeats(usable) else picked
-    dealt = blocks.join(one, "rep").select("component", "i", "j", "chunk", "rep", "copies", "bands", "text")
+    wanted = chunked.select("rep").distinct() if not mixed else common.stored(chunked.select("rep").distinct().join(classes.select("rep", "least", "words"), "rep"))
+    if mixed:
+        told = usable.select("doc_id", "text").mapInArrow(_digests, "least long, words binary, text string").join(wanted, ["least", "words"]).select("rep", "text")
+    else:
+        told = usable.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi")
+    one = common.stored(told.groupBy("rep").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))) if _repeats(usable, "doc_id") else told
+    dealt = blocks.join(one, "rep").select("component", "i", "j", "chunk", "rep", "copies", "text")
     checked = common.stored(dealt.repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j", "rep").mapInArrow(_verify(threshold), "rep long, links long, root long"))
     linked = checked.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(checked.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
-    told = classes.select("words", "rep", "copies").join(linked, "rep", "left").join(groups, "rep", "left")
-    told = told.select("words", F.col("rep").alias("text_class"), F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    if mixed:  # a group's number is that of its first class; its id is that class's least one
+        firsts = classes.select(F.col("rep").alias("root"), F.col("least").alias("class_id"))
+        groups = groups.join(firsts, "root").select("rep", "class_id")
+    else:
+        groups = groups.withColumnRenamed("root", "class_id")
+    told = classes.select("words", "rep", "least", "copies").join(linked, "rep", "left").join(groups, "rep", "left")
+    told = told.select("words", F.col("least").alias("text_class"), F.coalesce("class_id", "least").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return signed.select(F.col("row").alias("doc_id"), "words").join(told, "words").select("doc_id", "text_class", "class_id", "n_links")
 
 
-def _repeats(docs: DataFrame) -> bool:
-    """Whether an id occurs twice."""
-    return bool(docs.groupBy("doc_id").count().filter("count > 1").limit(1).count())
+def _repeats(df: DataFrame, column: str) -> bool:
+    """Whether a value occurs twice."""
+    return bool(df.groupBy(column).count().filter("count > 1").limit(1).count())
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with the digest of their words, as classes have it."""
+    for chunk in common.text_chunks(batches):
+        words, starts = common.word_hashes(common.texts_of(chunk))
+        raw = words.tobytes()
+        keys = [xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([common.column_of(chunk, "doc_id"), pa.array(keys, pa.binary()), common.texts_of(chunk)], ["least", "words", "text"])
+
+
+def _numbered(classes: DataFrame) -> DataFrame:
+    """The classes with a number of their own, in order of least id and words: ranges, and places in them."""
+    ranged = classes.repartitionByRange("least", "words").withColumn("part", F.spark_partition_id())
+    placed = common.stored(ranged.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("least", "words"))))
+    before, base = 0, []
+    for r in placed.groupBy("part").count().orderBy("part").collect():  # a row per range
+        base.append((r["part"], before))
+        before += r["count"]
+    return common.stored(placed.join(F.broadcast(classes.sparkSession.createDataFrame(base, "part int, base long")), "part").select(*classes.columns, (F.col("base") + F.col("at")).alias("rep")))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each group, that with the least id, with the columns it came with. Rows without an
     id are kept; of rows that share an id all stay or go."""
-    lost = common.stored(join(docs, threshold).filter("doc_id <> class_id").select(F.col("doc_id").alias("_lost")).distinct())
-    return docs.join(lost, F.col("doc_id") == F.col("_lost"), "left_anti")
+    name = common.free_name(docs)
+    lost = common.stored(join(docs, threshold).filter("doc_id <> class_id").select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(lost, docs["doc_id"] == lost[name], "left_anti")

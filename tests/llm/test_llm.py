@@ -314,8 +314,33 @@ def test_jaccard_join_keeps_links_without_a_common_band(spark):
     assert {r["doc_id"]: r["n_links"] for r in got} == {i: sum(classes[i] == classes[j] and len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)}
 
 
+def test_jaccard_join_with_ids_of_several_texts(spark):
+    """Rows (1, a), (1, b), (2, like a), (3, like b), (3, c), (4, c): links are those of the rows."""
+    say = lambda tag, odd="": " ".join([*(f"{tag}{i}" for i in range(100)), odd]).strip()
+    rows = [(1, say("a")), (1, say("b")), (2, say("a", "x")), (3, say("b", "x")), (3, say("c")), (4, say("c")), (5, say("b")), (6, None), (6, "x"), (7, "")]
+    sets = [shingles(t) for _, t in rows]
+    near = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    root = list(range(len(rows)))
+    for _ in rows:
+        root = [min(root[j] for j in range(len(rows)) if near(sets[i], sets[j])) for i in range(len(rows))]
+    want = Counter((r[0], min(rows[j][0] for j in range(len(rows)) if root[j] == root[i]), sum(near(sets[i], s) for s in sets) - 1) for i, r in enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.join(docs).collect()) == want
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    rows = [(1, "one two three four five six", "en", 1, 2, 3), (2, "one two three four five six", "en", 1, 2, 3), (None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, _met int, _met_ int, _lost int")
+    bench = spark.createDataFrame([(1, "absent words that stand nowhere else")], "item_id long, text string")
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "None"]
+    assert decontamination.clean(docs, bench).columns == docs.columns and decontamination.clean(docs, bench).count() == 3
+
+
 def test_components(spark):
     edges = [(i + 1, i) for i in range(40)] + [(100, 101), (102, 101), (200, 200)]
+    with pytest.raises(RuntimeError):
+        jaccard.components(spark.createDataFrame(edges, "a long, b long"), limit=1)
     got = {r["node"]: r["root"] for r in jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100}
 
