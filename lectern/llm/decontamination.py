@@ -6,7 +6,8 @@ that size: an item that occurs in the document then lies within one window, with
 MinHash can find. A window sharing any of the k least values with an item of the class is a candidate,
 and every candidate is verified by exact containment of the item's shingles in the document's.
 
-Items are taken in blocks of fixed number, which are broadcast; documents are never shuffled.
+Items are taken in blocks of bounded bytes, which are broadcast, with a pass over the documents for each; documents
+are never shuffled. Shingles are compared as 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Functions, items broadcast at a time, and the words of a shingle.
-FUNCTIONS, BLOCK, WORDS = 24, 20_000, 5
+#: Functions, bytes of items' texts broadcast at a time, and the words of a shingle.
+FUNCTIONS, BLOCK, WORDS = 24, 16 << 20, 5
 
 
 def _index(items: list, k: int) -> dict:
@@ -93,13 +94,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, k: int
     """doc_id, item_id and containment of every document that holds at least ``threshold`` of an item's
     shingles (five lower-cased words; an item of fewer words is one shingle of them all).
 
-    Items without words (null, blank) and texts without match nothing. Repeated rows or items give a row each.
+    Items without words (null, blank) and texts without match nothing. Each row of a repeated doc_id or item_id
+    counts by itself, and an id pair gets one row, with the greatest containment.
     """
     spark = docs.sparkSession
     parts = None
-    numbered = common.stored(benchmark.select("item_id", "text").withColumn("block", F.lit(0)) if benchmark.limit(BLOCK + 1).count() <= BLOCK else _blocks(benchmark))
-    for r in numbered.select("block").distinct().orderBy("block").collect():
-        shared = spark.sparkContext.broadcast(_index(numbered.filter(F.col("block") == r["block"]).collect(), k))
+    items = benchmark.select("item_id", "text").distinct()
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // BLOCK))  # dealt by a hash; a block holds more than its bytes only by one long item
+    numbered = common.stored(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int")))
+    for block in range(blocks):
+        held = numbered.filter(F.col("block") == block).collect()
+        if not held:
+            continue
+        shared = spark.sparkContext.broadcast(_index(held, k))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for chunk in common.text_chunks(batches):
@@ -107,11 +115,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, k: int
                 ids = common.column_of(chunk, "doc_id").to_pylist()
                 rows: list[tuple] = []
                 for n, (sets, names, classes) in shared.value.items():
+                    # A text of fewer words than the item has none of its shingles.
                     hashes, first = common.shingles(words, starts, n)
-                    if n < WORDS:  # a text of fewer words than the item has none of its shingles
-                        pass
-                    for text, item in _candidates(hashes, first, classes, k):
-                        held = np.isin(sets[item], hashes[first[text] : first[text + 1]]).mean()
+                    last, own = None, None
+                    for text, item in sorted(_candidates(hashes, first, classes, k)):
+                        if text != last:
+                            last, own = text, np.unique(hashes[first[text] : first[text + 1]])
+                        at = np.minimum(np.searchsorted(own, sets[item]), len(own) - 1)
+                        held = (own[at] == sets[item]).mean()
                         if held >= threshold:
                             rows.append((ids[text], names[item], float(held)))
                 if rows:
@@ -119,13 +130,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, k: int
 
         found = common.bounded(docs).select("doc_id", "text").mapInArrow(run, _OUT)
         parts = found if parts is None else parts.unionByName(found)
-    return spark.createDataFrame([], _OUT) if parts is None else parts
-
-
-def _blocks(benchmark: DataFrame) -> DataFrame:
-    """Items dealt by hash to so many blocks that each holds about BLOCK."""
-    n = -(-benchmark.count() // BLOCK)
-    return benchmark.select("item_id", "text").withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int"))
+    found = spark.createDataFrame([], _OUT) if parts is None else parts
+    return found.groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:

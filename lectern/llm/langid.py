@@ -23,7 +23,12 @@ from . import common
 #: Bytes of context, symbols of the test for noise (the commonest bytes of the sample, and one for all rarer ones), and about
 #: how many labelled documents per language the trees are fitted to, taken by a hash of the id.
 ORDER, SYMBOLS, SAMPLE = 3, 48, 4000
+#: Different values of lang at most: the trees and tables are held per language, so that dirty labels raise an error.
+LANGUAGES = 2000
 UNKNOWN = "und"
+#: keep_known's threshold: a text whose best code takes more bits per byte is noise in no learned language. A byte that is
+#: rare in the samples counts log2(SYMBOLS) = 5.6 bits at most, so that a script not learned is no noise.
+NOISE_BITS = 7.0
 
 
 def held_out(column="doc_id"):
@@ -137,7 +142,9 @@ class Model:
 def train(docs: DataFrame, sample: int = SAMPLE, everything: bool = False) -> Model:
     """Fits the trees to about ``sample`` documents of each language among those not held out, or among all."""
     usable = docs.select("doc_id", "text", "lang").filter((F.lit(everything) | ~F.coalesce(held_out(), F.lit(False))) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counted = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    counted = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
+    if len(counted) > LANGUAGES:
+        raise ValueError(f"lang has more than {LANGUAGES} values")
     languages = sorted(counted)
     if not languages:
         return Model([], [], np.zeros(256, bool))
@@ -203,23 +210,20 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return common.bounded(docs).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text").mapInArrow(run, _OUT)
 
 
-def keep_known(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The documents with a language, with the columns they came with: those with no letter go."""
+def keep_known(docs: DataFrame, model: Model | None = None, noise: float = NOISE_BITS) -> DataFrame:
+    """The documents with a language, with the columns they came with: those with no letter go, and those
+    of which the best language's code takes ``noise`` bits a byte or more. If no row has a language to learn
+    from, only texts without a letter go."""
     shared = docs.sparkSession.sparkContext.broadcast(model or train(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for chunk in common.text_chunks(batches, 1 << 20):
             texts = common.texts_of(chunk)
-            known = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False) & bool(m.languages)
+            known = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
             if m.languages:
                 bits, size = m.bits(texts, noise=True)
-                known &= bits.min(axis=1) < NOISE_BITS * np.maximum(size, 1)
+                known = known & (bits.min(axis=1) < noise * np.maximum(size, 1))
             yield chunk.filter(pa.array(known))
 
     return common.bounded(docs).mapInArrow(run, docs.schema)
-
-
-#: A text whose best code takes more bits per byte than this is noise in no learned language. A byte that is
-#: rare in the samples counts log2(SYMBOLS) = 5.6 bits at most, so that a script not learned is no noise.
-NOISE_BITS = 7.0

@@ -77,16 +77,16 @@ FROM marked GROUP BY doc_id
 
 #: Five lower-cased words in a row; a text of fewer words is one shingle of them all.
 _SHINGLES = f"""
-  SELECT id, words, n, CASE WHEN n >= 5 THEN list_transform(range(1, n - 3), lambda i: list_slice(words, i, i + 4)) ELSE [words] END AS own
-  FROM (SELECT id, words, len(words) AS n FROM (SELECT {{id}} AS id, list_filter(string_split_regex({_ASCII_LOWER.format("coalesce(text, '')")}, '{_WHITE}+'), lambda w: w <> '') AS words FROM {{table}})) WHERE n > 0
+  SELECT row, id, words, n, CASE WHEN n >= 5 THEN list_transform(range(1, n - 3), lambda i: list_slice(words, i, i + 4)) ELSE [words] END AS own
+  FROM (SELECT row, id, words, len(words) AS n FROM (SELECT row_number() OVER () AS row, {{id}} AS id, list_filter(string_split_regex({_ASCII_LOWER.format("coalesce(text, '')")}, '{_WHITE}+'), lambda w: w <> '') AS words FROM {{table}})) WHERE n > 0
 """
 
 _LEAKS = f"""
-WITH items AS (SELECT id AS item_id, least(n, 5) AS size, unnest(list_distinct(own)) AS shingle, len(list_distinct(own)) AS total FROM ({_SHINGLES.format(id="item_id", table="benchmark")})),
-docs AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, n - size + 2), lambda i: list_slice(words, i, i + size - 1))) AS shingle
-         FROM (SELECT id AS doc_id, words, n, size FROM ({_SHINGLES.format(id="doc_id", table="documents")}) CROSS JOIN (SELECT DISTINCT size FROM items) WHERE n >= size))
-SELECT doc_id, item_id, count(*) / CAST(any_value(total) AS DOUBLE) AS containment
-FROM docs JOIN items USING (shingle) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(total)
+WITH items AS (SELECT row AS item, id AS item_id, least(n, 5) AS size, unnest(list_distinct(own)) AS shingle, len(list_distinct(own)) AS total FROM ({_SHINGLES.format(id="item_id", table="benchmark")})),
+docs AS (SELECT DISTINCT row AS doc, id AS doc_id, unnest(list_transform(range(1, n - size + 2), lambda i: list_slice(words, i, i + size - 1))) AS shingle
+         FROM (SELECT row, id, words, n, size FROM ({_SHINGLES.format(id="doc_id", table="documents")}) CROSS JOIN (SELECT DISTINCT size FROM items) WHERE n >= size)),
+held AS (SELECT doc_id, item_id, count(*) / CAST(any_value(total) AS DOUBLE) AS containment FROM docs JOIN items USING (shingle) GROUP BY doc, item, doc_id, item_id)
+SELECT doc_id, item_id, max(containment) AS containment FROM held WHERE containment >= 0.8 GROUP BY doc_id, item_id
 """
 
 ORACLE_SQL: dict[str, str] = {"op6_decontamination": _LEAKS, "op9_line_dedup": _LINES}

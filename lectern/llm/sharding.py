@@ -3,6 +3,9 @@
 Every record is hashed into one of some thousands of virtual slots, which never change. Only the
 versioned map from slots to shards does: bytes are summed per slot, and rebalancing edits the map.
 The map has one row per slot, so its size is fixed and it may be broadcast and handled on the driver.
+
+Records are hashed by their text, so that equal texts meet in one slot and shard. Only a group of copies that holds
+more than a fraction of a shard (``HOT``) is hashed by its ids too, since sizes must stay near equal.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from pyspark.sql import functions as F
 from . import common
 
 SLOTS = 4096
+#: A group of equal texts above this part of a shard's bytes is spread over slots; there are at most shards / HOT such groups.
+HOT = 1 / 64
 
 
 @dataclass(frozen=True)
@@ -59,24 +64,46 @@ class SlotMap:
         return SlotMap(self.version + 1, shards, tuple(to))
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Adds this version to the table at the path."""
-        rows = [(self.version, self.shards, i, s) for i, s in enumerate(self.shard)]
-        spark.createDataFrame(rows, "version int, shards int, virtual_slot int, shard int").coalesce(1).write.mode("append").parquet(path)
+        """Writes this version below the path, in a folder of its own; a version written twice is replaced."""
+        rows = [(self.shards, i, s) for i, s in enumerate(self.shard)]
+        spark.createDataFrame(rows, _MAP).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={self.version}")
+
+    @staticmethod
+    def versions(spark: SparkSession, path: str) -> list[int]:
+        """The versions stored below a path; none if there is no such folder."""
+        from pyspark.errors import AnalysisException
+
+        try:
+            table = spark.read.option("basePath", path).schema(f"{_MAP}, version int").parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return []
+            raise
+        return sorted(r["version"] for r in table.select("version").distinct().collect())
 
     @staticmethod
     def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
-        """A stored version, the newest unless one is named."""
-        table = spark.read.schema("version int, shards int, virtual_slot int, shard int").parquet(path)
-        version = table.agg(F.max("version")).first()[0] if version is None else version
-        rows = table.filter(F.col("version") == version).orderBy("virtual_slot").collect()
+        """A stored version, the newest unless one is named. It must have each slot once."""
+        version = max(SlotMap.versions(spark, path)) if version is None else version
+        rows = spark.read.schema(_MAP).parquet(f"{path}/version={version}").orderBy("virtual_slot").collect()
+        if [r["virtual_slot"] for r in rows] != list(range(len(rows))):
+            raise ValueError(f"version {version} of the slot map is not whole")
         return SlotMap(version, rows[0]["shards"], tuple(r["shard"] for r in rows))
 
 
-def with_slots(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
+_MAP = "shards int, virtual_slot int, shard int"
+
+
+def with_slots(docs: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
     """doc_id, size (UTF-8 bytes of the text plus 1), text_crc32 and virtual_slot of each row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    return own.withColumn("virtual_slot", F.pmod(common.hash_key("doc_id", "text_crc32"), F.lit(slots)).cast("int"))
+    own = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("digest"))
+    own = common.stored(own)
+    total = own.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    groups = own.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    hot = [r["digest"] for r in groups.filter((F.col("bytes") > total / shards * HOT) & (F.col("n") > 1)).select("digest").collect()]  # shards / HOT at most
+    key = F.when(F.col("digest").isin(hot), common.hash_key("doc_id", "text_crc32")).otherwise(F.col("digest")) if hot else F.col("digest")
+    return own.withColumn("virtual_slot", F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")).drop("digest")
 
 
 def slot_weights(slotted: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int]]:
@@ -91,19 +118,16 @@ def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS, map_path: str |
     """Puts every row into one of the shards, whose sizes in bytes are near equal, and gives it a place
     there: ``slot`` runs from 0 without gaps in each shard, along virtual slots and then ids.
 
-    A null text has size 1; null ids are hashed by their text's checksum; repeated rows share a
-    virtual slot and take places of their own. The map's versions go to ``map_path`` (default: the
-    shared folder); a map found there is edited rather than made anew.
+    A null text has size 1. Equal texts share a slot and shard unless their group is hot (see ``HOT``); within
+    one, rows are hashed by id and checksum. Repeated rows take places of their own. The map's versions go to
+    ``map_path`` (default: the shared folder); the newest one found there is edited rather than made anew.
     """
     spark = docs.sparkSession
-    slotted = common.stored(with_slots(docs, slots))
+    slotted = with_slots(docs, shards, slots)
     sizes, rows = slot_weights(slotted, slots)
-    if map_path is None:
-        now = SlotMap.even(sizes, shards)
-        now.save(spark, common.shared_dir(spark))
-    else:
-        now = SlotMap.load(spark, map_path).rebalance(sizes, shards)
-        now.save(spark, map_path)
+    path = map_path or common.shared_dir(spark)
+    now = SlotMap.load(spark, path).rebalance(sizes, shards) if map_path and SlotMap.versions(spark, path) else SlotMap.even(sizes, shards)
+    now.save(spark, path)
     filled, table = [0] * shards, []
     for v in range(slots):
         table.append((v, now.shard[v], filled[now.shard[v]], now.version))
