@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html
 import re
 from html.parser import HTMLParser
 
@@ -73,5 +72,3 @@ def flat_text_udf(x: pd.Series) -> pd.Series:
 def block_text_udf(x: pd.Series) -> pd.Series:
     return x.map(lambda m: block_text(m or ""))
 
-
-unescape = html.unescape

@@ -42,21 +42,28 @@ def is_label(line: str) -> bool:
     return 1 <= len(line) <= 32 and line[0] not in "-—" and bool(letters) and all(c.isupper() for c in letters)
 
 
+def _without_label(part: str) -> str:
+    """Without the last line, if that is a label."""
+    kept = part.rstrip(" \t\n")
+    line = kept.rfind("\n") + 1
+    return part[:line] if is_label(kept[line:]) else part
+
+
 def _without_lead_in(part: str, title: str) -> str:
-    """Without the next story's title, if that stands in the last 400 bytes."""
+    """Without the next story's title, if that stands in the last 400 bytes, and a label right before it."""
     title = " ".join((title or "").split())
     if len(title) < 4:
         return part
     tail = part.encode()[-TAIL:].decode(errors="ignore")
     at = tail.lower().rfind(title.lower())
-    return part[: len(part) - len(tail) + at].rstrip() if at >= 0 else part
+    return _without_label(part[: len(part) - len(tail) + at]) if at >= 0 else part
 
 
 def segment(text: str, siblings: list[tuple[int, str, str]], position: int) -> str:
     """The story's part of the text, '' if its anchor is not found. siblings: (position, snippet, title).
 
     Of several places where the anchor fits the one with the longest part wins; a part ends where the nearest
-    other anchor begins. A preceding label's line and the next story's title at the end are cut off.
+    other anchor begins. If the next story's title is found near its end, it ends there, without one label line before it.
     """
     body = _tokens(text)
     own = next((s for s in siblings if s[0] == position), None)
@@ -73,11 +80,7 @@ def segment(text: str, siblings: list[tuple[int, str, str]], position: int) -> s
 
 
 def _trimmed(part: str, title: str) -> str:
-    part = _without_lead_in(part.rstrip(), title or "")
-    lines = part.split("\n")
-    while len(lines) > 1 and (not lines[-1].strip() or is_label(lines[-1])):
-        lines.pop()
-    return "\n".join(lines).strip()
+    return _without_lead_in(part, title).strip()
 
 
 def all_segments(text: str, siblings: list[tuple[int, str, str]]) -> list[str]:

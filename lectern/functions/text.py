@@ -8,10 +8,18 @@ from pyspark.sql import functions as F
 #: Names of the output schema and its kinds, never valid as topics. Fixed values.
 RESERVED_TOPICS = ("title", "snippet", "url", "kind", "section", "summary", "relevance_score", "primary_topic", "labels", "story", "blurb", "ad", "promo")
 KINDS = ("story", "blurb", "ad", "promo")
+NO_TOPICS = "(none specified)"
+#: The heading after which a prompt holds the newsletter's text.
+BODY = "\nText:\n"
 LINK = r"https?://[^\s\"'<>]+"
 _WORD = r"[\p{L}\p{N}]+(?:['’\-][\p{L}\p{N}]+)*+"
 
 
+def stripped(x: Column) -> Column:
+    """Without white space at the ends, the no-break space and all of Unicode's included."""
+    return F.regexp_replace(x, r"(?U)\A\s+|\s+\z", "")
+
+
 def collapse(x: Column) -> Column:
     """Runs of white space, the no-break space included, as one space; none at the ends."""
     return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
@@ -42,7 +50,7 @@ def block_text(x: Column) -> Column:
 
 
 def address(x: Column) -> Column:
-    return F.coalesce(F.nullif(F.lower(F.trim(x)), F.lit("")), F.lit("unknown"))
+    return F.coalesce(F.nullif(F.lower(stripped(x)), F.lit("")), F.lit("unknown"))
 
 
 def display_name(x: Column) -> Column:
@@ -78,28 +86,55 @@ def lcs_length(a: str, b: str) -> Column:
 
 
 def is_label(x: Column) -> Column:
-    """A section label: 1 to 32 characters, no leading dash, a letter, and no lower-case one."""
-    t = F.trim(x)
-    return F.length(t).between(1, 32) & ~t.rlike("^[-—]") & t.rlike(r"\p{L}") & (F.upper(t) == t)
+    """A section label: 1 to 32 characters, no leading dash, a letter, and no letter that is not upper-case."""
+    t = stripped(x)
+    return F.length(t).between(1, 32) & ~t.rlike("^[-—]") & t.rlike(r"\p{L}") & ~t.rlike(r"[\p{L}&&[^\p{Lu}]]")
 
 
 def clean_topic(x: Column) -> Column:
-    t = F.trim(x)
+    t = stripped(x)
     return F.when(F.lower(t).isin(*RESERVED_TOPICS), "").otherwise(t)
 
 
 def unfence(x: Column) -> Column:
     """Without one Markdown code fence."""
-    return F.trim(F.regexp_replace(F.trim(x), r"\A```[A-Za-z]*[ \t]*\n?|\n?```\z", ""))
+    return stripped(F.regexp_replace(stripped(x), r"\A```[A-Za-z]*[ \t]*\n?|\n?```\z", ""))
 
 
 def source_title(name: Column) -> Column:
-    """A readable name from a file's."""
-    return F.translate(F.regexp_extract(name, r"([^/]+?)(\.[^./]*)?$", 1), "-_", "  ")
+    """A readable name from a file's: without folder and extension, dashes as blanks."""
+    return stripped(F.translate(F.regexp_replace(F.regexp_extract(name, r"([^/]*)\z", 1), r"\.[^.]*\z", ""), "-_", "  "))
 
 
 def paragraphs(x: Column) -> Column:
-    return F.filter(F.transform(F.split(x, r"\n{2,}"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(x, r"\n{2,}"), stripped), lambda p: p != "")
+
+
+def prepared(html: Column, plain: Column, most: int = 24_000) -> Column:
+    """The body that is scored and hashed: the markup's text if there is markup, else the plain text collapsed; cut at ``most``."""
+    return F.when(F.coalesce(html, F.lit("")) != "", clean_html(html, most)).otherwise(truncate(collapse(F.coalesce(plain, F.lit(""))), most))
+
+
+def preferred(html: Column, plain: Column) -> Column:
+    """Markup if there is any, else the plain text."""
+    return F.coalesce(F.nullif(html, F.lit("")), plain)
+
+
+def message_id(x: Column) -> Column:
+    return F.regexp_replace(stripped(x), r"\A<|>\z", "")
+
+
+def prompt_head(topics: tuple[str, ...] = ()) -> str:
+    return (
+        "Cut the newsletter below into its items, in reading order. Give each item a kind: story (text that develops a subject), blurb (one line), ad (paid), promo (the sender about itself). "
+        "Rate from 0 to 100 how well it fits these topics: " + (", ".join(topics) or NO_TOPICS) + ". Answer with a JSON array of objects with title, snippet, kind, section, summary, relevance_score, primary_topic, labels and nothing else."
+    )
+
+
+def prompt(subject: Column, body: Column, source: Column | None = None, topics: tuple[str, ...] = ()) -> Column:
+    """What a model is asked: rules, the reader's topics, the answer's form, and the newsletter after the last heading."""
+    named = F.lit("") if source is None else F.when(F.coalesce(source, F.lit("")) != "", F.concat(F.lit("\nSource: "), source)).otherwise("")
+    return F.concat(F.lit(prompt_head(topics)), named, F.lit("\nSubject: "), F.coalesce(subject, F.lit("")), F.lit(BODY), F.coalesce(body, F.lit("")))
 
 
 def links(x: Column, most: int = 50) -> Column:
@@ -112,6 +147,30 @@ def web_only(x: Column) -> Column:
     return F.when(x.rlike("^https?://"), x).otherwise("")
 
 
+def item_link(url: Column, base: str, key: Column) -> Column:
+    return F.coalesce(F.nullif(url, F.lit("")), F.concat(F.lit(f"{base}/#/items/"), key))
+
+
+def base_url(configured: str, host: str, forwarded: str = "", tls: bool = False) -> str:
+    """The origin of absolute links: the configured one, else from the request."""
+    return configured or f"{'https' if tls or forwarded == 'https' else 'http'}://{host}"
+
+
+def is_uuid(x: Column) -> Column:
+    return x.rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$")
+
+
+def hue_of(colour: Column) -> Column:
+    """The hue of a colour's text, rounded; 40 if it has none."""
+    found = F.regexp_extract(F.coalesce(colour, F.lit("")), r"(?i)hsl\(\s*([0-9.]+)", 1)
+    return F.coalesce(F.floor(found.try_cast("double") + 0.5) % 360, F.lit(40)).cast("int")
+
+
+def next_rating(now: Column, target: Column) -> Column:
+    """A second choice of the same rating clears it."""
+    return F.when(now == target, "none").otherwise(target)
+
+
 def hue(x: str) -> Column:
     """FNV-1a of the UTF-8 bytes, modulo 360; null for the empty text."""
     byte = f"transform(sequence(1, greatest(octet_length({x}), 1)), i -> cast(conv(substr(hex(encode({x}, 'utf-8')), 2 * i - 1, 2), 16, 10) as bigint))"
@@ -137,19 +196,19 @@ def score(x: Column) -> Column:
 
 
 def known_kind(x: Column) -> Column:
-    k = F.lower(F.trim(x))
+    k = F.lower(stripped(x))
     return F.when(k.isin(*KINDS), k).otherwise("story")
 
 
 def labels(x: Column, most: int = 5) -> Column:
-    """Trimmed, without empties, each once whatever its case, the first ones."""
-    full = F.filter(F.transform(x, F.trim), lambda t: t != "")
+    """Trimmed, without empties, each once whatever its case, the first ones in their first form."""
+    full = F.filter(F.transform(x, stripped), lambda t: t != "")
     low = F.transform(full, F.lower)
-    return F.slice(F.filter(full, lambda t, i: F.array_position(low, F.lower(t)) == i + 1), 1, most)
+    return F.transform(F.slice(F.array_distinct(low), 1, most), lambda t: F.element_at(full, F.array_position(low, t).cast("int")))
 
 
 def csv_list(x: Column) -> Column:
-    return F.filter(F.transform(F.split(x, ","), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(x, ","), stripped), lambda t: t != "")
 
 
 # --- times: the present is always given -----------------------------------------------------------
@@ -161,6 +220,41 @@ def day_label(day: Column, now: Column) -> Column:
     return F.when(day == today, "Today").when(day == F.date_sub(today, 1), "Yesterday").when(day > F.date_sub(today, 7), F.date_format(day, "EEEE")).otherwise(F.date_format(day, "MMM d, yyyy"))
 
 
+def time_bound(x: Column) -> Column:
+    """A bound from text: a time with its zone, or a date at midnight; null for the empty text. Other texts raise where they are checked (is_time_bound)."""
+    stamp = F.when(x.rlike(_STAMP), F.to_utc_timestamp(F.try_to_timestamp(x), F.current_timezone()))
+    return F.coalesce(stamp, F.when(x.rlike(_DATE), x.try_cast("date").cast("timestamp"))).cast("timestamp_ntz")
+
+
+def is_time_bound(x: Column) -> Column:
+    return F.coalesce((x == "") | time_bound(x).isNotNull(), F.lit(True))
+
+
+_STAMP = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
+_DATE = r"^\d{4}-\d{2}-\d{2}$"
+#: Days back of the presets of the archive's range. Fixed values.
+PRESETS = {"24h": 1, "week": 7, "month": 30}
+
+
+def range_from(preset: Column, now: Column) -> Column:
+    """The first day of a preset range; empty for any other."""
+    day = lambda n: F.date_format(F.date_sub(F.to_date(now), n), "yyyy-MM-dd")
+    out = F.lit("")
+    for name, n in PRESETS.items():
+        out = F.when(preset == name, day(n)).otherwise(out)
+    return out
+
+
+def preset_of(since: Column, now: Column) -> Column:
+    """The preset that a first day stands for, by the days from it rounded."""
+    days = F.floor(F.timestamp_diff("SECOND", since.try_cast("timestamp_ntz"), now) / 86400 + 0.5)
+    return F.when(F.coalesce(since, F.lit("")) == "", "any").when(days <= 1, "24h").when(days <= 7, "week").otherwise("month")
+
+
+def received_or(received: Column, now: Column) -> Column:
+    return F.coalesce(received, now)
+
+
 def seconds_between(now: Column, then: Column) -> Column:
     return F.timestamp_diff("SECOND", then, now)
 

@@ -2,35 +2,63 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from datetime import UTC, datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions import text
+from lectern.functions import markup, segments, text
 
-#: Sources up to this number are broadcast in joins; beyond it Spark chooses.
-FEW = 100_000
+def _named(sources: DataFrame) -> DataFrame:
+    return sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"))
+
+
+def _timed(newsletters: DataFrame) -> DataFrame:
+    return newsletters.select(F.col("id").alias("newsletter_id"), F.coalesce("received_at", "ingested_at").alias("received"))
 
 
 def items(stories: DataFrame, sources: DataFrame, newsletters: DataFrame) -> DataFrame:
     """Stories with their source's name and the time of receipt, else of ingestion."""
-    named = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"))
-    timed = newsletters.select(F.col("id").alias("newsletter_id"), F.coalesce("received_at", "ingested_at").alias("received"))
-    return stories.join(named, "source_id").join(timed, "newsletter_id")
+    return stories.join(_named(sources), "source_id").join(_timed(newsletters), "newsletter_id")
 
 
 def curated(df: DataFrame) -> DataFrame:
     return df.filter("kind = 'story'")
 
 
-def today(items: DataFrame, since: Column | None = None, limit: int = 200, unopened: bool = False) -> DataFrame:
+_BEST = (F.desc, "relevance_score"), (F.desc, "scored_at"), (F.asc, "id")
+
+
+def _best() -> list[Column]:
+    return [order(c) for order, c in _BEST]
+
+
+def today(stories: DataFrame, since: Column | None = None, limit: int = 200, unopened: bool = False) -> DataFrame:
     """Scored stories, best and newest first; only those scored after ``since``, only unopened ones, if asked for."""
-    df = curated(items).filter("relevance_score is not null")
+    df = curated(stories).filter("relevance_score is not null")
     df = df if since is None else df.filter(F.col("scored_at") > since)
     df = df.filter("opened_at is null") if unopened else df
-    return df.orderBy(F.desc("relevance_score"), F.desc("scored_at"), "id").limit(limit)
+    return df.orderBy(*_best()).limit(limit)
+
+
+def today_feed(stories: DataFrame, sources: DataFrame, newsletters: DataFrame, **limits) -> DataFrame:
+    """today's stories as items. The first ones are taken before the joins, which keep every story: each has its
+    source and newsletter."""
+    return items(today(stories, **limits), sources, newsletters).orderBy(*_best())
+
+
+def today_view(stories: DataFrame, sources: DataFrame, newsletters: DataFrame, sessions: DataFrame, label: str = "default", brief: bool = False) -> DataFrame:
+    """What is new to a session (label, last_viewed_at), all if it never looked: items with the bound, ``is_empty``
+    and ``brief``. If nothing is new, the best unopened stories stand in when asked for."""
+    found = sessions.filter(F.col("label") == label).agg(F.max("last_viewed_at")).first()[0]  # one row of a session
+    since = None if found is None else F.lit(found).cast("timestamp_ntz")
+    fresh = today_feed(stories, sources, newsletters, since=since)
+    empty = not fresh.limit(1).count()
+    shown = today_feed(stories, sources, newsletters, limit=15, unopened=True) if empty and brief else fresh
+    return shown.withColumns({"since": F.lit(found).cast("timestamp_ntz"), "is_empty": F.lit(empty), "brief": F.lit(empty and brief)})
 
 
 @dataclass(frozen=True)
@@ -46,21 +74,77 @@ class ArchiveFilter:
     offset: int = 0
 
 
-def archive(items: DataFrame, f: ArchiveFilter) -> DataFrame:
-    """Stories, scored or not, newest receipt first."""
+    @staticmethod
+    def parse(params: dict[str, str]) -> ArchiveFilter:
+        """From text parameters topic, source, from, to, q, limit and offset; ValueError for what is none."""
+        bounds = {}
+        for name, key in (("since", "from"), ("until", "to")):
+            given = params.get(key, "")
+            try:
+                if re.fullmatch(r"\d{4}-\d{2}-\d{2}", given):
+                    bounds[name] = datetime.strptime(given, "%Y-%m-%d").isoformat(sep=" ")
+                elif given:
+                    t = datetime.fromisoformat(given)
+                    if t.tzinfo is None or "T" not in given:
+                        raise ValueError
+                    bounds[name] = t.astimezone(UTC).replace(tzinfo=None).isoformat(sep=" ")
+            except ValueError:
+                raise ValueError(f"invalid {key}: want a time with its zone or a date") from None
+        limit, offset = params.get("limit") or "200", params.get("offset") or "0"
+        if not re.fullmatch(r"[+]?\d+", limit) or int(limit) <= 0:
+            raise ValueError("invalid limit")
+        if not re.fullmatch(r"[+]?\d+", offset):
+            raise ValueError("invalid offset")
+        return ArchiveFilter(params.get("topic", ""), params.get("source", ""), **bounds, query=params.get("q", ""), limit=min(int(limit), 500), offset=int(offset))
+
+
+_NEWEST = (F.desc, "received"), (F.asc, "position"), (F.asc, "id")
+
+
+def archive(stories: DataFrame, sources: DataFrame, newsletters: DataFrame, f: ArchiveFilter) -> DataFrame:
+    """Stories as items, scored or not, newest receipt first. Stories and newsletters are filtered before they meet."""
     live = [F.col("kind") == "story"]
     if f.topic:
         live.append(F.col("primary_topic") == f.topic)
     if f.source_id:
         live.append(F.col("source_id") == f.source_id)
-    if f.since:
-        live.append(F.col("received") >= F.lit(f.since).cast("timestamp_ntz"))
-    if f.until:
-        live.append(F.col("received") < F.lit(f.until).cast("timestamp_ntz"))
     if query := f.query.strip():
         live.append(reduce(lambda a, b: a | b, [F.col(c).ilike(f"%{query}%") for c in ("title", "summary", "snippet")]))
-    kept = items.filter(reduce(lambda a, b: a & b, live))
-    return kept.orderBy(F.desc("received"), "position", "id").offset(f.offset).limit(min(f.limit, 500))
+    timed = _timed(newsletters)
+    if f.since:
+        timed = timed.filter(F.col("received") >= F.lit(f.since).cast("timestamp_ntz"))
+    if f.until:
+        timed = timed.filter(F.col("received") < F.lit(f.until).cast("timestamp_ntz"))
+    order = [by(c) for by, c in _NEWEST]
+    kept = stories.filter(reduce(lambda a, b: a & b, live)).join(timed, "newsletter_id").orderBy(*order).offset(f.offset).limit(min(f.limit, 500))
+    return kept.join(_named(sources), "source_id").orderBy(*order)
+
+
+def archive_view(stories: DataFrame, sources: DataFrame, newsletters: DataFrame, f: ArchiveFilter, now: Column) -> dict[str, DataFrame]:
+    """The archive's page: its days, the number of its items, and the sources and topics of all stories, whatever the filter."""
+    page = archive(stories, sources, newsletters, f)
+    return {"days": day_groups(page, now), "total": page.agg(F.count(F.lit(1)).alias("total")), "sources": source_rollup(sources, stories), "topics": topic_registry(stories)}
+
+
+def without_item(page: DataFrame, key: str) -> DataFrame:
+    """A page from which an item was taken, as when it becomes an ad; days that it alone filled go with it."""
+    return page.filter(F.col("id") != key)
+
+
+def siblings(stories: DataFrame) -> DataFrame:
+    """Of each newsletter all items of any kind by position, as anchors of its text."""
+    own = F.struct("position", F.coalesce("snippet", F.lit("")).alias("snippet"), F.coalesce("title", F.lit("")).alias("title"))
+    return stories.groupBy("newsletter_id").agg(F.array_sort(F.collect_list(own)).alias("siblings"))
+
+
+def item_detail(item: DataFrame, stories: DataFrame, newsletters: DataFrame) -> DataFrame:
+    """Items (few, by id) with their newsletter's markup (raw_html), whether it has other items, and if so the part of
+    its text that is theirs. Only the newsletters of these items are read further."""
+    near = siblings(stories.join(item.select("newsletter_id").distinct(), "newsletter_id", "left_semi"))
+    joined = item.join(near, "newsletter_id").join(newsletters.select(F.col("id").alias("newsletter_id"), "raw_html"), "newsletter_id", "left")
+    told = joined.withColumn("segmented", F.size("siblings") > 1)
+    part = segments.segment_udf(markup.block_text_udf(F.coalesce("raw_html", F.lit(""))), F.col("siblings"), F.col("position"))
+    return told.withColumn("segment_text", F.when(F.col("segmented") & F.col("raw_html").isNotNull(), F.nullif(part, F.lit("")))).drop("siblings")
 
 
 def source_rollup(sources: DataFrame, stories: DataFrame) -> DataFrame:
@@ -100,14 +184,21 @@ def day_groups(page: DataFrame, now: Column) -> DataFrame:
 
 
 def segmented(stories: DataFrame) -> DataFrame:
-    """Whether a story's newsletter has other items."""
-    return stories.select("id", (F.count(F.lit(1)).over(Window.partitionBy("newsletter_id")) > 1).alias("segmented"))
+    """Whether a story's newsletter has other items. Items are counted before the join, which Spark may split."""
+    counted = stories.groupBy("newsletter_id").agg((F.count(F.lit(1)) > 1).alias("segmented"))
+    return stories.select("id", "newsletter_id").join(counted, "newsletter_id").select("id", "segmented")
 
 
 def dto(df: DataFrame) -> DataFrame:
     """Items as clients see them: no nulls."""
     rating = F.when(F.col("user_rating") == 1, "up").when(F.col("user_rating") == -1, "down").otherwise("none")
-    return df.select("id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "summary", "snippet", "primary_topic")], F.coalesce("relevance_score", F.lit(0)).alias("score"), rating.alias("rating"), F.col("opened_at").isNotNull().alias("read"), "bookmarked")
+    listed = [F.coalesce("labels", F.array().cast("array<string>")).alias("labels")] if "labels" in df.columns else []
+    return df.select("id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "summary", "snippet", "primary_topic")], F.coalesce("relevance_score", F.lit(0)).alias("score"), rating.alias("rating"), F.col("opened_at").isNotNull().alias("read"), "bookmarked", *listed)
+
+
+def by_position(stories: DataFrame) -> DataFrame:
+    """Of each newsletter its items' ids by position."""
+    return stories.groupBy("newsletter_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "id"))), lambda x: x["id"]), " ").alias("ids"))
 
 
 def headline(chips: DataFrame) -> DataFrame:
@@ -118,11 +209,16 @@ def headline(chips: DataFrame) -> DataFrame:
     return named.select(F.when(size == 0, "").when(size == 1, F.col("t")[0]).when(size == 2, F.array_join("t", " and ")).otherwise(F.concat(F.try_element_at("t", F.lit(1)), F.lit(", "), F.try_element_at("t", F.lit(2)), F.lit(" and "), F.try_element_at("t", F.lit(3)))).alias("headline"))
 
 
-def kind_breakdown(stories: DataFrame) -> DataFrame:
-    """Per newsletter the numbers of each kind in fixed order, without zeros."""
-    counted = stories.groupBy("newsletter_id").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in text.KINDS])
-    parts = [F.when(F.col(k) > 0, F.concat(F.lit(f"{k}="), F.col(k).cast("string"))) for k in text.KINDS]
-    return counted.select("newsletter_id", F.concat_ws(", ", *parts).alias("breakdown"))
+def kind_breakdown(newsletters: DataFrame, stories: DataFrame) -> DataFrame:
+    """Of every newsletter the numbers of each kind in fixed order, without zeros; ``empty`` if it has none."""
+    counted = stories.groupBy(F.col("newsletter_id").alias("id")).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in text.KINDS])
+    parts = F.concat_ws(", ", *[F.when(F.col(k) > 0, F.concat(F.col(k).cast("string"), F.lit(f" {k}"))) for k in text.KINDS])
+    return newsletters.select("id").join(counted, "id", "left").select(F.col("id").alias("newsletter_id"), F.coalesce(F.nullif(parts, F.lit("")), F.lit("empty")).alias("breakdown"))
+
+
+def eval_report(counted: DataFrame, low: int, high: int) -> DataFrame:
+    """Cases (newsletter_id, n) that hold a number of stories within bounds."""
+    return counted.withColumn("passed", F.col("n").between(low, high))
 
 
 def engagement(*pages: DataFrame) -> DataFrame:
@@ -133,13 +229,14 @@ def engagement(*pages: DataFrame) -> DataFrame:
 
 def rss_items(page: DataFrame, base: str) -> DataFrame:
     """A feed's fields, newest first."""
-    return page.select("id", F.coalesce("title", F.lit("")).alias("title"), F.concat(F.lit(f"{base}/#"), "id").alias("link"), F.coalesce(F.nullif("summary", F.lit("")), "snippet", F.lit("")).alias("description"), F.coalesce("primary_topic", F.lit("")).alias("category"), text.mail_date(F.col("received")).alias("published"), "received", "position")
+    url = F.col("url") if "url" in page.columns else F.lit(None).cast("string")
+    return page.select("id", F.coalesce("title", F.lit("")).alias("title"), text.item_link(url, base, F.col("id")).alias("link"), F.coalesce(F.nullif("summary", F.lit("")), "snippet", F.lit("")).alias("description"), F.coalesce("primary_topic", F.lit("")).alias("category"), text.mail_date(F.col("received")).alias("published"), "received", "position")
 
 
 def rss(page: DataFrame, base: str, title: str) -> DataFrame:
     """One row: the feed as RSS 2.0 text."""
     e = text.xml_escape
-    item = F.concat(*[x for c, tag in (("title", "title"), ("link", "link"), ("id", "guid"), ("description", "description"), ("category", "category"), ("published", "pubDate")) for x in (F.lit(f"<{tag}>"), e(F.col(c)), F.lit(f"</{tag}>"))])
+    item = F.concat(*[x for c, tag in (("title", "title"), ("link", "link"), ("id", "guid"), ("description", "description"), ("category", "category"), ("published", "pubDate")) for x in (F.lit('<guid isPermaLink="false">' if tag == "guid" else f"<{tag}>"), e(F.col(c)), F.lit(f"</{tag}>"))])
     rows = rss_items(page, base).select(F.struct(F.expr("-unix_seconds(cast(received as timestamp))").alias("t"), "position", "id", F.concat(F.lit("<item>"), item, F.lit("</item>")).alias("xml"), "published").alias("r"))
     got = rows.agg(F.array_sort(F.collect_list("r")).alias("r"))
     head = f'<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel><title>{title}</title><link>{base}</link>'

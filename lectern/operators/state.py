@@ -65,11 +65,79 @@ def sessions(seen: DataFrame) -> DataFrame:
     return seen.groupBy("label").agg(F.max("ts").alias("last_viewed_at"))
 
 
-def carry_over(new: DataFrame, prior: DataFrame) -> DataFrame:
-    """New stories with the engagement of the prior story of the same url; of several the highest position wins."""
+def ensure_session(known: DataFrame, label: str = "default") -> DataFrame:
+    """The sessions (label, last_viewed_at) with one for the label, which has seen nothing yet if it is new."""
+    one = known.sparkSession.createDataFrame([(label,)], "label string").join(known.select("label"), "label", "left_anti")
+    return known.unionByName(one, allowMissingColumns=True)
+
+
+def touch(known: DataFrame, label: str, at: Column) -> DataFrame:
+    """The sessions after one has looked; LookupError for a label that is not known."""
+    affected(known, F.col("label") == label)
+    return known.withColumn("last_viewed_at", F.when(F.col("label") == label, at).otherwise(F.col("last_viewed_at")))
+
+
+def mark_seen(known: DataFrame, at: Column, label: str = "default") -> DataFrame:
+    return touch(ensure_session(known, label), label, at)
+
+
+def affected(rows: DataFrame, hit: Column) -> int:
+    """How many rows a change meets; LookupError for none."""
+    n = rows.filter(hit).count()
+    if not n:
+        raise LookupError("no such row")
+    return n
+
+
+def lookup(rows: DataFrame, *, id: str | None = None, message_id: str | None = None, hash: str | None = None) -> DataFrame:
+    """The row of an id or message id, or the latest one of a hash."""
+    if id is not None:
+        return rows.filter(F.col("id") == id)
+    if message_id is not None:
+        return rows.filter(F.col("message_id") == message_id)
+    return rows.filter(F.col("hash") == hash).orderBy(F.desc("ingested_at"), F.desc("id")).limit(1)
+
+
+def transitions(newsletters: DataFrame, events: DataFrame) -> DataFrame:
+    """Newsletters after events (id, seq, action, reason): the last one tells the status; a failure keeps its reason, all else
+    clears it; every claim is an attempt."""
+    to = F.create_map(*[F.lit(x) for pair in STATUS_OF.items() for x in pair])
+    last = events.groupBy("id").agg(F.max_by("action", "seq").alias("_action"), F.max_by("reason", "seq").alias("_reason"), F.count_if(F.col("action") == "claim").alias("_claims"))
+    joined = newsletters.join(last, "id", "left")
+    return joined.withColumns({
+        "processing_status": F.coalesce(to[F.col("_action")], "processing_status"),
+        "scoring_error": F.when(F.col("_action") == "fail", F.col("_reason")),
+        "scoring_attempts": F.col("scoring_attempts") + F.coalesce("_claims", F.lit(0)).cast("int"),
+    }).drop("_action", "_reason", "_claims")
+
+
+#: Statuses, and the one each event leads to. Fixed values.
+STATUSES = ("pending_scoring", "scoring", "scored", "failed")
+STATUS_OF = {"claim": "scoring", "requeue": "pending_scoring", "done": "scored", "fail": "failed"}
+
+
+def insert_many(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Stored stories and fresh ones, whose kind is story where none is given."""
+    return stored.unionByName(fresh.withColumn("kind", F.coalesce(F.nullif("kind", F.lit("")), F.lit("story"))), allowMissingColumns=True)
+
+
+def score_update(stories: DataFrame, scores: DataFrame, model: str, version: str, now: Column) -> DataFrame:
+    """Stories with the scores (id, summary, relevance_score, primary_topic, labels) that are given for those of kind story."""
+    fields = ("summary", "relevance_score", "primary_topic", "labels")
+    joined = stories.join(scores.select("id", F.struct(*fields).alias("_new")), "id", "left")
+    hit = (F.col("kind") == "story") & F.col("_new").isNotNull()
+    kept = lambda c: F.col(c) if c in stories.columns else F.lit(None)
+    news = {c: F.when(hit, F.col(f"_new.{c}")).otherwise(kept(c)) for c in fields}
+    return joined.withColumns(news | {"model": F.when(hit, F.lit(model)).otherwise(kept("model")), "prompt_version": F.when(hit, F.lit(version)).otherwise(kept("prompt_version")), "scored_at": F.when(hit, now).otherwise(kept("scored_at"))}).drop("_new")
+
+
+def carry_over(new: DataFrame, prior: DataFrame, within: str | None = None) -> DataFrame:
+    """New stories with the engagement of the prior story of the same url (and newsletter, if ``within`` names its column);
+    of several the highest position wins. Stories without a url carry nothing over."""
+    keys = [within, "url"] if within else ["url"]
     held = prior.filter("url <> '' and (bookmarked or user_rating is not null or opened_at is not null)")
-    last = held.groupBy("url").agg(F.max_by(F.struct("bookmarked", "user_rating", "opened_at"), F.struct("position", "id")).alias("was"))
-    return new.join(last, "url", "left").select(new["*"], F.coalesce("was.bookmarked", F.lit(False)).alias("bookmarked"), F.col("was.user_rating").alias("user_rating"), F.col("was.opened_at").alias("opened_at"))
+    last = held.groupBy(*keys).agg(F.max_by(F.struct("bookmarked", "user_rating", "opened_at"), F.struct("position", "id")).alias("was"))
+    return new.join(last, keys, "left").select(*new.columns, F.coalesce("was.bookmarked", F.lit(False)).alias("bookmarked"), F.col("was.user_rating").alias("user_rating"), F.col("was.opened_at").alias("opened_at"))
 
 
 def replace_all(stored: DataFrame, fresh: DataFrame, key: str = "newsletter_id") -> DataFrame:
@@ -83,7 +151,12 @@ def invalid_stories(stories: DataFrame) -> DataFrame:
     return stories.select("id", broken.alias("broken")).filter("broken is not null")
 
 
+def invalid_newsletters(newsletters: DataFrame) -> DataFrame:
+    """Rows whose status is none."""
+    return newsletters.filter(~F.col("processing_status").isin(*STATUSES)).select("id", F.lit("status").alias("broken"))
+
+
 def latest_by_hash(rows: DataFrame) -> DataFrame:
-    """The newest row of each hash."""
-    order = Window.partitionBy("hash").orderBy(F.desc("seq"))
-    return rows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    """The newest row of each hash, by an aggregate that is partial before the shuffle."""
+    others = [c for c in rows.columns if c != "hash"]
+    return rows.groupBy("hash").agg(F.max_by(F.struct(*others), "seq").alias("_last")).select("hash", *[F.col(f"_last.{c}").alias(c) for c in others])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import markup, model_json, segments, text
-from lectern.operators import reads, state
+from lectern.operators import intake, reads, scoring, state
 from lectern.sources import tables
 
 QUERIES: dict = {}
@@ -25,8 +25,16 @@ def query(sql: str | None = None, views: bool = False):
     return add
 
 
-def _items(spark, d) -> DataFrame:
-    return reads.items(tables.stories(spark, d), tables.sources(spark, d), tables.newsletters(spark, d))
+def _tables(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return tables.stories(spark, d), tables.sources(spark, d), tables.newsletters(spark, d)
+
+
+def _today(spark, d, **limits) -> DataFrame:
+    return reads.today_feed(*_tables(spark, d), **limits)
+
+
+def _archive(spark, d, **f) -> DataFrame:
+    return reads.archive(*_tables(spark, d), reads.ArchiveFilter(**f))
 
 
 _SHOWN = ("id", "source_name", "title", "primary_topic", "relevance_score", "scored_at", "received")
@@ -36,17 +44,17 @@ _TODAY = "SELECT {} FROM v_items WHERE kind = 'story' AND relevance_score IS NOT
 
 @query(_TODAY.format(_COLS, "", 200), True)
 def top1_today_feed(spark, d):
-    return reads.today(_items(spark, d)).select(*_SHOWN)
+    return _today(spark, d).select(*_SHOWN)
 
 
 @query(_TODAY.format(_COLS, "AND scored_at > TIMESTAMP '1997-01-01'", 200), True)
 def flt3_today_since(spark, d):
-    return reads.today(_items(spark, d), F.lit("1997-01-01").cast("timestamp_ntz")).select(*_SHOWN)
+    return _today(spark, d, since=F.lit("1997-01-01").cast("timestamp_ntz")).select(*_SHOWN)
 
 
 @query(_TODAY.format(_COLS, "AND opened_at IS NULL", 15), True)
 def top2_brief(spark, d):
-    return reads.today(_items(spark, d), limit=15, unopened=True).select(*_SHOWN)
+    return _today(spark, d, limit=15, unopened=True).select(*_SHOWN)
 
 
 _FILTER = reads.ArchiveFilter(topic="ECONOMY", since="1995-01-01", until="1998-01-01", query=" brand_1 ", limit=200, offset=5)
@@ -55,12 +63,12 @@ _ARCHIVE = "SELECT {} FROM v_items WHERE kind = 'story' {} ORDER BY received DES
 
 @query(_ARCHIVE.format(_COLS, "AND primary_topic = 'ECONOMY' AND received >= TIMESTAMP '1995-01-01' AND received < TIMESTAMP '1998-01-01' AND (title ILIKE '%brand_1%' OR summary ILIKE '%brand_1%' OR snippet ILIKE '%brand_1%')", 200, 5), True)
 def top3_archive_filtered(spark, d):
-    return reads.archive(_items(spark, d), _FILTER).select(*_SHOWN)
+    return reads.archive(*_tables(spark, d), _FILTER).select(*_SHOWN)
 
 
 @query(_ARCHIVE.format(_COLS, "AND source_id = '1'", 500, 0), True)
 def flt5_archive_source(spark, d):
-    return reads.archive(_items(spark, d), reads.ArchiveFilter(source_id="1", limit=9999)).select(*_SHOWN)
+    return _archive(spark, d, source_id="1", limit=9999).select(*_SHOWN)
 
 
 @query("""SELECT so.id, so.name, count(*) FILTER (WHERE st.kind = 'story') AS story_count, count(st.relevance_score) AS scored_count,
@@ -89,7 +97,7 @@ _CHIPS = "chips AS (SELECT primary_topic AS topic, count(*) AS n, min(rn) AS fir
 
 
 def _chips(spark, d):
-    return reads.topic_chips(reads.today(_items(spark, d)), F.desc("relevance_score"), F.desc("scored_at"), "id")
+    return reads.topic_chips(_today(spark, d), F.desc("relevance_score"), F.desc("scored_at"), "id")
 
 
 @query(f", {_PAGE}, {_CHIPS} SELECT topic, n, first FROM chips", True)
@@ -106,12 +114,12 @@ def top9_headline(spark, d):
   CASE WHEN received::DATE = DATE '1998-06-01' THEN 'Today' WHEN received::DATE = DATE '1998-05-31' THEN 'Yesterday' WHEN received::DATE > DATE '1998-05-25' THEN strftime(received, '%A') ELSE strftime(received, '%b %-d, %Y') END AS label,
   count(*) AS n, string_agg(id, ' ' ORDER BY received DESC, position, id) AS ids FROM page GROUP BY 1, 2""", True)
 def agg4_archive_days(spark, d):
-    return reads.day_groups(reads.archive(_items(spark, d), reads.ArchiveFilter()), F.lit(NOW).cast("timestamp_ntz"))
+    return reads.day_groups(_archive(spark, d), F.lit(NOW).cast("timestamp_ntz"))
 
 
 @query(f", page AS ({_ARCHIVE.format('id', '', 200, 100)}) SELECT count(*) AS total FROM page", True)
 def agg5_page_total(spark, d):
-    return reads.archive(_items(spark, d), reads.ArchiveFilter(offset=100)).agg(F.count(F.lit(1)).alias("total"))
+    return _archive(spark, d, offset=100).agg(F.count(F.lit(1)).alias("total"))
 
 
 @query("SELECT id, (SELECT count(*) FROM v_stories s WHERE s.newsletter_id = v_stories.newsletter_id) > 1 AS segmented FROM v_stories", True)
@@ -126,44 +134,148 @@ def agg6_stories_per_newsletter(spark, d):
 
 @query(f", a AS ({_TODAY.format('id, bookmarked, user_rating', '', 200)}), b AS ({_ARCHIVE.format('id, bookmarked, user_rating', '', 200, 0)}) SELECT count(*) FILTER (WHERE bookmarked) AS bookmarked, count(user_rating) AS rated FROM (SELECT * FROM a UNION SELECT * FROM b)", True)
 def agg7_engagement_counters(spark, d):
-    items = _items(spark, d)
-    return reads.engagement(reads.today(items), reads.archive(items, reads.ArchiveFilter()))
+    return reads.engagement(_today(spark, d), _archive(spark, d))
 
 
-@query("SELECT newsletter_id, concat_ws(', ', " + ", ".join(f"CASE WHEN count(*) FILTER (WHERE kind = '{k}') > 0 THEN '{k}=' || CAST(count(*) FILTER (WHERE kind = '{k}') AS VARCHAR) END" for k in text.KINDS) + ") AS breakdown FROM v_stories GROUP BY newsletter_id", True)
+_KINDS = ", ".join(f"CASE WHEN count(*) FILTER (WHERE kind = '{k}') > 0 THEN CAST(count(*) FILTER (WHERE kind = '{k}') AS VARCHAR) || ' {k}' END" for k in text.KINDS)
+
+
+@query(f"SELECT n.id AS newsletter_id, coalesce(nullif(concat_ws(', ', {_KINDS}), ''), 'empty') AS breakdown FROM v_newsletters n LEFT JOIN v_stories s ON s.newsletter_id = n.id GROUP BY n.id", True)
 def agg8_kind_breakdown(spark, d):
-    return reads.kind_breakdown(tables.stories(spark, d))
+    return reads.kind_breakdown(tables.newsletters(spark, d), tables.stories(spark, d))
 
 
 @query("SELECT newsletter_id, count(*) AS n, count(*) BETWEEN 2 AND 5 AS passed FROM v_stories WHERE kind = 'story' GROUP BY newsletter_id", True)
 def agg10_eval_bounds(spark, d):
     counted = reads.curated(tables.stories(spark, d)).groupBy("newsletter_id").agg(F.count(F.lit(1)).alias("n"))
-    return counted.withColumn("passed", F.col("n").between(2, 5))
+    return reads.eval_report(counted, 2, 5)
 
 
-@query("SELECT id, coalesce(title, '') AS title, coalesce(summary, '') AS summary, coalesce(snippet, '') AS snippet, coalesce(primary_topic, '') AS primary_topic, coalesce(relevance_score, 0) AS score, CASE user_rating WHEN 1 THEN 'up' WHEN -1 THEN 'down' ELSE 'none' END AS rating, opened_at IS NOT NULL AS read, bookmarked FROM v_stories", True)
+@query("SELECT id, coalesce(title, '') AS title, coalesce(summary, '') AS summary, coalesce(snippet, '') AS snippet, coalesce(primary_topic, '') AS primary_topic, coalesce(relevance_score, 0) AS score, CASE user_rating WHEN 1 THEN 'up' WHEN -1 THEN 'down' ELSE 'none' END AS rating, opened_at IS NOT NULL AS read, bookmarked, CASE WHEN position % 2 = 1 THEN string_split(summary, ' ') ELSE [] END AS labels FROM v_stories", True)
 def flt12_item_view(spark, d):
-    return reads.dto(tables.stories(spark, d))
+    return reads.dto(tables.stories(spark, d).withColumn("labels", F.when(F.col("position") % 2 == 1, F.split("summary", " "))))
+
+
+_ODD = "SELECT id, CASE position WHEN 7 THEN 'odd' ELSE kind END AS kind, CASE position WHEN 6 THEN relevance_score + 60 ELSE relevance_score END AS relevance_score, CASE position WHEN 5 THEN 2 ELSE user_rating END AS user_rating FROM v_stories"
 
 
-@query("SELECT id, CASE WHEN kind NOT IN ('story', 'blurb', 'ad', 'promo') THEN 'kind' WHEN relevance_score NOT BETWEEN 0 AND 100 THEN 'score' ELSE 'rating' END AS broken FROM v_stories WHERE kind NOT IN ('story', 'blurb', 'ad', 'promo') OR relevance_score NOT BETWEEN 0 AND 100 OR user_rating NOT IN (-1, 1)", True)
+@query(f"SELECT id, CASE WHEN kind NOT IN ('story', 'blurb', 'ad', 'promo') THEN 'kind' WHEN relevance_score NOT BETWEEN 0 AND 100 THEN 'score' ELSE 'rating' END AS broken FROM ({_ODD}) WHERE kind NOT IN ('story', 'blurb', 'ad', 'promo') OR relevance_score NOT BETWEEN 0 AND 100 OR user_rating NOT IN (-1, 1)", True)
 def flt14_invalid_rows(spark, d):
-    return state.invalid_stories(tables.stories(spark, d))
+    """Constraints over stories some of which are made to break them."""
+    at = F.col("position")
+    odd = tables.stories(spark, d).withColumns({"kind": F.when(at == 7, "odd").otherwise(F.col("kind")), "relevance_score": F.when(at == 6, F.col("relevance_score") + 60).otherwise(F.col("relevance_score")), "user_rating": F.when(at == 5, 2).otherwise(F.col("user_rating"))})
+    return state.invalid_stories(odd)
 
 
-@query(f", page AS ({_ARCHIVE.format('*', '', 50, 0)}) SELECT id, coalesce(title, '') AS title, 'https://x.example/#' || id AS link, coalesce(nullif(summary, ''), snippet, '') AS description, coalesce(primary_topic, '') AS category, strftime(received, '%a, %d %b %Y %H:%M:%S +0000') AS published FROM page", True)
+@query("SELECT id, 'status' AS broken FROM (SELECT id, CASE WHEN scoring_attempts = 3 THEN 'done' ELSE processing_status END AS s FROM v_newsletters) WHERE s NOT IN ('pending_scoring', 'scoring', 'scored', 'failed')", True)
+def flt14_invalid_statuses(spark, d):
+    return state.invalid_newsletters(tables.newsletters(spark, d).withColumn("processing_status", F.when(F.col("scoring_attempts") == 3, "done").otherwise(F.col("processing_status"))))
+
+
+_LINK = "CASE WHEN position = 1 THEN 'https://n.example/' || id ELSE 'https://x.example/#/items/' || id END"
+_RSS = f"page AS ({_ARCHIVE.format('*', '', 50, 0)}), feed AS (SELECT id, position, received, coalesce(title, '') AS title, {_LINK} AS link, coalesce(nullif(summary, ''), snippet, '') AS description, coalesce(primary_topic, '') AS category, strftime(received, '%a, %d %b %Y %H:%M:%S +0000') AS published FROM page)"
+
+
+def _feed(spark, d) -> DataFrame:
+    return _archive(spark, d, limit=50).withColumn("url", F.when(F.col("position") == 1, F.concat(F.lit("https://n.example/"), "id")))
+
+
+@query(f", {_RSS} SELECT id, title, link, description, category, published FROM feed", True)
 def snk2_rss_items(spark, d):
-    return reads.rss_items(reads.archive(_items(spark, d), reads.ArchiveFilter(limit=50)), "https://x.example").drop("received", "position")
+    return reads.rss_items(_feed(spark, d), "https://x.example").drop("received", "position")
 
 
-@query()
+def _escaped(c: str) -> str:
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;"), ("''", "&#39;")):
+        c = f"replace({c}, '{char}', '{entity}')"
+    return c
+
+
+_ENTRY = " || ".join(f"'<{tag}>' || {_escaped(c)} || '</{tag.split()[0]}>'" for c, tag in (("title", "title"), ("link", "link"), ("id", 'guid isPermaLink="false"'), ("description", "description"), ("category", "category"), ("published", "pubDate")))
+
+
+@query(f""", {_RSS} SELECT '<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel><title>Items</title><link>https://x.example</link><lastBuildDate>' || coalesce(arg_max(published, received), '') || '</lastBuildDate>' || coalesce(string_agg('<item>' || {_ENTRY} || '</item>', '' ORDER BY received DESC, position, id), '') || '</channel></rss>' AS rss FROM feed""", True)
 def snk2_rss(spark, d):
-    return reads.rss(reads.archive(_items(spark, d), reads.ArchiveFilter(limit=50)), "https://x.example", "Items")
+    return reads.rss(_feed(spark, d), "https://x.example", "Items")
 
 
 @query(f", page AS ({_TODAY.format('id, title', '', 200)}) SELECT id, '{{\"id\":\"' || id || '\",\"title\":\"' || title || '\"}}' AS json FROM page", True)
 def snk1_json_items(spark, d):
-    return reads.today(_items(spark, d)).select("id", F.to_json(F.struct("id", "title")).alias("json"))
+    return _today(spark, d).select("id", F.to_json(F.struct("id", "title")).alias("json"))
+
+
+@query("SELECT newsletter_id, string_agg(id, ' ' ORDER BY position, id) AS ids FROM v_stories GROUP BY newsletter_id", True)
+def top7_positions(spark, d):
+    return reads.by_position(tables.stories(spark, d))
+
+
+@query("SELECT newsletter_id, string_agg(position || ':' || snippet || ':' || title, '|' ORDER BY position, snippet, title) AS siblings FROM v_stories GROUP BY newsletter_id", True)
+def jn8_siblings(spark, d):
+    return reads.siblings(tables.stories(spark, d)).select("newsletter_id", F.array_join(F.transform("siblings", lambda x: F.concat_ws(":", x["position"].cast("string"), x["snippet"], x["title"])), "|").alias("siblings"))
+
+
+@query("SELECT n.id, s.name FROM (SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey % 10 + 1 AS VARCHAR) AS source_id FROM orders) n JOIN v_sources s ON s.id = n.source_id", True)
+def jn4_newsletter_sources(spark, d):
+    sent = tables.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), (F.col("o_custkey") % 10 + 1).cast("string").alias("source_id"))
+    return sent.join(tables.sources(spark, d).select(F.col("id").alias("source_id"), "name"), "source_id").select("id", "name")
+
+
+@query(f", page AS ({_TODAY.format('*', '', 200)}) SELECT id FROM page WHERE primary_topic = 'ECONOMY'", True)
+def ui1_topic_in_page(spark, d):
+    return _today(spark, d).filter("primary_topic = 'ECONOMY'").select("id")
+
+
+@query(f", page AS ({_ARCHIVE.format('*', '', 200, 0)}) SELECT strftime(received, '%Y-%m-%d') AS day, count(*) AS n FROM page WHERE id <> (SELECT min(id) FROM page) GROUP BY 1", True)
+def ui4_page_without_ad(spark, d):
+    page = _archive(spark, d)
+    return reads.day_groups(reads.without_item(page, page.agg(F.min("id")).first()[0]), F.lit(NOW).cast("timestamp_ntz")).select("day", "n")
+
+
+# --- whole views ----------------------------------------------------------------------------------
+
+_SEEN = "SELECT CAST(user_id AS VARCHAR) AS label, max(ts) AS last_viewed_at FROM events WHERE event_type = 'signup' GROUP BY user_id"
+
+
+def _sessions(spark, d) -> DataFrame:
+    return state.sessions(tables.table(spark, d, "events").filter("event_type = 'signup'").select(F.col("user_id").cast("string").alias("label"), "ts"))
+
+
+@query(f", seen AS ({_SEEN}), latest AS (SELECT * FROM seen ORDER BY last_viewed_at DESC, label LIMIT 1), page AS ({_TODAY.format('*', 'AND scored_at > (SELECT last_viewed_at FROM latest)', 200)}), brief AS ({_TODAY.format('*', 'AND opened_at IS NULL', 15)}) SELECT id, since, is_empty, is_empty AS brief FROM (SELECT id, false AS is_empty FROM page UNION ALL SELECT id, true FROM brief WHERE NOT EXISTS (SELECT 1 FROM page)), (SELECT last_viewed_at AS since FROM latest)", True)
+def api1_today(spark, d):
+    """What is new to the session that looked last, else the brief."""
+    seen = _sessions(spark, d)
+    label = seen.orderBy(F.desc("last_viewed_at"), "label").first()["label"]
+    return reads.today_view(*_tables(spark, d), seen, label, brief=True).select("id", "since", "is_empty", "brief")
+
+
+@query(f", page AS ({_TODAY.format('*', '', 200)}) SELECT id, CAST(NULL AS TIMESTAMP) AS since, false AS is_empty, false AS brief FROM page", True)
+def api1_today_first_visit(spark, d):
+    return reads.today_view(*_tables(spark, d), state.ensure_session(_sessions(spark, d))).select("id", "since", "is_empty", "brief")
+
+
+@query(f"WITH seen AS ({_SEEN}) SELECT * FROM seen WHERE label <> 'default' UNION ALL SELECT 'default', TIMESTAMP '{NOW}'")
+def api2_mark_seen(spark, d):
+    return state.mark_seen(_sessions(spark, d), F.lit(NOW).cast("timestamp_ntz"))
+
+
+@query(f""", page AS ({_ARCHIVE.format('*', "AND primary_topic = 'ECONOMY' AND received >= TIMESTAMP '1995-01-01'", 100, 0)})
+  SELECT 'day' AS part, strftime(received, '%Y-%m-%d') AS key, count(*) AS n FROM page GROUP BY 2 UNION ALL SELECT 'total', '', count(*) FROM page
+  UNION ALL SELECT 'source', so.id, count(*) FILTER (WHERE st.kind = 'story') FROM v_sources so LEFT JOIN v_stories st ON st.source_id = so.id GROUP BY so.id
+  UNION ALL SELECT 'topic', primary_topic, count(*) FROM v_stories WHERE kind = 'story' AND primary_topic <> '' GROUP BY primary_topic""", True)
+def api3_archive(spark, d):
+    view = reads.archive_view(*_tables(spark, d), reads.ArchiveFilter.parse({"topic": "ECONOMY", "from": "1995-01-01", "limit": "100"}), F.lit(NOW).cast("timestamp_ntz"))
+    part = lambda name, df, key, n: df.select(F.lit(name).alias("part"), key.alias("key"), F.col(n).alias("n"))
+    days, total = part("day", view["days"], F.col("day"), "n"), part("total", view["total"], F.lit(""), "total")
+    return days.unionByName(total).unionByName(part("source", view["sources"], F.col("id"), "story_count")).unionByName(part("topic", view["topics"], F.col("topic"), "n"))
+
+
+@query()
+def api4_item_detail(spark, d):
+    """Every line of a page as an item, with its part of the page's text."""
+    pages = tables.table(spark, d, "pages").select(F.col("page_id").cast("string").alias("id"), F.col("html").alias("raw_html"))
+    lines = pages.select(F.col("id").alias("newsletter_id"), F.posexplode(F.split(markup.block_text_udf("raw_html"), "\n")).alias("position", "snippet")).filter("length(snippet) > 20")
+    stories = lines.select(F.concat_ws("-", "newsletter_id", F.col("position").cast("string")).alias("id"), "newsletter_id", "position", "snippet", F.lit("").alias("title"))
+    return reads.item_detail(stories, stories, pages).select("id", "segmented", "segment_text")
 
 
 # --- queue and state ------------------------------------------------------------------------------
@@ -273,8 +385,27 @@ def hsh1_dedupe_hash(spark, d):
     return _deliveries(spark, d).select("seq", "hash")
 
 
+#: White space of any kind at both ends, in the comparison engine.
+_ENDS = r"^[\s\x0b\x{{85}}\p{{Z}}]+|[\s\x0b\x{{85}}\p{{Z}}]+$"
+
+
+def _strip(c: str) -> str:
+    return f"regexp_replace({c}, '{_ENDS}', '', 'g')".replace("{{", "{").replace("}}", "}")
+
+
+_WILD = "CASE c_custkey % 4 WHEN 0 THEN chr(160) || upper(c_name) || chr(9) WHEN 1 THEN chr(26085) || c_mktsegment WHEN 2 THEN ' ' || c_mktsegment || chr(8195) ELSE chr(10) END"
+_SCALARS = rf"""SELECT c_custkey AS id, coalesce(nullif(lower({_strip('w')}), ''), 'unknown') AS address, {_strip('w')} AS topic, length({_strip('w')}) BETWEEN 1 AND 32 AND NOT starts_with({_strip('w')}, '-') AND regexp_matches({_strip('w')}, '\p{{L}}') AND NOT regexp_matches({_strip('w')}, '[\p{{Ll}}\p{{Lt}}\p{{Lm}}\p{{Lo}}]') AS label FROM (SELECT c_custkey, {_WILD} AS w FROM customer)"""
+
+
+@query(_SCALARS)
+def txt15_labels_of_odd_texts(spark, d):
+    """Addresses, topics and labels of texts with odd white space and letters without case."""
+    w = F.expr(_WILD.replace("chr(160)", "'\u00a0'").replace("chr(26085)", "'\u65e5'").replace("chr(8195)", "'\u2003'"))
+    return tables.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), text.address(w).alias("address"), text.clean_topic(w).alias("topic"), text.is_label(w).alias("label"))
+
+
 @query(r"""SELECT c_custkey AS id, coalesce(nullif(lower(trim(c_name)), ''), 'unknown') AS address, CASE WHEN instr(c_name || '@x', '@') > 1 THEN split_part(c_name || '@x', '@', 1) END AS display,
-  CASE WHEN lower(trim(c_mktsegment)) IN ('title', 'story', 'ad') THEN '' ELSE trim(c_mktsegment) END AS topic, length(c_mktsegment) BETWEEN 1 AND 32 AND upper(c_mktsegment) = c_mktsegment AND regexp_matches(c_mktsegment, '\p{L}') AS label,
+  CASE WHEN lower(trim(c_mktsegment)) IN ('title', 'story', 'ad') THEN '' ELSE trim(c_mktsegment) END AS topic, length(c_mktsegment) BETWEEN 1 AND 32 AND NOT starts_with(c_mktsegment, '-') AND regexp_matches(c_mktsegment, '\p{L}') AND NOT regexp_matches(c_mktsegment, '[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]') AS label,
   list_reduce(list_concat([0::BIGINT], list_transform(string_split(c_name, ''), lambda c: ascii(c)::BIGINT)), lambda s, c: (s + c) % 997) % 5 AS height FROM customer""")
 def txt4_scalars(spark, d):
     name, seg = F.col("c_name"), F.col("c_mktsegment")
@@ -308,9 +439,9 @@ def jsn5_flexible_int(spark, d):
     return tables.table(spark, d, "events").select(F.col("event_id").alias("id"), n.alias("n"), text.score(n).alias("score"))
 
 
-@query("SELECT id, l[1:5] AS labels FROM (SELECT id, list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: lower(y)), lower(x)) = i) AS l FROM (SELECT doc_id AS id, list_filter(list_transform(string_split(left(text, 60), ' '), lambda t: trim(t)), lambda t: t <> '') AS l FROM documents))")
+@query("WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS t, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents), f AS (SELECT doc_id, arg_min(" + _strip("t") + ", i) AS t, min(i) AS i FROM w WHERE " + _strip("t") + " <> '' GROUP BY doc_id, lower(" + _strip("t") + ")) SELECT d.doc_id AS id, coalesce((SELECT list(f.t ORDER BY f.i) FROM f WHERE f.doc_id = d.doc_id)[1:5], []) AS labels FROM documents d WHERE text IS NOT NULL")
 def arr1_labels(spark, d):
-    return tables.table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.labels(F.split(F.left("text", F.lit(60)), " ")).alias("labels"))
+    return tables.table(spark, d, "documents").filter("text is not null").select(F.col("doc_id").alias("id"), text.labels(F.split("text", " ")).alias("labels"))
 
 
 _GAP = "date_diff('second', o_orderdate, TIMESTAMP '1998-06-01 12:00:00')"
@@ -360,9 +491,205 @@ def txt12_segments(spark, d):
     return docs.select("doc_id", F.posexplode_outer(segments.segments_udf("text", sib)).alias("position", "part"))
 
 
-@query()
+@query("SELECT conv_id, turn, CASE WHEN t = '' THEN 'error' ELSE 'ok' END AS outcome, nullif(t, '') AS title, CASE WHEN t <> '' THEN 'story' END AS kind, CASE WHEN t <> '' THEN CAST(greatest(0, least(100, turn)) AS INT) END AS relevance_score FROM (SELECT *, " + _strip("coalesce(text, '')") + " AS t FROM conversations)")
 def jsn1_parse_items(spark, d):
     """Items of answers made from conversation turns."""
     turn = tables.table(spark, d, "conversations").select("conv_id", "turn", F.to_json(F.array(F.struct(F.col("text").alias("title"), F.col("role").alias("kind"), F.col("turn").alias("relevance_score")))).alias("answer"))
     parsed = turn.select("conv_id", "turn", model_json.parse_udf("answer").alias("p"))
     return parsed.select("conv_id", "turn", "p.outcome", F.posexplode_outer("p.items").alias("pos", "item")).select("conv_id", "turn", "outcome", "item.title", "item.kind", "item.relevance_score")
+
+
+# --- intake and scoring ---------------------------------------------------------------------------
+
+_MESSAGES = f"""messages AS (SELECT doc_id AS seq, lower(source) || '@x.example' AS identity, CASE WHEN doc_id % 7 = 0 THEN 'm' || CAST(doc_id // 21 AS VARCHAR) END AS message_id, CASE WHEN b <> '' THEN sha256(lower(b)) END AS hash FROM (SELECT *, left({_BODY.replace('text', "coalesce(text, '')")}, 24000) AS b FROM documents)),
+  ids AS (SELECT message_id, min(seq) AS seq FROM messages WHERE message_id IS NOT NULL GROUP BY message_id), named AS (SELECT m.* FROM messages m JOIN ids USING (seq)), known AS (SELECT hash, min(seq) AS known FROM named WHERE hash IS NOT NULL GROUP BY hash),
+  firsts AS (SELECT hash, min(seq) AS seq FROM messages WHERE message_id IS NULL AND hash IS NOT NULL GROUP BY hash),
+  kept AS (SELECT seq FROM named UNION ALL SELECT f.seq FROM firsts f LEFT JOIN known k ON k.hash = f.hash WHERE k.known IS NULL OR k.known > f.seq UNION ALL SELECT seq FROM messages WHERE message_id IS NULL AND hash IS NULL),
+  keyed AS (SELECT m.*, k.seq IS NOT NULL AS stored, sha256(identity || '|' || CAST(m.seq AS VARCHAR)) AS key FROM messages m LEFT JOIN kept k USING (seq))"""
+
+
+def _messages(spark, d) -> DataFrame:
+    key, none = F.col("doc_id"), F.lit(None).cast("string")
+    sent = tables.table(spark, d, "documents").select(key.alias("seq"), F.concat(F.lit(" "), F.upper("source"), F.lit("@x.example ")).alias("from_addr"), F.when(F.col("lang") != "en", F.col("lang")).otherwise("").alias("from_name"), none.alias("subject"), F.when(key % 7 == 0, F.concat(F.lit("m"), F.floor(key / 21).cast("string"))).alias("message_id"), F.lit("").alias("raw_html"), F.col("text").alias("body_text"), F.lit(None).cast("timestamp_ntz").alias("received_at"))
+    return intake.normalised(sent, F.lit(NOW).cast("timestamp_ntz"))
+
+
+@query(f"""WITH {_MESSAGES} SELECT seq, CASE WHEN message_id IS NOT NULL THEN first_value(key) OVER (PARTITION BY message_id ORDER BY seq) WHEN hash IS NULL OR stored THEN key
+  ELSE last_value(CASE WHEN stored THEN key END IGNORE NULLS) OVER (PARTITION BY hash ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS id,
+  'pending_scoring' AS status, sha256('newsletter|' || identity) AS source_id, NOT stored AS duplicate FROM keyed""")
+def api9_ingest(spark, d):
+    return intake.ingest(_messages(spark, d))
+
+
+@query(f"SELECT doc_id AS seq, lower(source) || '@x.example' AS identity, CASE WHEN lang <> 'en' THEN lang ELSE lower(source) END AS name, TIMESTAMP '{NOW}' AS received_at FROM documents")
+def txt5_senders(spark, d):
+    return _messages(spark, d).select("seq", "identity", "name", "received_at")
+
+
+@query(f"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'h' ELSE 't' END AS way, sha256(CASE WHEN page_id % 2 = 0 THEN left({_FLAT}, 500) ELSE left({_BODY.replace('text', 'html')}, 500) END) AS body, CASE WHEN page_id % 2 = 0 THEN html ELSE url END AS preferred FROM pages WHERE octet_length(encode(html)) <= 20000")
+def txt3_prepared_bodies(spark, d):
+    even = F.col("page_id") % 2 == 0
+    html = F.when(even, F.col("html")).otherwise("")
+    small = tables.table(spark, d, "pages").filter(F.octet_length("html") <= 20_000)
+    return small.select("page_id", F.when(even, "h").otherwise("t").alias("way"), F.sha2(text.prepared(html, F.col("html"), 500), 256).alias("body"), text.preferred(html, F.col("url")).alias("preferred"))
+
+
+@query("SELECT o_orderkey AS id, 'k' || o_orderkey || '@x' AS message_id FROM orders")
+def src6_message_ids(spark, d):
+    key = F.concat(F.lit("k"), F.col("o_orderkey").cast("string"), F.lit("@x"))
+    raw = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(" <"), key, F.lit(">\t"))).otherwise(key)
+    return tables.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), text.message_id(raw).alias("message_id"))
+
+
+_LINES = f"""lines AS (SELECT CAST(doc_id AS VARCHAR) AS newsletter_id, pos, {_BODY.replace('text', 'line')} AS x FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents))"""
+
+
+def _scored(spark, d) -> DataFrame:
+    key = F.col("doc_id")
+    sent = tables.table(spark, d, "documents").select(key.cast("string").alias("id"), F.when(key % 3 > 0, F.col("source")).otherwise(" ").alias("subject"), F.when(key % 11 > 0, F.col("text")).alias("body_text"), (key % 4).alias("scoring_attempts"))
+    return scoring.score(sent, scoring.RuleScorer(), ("rail", "cities"))
+
+
+@query(f"""WITH {_LINES} SELECT newsletter_id, row_number() OVER (PARTITION BY newsletter_id ORDER BY pos) - 1 AS position, CASE WHEN length(x) >= 200 THEN 'story' ELSE 'blurb' END AS kind, rtrim(left(x, 80)) AS title, left(x, 1000) AS snippet,
+  CASE WHEN length(x) >= 200 THEN left(x, 800) END AS summary, CASE WHEN length(x) >= 200 THEN CAST(length(x) % 101 AS INT) END AS relevance_score, CASE WHEN length(x) >= 200 THEN TIMESTAMP '{NOW}' END AS scored_at FROM lines WHERE x <> '' AND CAST(newsletter_id AS BIGINT) % 11 > 0""")
+def api10_scored_stories(spark, d):
+    found = scoring.stories_of(_scored(spark, d), "rules", F.lit(NOW).cast("timestamp_ntz"))
+    return found.select("newsletter_id", "position", "kind", "title", "snippet", "summary", "relevance_score", "scored_at")
+
+
+@query(f"""WITH {_LINES}, n AS (SELECT newsletter_id, count(*) FILTER (WHERE x <> '') AS n FROM lines GROUP BY newsletter_id), i AS (SELECT newsletter_id, CAST(newsletter_id AS BIGINT) AS k, CASE WHEN CAST(newsletter_id AS BIGINT) % 11 > 0 THEN n ELSE 0 END AS n FROM n)
+  SELECT newsletter_id AS id, CASE WHEN k % 3 = 0 AND n = 0 THEN 'ok' WHEN n = 0 THEN 'empty' ELSE 'ok' END AS outcome, CASE WHEN k % 3 > 0 AND n = 0 THEN 'failed' ELSE 'scored' END AS status, n AS n_items FROM i""")
+def flt15_scoring_outcomes(spark, d):
+    """Blank newsletters are scored without a call, others without an item fail."""
+    return _scored(spark, d).select("id", "outcome", "status", F.size("items").cast("long").alias("n_items"))
+
+
+_PROMPT = text.prompt_head(("rail", "cities")).replace("'", "''")
+
+
+@query(f"SELECT doc_id AS id, sha256('{_PROMPT}' || chr(10) || 'Source: ' || lang || chr(10) || 'Subject: ' || source || chr(10) || 'Text:' || chr(10) || coalesce(text, '')) AS prompt FROM documents")
+def txt18_prompts(spark, d):
+    return tables.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.sha2(text.prompt(F.col("source"), F.col("text"), F.col("lang"), ("rail", "cities")), 256).alias("prompt"))
+
+
+@query("SELECT id, newsletter_id, position, kind FROM v_stories WHERE position <= 3 UNION ALL SELECT id, newsletter_id, position, CASE WHEN position = 5 THEN 'story' ELSE kind END FROM v_stories WHERE position > 3", True)
+def dml6_insert_many(spark, d):
+    s = tables.stories(spark, d).select("id", "newsletter_id", "position", "kind")
+    return state.insert_many(s.filter("position <= 3"), s.filter("position > 3").withColumn("kind", F.when(F.col("position") != 5, F.col("kind")).otherwise("")))
+
+
+@query(f"SELECT id, CASE WHEN kind = 'story' AND position <= 2 THEN upper(title) ELSE summary END AS summary, CASE WHEN kind = 'story' AND position <= 2 THEN position * 10 ELSE relevance_score END AS relevance_score, CASE WHEN kind = 'story' AND position <= 2 THEN 'm' END AS model, CASE WHEN kind = 'story' AND position <= 2 THEN TIMESTAMP '{NOW}' ELSE scored_at END AS scored_at FROM v_stories", True)
+def dml7_score_update(spark, d):
+    s = tables.stories(spark, d)
+    scores = s.filter("position <= 2").select("id", F.upper("title").alias("summary"), (F.col("position") * 10).alias("relevance_score"), F.lit("t").alias("primary_topic"), F.array(F.lit("l")).alias("labels"))
+    after = state.score_update(s.withColumn("labels", F.lit(None).cast("array<string>")).withColumns({"model": F.lit(None).cast("string"), "prompt_version": F.lit(None).cast("string")}), scores, "m", "1", F.lit(NOW).cast("timestamp_ntz"))
+    return after.select("id", "summary", "relevance_score", "model", "scored_at")
+
+
+_MOVE = "CASE event_type WHEN 'view' THEN 'claim' WHEN 'signup' THEN 'claim' WHEN 'click' THEN 'requeue' WHEN 'purchase' THEN 'done' ELSE 'fail' END"
+
+
+@query(f""", e AS (SELECT CAST(event_id % 2000 AS VARCHAR) AS id, event_id AS seq, {_MOVE} AS action, event_type AS reason FROM events), l AS (SELECT id, arg_max(action, seq) AS action, arg_max(reason, seq) AS reason, count(*) FILTER (WHERE action = 'claim') AS claims FROM e GROUP BY id)
+  SELECT n.id, CASE l.action WHEN 'claim' THEN 'scoring' WHEN 'requeue' THEN 'pending_scoring' WHEN 'done' THEN 'scored' WHEN 'fail' THEN 'failed' ELSE processing_status END AS processing_status, CASE WHEN l.action = 'fail' THEN l.reason END AS scoring_error, CAST(scoring_attempts + coalesce(claims, 0) AS INT) AS scoring_attempts FROM v_newsletters n LEFT JOIN l ON l.id = n.id""", True)
+def dml4_transitions(spark, d):
+    e = tables.table(spark, d, "events").select((F.col("event_id") % 2000).cast("string").alias("id"), F.col("event_id").alias("seq"), F.expr(_MOVE).alias("action"), F.col("event_type").alias("reason"))
+    return state.transitions(tables.newsletters(spark, d), e).select("id", "processing_status", "scoring_error", "scoring_attempts")
+
+
+@query("SELECT count(*) AS affected FROM v_newsletters WHERE processing_status = 'scoring'", True)
+def agg11_affected(spark, d):
+    return spark.createDataFrame([(state.affected(tables.newsletters(spark, d), F.col("processing_status") == "scoring"),)], "affected long")
+
+
+@query("SELECT id, processing_status FROM v_newsletters WHERE id = '1' UNION ALL SELECT id, processing_status FROM (SELECT * FROM v_newsletters WHERE processing_status = 'scored' ORDER BY ingested_at DESC, id DESC LIMIT 1)", True)
+def src11_lookups(spark, d):
+    n = tables.newsletters(spark, d).withColumn("hash", F.col("processing_status"))
+    return state.lookup(n, id="1").unionByName(state.lookup(n, hash="scored")).select("id", "processing_status")
+
+
+# --- parameters and small texts -------------------------------------------------------------------
+
+_GIVEN = "CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN {day} WHEN 2 THEN {time} || 'Z' WHEN 3 THEN {time} || '+02:00' ELSE 'soon' END"
+_DAY, _TIME = "strftime(o_orderdate, '%Y-%m-%d')", "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S')"
+
+
+@query("SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 1 THEN CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) WHEN 2 THEN date_trunc('second', o_orderdate) WHEN 3 THEN date_trunc('second', o_orderdate) - INTERVAL '2' HOUR END AS bound, o_orderkey % 5 <> 4 AS valid FROM orders")
+def dt4_time_bounds(spark, d):
+    given = F.expr(_GIVEN.format(day="date_format(o_orderdate, 'yyyy-MM-dd')", time="date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss\")"))
+    return tables.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), text.time_bound(given).alias("bound"), text.is_time_bound(given).alias("valid"))
+
+
+_PRESET = "CASE o_orderkey % 4 WHEN 0 THEN '24h' WHEN 1 THEN 'week' WHEN 2 THEN 'month' ELSE 'any' END"
+
+
+@query(f"""SELECT id, since, CASE WHEN since = '' THEN 'any' WHEN n <= 1 THEN '24h' WHEN n <= 7 THEN 'week' ELSE 'month' END AS preset FROM (SELECT *, floor(date_diff('second', CAST(nullif(since, '') AS TIMESTAMP), o_orderdate) / 86400.0 + 0.5) AS n FROM
+  (SELECT o_orderkey AS id, o_orderdate, CASE {_PRESET} WHEN '24h' THEN strftime(o_orderdate - INTERVAL '1' DAY, '%Y-%m-%d') WHEN 'week' THEN strftime(o_orderdate - INTERVAL '7' DAY, '%Y-%m-%d') WHEN 'month' THEN strftime(o_orderdate - INTERVAL '30' DAY, '%Y-%m-%d') ELSE '' END AS since FROM orders))""")
+def dt7_range_presets(spark, d):
+    now = F.col("o_orderdate")
+    ranged = tables.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), now, text.range_from(F.expr(_PRESET), now).alias("since"))
+    return ranged.select("id", "since", text.preset_of(F.col("since"), now).alias("preset"))
+
+
+_COLOURS = "CASE p_partkey % 3 WHEN 0 THEN 'hsl(' || CAST(p_size * 9 AS {0}) || ', 62%, 56%)' WHEN 1 THEN 'HSL( ' || CAST(p_size AS {0}) || '.5, 1%, 2%)' ELSE 'red' END"
+
+
+@query("SELECT p_partkey AS id, CAST(CASE p_partkey % 3 WHEN 0 THEN (p_size * 9) % 360 WHEN 1 THEN p_size + 1 ELSE 40 END AS INT) AS hue FROM part")
+def hsh3_hues(spark, d):
+    return tables.table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.hue_of(F.expr(_COLOURS.format("STRING"))).alias("hue"))
+
+
+_IDS = "CASE WHEN c_custkey % 2 = 0 THEN concat_ws('-', substr(md5(c_name), 1, 8), substr(md5(c_name), 9, 4), substr(md5(c_name), 13, 4), substr(md5(c_name), 17, 4), substr(md5(c_name), 21, 12)) ELSE c_name END"
+
+
+@query("SELECT c_custkey AS id, c_custkey % 2 = 0 AS valid FROM customer")
+def flt13_valid_ids(spark, d):
+    return tables.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), text.is_uuid(F.expr(_IDS)).alias("valid"))
+
+
+@query("SELECT event_id AS id, CASE WHEN event_id % 3 = event_id % 2 THEN 'none' ELSE ['none', 'up'][CAST(event_id % 2 AS INT) + 1] END AS rating FROM events")
+def ui5_rating_choice(spark, d):
+    name = lambda n: F.element_at(F.array(F.lit("none"), F.lit("up"), F.lit("down")), (F.col("event_id") % n + 1).cast("int"))
+    return tables.table(spark, d, "events").select(F.col("event_id").alias("id"), text.next_rating(name(3), name(2)).alias("rating"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '' ELSE url END AS web, CASE WHEN page_id % 3 = 0 THEN 'https://b/#/items/' || page_id ELSE url END AS link FROM pages")
+def url3_web_links(spark, d):
+    raw = F.when(F.col("page_id") % 3 == 0, F.regexp_replace("url", "^https?", "ftp")).otherwise(F.col("url"))
+    pages = tables.table(spark, d, "pages").select("page_id", text.web_only(raw).alias("web"))
+    return pages.select("page_id", "web", text.item_link(F.col("web"), "https://b", F.col("page_id").cast("string")).alias("link"))
+
+
+@query("SELECT doc_id AS id, " + _strip("text") + " AS body FROM documents")
+def txt17_unfenced(spark, d):
+    t = F.col("text")
+    fenced = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" ```json\n"), t, F.lit("\n```\n"))).otherwise(t)
+    return tables.table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.unfence(fenced).alias("body"))
+
+
+@query("SELECT doc_id AS id, source || ' part ' || lang AS name FROM documents")
+def txt19_source_names(spark, d):
+    return tables.table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.source_title(F.concat(F.lit("/a.b/"), "source", F.lit("-part_"), "lang", F.lit(".html"))).alias("name"))
+
+
+@query("SELECT c_custkey AS id, [c_name, c_mktsegment] AS parts FROM customer")
+def arr2_csv(spark, d):
+    return tables.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), text.csv_list(F.concat(F.lit(" "), "c_name", F.lit(",\t"), "c_mktsegment", F.lit("\u00a0,, "))).alias("parts"))
+
+
+@query("SELECT doc_id AS id, text AS body FROM documents")
+def html3_visible(spark, d):
+    return tables.table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.strip_invisible(F.replace("text", F.lit("e"), F.lit("\u200be\u00ad"))).alias("body"))
+
+
+_BLOCK = "regexp_replace(" + _strip("array_to_string(list_transform(string_split(text, chr(10)), lambda x: " + _BODY.replace("text", "x") + "), chr(10))") + ", '\\n{3,}', chr(10) || chr(10), 'g')"
+
+
+@query(f"SELECT doc_id AS id, {_BLOCK} AS body FROM (SELECT doc_id, replace(text, '. ', '. ' || chr(10) || ' ' || chr(10) || chr(10)) AS text FROM documents)")
+def html4_block_lines(spark, d):
+    return tables.table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.block_text(F.replace("text", F.lit(". "), F.lit(". \n \n\n"))).alias("body"))
+
+
+@query("SELECT doc_id AS id, i - 1 AS position, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))")
+def win3_ordinals(spark, d):
+    lines = tables.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", "\n")).alias("position", "line"))
+    return lines.withColumn("position", F.col("position").cast("long"))

@@ -1,16 +1,22 @@
-"""Streams: intake with dedupe, and the polled queue as micro-batches."""
+"""Streams: intake with dedupe, and the polled queue as micro-batches over versioned tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lectern.operators import scoring, state
 
-def intake(spark: SparkSession, path: str, schema: str, files: int = 5) -> DataFrame:
-    """Deliveries from a drop folder, a bounded number of files at a time, each message id once."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path).dropDuplicates(["message_id"])
+
+def intake(spark: SparkSession, path: str, schema: str, files: int = 5, within: str = "7 days", time: str = "received_at") -> DataFrame:
+    """Deliveries from a drop folder, a bounded number of files at a time, each message id once. A delivery that comes again
+    is known for as long as ``within`` tells after its time; state of earlier ones is let go."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    return stream.withWatermark(time, within).dropDuplicatesWithinWatermark(["message_id"])
 
 
 def start(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
@@ -20,6 +26,58 @@ def start(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoin
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def stop(query: StreamingQuery) -> None:
+    """Ends a stream after the batch it is in."""
+    query.stop()
+    query.awaitTermination()
+
+
 def into_batches(path: str) -> Callable[[DataFrame, int], None]:
     """A handler that keeps each batch's rows in a folder of its own."""
     return lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+
+@dataclass(frozen=True)
+class Tables:
+    """Newsletters and stories below a folder, in numbered versions: a batch reads one and writes the next, so that
+    doing it again gives the same."""
+
+    spark: SparkSession
+    path: str
+
+    def read(self, name: str, version: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}/v{version}")
+
+    def write(self, df: DataFrame, name: str, version: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/{name}/v{version}")
+
+
+def recover(newsletters: DataFrame, stories: DataFrame, tables: Tables) -> None:
+    """Writes version 0: newsletters that were being scored when the last worker ended go back to the queue."""
+    tables.write(state.requeue_stale(newsletters), "newsletters", 0)
+    tables.write(stories, "stories", 0)
+
+
+def tick(tables: Tables, scorer: scoring.Scorer, now: str, limit: int = 5, topics: tuple[str, ...] = (), most: int = 3) -> Callable[[DataFrame, int], None]:
+    """A handler: batch n reads version n, claims the oldest pending newsletters, scores them, routes each by its outcome,
+    replaces its stories if it is scored, and writes version n + 1. ``now`` is the time written."""
+
+    def handle(_: DataFrame, n: int) -> None:
+        newsletters, stories = tables.read("newsletters", n), tables.read("stories", n)
+        tables.write(state.claim(newsletters, limit), "claimed", n)
+        claimed = tables.read("claimed", n)
+        tables.write(scoring.score(claimed.filter("claimed"), scorer, topics, most), "scored", n)  # a table: the model is asked once
+        scored = tables.read("scored", n)
+        tables.write(scoring.persist(stories, scored, scorer.name, F.lit(now).cast("timestamp_ntz")), "stories", n + 1)
+        error = F.when(F.col("_status") == "failed", F.col("_outcome")).when(F.col("_status").isNull(), F.col("scoring_error"))
+        told = claimed.drop("claimed").join(scored.select("id", F.col("status").alias("_status"), F.col("outcome").alias("_outcome")), "id", "left")
+        after = told.withColumns({"processing_status": F.coalesce("_status", "processing_status"), "scoring_error": error}).drop("_status", "_outcome")
+        tables.write(after, "newsletters", n + 1)
+
+    return handle
+
+
+def poll(spark: SparkSession, handle: Callable[[DataFrame, int], None], checkpoint: str, every: str = "30 seconds") -> StreamingQuery:
+    """Runs a handler at once and then at an interval, without rows."""
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+    return start(ticks, handle, checkpoint, every)

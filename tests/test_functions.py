@@ -2,10 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import markup, model_json, segments, text
-from lectern.operators import reads, state
+from lectern.operators import intake, reads, scoring, state
 from lectern.plans import catalog
 from lectern.sources import mail
 from lectern.streaming import jobs
@@ -16,7 +17,15 @@ def one(spark, value, f):
 
 
 def test_repair(spark):
-    for raw, good in (("trains in_ _ _ _ _on time", "trains in on time"), ("with with it", "with it"), ("Cathedral cathedral", "Cathedral"), ("a ______ b", "a b"), ("no, no", "no, no"), ("plain text", "plain text"), ("well-known well-known", "well-known")):
+    cases = (
+        ("trains in_ _ _ _ _on time", "trains in on time"), ("tap ____ here", "tap here"), ("x * * * * y", "x y"),
+        ("cats and and dogs", "cats and dogs"), ("went with with them", "went with them"), ("an old-style chapel chapel stands", "an old-style chapel stands"),
+        ("so so so late", "so late"), ("An an apple", "An apple"), ("to follow...", "to follow..."), ("a true line.—AB", "a true line.—AB"),
+        ("Day-by-day, well-kept, 99-year-old", "Day-by-day, well-kept, 99-year-old"), ("by Ann B. and Carl B. for all", "by Ann B. and Carl B. for all"),
+        ("start of what became the start", "start of what became the start"), ("At last. Last of all", "At last. Last of all"), ("Nothing odd here.", "Nothing odd here."), ("", ""),
+        ("trains in_ _ _ _on the the track", "trains in on the track"), ("Cathedral cathedral", "Cathedral"), ("no, no", "no, no"), ("well-known well-known", "well-known"),
+    )
+    for raw, good in cases:
         assert one(spark, raw, text.repair) == good
 
 
@@ -34,12 +43,38 @@ def test_markup(spark):
 
 
 def test_segments():
-    body = "Top news about trains today in town.\nMore on it.\nMARKETS\nStocks fell sharply on Monday morning after data.\nEnd."
-    siblings = [(0, "Top news about trains today", "Trains"), (1, "Stocks fell sharply on Monday", "Stocks")]
+    body = "Top news about trains today in town.\nMore on it.\nMARKETS\nShares in brief\nStocks fell sharply on Monday morning after data.\nEnd."
+    siblings = [(0, "Top news about trains today", "Trains"), (1, "Stocks fell sharply on Monday", "Shares in brief")]
     assert segments.segment(body, siblings, 0) == "Top news about trains today in town.\nMore on it."
-    assert segments.segment(body, siblings, 1).startswith("Stocks fell") and segments.segment(body, siblings, 1).endswith("End.")
+    assert segments.segment(body, siblings, 1) == "Stocks fell sharply on Monday morning after data.\nEnd."
     assert segments.segment(body, [(0, "nothing of the kind here", "")], 0) == ""
-    assert segments.is_label("MARKETS") and not segments.is_label("- X") and not segments.is_label("Markets")
+    assert segments.is_label("MARKETS") and not segments.is_label("- X") and not segments.is_label("Markets") and not segments.is_label("日本")
+
+
+def test_segments_end_as_they_stand():
+    first, second = "Harbour works start in the spring as planned", "Ferry fares rise again this coming autumn season"
+    two = [(1, first, "Harbour"), (2, second, "Ports and fares")]
+    # The last part runs to the end, also if that looks like a label; a label stays where no title is found.
+    assert segments.segment(f"{first}.\n\n{second}.\nNATO", two, 2) == f"{second}.\nNATO"
+    assert segments.segment(f"{first}.\n\nWORLD\n\n{second}.", [(1, first, ""), (2, second, "absent title words")], 1) == f"{first}.\n\nWORLD"
+    # One label goes, not two; the part's own byline stays; a title of under four characters cuts nothing.
+    assert segments.segment(f"{first}.—BH\n\nWORLD\n\nPORTS\n\nPorts and fares\n\nAnn Lee\n\n{second}.", two, 1) == f"{first}.—BH\n\nWORLD"
+    assert segments.segment(f"{first}.\n\nSea\n\n{second}.", [(1, first, ""), (2, second, "Sea")], 1) == f"{first}.\n\nSea"
+
+
+def test_segments_find_their_place():
+    a, b, c = "Alpha towers open their doors to all this week", "A word from our sponsor about new garden chairs", "Beta bridges close for repairs over the long summer"
+    # The next anchor in the text ends a part, whatever its position.
+    assert segments.segment(f"{a}.\n\n{b}.\n\n{c}.", [(1, a, ""), (3, b, ""), (2, c, "")], 1) == f"{a}."
+    assert segments.segment(f"{a}.\n\n{c}.", [(1, a, ""), (2, c, "")], 2) == f"{c}."
+    # Words added, doubled or garbled in an anchor do not hide its place.
+    for odd in ("Alpha towers open up their doors to all this week", "Alpha towers open open their doors to all this week", "Alpha towers open their doors to none as before"):
+        assert segments.segment(f"{a}.\n\n{c}.", [(1, odd, ""), (2, c, "")], 1) == f"{a}."
+    # A list of contents at the top loses to the text itself, and a shared first word does not end a part.
+    long_a, long_c = f"{a}, and so on for many a line that follows here.", f"{c}, with more detail to come at the end of it."
+    assert segments.segment(f"{a}\n\n{c}\n\n{long_a}\n\n{long_c}", [(1, a, ""), (2, c, "")], 1) == long_a
+    other = "Alpha also runs a small museum near the old town gate"
+    assert segments.segment(f"{a}.\n\n{other}.", [(1, a, ""), (2, other, "")], 1) == f"{a}."
 
 
 def test_segments_of_all_siblings(spark, tmp_path):
@@ -73,10 +108,115 @@ def test_parse_items_of_whole_turns(spark, tmp_path):
 
 
 def test_mail():
-    raw = b'From: "A B" <A@x.org>\r\nSubject: =?utf-8?q?caf=C3=A9?=\r\nMessage-ID: <1@x>\r\nContent-Type: multipart/mixed; boundary=b\r\n\r\n--b\r\nContent-Type: text/html\r\n\r\n<p>see https://x.org/a.</p>\r\n--b\r\nContent-Type: text/plain\r\nContent-Disposition: attachment; filename=f.txt\r\n\r\nhello\r\n--b--\r\n'
+    raw = b'From: "A B" <A@x.org>\r\nSubject: =?utf-8?q?caf=C3=A9?=\r\nMessage-ID: <1@x>\r\nDate: Mon, 02 Jun 2025 10:00:00 +0200\r\nContent-Type: multipart/mixed; boundary=b\r\n\r\n--b\r\nContent-Type: text/html\r\nContent-Transfer-Encoding: quoted-printable\r\n\r\n<p>see https://x.org/a=2E</p>\r\n--b\r\nContent-Type: text/plain\r\n\r\nplain https://x.org/other\r\n--b\r\nContent-Type: application/pdf\r\nContent-Disposition: attachment; filename=f.pdf\r\nContent-Transfer-Encoding: base64\r\n\r\naGVsbG8=\r\n--b--\r\n'
     m = mail.parse(raw)
     assert (m["from_addr"], m["from_name"], m["subject"], m["message_id"]) == ("A@x.org", "A B", "café", "1@x")
-    assert m["attachments"] == [{"filename": "f.txt", "content_type": "text/plain", "size": 5}] and m["links"] == ["https://x.org/a.</p>".split("<")[0].rstrip(".")]
+    assert m["attachments"] == [{"filename": "f.pdf", "content_type": "application/pdf", "size": 5}] and m["links"] == ["https://x.org/a"]
+    assert m["received_at"] == "2025-06-02T08:00:00+00:00" and m["body_text"].startswith("plain")
+    plain = mail.parse(b"From: not an address\r\n\r\nMore: https://n.example/a, and https://n.example/b.\r\n")
+    assert plain["from_addr"] == "not an address" and plain["links"] == ["https://n.example/a", "https://n.example/b"] and plain["raw_html"] == ""
+    assert mail.parse(b"no message at all") is None
+
+
+def test_drops_and_fixtures(spark, tmp_path):
+    rows = [("<p>a</p>", "s", "Ann <a@x.org>", "", "m", "2025-06-02T10:00:00+02:00"), ("<p>b</p>", "", "a@x.org", "Given", "", ""), ("\n", "", "", "", "", ""), ("<p>c</p>", "", "", "", "", "2025-06-02"), ("<p>d</p>", "", "who knows", "", "", None)]
+    got = [tuple(r) for r in mail.drops(spark.createDataFrame(rows, "html string, subject string, `from` string, from_name string, message_id string, received_at string")).select("raw_html", "from_addr", "from_name", F.col("received_at").cast("string")).collect()]
+    assert got == [("<p>a</p>", "a@x.org", "Ann", "2025-06-02 08:00:00"), ("<p>b</p>", "a@x.org", "Given", None), ("<p>d</p>", "who knows", "", None)]
+    for name, content in (("b-news_one.HTML", "<p>a</p><p>b</p>"), ("a.txt", "x \n y"), ("c.pdf", "no")):
+        (tmp_path / name).write_text(content)
+    assert [tuple(r) for r in mail.read_fixtures(spark, str(tmp_path)).collect()] == [("a.txt", "a", "text", "x y"), ("b-news_one.HTML", "b news one", "html", "a b")]
+
+
+def test_ingest(spark):
+    none = None
+    rows = [(1, " A@x.org ", "", none, "m1", "<p>Hello  there</p>", "", none), (2, "b@x.org", "B", "s", "", "", "HELLO THERE", none), (3, "", "", none, "m1", "", "other", none), (4, "b@x.org", "", none, none, "", "New text", none), (5, "c@x.org", "", none, none, "", "new  TEXT", none), (6, "c@x.org", "", none, none, "", " ", none)]
+    sent = spark.createDataFrame(rows, "seq int, from_addr string, from_name string, subject string, message_id string, raw_html string, body_text string, received_at timestamp_ntz")
+    news = intake.normalised(sent, F.lit("2025-01-01").cast("timestamp_ntz"))
+    assert [(r["identity"], r["name"], r["body_text"]) for r in news.orderBy("seq").collect()][:3] == [("a@x.org", "a", "Hello there"), ("b@x.org", "B", "HELLO THERE"), ("unknown", "unknown", "other")]
+    told = {r["seq"]: r for r in intake.ingest(news).collect()}
+    assert [told[i]["duplicate"] for i in range(1, 7)] == [False, True, True, False, True, False]
+    assert told[2]["id"] == told[1]["id"] == told[3]["id"] and told[5]["id"] == told[4]["id"] != told[6]["id"] and told[5]["source_id"] == told[6]["source_id"]
+
+
+def test_parameters():
+    parse = reads.ArchiveFilter.parse
+    assert parse({}) == reads.ArchiveFilter() and parse({"limit": "900", "offset": "3", "q": "x"}) == reads.ArchiveFilter(query="x", limit=500, offset=3)
+    assert parse({"from": "2025-06-02T10:00:00+02:00", "to": "2025-07-01"}) == reads.ArchiveFilter(since="2025-06-02 08:00:00", until="2025-07-01 00:00:00")
+    for bad in ({"limit": "0"}, {"limit": "x"}, {"offset": "-1"}, {"from": "soon"}, {"to": "2025-06-02 10:00"}, {"from": "2025-13-01"}):
+        with pytest.raises(ValueError):
+            parse(bad)
+    assert text.base_url("https://c", "h") == "https://c" and text.base_url("", "h", "https") == "https://h" and text.base_url("", "h") == "http://h"
+
+
+def test_sessions_and_lookups(spark):
+    known, at = spark.createDataFrame([("a", None)], "label string, last_viewed_at timestamp_ntz"), F.lit("2025-01-01").cast("timestamp_ntz")
+    with pytest.raises(LookupError):
+        state.touch(known, "b", at)
+    assert {r["label"]: str(r["last_viewed_at"]) for r in state.mark_seen(known, at).collect()} == {"a": "None", "default": "2025-01-01 00:00:00"}
+    assert state.lookup(spark.createDataFrame([("1", "m", "h", 1), ("2", None, "h", 2)], "id string, message_id string, hash string, ingested_at int"), hash="h").first()["id"] == "2"
+
+
+def test_item_detail(spark):
+    html = "<p>Harbour works start in the spring as planned here.</p><p>Ferry fares rise again this coming autumn season.</p>"
+    stories = spark.createDataFrame([("1", "n", 0, "Harbour works start in the spring", ""), ("2", "n", 1, "Ferry fares rise again this coming", ""), ("3", "o", 0, "Alone in its letter as it were", "")], "id string, newsletter_id string, position int, snippet string, title string")
+    news = spark.createDataFrame([("n", html), ("o", html)], "id string, raw_html string")
+    got = {r["id"]: (r["segmented"], r["segment_text"]) for r in reads.item_detail(stories.filter("id <> '2'"), stories, news).collect()}
+    assert got == {"1": (True, "Harbour works start in the spring as planned here."), "3": (False, None)}
+
+
+def test_retry():
+    waits, calls = [], []
+
+    def failing(*statuses):
+        left = list(statuses)
+
+        def call(prompt):
+            calls.append(prompt)
+            if left:
+                raise scoring.TransportError(left.pop(0))
+            return "[]"
+
+        return call
+
+    assert scoring.with_retry(failing(0, 503), "p", sleep=waits.append) == "[]" and waits == [2.0, 4.0]
+    for statuses, n in (((404,), 1), ((0, 0, 0), 3)):
+        calls.clear()
+        with pytest.raises(scoring.TransportError):
+            scoring.with_retry(failing(*statuses), "p", sleep=waits.append)
+        assert len(calls) == n
+
+
+def test_worker(spark, tmp_path, monkeypatch):
+    import time
+
+    class Scripted:
+        """A model whose answer is told by the newsletter's subject."""
+
+        name, deterministic = "scripted", False
+
+        def __call__(self, prompt):
+            kind = prompt.split("Subject: ")[1].split("\n")[0]
+            if kind == "down":
+                raise scoring.TransportError(503)
+            return {"good": '[{"title":"T","url":"https://n/1","kind":"story","relevance_score":80},{"title":"Ad","kind":"ad","relevance_score":9}]', "cut": '[{"title":"K"},{"title":"L', "none": "[]"}.get(kind, "no")
+
+    monkeypatch.setattr(scoring.answers, "__defaults__", (0, 0.0))
+    rows = [("a", "good", "x", "scoring", 0), ("b", "cut", "x", "pending_scoring", 0), ("c", "cut", "x", "pending_scoring", 2), ("d", "none", "x", "pending_scoring", 2), ("e", "down", "x", "pending_scoring", 7), ("f", " ", None, "pending_scoring", 0), ("g", "odd", "x", "pending_scoring", 0)]
+    news = spark.createDataFrame([(*r, None, i, "s") for i, r in enumerate(rows)], "id string, subject string, body_text string, processing_status string, scoring_attempts int, scoring_error string, ingested_at int, source_id string")
+    old = spark.createDataFrame([("o1", "a", 0, "https://n/1", True, None, None, "story"), ("o2", "z", 0, "https://n/1", True, None, None, "story")], "id string, newsletter_id string, position int, url string, bookmarked boolean, user_rating int, opened_at timestamp_ntz, kind string")
+    tables = jobs.Tables(spark, str(tmp_path / "t"))
+    jobs.recover(news, old, tables)
+    assert tables.read("newsletters", 0).filter("processing_status = 'scoring'").count() == 0
+    query = jobs.poll(spark, jobs.tick(tables, Scripted(), "2025-01-01", limit=10), str(tmp_path / "c"), "1 second")
+    began = time.time()
+    while time.time() - began < 120 and not (tmp_path / "t/newsletters/v1/_SUCCESS").exists():
+        time.sleep(0.5)
+    jobs.stop(query)
+    after = {r["id"]: (r["processing_status"], r["scoring_attempts"], r["scoring_error"]) for r in tables.read("newsletters", 1).collect()}
+    assert after == {"a": ("scored", 1, None), "b": ("pending_scoring", 1, None), "c": ("scored", 3, None), "d": ("failed", 3, "empty"), "e": ("pending_scoring", 8, None), "f": ("scored", 1, None), "g": ("failed", 1, "error")}
+    stories = {(r["newsletter_id"], r["position"]): r for r in tables.read("stories", 1).collect()}
+    assert set(stories) == {("a", 0), ("a", 1), ("c", 0), ("z", 0), ("c", 1)} or set(stories) == {("a", 0), ("a", 1), ("c", 0), ("z", 0)}
+    assert stories["a", 0]["bookmarked"] and stories["a", 0]["relevance_score"] == 80 and stories["a", 0]["source_id"] == "s" and stories["a", 1]["relevance_score"] is None and not stories["a", 1]["bookmarked"]
 
 
 def test_dedupe_precedence(spark):
@@ -99,9 +239,9 @@ def test_rollup_of_a_source_without_stories(spark):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    rows = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3), ("c", 4)], "message_id string, n int")
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3), ("c", 4)], "message_id string, n int").withColumn("received_at", F.lit("2025-01-01").cast("timestamp") + F.make_dt_interval(F.col("n")))
     for i, part in enumerate(rows.randomSplit([0.5, 0.5], 1)):
         part.write.parquet(str(tmp_path / "in" / str(i)))
-    stream = jobs.intake(spark, str(tmp_path / "in" / "*"), "message_id string, n int", files=1)
+    stream = jobs.intake(spark, str(tmp_path / "in" / "*"), "message_id string, n int, received_at timestamp", files=1)
     jobs.start(stream, jobs.into_batches(str(tmp_path / "out")), str(tmp_path / "state")).awaitTermination()
     assert sorted(r["message_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
