@@ -1,21 +1,27 @@
 """Language-model scoring by online logistic context mixing.
 
 A text is its lower-cased words, each closed by a space, and one end symbol. Symbols are written in a prefix
-code fitted to the corpus, and every bit of that code is predicted: for several contexts (the text's
-class with the last 1 to 4 bytes in the word, or with the word so far) a table holds how often the bit was 0 and
-1 in training at each node of the code. A context is a 64-bit key and shares its counts with no other; the tables
-grow with the distinct contexts. Their stretched probabilities are combined by weights that
-a gate selects (how many contexts are known, and the place in the word), learned online by gradient descent
-over the training words, as often as they occur, with each occurrence left out of its own counts. While a text is scored, corrections
-to the mix adapt to it bit by bit, and the bits' code lengths add up to the text's probability.
-
-The class of a text, a language as found by trees fitted to the training documents, is coded first at the
+code fitted to the corpus, and every bit of that code is predicted by several contexts, which hold how often the bit was 0
+and 1 in training at each node of the code:
+
+* the first symbol of a word (or the text's end) by the text's class, by the word before, and by the class with the last two
+  bytes before the border. The latter two are hashed to 4096 contexts each, so these tables have a fixed size and are broadcast;
+* all other symbols by the class with the last 1 to 4 bytes of the word, or with the word so far. Such a context
+  is a 64-bit key and shares its counts with no other; the tables grow with the distinct contexts.
+
+The stretched probabilities are combined by weights that a gate selects (how many contexts are known, and the place in the
+word), learned online by gradient descent over the training words, as often as they occur, with each occurrence left out of its
+own counts. A table by gate and probability, counted in the same pass, refines the mix. While a text is scored, the mix adapts
+to it: for several rates, a word is predicted with that rate from the words of the text so far, and for several more from the
+words' frequencies in training; the text's probability is the mean over the rates, so that those win which fit the text.
+
+The class of a text, the language whose trees (fitted to the training documents) code its words best, is coded first at the
 same cost for every class, so the whole remains a probability of the text.
 
-The corpus is read once, into blocks of documents with the block's own list of words. Words are counted over
-all blocks by a shuffle on the word. Each block sends its contexts and symbols with their counts to the parts of
-the tables, twice as many as blocks, and each part sends back the sums at the nodes that the block needs; words' counts
-come back likewise. Only the code and the gates' weights are broadcast. A bit's contexts end at the word's edge.
+The corpus is read once, into blocks of documents with the block's own list of words. Blocks send their words to parts by the
+word's hash, where equal words meet, are counted exactly and get their costs; the parts send their contexts to the parts of the
+tables and get back the counts at the nodes that they need. Parts grow in number with the tokens; what a part or block
+holds does not. Only the code, the gates' weights and the tables of fixed size are broadcast.
 """
 
 from __future__ import annotations
@@ -27,20 +33,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, langid
 
-#: Contexts, gates.
-CONTEXTS, GATES = 5, 18
+#: Contexts and gates inside words; contexts and gates at their beginnings, and the values of a hash there.
+CONTEXTS, GATES, BEGIN, BEGIN_GATES, HASHED = 5, 18, 3, 4, 4096
 END, SPACE = 256, 32
-#: Bits of one text after which its corrections start anew, bits between updates, the rates.
-SEGMENT, STEP, RATE, LEARN = 16_384, 8, 0.004, 0.02
-#: Inputs that corrections apply to, after the mix: the contexts of three bytes and of the word so far. Bounds of a logit.
-ADAPTED, MOST = (2, 4), 11.0
-#: Bytes of text of a block; tokens scored at a time.
-BLOCK, TOKENS = 14 << 20, 400_000
+#: Learning rate, bound of a logit, bits between two steps of learning, and places of the refining table.
+LEARN, MOST, BATCH, PLACES = 0.02, 11.0, 1 << 14, 45
+#: Rates at which a text's own words predict the next one, and at which whole words' frequencies do in the rest.
+RATES, WHOLE = (0.0, 0.02, 0.1, 0.3, 0.6), (0.0, 0.5, 0.9)
+#: Bytes of text of a block; tokens of the corpus for each part of the words and of the tables; slices in which fixed tables are merged.
+BLOCK, PART, SLICES = 12 << 20, 1 << 22, 64
 
 
 def held_out():
@@ -78,6 +85,13 @@ class Code:
         flat = [x for s in range(257) for x in paths[s]]
         self.node, self.bit = np.array([x[0] for x in flat], np.uint64), np.array([x[1] for x in flat], np.int8)
 
+    def nodes(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each node (a column) sees 0 and 1, of contexts (rows) with counts of symbols."""
+        to = np.zeros((2, 257, 256))
+        symbol = np.repeat(np.arange(257), self.size)
+        to[self.bit, symbol, self.node.astype(np.int64)] = 1
+        return (counts @ to[0]).astype(np.float32), (counts @ to[1]).astype(np.float32)
+
 
 def _symbols(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The words' symbols, each word closed by a space, and the first of each; the empty word is a text's end."""
@@ -108,17 +122,20 @@ def _contexts(s: np.ndarray, first: np.ndarray, classes: np.ndarray) -> Iterator
 
 
 class Edges:
-    """The distinct edges, pairs of context and symbol, of a list of words, dealt to the parts of the tables by context."""
+    """The distinct edges, pairs of context and symbol, inside a list of words, dealt to the parts of the tables by context."""
 
     def __init__(self, words: pa.Array, classes: np.ndarray, parts: int):
-        s, self.first = _symbols(words)
-        each = np.diff(self.first)
-        self.symbol, self.at, contexts, symbols, n = s.astype(np.int16), [], [], [], 0
-        self.place = np.minimum(np.arange(len(s)) - np.repeat(self.first[:-1], each), 2).astype(np.int8)
-        for h in _contexts(s, self.first, classes):
-            key = common.mix64(h ^ ((s.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)))
+        s, first = _symbols(words)
+        place = np.arange(len(s)) - np.repeat(first[:-1], np.diff(first))
+        inner = np.flatnonzero(place > 0)
+        self.first = np.concatenate(([0], np.cumsum(np.diff(first) - 1)))
+        self.symbol, self.at, contexts, symbols, n = s[inner].astype(np.int16), [], [], [], 0
+        self.place = np.minimum(place[inner] - 1, 2).astype(np.int8)
+        for h in _contexts(s, first, classes):
+            h = h[inner]
+            key = common.mix64(h ^ ((s[inner].astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)))
             at = pa.array(key).dictionary_encode().indices.to_numpy()
-            new = np.flatnonzero(np.diff(np.maximum.accumulate(at), prepend=-1))
+            new = np.flatnonzero(np.diff(np.maximum.accumulate(at), prepend=-1)) if len(at) else np.zeros(0, np.int64)
             contexts.append(h[new])
             symbols.append(self.symbol[new])
             self.at.append(at + np.int32(n))
@@ -135,19 +152,17 @@ class Edges:
 
 
 class Model:
-    """The code, the gates' weights, and of a list of words the counts of zeros and ones at each node of its edges."""
+    """The code, and of a list of words the counts of zeros and ones at each node of its edges."""
 
-    def __init__(self, code: Code, edges: Edges, pairs: np.ndarray, weights: np.ndarray):
-        self.code, self.edges, self.weights = code, edges, weights.astype(np.float32)
+    def __init__(self, code: Code, edges: Edges, pairs: tuple[np.ndarray, np.ndarray]):
+        self.code, self.edges = code, edges
         sizes = code.size[edges.of[edges.order]]
         self.start = np.empty(len(sizes), np.int64)
         self.start[edges.order] = np.cumsum(sizes) - sizes
-        self.zeros, self.ones = pairs[0], pairs[1]
-        #: The stretched probability in steps of 1/128, times 2, plus 1 if the node is known (a bit seen twice).
-        self.table = (np.rint((_LOG[self.ones] - _LOG[self.zeros]) * 128).astype(np.int16) << 1) | (np.maximum(self.zeros, self.ones) >= 2)
+        self.zeros, self.ones = pairs
 
     def bits(self, own: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-        """Of every bit of the words with these numbers: its place in the counts by context, the bit, the place in the word, and each word's first bit."""
+        """Of every bit inside the words with these numbers: its place in the counts by context, the bit, the place in the word, and each word's first bit."""
         e = self.edges
         n = np.diff(e.first)[own]
         to = np.concatenate(([0], np.cumsum(n)))
@@ -159,35 +174,98 @@ class Model:
         slots = [np.repeat(self.start[e.at[k][at]], size) + within for k in range(CONTEXTS)]
         return slots, self.code.bit[np.repeat(self.code.at[s], size) + within], np.repeat(e.place[at], size), starts[to]
 
-    def inputs(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Groups of STEP bits of the words with these numbers, each a row: the mix and the adapted contexts'
-        inputs of its bits, turned so that a positive number speaks for the bit that comes. Bits of the greatest
-        certainty fill up a word's last group. Also each word's first group and number of such bits."""
-        parts, groups, fills = [], [np.zeros(1, np.int64)], []
-        for lo in range(0, len(own), 2048):
-            slots, bit, place, first = self.bits(own[lo : lo + 2048])
-            x = np.empty((CONTEXTS, len(bit)), np.float32)
-            gate = place
-            for k in range(CONTEXTS):
-                v = self.table.take(slots[k])
-                gate = gate + (v & 1) * 3
-                np.multiply(v >> 1, np.float32(1 / 128), out=x[k])
-            mix = np.zeros(len(bit), np.float32)
-            for k in range(CONTEXTS):
-                mix += self.weights[:, k].copy().take(gate) * x[k]
-            n = np.diff(first)
-            wide = -(-n // STEP)
-            to = np.concatenate(([0], np.cumsum(wide)))
-            at = np.arange(len(bit)) + np.repeat(to[:-1] * STEP - first[:-1], n)
-            out = np.zeros((1 + len(ADAPTED), to[-1] * STEP), np.float32)
-            out[0] = 1000
-            sign = (2 * bit - 1).astype(np.float32)
-            for row, values in zip(out, (mix, *(x[k] for k in ADAPTED)), strict=True):
-                row[at] = values * sign
-            parts.append(out.reshape(len(out), -1, STEP).transpose(1, 0, 2).reshape(to[-1], -1))
-            groups.append(to[1:] + groups[-1][-1])
-            fills.append(wide * STEP - n)
-        return np.concatenate(parts), np.concatenate(groups), np.concatenate(fills)
+    def inputs(self, slots: list[np.ndarray], bit: np.ndarray, place: np.ndarray, left_out: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Stretched probabilities by context, and gates; if left out, without one occurrence of the bit."""
+        one = bit.astype(np.uint16)
+        x, gate = np.empty((CONTEXTS, len(bit)), np.float32), place.astype(np.int64)
+        for k in range(CONTEXTS):
+            zeros, ones = self.zeros.take(slots[k]), self.ones.take(slots[k])
+            if left_out:
+                zeros -= np.minimum(zeros, 1 - one)
+                ones -= np.minimum(ones, one)
+            np.subtract(_LOG.take(ones), _LOG.take(zeros), out=x[k])
+            gate += (np.maximum(zeros, ones) >= 2) * 3
+        return x, gate
+
+    def costs(self, mixer: Mixer, step: int = 4096) -> np.ndarray:
+        """Bits that all symbols but the first take of each word."""
+        n, out = len(self.edges.first) - 1, []
+        for lo in range(0, n, step):
+            slots, bit, place, first = self.bits(np.arange(lo, min(n, lo + step)))
+            z = mixer.mix(*self.inputs(slots, bit, place, False))
+            cost = np.concatenate(([0.0], np.cumsum(_cost(z, bit))))
+            out.append(np.diff(cost[first]))
+        return np.concatenate(out) if out else np.zeros(0)
+
+
+def _cost(z: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """Bits that a bit takes at a logit."""
+    return np.logaddexp(0, np.clip(np.where(bit > 0, -z, z), -MOST, MOST).astype(np.float64)) / np.log(2)
+
+
+class Mixer:
+    """Weights by gate, and a table that refines the mix by gate and logit."""
+
+    def __init__(self, weights: np.ndarray, seen: np.ndarray | None = None):
+        self.weights = weights.astype(np.float32)
+        self.more = None
+        if seen is not None:  # of each gate and place: occurrences, ones, and the sum of what was predicted
+            n, ones, told = (x.reshape(len(weights), PLACES) for x in seen)
+            logit = lambda k: np.log((k + 1) / (n - k + 1))
+            self.more = np.clip(logit(ones) - logit(np.minimum(told, n)), -2, 2).astype(np.float32)
+
+    def mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        z = np.zeros(x.shape[1], np.float32)
+        for k in range(len(x)):
+            z += self.weights[:, k].copy().take(gate) * x[k]
+        if self.more is not None:
+            at, part = _places(z)
+            flat = self.more.ravel()
+            z = z + (1 - part) * flat.take(gate * PLACES + at) + part * flat.take(gate * PLACES + at + 1)
+        return z
+
+
+def _places(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of a logit in the refining table, and how far it is to the next one."""
+    y = (np.clip(z, -MOST + 0.01, MOST - 0.01) + MOST) * ((PLACES - 1) / (2 * MOST))
+    at = y.astype(np.int64)
+    return at, (y - at).astype(np.float32)
+
+
+class Learner:
+    """Learns a mixer's weights online, in steps of equal weight; sums them up over the steps, and what the refining table counts."""
+
+    def __init__(self, gates: int, contexts: int):
+        self.weights = np.full((gates, contexts), 1.5 / contexts)
+        self.total, self.steps, self.seen = np.zeros_like(self.weights), 0, np.zeros((3, gates * PLACES))
+
+    def step(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, often: np.ndarray) -> None:
+        z = Mixer(self.weights).mix(x, gate)
+        p = (1 / (1 + np.exp(-np.clip(z, -MOST, MOST)))).astype(np.float64)
+        off, gates = (bit - p) * often, len(self.weights)
+        at, part = _places(z)
+        for place, share in ((at, 1 - part), (at + 1, part)):
+            for i, v in enumerate((1.0, bit, p)):
+                self.seen[i] += np.bincount(gate * PLACES + place, v * share * often, self.seen.shape[1])
+        sums = np.bincount(gate, often, gates) + 64
+        for k in range(len(x)):
+            self.weights[:, k] += LEARN * 8 * np.bincount(gate, off * x[k], gates) / sums
+        self.total += self.weights
+        self.steps += 1
+
+    def rows(self, kind: int) -> pa.Table:
+        """What is learned as numbers with their places, to be summed up over learners."""
+        values = np.concatenate((self.total.ravel(), [self.steps], self.seen.ravel()))
+        return pa.table({"kind": pa.array(np.full(len(values), kind, np.int32)), "i": pa.array(np.arange(len(values), dtype=np.int32)), "v": pa.array(values)})
+
+
+_LEARNED = "kind int, i int, v double"
+
+
+def _mixer(values: np.ndarray, gates: int, contexts: int) -> Mixer:
+    n = gates * contexts
+    weights = values[:n] / values[n] if values[n] else np.full(n, 1.5 / contexts)
+    return Mixer(weights.round(7).reshape(gates, contexts), values[n + 1 :].reshape(3, -1).round(3))
 
 
 def dealt(counts: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,83 +283,72 @@ def dealt(counts: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return own, weight, np.append(first, len(own))
 
 
-def learn(model: Model, counts: np.ndarray, weights: np.ndarray, batch: int = 1 << 14) -> tuple[np.ndarray, int]:
-    """One online pass over the words as often as they occur, each occurrence left out of its counts, in steps of
-    equal weight. Returns the sum of the gates' weights over the steps, and the steps."""
-    bits = int(model.code.size[model.edges.symbol].sum())
-    own, weight, first = dealt(counts, max(1, bits // batch))
-    total, steps = np.zeros_like(weights), 0
+def learn(model: Model, counts: np.ndarray) -> Learner:
+    """One online pass over the insides of words as often as they occur, each occurrence left out of its counts."""
+    own, weight, first = dealt(counts, max(1, int(model.code.size[model.edges.symbol].sum()) // BATCH))
+    learner = Learner(GATES, CONTEXTS)
     for lo, hi in zip(first[:-1], first[1:], strict=True):
-        if lo == hi:
-            continue
         slots, bit, place, starts = model.bits(own[lo:hi])
-        often = np.repeat(weight[lo:hi], np.diff(starts)).astype(np.float32)
-        one = bit.astype(np.uint16)
-        zero = 1 - one
-        x, gate = np.empty((CONTEXTS, len(one)), np.float32), place
-        z, now = np.zeros(len(one), np.float32), weights.astype(np.float32)
-        for k in range(CONTEXTS):
-            zeros, ones = model.zeros.take(slots[k]), model.ones.take(slots[k])
-            zeros -= np.minimum(zeros, zero)
-            ones -= np.minimum(ones, one)
-            np.subtract(_LOG.take(ones), _LOG.take(zeros), out=x[k])
-            gate = gate + (np.maximum(zeros, ones) >= 2) * 3
-        for k in range(CONTEXTS):
-            z += now[:, k].copy().take(gate) * x[k]
-        off = (one - 1 / (1 + np.exp(-np.clip(z, -MOST, MOST)))).astype(np.float32) * often
-        sums = np.bincount(gate, often, GATES) + 64
-        for k in range(CONTEXTS):
-            weights[:, k] += LEARN * 8 * np.bincount(gate, off * x[k], GATES) / sums
-        total += weights
-        steps += 1
-    return total, steps
+        if len(bit):
+            learner.step(*model.inputs(slots, bit, place, True), bit, np.repeat(weight[lo:hi], np.diff(starts)))
+    return learner
+
+
+class Begins:
+    """The contexts of words' first symbols: classes, then hashed words before, then hashed classes with the two bytes before."""
+
+    def __init__(self, code: Code, counts: np.ndarray):
+        self.code, self.classes = code, len(counts) - 2 * HASHED
+        self.zeros, self.ones = code.nodes(counts)
+
+    def inputs(self, contexts: np.ndarray, symbols: np.ndarray, left_out: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the bits of the symbols the stretched probabilities, gates and values, and each symbol's first bit. contexts: a row for each kind."""
+        size = self.code.size[symbols]
+        first = np.concatenate(([0], np.cumsum(size)))
+        at = np.arange(first[-1]) + np.repeat(self.code.at[symbols] - first[:-1], size)
+        node, bit = self.code.node[at].astype(np.int64), self.code.bit[at]
+        x, gate = np.empty((BEGIN, len(bit)), np.float32), np.zeros(len(bit), np.int64)
+        for k in range(BEGIN):
+            slot = np.repeat(contexts[k], size) * 256 + node
+            zeros, ones = self.zeros.ravel().take(slot), self.ones.ravel().take(slot)
+            if left_out:
+                zeros, ones = np.maximum(zeros - (bit == 0), 0), np.maximum(ones - (bit == 1), 0)
+            x[k] = np.log(ones + np.float32(0.4)) - np.log(zeros + np.float32(0.4))
+            if k:
+                gate += (zeros + ones >= 8) * k
+        return x, gate, bit, first
+
 
+# --- over the corpus ---------------------------------------------------------------------------
 
-def bits_of(rows: np.ndarray, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Code length of each text in bits, filling bits included. rows: groups of bits; ids: all texts' groups in
-    order; size: groups of each text.
 
-    Texts go side by side in segments; in each, corrections to the mix start at nothing and follow the error.
-    """
-    to, longest, inputs = np.concatenate(([0], np.cumsum(size))), SEGMENT // STEP, 1 + len(ADAPTED)
-    pieces = -(-size // longest)
-    owner = np.repeat(np.arange(len(size)), pieces)
-    number = np.arange(len(owner)) - np.repeat(np.concatenate(([0], np.cumsum(pieces)))[:-1], pieces)
-    start = to[:-1][owner] + number * longest
-    length = np.minimum(longest, to[1:][owner] - start)
-    order = np.argsort(-length, kind="stable")
-    start, length, owner = start[order], length[order], owner[order]
-    add, cost, live = np.zeros((inputs, len(start)), np.float32), np.zeros(len(start)), len(start)
-    add[0] = 1
-    for t in range(int(length[0]) if len(length) else 0):
-        while length[live - 1] <= t:
-            live -= 1
-        x = np.ascontiguousarray(rows.take(ids.take(start[:live] + t), axis=0).T).reshape(inputs, STEP, live)
-        z = x[0] * add[0, :live]
-        for i in range(1, inputs):
-            z += x[i] * add[i, :live]
-        np.clip(z, -MOST, MOST, out=z)
-        np.negative(z, out=z)
-        p = np.exp(z, out=z)
-        p += 1
-        np.reciprocal(p, out=p)
-        cost[:live] -= np.log2(p.prod(axis=0, dtype=np.float32).astype(np.float64))
-        np.minimum(x[0], 30, out=x[0])
-        p *= -RATE
-        p += RATE
-        for i in range(inputs):
-            add[i, :live] += (p * x[i]).sum(axis=0)
-    return np.bincount(owner, cost, len(size))
+def _squeezed(x: np.ndarray) -> bytes:
+    """Numbers by planes of bytes, compressed."""
+    return zlib.compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes(), 1)
 
 
-# --- over the corpus ---------------------------------------------------------------------------
+def _numbers(raw: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind)[:, 0]
+
 
-_BLOCK = "block long, doc_ids binary, null_ids binary, held binary, n_tokens binary, codes binary, words array<string>, classes array<int>, counts array<int>"
-_BLOCK_PA = pa.schema([("block", pa.int64()), *[(c, pa.binary()) for c in ("doc_ids", "null_ids", "held", "n_tokens", "codes")], ("words", pa.list_(pa.string())), ("classes", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
+def _text_of(words: pa.Array) -> tuple[bytes, bytes]:
+    """Words as their bytes and sizes, compressed."""
+    own = pa.concat_arrays([words])
+    size = pc.binary_length(own).to_numpy(zero_copy_only=False).astype("<u4")
+    raw = own.buffers()[2]
+    return zlib.compress(raw.to_pybytes()[: int(size.sum(dtype=np.int64))] if raw else b"", 1), _squeezed(size)
 
 
-def _list(values: pa.Array) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+def _words_of(text: bytes, sizes: bytes) -> pa.Array:
+    size = _numbers(sizes, "<u4")
+    ends = np.concatenate(([0], np.cumsum(size, dtype=np.int64))).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(zlib.decompress(text))])
+
+
+_BLOCK_FIELDS = ("doc_ids", "null_ids", "held", "n_tokens", "codes", "words", "sizes", "classes", "counts")
+_BLOCK = "block long, tokens long, " + ", ".join(f"{c} binary" for c in _BLOCK_FIELDS)
+_BLOCK_PA = pa.schema([("block", pa.int64()), ("tokens", pa.int64()), *[(c, pa.binary()) for c in _BLOCK_FIELDS]])
 
 
 def _blocks(shared):
@@ -290,15 +357,23 @@ def _blocks(shared):
     def pack(chunks: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
         table = pa.Table.from_batches(chunks).combine_chunks()
         texts, model = pc.fill_null(table["text"].combine_chunks(), ""), shared.value
-        kind = model.bits(texts)[0].argmin(axis=1) if len(model.languages) > 1 else np.zeros(len(texts), np.int64)
         words, starts = common.split_words(pc.ascii_lower(texts))
         coded = words.dictionary_encode()
         names = pa.concat_arrays([coded.dictionary, pa.array([""])])
+        said = coded.indices.to_numpy(zero_copy_only=False) if len(words) else np.zeros(0, np.int32)
+        kind = np.zeros(len(texts), np.int64)
+        if len(model.languages) > 1 and len(words):
+            least = np.full(len(texts), np.inf)
+            bits = model.bits(coded.dictionary)[0]
+            for i in range(bits.shape[1]):
+                own = np.diff(np.concatenate(([0.0], np.cumsum(bits[:, i].take(said))))[starts])
+                kind[own < least] = i
+                least = np.minimum(own, least)
         n = np.diff(starts) + 1
         tokens = np.full(int(n.sum()), len(names) - 1, np.int64)
         keep = np.ones(len(tokens), bool)
         keep[np.cumsum(n) - 1] = False
-        tokens[keep] = coded.indices.to_numpy(zero_copy_only=False) if len(words) else []
+        tokens[keep] = said
         own, codes = np.unique(np.repeat(kind, n) * len(names) + tokens, return_inverse=True)
         order = np.argsort(-np.bincount(codes), kind="stable")  # small numbers for common words compress better
         rank = np.empty(len(order), np.int64)
@@ -307,14 +382,16 @@ def _blocks(shared):
         held = table["held"].to_numpy()
         counts = np.bincount(codes[np.repeat(~held, n)], minlength=len(own))
         ids = table["doc_id"].combine_chunks()
-        row = [number, pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).tobytes(), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes(), held.astype(np.uint8).tobytes(), n.astype("<i8").tobytes(), zlib.compress(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)]
-        lists = [names.take(pa.array(own % len(names))), pa.array((own // len(names)).astype(np.int32)), pa.array(counts.astype(np.int32))]
-        return pa.RecordBatch.from_arrays([*(pa.array([v], _BLOCK_PA.field(i).type) for i, v in enumerate(row)), *map(_list, lists)], schema=_BLOCK_PA)
+        row = [
+            number, len(tokens), pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).tobytes(), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes(), held.astype(np.uint8).tobytes(), n.astype("<i8").tobytes(),
+            _squeezed(codes.astype("<u4")), *_text_of(names.take(pa.array(own % len(names)))), _squeezed((own // len(names)).astype("<u2")), _squeezed(counts.astype("<u4")),
+        ]
+        return pa.RecordBatch.from_arrays([pa.array([v], _BLOCK_PA.field(i).type) for i, v in enumerate(row)], schema=_BLOCK_PA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, held, size = TaskContext.get().partitionId() << 12, [], 0
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
         for chunk in common.text_chunks(batches, BLOCK // 4):
             held.append(chunk)
             size += pc.sum(pc.binary_length(common.column_of(chunk, "text"))).as_py() or 0
@@ -327,53 +404,162 @@ def _blocks(shared):
     return run
 
 
-def _histogram(batches):
-    total = np.zeros(257, np.int64)
+def _hashes(words: pa.Array) -> np.ndarray:
+    return common.hash_strings(words.to_pylist())
+
+
+def _last_two(words: pa.Array) -> np.ndarray:
+    """The last two bytes of each word; 0 stands for those that it has not."""
+    ends = np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64))
+    raw = np.frombuffer(words.buffers()[2], np.uint8, ends[-1]) if len(ends) and ends[-1] else np.zeros(1, np.uint8)
+    size = np.diff(ends, prepend=0)
+    byte = lambda k: np.where(size >= k, raw[np.maximum(ends - k, 0)], 0).astype(np.uint64)
+    return byte(1) | byte(2) << np.uint64(8)
+
+
+def _beginnings(row: dict, n_classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block: its tokens' codes, and for the distinct beginnings their contexts (a row for each kind) and symbols, how often
+    each occurs in training, and each token's beginning. Before a text stands the end of another one."""
+    words, classes = _words_of(row["words"], row["sizes"]), _numbers(row["classes"], "<u2").astype(np.uint64)
+    s, first = _symbols(words)
+    codes, n = _numbers(row["codes"], "<u4").astype(np.int64), np.frombuffer(row["n_tokens"], "<i8")
+    symbol = s[first[:-1]].astype(np.uint64)
+    word = (_hashes(words) % np.uint64(HASHED)).astype(np.uint64)
+    tail = (common.mix64((_last_two(words) + (classes << np.uint64(20)) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(HASHED)).astype(np.uint64)
+    before = np.concatenate((codes[-1:], codes[:-1]))  # the last token is an end, as the one before any text
+    starts = np.concatenate(([0], np.cumsum(n)[:-1]))
+    ends = tail[before].copy()
+    # A text's first word follows an end, whatever the class of the text before was.
+    ends[starts] = 0
+    keys = (((classes[codes] << np.uint64(12) | word[before]) << np.uint64(12)) | ends) << np.uint64(9) | symbol[codes]
+    distinct, at = np.unique(keys, return_inverse=True)
+    held = np.repeat(np.frombuffer(row["held"], np.uint8).astype(bool), n)
+    often = np.bincount(at[~held], minlength=len(distinct))
+    low = distinct >> np.uint64(9)
+    contexts = np.stack([(low >> np.uint64(24)), (low >> np.uint64(12) & np.uint64(HASHED - 1)) + np.uint64(n_classes), (low & np.uint64(HASHED - 1)) + np.uint64(n_classes + HASHED)]).astype(np.int64)
+    return codes, contexts, (distinct & np.uint64(511)).astype(np.int64), often, at
+
+
+def _fixed_counts(n_classes: int):
+    """Counts of all symbols, and of first ones by context, of the blocks of a task, in slices."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((1 + n_classes + 2 * HASHED) * 257, np.int64)
+        for b in batches:
+            for row in b.to_pylist():
+                s, first = _symbols(_words_of(row["words"], row["sizes"]))
+                total[:257] += np.bincount(s, np.repeat(_numbers(row["counts"], "<u4"), np.diff(first)), 257).astype(np.int64)
+                _, contexts, symbols, often, _ = _beginnings(row, n_classes)
+                for k in range(BEGIN):
+                    total[257:] += np.bincount(contexts[k] * 257 + symbols, often, len(total) - 257).astype(np.int64)
+        parts = np.array_split(total, SLICES)
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([_squeezed(x) for x in parts], pa.binary())], ["slice", "counts"])
+
+    return run
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds up the slices that reach a task, sorted by slice."""
+    now, total = None, None
     for b in batches:
-        for words, counts in zip(b.column(0), b.column(1), strict=True):
-            s, first = _symbols(words.values)
-            total += np.bincount(s, np.repeat(counts.values.to_numpy(), np.diff(first)), 257).astype(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(257, dtype=np.int32)), pa.array(total)], ["symbol", "n"])
+        for number, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if number != now:
+                if now is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([_squeezed(total)], pa.binary())], ["slice", "counts"])
+                now, total = number, 0
+            total = total + _numbers(raw, "<i8")
+    if now is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([_squeezed(total)], pa.binary())], ["slice", "counts"])
 
 
-def _planes(x: np.ndarray) -> bytes:
-    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+def fixed(blocks: DataFrame, n_classes: int) -> tuple[Code, Begins]:
+    """The code, and the contexts of words' beginnings, over all blocks."""
+    sums = blocks.mapInArrow(_fixed_counts(n_classes), "slice int, counts binary").repartition(SLICES, "slice").sortWithinPartitions("slice").mapInArrow(_added, "slice int, counts binary")
+    parts = {r["slice"]: _numbers(r["counts"], "<i8") for r in sums.collect()}  # of fixed size
+    total = np.concatenate([parts[i] for i in range(SLICES)])
+    code = Code(total[:257])
+    return code, Begins(code, total[257:].reshape(-1, 257))
 
 
-_ASK = "part int, block long, n int, contexts binary, rest binary"
+def _to_parts(parts: int):
+    """Of each block, for each part the words there (with class and training count) in the block's order."""
 
+    def run(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                words = _words_of(row["words"], row["sizes"])
+                classes, counts = _numbers(row["classes"], "<u2"), _numbers(row["counts"], "<u4")
+                part = ((_hashes(words) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                cuts = np.searchsorted(part[order], np.arange(parts + 1))
+                out = []
+                for i in np.flatnonzero(np.diff(cuts)):
+                    own = order[cuts[i] : cuts[i + 1]]
+                    out.append((int(i), row["block"], *_text_of(words.take(pa.array(own))), _squeezed(classes[own]), _squeezed(counts[own])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], ["part", "block", "words", "sizes", "classes", "counts"])
+
+    return run
 
-def _asks(parts: int):
-    """Of each block, for each part of the tables: the block's contexts and symbols there with their training counts."""
+
+_ASK = "part int, block long, words binary, sizes binary, classes binary, counts binary"
+_LISTS = "part int, block long, at binary, words binary, sizes binary, classes binary, counts binary, seen binary, n_all long, n_kinds long"
+
+
+def _listed(asks: pa.Table) -> pa.Table:
+    """One part of the words: a row with its distinct (word, class) in order, their training counts and those of the words in all
+    classes; and for each block where its words stand among them."""
+    lists = [_words_of(t.as_py(), z.as_py()) for t, z in zip(asks["words"], asks["sizes"], strict=True)]
+    size = [len(x) for x in lists]
+    every = pa.concat_arrays(lists)
+    classes = np.concatenate([_numbers(x.as_py(), "<u2") for x in asks["classes"]]).astype(np.int64)
+    counts = np.concatenate([_numbers(x.as_py(), "<u4") for x in asks["counts"]]).astype(np.float64)
+    coded = every.dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    word = rank[coded.indices.to_numpy()]
+    own, at = np.unique(word << 16 | classes, return_inverse=True)
+    n = np.bincount(at, counts, len(own)).astype("<u8")
+    of = own >> 16
+    seen = np.bincount(of, n.astype(np.float64), len(order)).astype("<u8")
+    text = _text_of(coded.dictionary.take(pa.array(order)).take(pa.array(of)))
+    part, cuts = asks["part"][0].as_py(), np.cumsum([0, *size])
+    rows = [{"part": part, "words": text[0], "sizes": text[1], "classes": _squeezed((own & 0xFFFF).astype("<u2")), "counts": _squeezed(n), "seen": _squeezed(seen[of]), "n_all": int(seen.sum()), "n_kinds": int((seen > 0).sum())}]
+    rows += [{"part": part, "block": b, "at": _squeezed(at[lo:hi].astype("<u4"))} for b, lo, hi in zip(asks["block"].to_pylist(), cuts[:-1], cuts[1:], strict=True)]
+    types = {"part": pa.int32(), "block": pa.int64(), "n_all": pa.int64(), "n_kinds": pa.int64()}
+    return pa.table({c: pa.array([r.get(c) for r in rows], types.get(c, pa.binary())) for c in ("part", "block", "at", "words", "sizes", "classes", "counts", "seen", "n_all", "n_kinds")})
+
+
+def _to_tables(parts: int):
+    """Of each part of the words, for each part of the tables: the contexts and symbols there with their training counts."""
 
     def run(batches):
         for b in batches:
-            for block, words, classes, counts in zip(*b.columns, strict=True):
-                e, out = Edges(words.values, classes.values.to_numpy(), parts), []
-                n = e.counts(counts.values.to_numpy())
-                for part in np.flatnonzero(np.diff(e.cuts)):
-                    own = e.order[e.cuts[part] : e.cuts[part + 1]]
-                    out.append((int(part), block.as_py(), len(own), e.context[own].astype("<u8").tobytes(), zlib.compress(_planes(n[own].astype("<u4")) + _planes(e.of[own].astype("<i2")), 1)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "block", "n", "contexts", "rest"])
+            for row in b.to_pylist():
+                e = Edges(_words_of(row["words"], row["sizes"]), _numbers(row["classes"], "<u2"), parts)
+                n, out = e.counts(_numbers(row["counts"], "<u8")), []
+                for i in np.flatnonzero(np.diff(e.cuts)):
+                    own = e.order[e.cuts[i] : e.cuts[i + 1]]
+                    out.append((int(i), row["part"], len(own), e.context[own].astype("<u8").tobytes(), _squeezed(n[own].astype("<u8")), _squeezed(e.of[own].astype("<i2"))))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], ["at", "part", "n", "contexts", "often", "symbols"])
 
     return run
 
 
-_ANSWER = "part int, block long, counts binary"
+_TO_TABLES = "at int, part int, n int, contexts binary, often binary, symbols binary"
+_FROM_TABLES = "table int, part int, pairs binary"
 
 
 def _answers(shared):
-    """Adds up one part of the tables over all blocks, and gives each block the counts at its edges' nodes in the block's order."""
+    """Adds up one part of the tables, and gives each part of the words the counts at its edges' nodes in its order."""
 
     def run(asks: pa.Table) -> pa.Table:
         code, sizes = shared.value, asks["n"].to_numpy()
         context = np.frombuffer(b"".join(asks["contexts"].to_pylist()), "<u8")
-        often, symbol = np.empty(len(context), np.int64), np.empty(len(context), np.int64)
+        often = np.concatenate([_numbers(x, "<u8") for x in asks["often"].to_pylist()]).astype(np.float64)
+        symbol = np.concatenate([_numbers(x, "<i2") for x in asks["symbols"].to_pylist()]).astype(np.int64)
         to = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
-        for i, raw in enumerate(asks["rest"].to_pylist()):
-            planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(6, -1)
-            often[to[i] : to[i + 1]] = np.ascontiguousarray(planes[:4].T).view("<u4")[:, 0]
-            symbol[to[i] : to[i + 1]] = np.ascontiguousarray(planes[4:].T).view("<i2")[:, 0]
         order = np.lexsort((symbol, context))
         c, s = context[order], symbol[order]
         other = np.concatenate(([True], c[1:] != c[:-1]))
@@ -385,7 +571,7 @@ def _answers(shared):
         start = np.cumsum(size) - size
         path = np.arange(size.sum()) + np.repeat(code.at[s] - start, size)
         _, node = np.unique(np.repeat(own, size) * 256 + code.node[path].astype(np.int64), return_inverse=True)
-        n, bit = np.repeat(n, size).astype(np.float64), code.bit[path]
+        n, bit = np.repeat(n, size), code.bit[path]
         pairs = np.array([np.bincount(node, n * (bit == v)) for v in (0, 1)])
         pairs = np.ceil(pairs / np.maximum(1, pairs.max(axis=0) / 65_000)).astype("<u2")[:, node]
         out = []
@@ -393,96 +579,122 @@ def _answers(shared):
             at = edge[to[i] : to[i + 1]]
             k = size[at]
             at = np.repeat(start[at] - np.cumsum(k) + k, k) + np.arange(k.sum())
-            out.append(zlib.compress(_planes(pairs[0][at]) + _planes(pairs[1][at]), 1))
-        return pa.table({"part": asks["part"], "block": asks["block"], "counts": pa.array(out, pa.binary())})
+            out.append(_squeezed(np.concatenate((pairs[0][at], pairs[1][at]))))
+        return pa.table({"table": asks["at"], "part": asks["part"], "pairs": pa.array(out, pa.binary())})
 
     return run
 
 
-def _model(table: pa.Table, row: int, code: Code, parts: int, weights: np.ndarray) -> Model:
-    """Of a block and the answers to it."""
-    given = table.filter(pc.is_valid(table["part"])).sort_by("part")
-    pairs = [np.frombuffer(zlib.decompress(x), np.uint8).reshape(4, -1) for x in given["counts"].to_pylist()]
-    pairs = np.concatenate(pairs, axis=1)
-    zeros, ones = (np.ascontiguousarray(p.T).view("<u2")[:, 0] for p in (pairs[:2], pairs[2:]))
-    return Model(code, Edges(table["words"][row].values, table["classes"][row].values.to_numpy(), parts), (zeros, ones), weights)
+def _model(table: pa.Table, row: dict, code: Code, parts: int) -> Model:
+    """Of a part of the words and the tables' answers to it."""
+    given = table.filter(pc.is_valid(table["table"])).sort_by("table")
+    pairs = [_numbers(x, "<u2").reshape(2, -1) for x in given["pairs"].to_pylist()]
+    zeros, ones = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.uint16)
+    return Model(code, Edges(_words_of(row["words"], row["sizes"]), _numbers(row["classes"], "<u2"), parts), (zeros, ones))
+
+
+def _own(table: pa.Table) -> dict:
+    """The row of a part's words among those that meet there."""
+    return table.filter(pc.is_valid(table["words"])).select(["part", "words", "sizes", "classes", "counts", "seen"]).to_pylist()[0]
 
 
-def _weights(shared, parts: int):
+def _learning(shared, parts: int):
     def run(table: pa.Table) -> pa.Table:
-        start = np.full((GATES, CONTEXTS), 0.3, np.float64)
-        row = pc.index(pc.is_null(table["part"]), True).as_py()
-        total, n = learn(_model(table, row, shared.value, parts, start), table["own"][row].values.to_numpy(), start)
-        return pa.table({"i": pa.array(np.arange(start.size, dtype=np.int32)), "w": pa.array(total.ravel()), "n": pa.array(np.full(start.size, float(n)))})
+        row = _own(table)
+        return learn(_model(table, row, shared.value, parts), _numbers(row["counts"], "<u8")).rows(0)
 
     return run
 
 
-def train(blocks: DataFrame, parts: int) -> tuple[Code, np.ndarray, DataFrame]:
-    """The code, the gates' weights, and for each block the tables' counts at its own edges (part, block, counts)."""
-    spark = blocks.sparkSession
-    histogram = np.zeros(257, np.int64)
-    for r in blocks.select("words", "counts").mapInArrow(_histogram, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect():
-        histogram[r["symbol"]] = r["n"]
-    code = Code(histogram)
-    shared = spark.sparkContext.broadcast(code)
-    lists = blocks.select("block", "words", "classes", F.col("counts").alias("own"))
-    count, learned = _answers(shared), _weights(shared, parts)
+def _learning_begins(shared, n_classes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                learner, begins = Learner(BEGIN_GATES, BEGIN), shared.value
+                _, contexts, symbols, often, _ = _beginnings(row, n_classes)
+                own, weight, first = dealt(often, max(1, int(begins.code.size[symbols].sum()) // BATCH))
+                for lo, hi in zip(first[:-1], first[1:], strict=True):
+                    x, gate, bit, starts = begins.inputs(contexts[:, own[lo:hi]], symbols[own[lo:hi]], True)
+                    if len(bit):
+                        learner.step(x, gate, bit, np.repeat(weight[lo:hi], np.diff(starts)))
+                yield from learner.rows(1).to_batches()
+
+    return run
+
 
-    def answers(table: pa.Table) -> pa.Table:
-        return count(table)
+_COSTS = "block long, part int, seen binary, cost binary"
 
-    def weigh(table: pa.Table) -> pa.Table:
-        return learned(table)
 
-    given = common.stored(lists.mapInArrow(_asks(parts), _ASK).groupBy("part").applyInArrow(answers, _ANSWER))
-    weights, weight = np.zeros(GATES * CONTEXTS), np.zeros(GATES * CONTEXTS)
-    both = lists.unionByName(given, allowMissingColumns=True)
-    for r in both.groupBy("block").applyInArrow(weigh, "i int, w double, n double").groupBy("i").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).collect():
-        weights[r["i"]], weight[r["i"]] = r["w"], r["n"]
-    mean = np.where(weight > 0, weights / np.maximum(weight, 1), 0.3).round(9)
-    return code, mean.reshape(GATES, CONTEXTS), given
+def _costing(shared, parts: int):
+    """The costs of one part's words, and how often they occur in training, as each block needs them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        code, mixer = shared.value
+        row = _own(table)
+        cost, seen = _model(table, row, code, parts).costs(mixer).astype("<f4"), _numbers(row["seen"], "<u8")
+        asked = table.filter(pc.is_valid(table["at"])).select(["block", "at"]).to_pylist()
+        at = [_numbers(r["at"], "<u4") for r in asked]
+        return pa.table({"block": pa.array([r["block"] for r in asked], pa.int64()), "part": pa.array([row["part"]] * len(asked), pa.int32()), "seen": pa.array([_squeezed(seen[a]) for a in at], pa.binary()), "cost": pa.array([_squeezed(cost[a]) for a in at], pa.binary())})
+
+    return run
 
 
-#: Words of a block's list at most; a block's number is its task's times 4096 and more.
-_POSITIONS = 1 << 28
 _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
 
-def _score(shared):
-    def run(blocks: pa.Table, counts: pa.Table) -> pa.Table:
-        code, weights, parts, n_all, n_kinds, class_bits = shared.value
-        out = []
-        c = np.zeros(counts.num_rows, np.int64)
-        told = counts["told"].to_numpy()
-        c[told % _POSITIONS] = told // _POSITIONS
-        log = np.log10((c + 1) / (n_all + n_kinds + 1))
-        for row in np.flatnonzero(blocks["part"].is_null().to_numpy()).tolist():
-            model = _model(blocks, row, code, parts, weights)
-            n = np.frombuffer(blocks["n_tokens"][row].as_py(), "<i8")
-            codes = np.ascontiguousarray(np.frombuffer(zlib.decompress(blocks["codes"][row].as_py()), np.uint8).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int64)
-            words = blocks["words"][row].values
-            first = np.concatenate(([0], np.cumsum(n)))
-            base, known = np.add.reduceat(log[codes], first[:-1]), np.add.reduceat(c[codes] > 0, first[:-1], dtype=np.int64)
-            bits, size = np.zeros(len(n)), np.zeros(len(n))
-            lo = 0
-            while lo < len(n):
-                hi = max(lo + 1, int(np.searchsorted(first, first[lo] + TOKENS, side="right")) - 1)
-                own, at = np.unique(codes[first[lo] : first[hi]], return_inverse=True)
-                part = words.take(pa.array(own))
-                rows, starts, fills = model.inputs(own)
-                wide = np.diff(starts)[at]
-                before = np.concatenate(([0], np.cumsum(wide)))
-                ids = np.arange(before[-1]) + np.repeat(starts[:-1][at] - before[:-1], wide)
-                edges = first[lo : hi + 1] - first[lo]
-                bits[lo:hi] = bits_of(rows, ids, np.diff(before[edges])) + class_bits
-                bits[lo:hi] -= np.add.reduceat(fills[at], edges[:-1]) * np.log2(1 + np.exp(-MOST))
-                size[lo:hi] = np.add.reduceat((pc.binary_length(part).to_numpy(zero_copy_only=False) + 1)[at], edges[:-1])
-                lo = hi
-            ids = pa.array(np.frombuffer(blocks["doc_ids"][row].as_py(), "<i8"), mask=np.frombuffer(blocks["null_ids"][row].as_py(), np.uint8).astype(bool))
-            held = np.frombuffer(blocks["held"][row].as_py(), np.uint8).astype(bool)
-            out.append(pa.table({"doc_id": ids, "held_out": held, "n_tokens": n, "n_known": known, "train_tokens": np.full(len(held), n_all), "base_score": base, "score": -bits * np.log10(2), "bits_per_byte": bits / size}))
-        return pa.concat_tables(out)
+def adapted(cost: np.ndarray, share: np.ndarray, codes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Bits of each text from its tokens' bits and their shares of all training tokens. For each rate the text's own words so far
+    predict the next one with that rate, and the model and the shares with the rest; the text's probability is the mean over the rates."""
+    text = np.repeat(np.arange(len(n)), n)
+    first = np.concatenate(([0], np.cumsum(n)))
+    keys = text * (int(codes.max()) + 1 if len(codes) else 1) + codes
+    order = np.argsort(keys, kind="stable")
+    new = np.flatnonzero(np.diff(keys[order], prepend=-1))
+    before = np.empty(len(keys), np.int64)
+    before[order] = np.arange(len(keys)) - np.repeat(new, np.diff(np.append(new, len(keys))))
+    scale = np.exp2(np.minimum(cost, 1000))
+    place = np.arange(len(keys)) - first[text]
+    own, whole, later = before / np.maximum(place, 1) * scale, share * scale, place > 0
+    each = [np.add.reduceat(cost - np.log2((1 - r * later) * ((1 - w) + w * whole) + r * own), first[:-1]) for r in RATES for w in WHOLE] if len(n) else [np.zeros(0)]
+    least = np.min(each, axis=0)
+    return least - np.log2(np.exp2(least - np.array(each)).mean(axis=0))
+
+
+def _score(shared, parts: int):
+    def run(table: pa.Table) -> pa.Table:
+        begins, mixer, n_classes, n_all, n_kinds = shared.value
+        row = table.filter(pc.is_valid(table["words"])).select(["block", *_BLOCK_FIELDS]).to_pylist()[0]
+        words = _words_of(row["words"], row["sizes"])
+        part = ((_hashes(words) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        given = table.filter(pc.is_valid(table["part"])).sort_by("part")
+        seen, cost = np.zeros(len(words), np.float64), np.zeros(len(words))
+        seen[order] = np.concatenate([_numbers(x, "<u8") for x in given["seen"].to_pylist()])
+        cost[order] = np.concatenate([_numbers(x, "<f4") for x in given["cost"].to_pylist()])
+        codes, contexts, symbols, _, at = _beginnings(row, n_classes)
+        first_cost = np.empty(len(symbols))
+        for lo in range(0, len(symbols), 1 << 16):
+            x, gate, bit, first = begins.inputs(contexts[:, lo : lo + (1 << 16)], symbols[lo : lo + (1 << 16)], False)
+            total = np.concatenate(([0.0], np.cumsum(_cost(mixer.mix(x, gate), bit))))
+            first_cost[lo : lo + (1 << 16)] = np.diff(total[first])
+        n = np.frombuffer(row["n_tokens"], "<i8")
+        first = np.concatenate(([0], np.cumsum(n)))[:-1]
+        bits = adapted(cost[codes] + first_cost[at], seen[codes] / (n_all + n_kinds + 1), codes, n) + np.log2(max(1, n_classes))
+        log = np.log10((seen + 1) / (n_all + n_kinds + 1))
+        base, known = np.add.reduceat(log[codes], first), np.add.reduceat(seen[codes] > 0, first, dtype=np.int64)
+        size = np.add.reduceat((pc.binary_length(words).to_numpy(zero_copy_only=False) + 1)[codes], first)
+        ids = pa.array(np.frombuffer(row["doc_ids"], "<i8"), mask=np.frombuffer(row["null_ids"], np.uint8).astype(bool))
+        held = np.frombuffer(row["held"], np.uint8).astype(bool)
+        return pa.table({"doc_id": ids, "held_out": held, "n_tokens": n, "n_known": known, "train_tokens": np.full(len(held), n_all), "base_score": base, "score": -bits * np.log10(2), "bits_per_byte": bits / size})
+
+    return run
+
+
+def _grouped(f):
+    """A function of a table that Spark takes as one of a group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        return f(table)
 
     return run
 
@@ -492,25 +704,30 @@ def score(docs: DataFrame) -> DataFrame:
 
     Learns from documents not held out. A null or empty text is its end alone. A row without an id is not
     held out. Repeated rows count as often in training and get equal scores. Without training documents the
-    model gives every bit one half.
+    model gives every bit one half. Scores do not depend on how the table is partitioned, but for the order of the
+    online learning of words' beginnings by blocks.
     """
     spark = docs.sparkSession
     own = docs.select("doc_id", held_out().alias("held"), "text", "lang")
-    classes = spark.sparkContext.broadcast(langid.train(own.filter("not held"), everything=True))
-    blocks = common.stored(own.select("doc_id", "held", "text").mapInArrow(_blocks(classes), _BLOCK))
-    parts = max(1, 2 * blocks.count())  # the tables grow with the blocks, a part of them does not
-    listed = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w")).select((F.col("block") * _POSITIONS + F.col("pos")).alias("place"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    # A row as narrow as can be, since there is one for each word of each block.
-    listed = listed.repartition(common.partitions(blocks), "word")
-    one = Window.partitionBy("word")
-    told = common.stored(listed.select("place", F.sum("n").over(one).alias("c"), (F.row_number().over(one.orderBy("place")) == 1).alias("first")))
-    totals = told.filter("first and c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    code, weights, given = train(blocks, parts)
-    n_classes = max(1, len(classes.value.languages))
-    run = _score(spark.sparkContext.broadcast((code, weights, parts, totals[0], totals[1], float(np.log2(n_classes)))))
-
-    def scored(blocks: pa.Table, counts: pa.Table) -> pa.Table:
-        return run(blocks, counts)
-
-    both = blocks.drop("counts").unionByName(given, allowMissingColumns=True)
-    return both.groupBy("block").cogroup(told.select(F.shiftright("place", 28).alias("block"), (F.pmod("place", F.lit(_POSITIONS)) + F.col("c") * _POSITIONS).alias("told")).groupBy("block")).applyInArrow(scored, _OUT)
+    trees = langid.train(own.filter("not held"), everything=True)
+    n_classes = max(1, len(trees.languages))
+    blocks = common.stored(common.bounded(own).select("doc_id", "held", "text").mapInArrow(_blocks(spark.sparkContext.broadcast(trees)), _BLOCK))
+    parts = max(1, -(-(blocks.agg(F.sum("tokens")).first()[0] or 0) // PART))  # parts of words and of tables grow with the tokens
+    code, begins = fixed(blocks, n_classes)
+    shared = spark.sparkContext.broadcast(code)
+    lists = common.stored(blocks.mapInArrow(_to_parts(parts), _ASK).groupBy("part").applyInArrow(_grouped(_listed), _LISTS))
+    words = lists.filter("words is not null")
+    totals = words.agg(F.coalesce(F.sum("n_all"), F.lit(0)), F.coalesce(F.sum("n_kinds"), F.lit(0))).first()
+    told = words.select("part", "words", "sizes", "classes", "counts", "seen")
+    given = common.stored(told.mapInArrow(_to_tables(parts), _TO_TABLES).groupBy("at").applyInArrow(_grouped(_answers(shared)), _FROM_TABLES))
+    met = told.unionByName(given, allowMissingColumns=True)
+    inside = met.groupBy("part").applyInArrow(_grouped(_learning(shared, parts)), _LEARNED)
+    first = blocks.mapInArrow(_learning_begins(spark.sparkContext.broadcast(begins), n_classes), _LEARNED)
+    values = {0: np.zeros(GATES * CONTEXTS + 1 + 3 * GATES * PLACES), 1: np.zeros(BEGIN_GATES * BEGIN + 1 + 3 * BEGIN_GATES * PLACES)}
+    for r in inside.unionByName(first).groupBy("kind", "i").agg(F.sum("v").alias("v")).collect():  # of fixed size
+        values[r["kind"]][r["i"]] = r["v"]
+    mixers = _mixer(values[0], GATES, CONTEXTS), _mixer(values[1], BEGIN_GATES, BEGIN)
+    asked = met.unionByName(lists.filter("block is not null").select("part", "block", "at"), allowMissingColumns=True)
+    costs = common.stored(asked.groupBy("part").applyInArrow(_grouped(_costing(spark.sparkContext.broadcast((code, mixers[0])), parts)), _COSTS))
+    run = _score(spark.sparkContext.broadcast((begins, mixers[1], n_classes, totals[0], totals[1])), parts)
+    return blocks.unionByName(costs, allowMissingColumns=True).groupBy("block").applyInArrow(_grouped(run), _OUT)

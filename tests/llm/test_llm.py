@@ -167,49 +167,95 @@ def test_lm_scoring(docs, rows, empty):
 
 
 def test_lm_is_a_probability():
-    """One step's corrections aside, the two values of every bit add up to one, so all words' shares do to one at most."""
+    """The two values of every bit add up to one, and so do all words after any beginning of a text."""
     code = lmscore.Code(np.ones(257, np.int64))
     assert sum(0.5**s for s in code.size) == 1
-    rows = np.zeros((2, (1 + len(lmscore.ADAPTED)) * lmscore.STEP), np.float32)
-    rows[0, : lmscore.STEP], rows[1, : lmscore.STEP] = 1.5, -1.5
-    yes, no = (lmscore.bits_of(rows, np.array([i]), np.array([1]))[0] / lmscore.STEP for i in (0, 1))
-    assert 2**-yes + 2**-no == pytest.approx(1)
-
-
-def test_lm_tables_grow_with_the_contexts():
-    """Over more nodes than 2^21 slots, no context takes the counts of another one."""
+    z = np.array([-20, -3, 0, 0.5, 9])
+    assert 2 ** -lmscore._cost(z, np.ones(5)) + 2 ** -lmscore._cost(z, np.zeros(5)) == pytest.approx(1)
+    p = np.array([0.5, 0.3, 0.15, 0.05])
+    for said in ([], [0, 0, 1], [3, 2, 2, 2]):
+        n = np.full(4, len(said) + 1)
+        codes = np.concatenate([[*said, w] for w in range(4)])
+        after = 2 ** -lmscore.adapted(-np.log2(p[codes]), p[codes] * 0.9, codes, n)
+        before = 2 ** -lmscore.adapted(-np.log2(p[said]), p[said] * 0.9, np.array(said), np.array([len(said)])) if said else 1
+        assert 0.9 * before < after.sum() <= before + 1e-9
+
+
+def test_lm_adapts_as_plain_loops_do():
+    draw = np.random.default_rng(3)
+    n = np.array([1, 7, 40, 2])
+    codes, cost, share = draw.integers(0, 9, n.sum()), draw.uniform(1, 30, n.sum()), draw.uniform(0, 0.1, n.sum())
+    want, at = [], 0
+    for k in n:
+        p = []
+        for r in lmscore.RATES:
+            for w in lmscore.WHOLE:
+                q = 1.0
+                for i in range(at, at + k):
+                    own = (codes[at:i] == codes[i]).sum() / max(1, i - at)
+                    q *= (1 - (r if i > at else 0)) * ((1 - w) * 2 ** -cost[i] + w * share[i]) + r * own
+                p.append(q)
+        want.append(-np.log2(np.mean(p)))
+        at += k
+    assert lmscore.adapted(cost, share, codes, n) == pytest.approx(want)
+
+
+def test_lm_tables_hold_every_context_alone():
+    """Counts at all nodes of the words' beginnings, as the parts of words and tables find them, against plain counting."""
     import pyarrow as pa
 
     draw = np.random.default_rng(5)
-    texts = ["".join(chr(97 + c) for c in w) for w in draw.integers(0, 26, (120_000, 9))] + ["an", "and", ""]
-    blocks, parts, code = [texts[:70_000], texts[60_000:]], 3, lmscore.Code(np.ones(257, np.int64))
-    counts = [draw.integers(0, 4, len(b)) for b in blocks]
-    columns = [pa.array([0, 1]), pa.array(blocks), pa.array([[0] * len(b) for b in blocks], pa.list_(pa.int32())), pa.array([c.tolist() for c in counts], pa.list_(pa.int32()))]
-    asks = pa.Table.from_batches(lmscore._asks(parts)([pa.record_batch(columns, ["block", "words", "classes", "counts"])]))
+    texts = sorted({"".join(chr(97 + c) for c in w[: draw.integers(1, 9)]) for w in draw.integers(0, 26, (30_000, 9))} | {"an", "and", ""})
+    lists, parts, code = [texts[::2], texts[1::2]], 3, lmscore.Code(np.ones(257, np.int64))
+    counts = [draw.integers(0, 4, len(b)).astype("<u8") for b in lists]
+    rows = [dict(zip(("words", "sizes"), lmscore._text_of(pa.array(b)), strict=True)) | {"part": i, "classes": lmscore._squeezed(np.zeros(len(b), "<u2")), "counts": lmscore._squeezed(c), "seen": lmscore._squeezed(c)} for i, (b, c) in enumerate(zip(lists, counts, strict=True))]
+    table = pa.Table.from_pylist(rows, pa.schema([("words", pa.binary()), ("sizes", pa.binary()), ("part", pa.int32()), ("classes", pa.binary()), ("counts", pa.binary()), ("seen", pa.binary())]))
+    asks = pa.Table.from_batches(lmscore._to_tables(parts)(table.to_batches()))
 
     class Shared:
         value = code
 
-    given = pa.concat_tables(lmscore._answers(Shared)(asks.filter(pa.compute.equal(asks["part"], i))) for i in range(parts))
+    given = pa.concat_tables(lmscore._answers(Shared)(asks.filter(pa.compute.equal(asks["at"], i))) for i in range(parts))
     nodes = Counter()
     path = lambda s: zip(code.node[code.at[s] :][: code.size[s]].tolist(), code.bit[code.at[s] :][: code.size[s]].tolist(), strict=True)
     spell = lambda w: [*w.encode(), 32] if w else [256]
-    for words, often in zip(blocks, counts, strict=True):
+    for words, often in zip(lists, counts, strict=True):
         for w, n in zip(words, often.tolist(), strict=True):
             for i, s in enumerate(spell(w)):
                 for node, bit in path(s):
                     nodes[w[:i], node, bit] += n
-    assert len(nodes) > 1 << 21
-    for i, words in enumerate(blocks):
-        own = given.filter(pa.compute.equal(given["block"], i))
-        one = pa.table({"part": pa.array([None, *own["part"].to_pylist()], pa.int32()), "counts": pa.array([None, *own["counts"].to_pylist()], pa.binary()), "words": [words] + [None] * len(own), "classes": pa.array([[0] * len(words)] + [None] * len(own), pa.list_(pa.int32()))})
-        model = lmscore._model(one, 0, code, parts, np.zeros((lmscore.GATES, lmscore.CONTEXTS)))
-        some = np.append(np.arange(0, len(words), 97), len(words) - 1)
-        slots = model.bits(some)[0][4]
-        want = [(nodes[words[w][:j], node, 0], nodes[words[w][:j], node, 1]) for w in some.tolist() for j, s in enumerate(spell(words[w])) for node, _ in path(s)]
-        scaled = [max(1, max(x) / 65_000) for x in want]
-        assert model.zeros[slots].tolist() == [int(np.ceil(a / z)) for (a, _), z in zip(want, scaled, strict=True)]
-        assert model.ones[slots].tolist() == [int(np.ceil(b / z)) for (_, b), z in zip(want, scaled, strict=True)]
+    for i, words in enumerate(lists):
+        model = lmscore._model(given.filter(pa.compute.equal(given["part"], i)), rows[i], code, parts)
+        some = np.append(np.arange(0, len(words), 7), len(words) - 1)
+        slots, bits, _, first = model.bits(some)
+        want = [(nodes[words[w][:j], node, 0], nodes[words[w][:j], node, 1]) for w in some.tolist() for j, s in enumerate(spell(words[w])) if j for node, _ in path(s)]
+        assert list(zip(model.zeros[slots[4]].tolist(), model.ones[slots[4]].tolist(), strict=True)) == want
+        # Costs at plain weights.
+        mixer = lmscore.Mixer(np.full((lmscore.GATES, lmscore.CONTEXTS), 0.3))
+        k, w = 5, some[5]
+        own = slice(first[k], first[k + 1])
+        z = sum(0.3 * (np.log(model.ones[s[own]] + 0.4) - np.log(model.zeros[s[own]] + 0.4)) for s in slots)
+        assert model.costs(mixer)[w] == pytest.approx(np.log2(1 + np.exp(np.where(bits[own] > 0, -z, z))).sum(), rel=1e-4)
+
+
+def test_lm_counts_beginnings(spark):
+    """What follows a word, over the border, is known: a text in the usual order is likelier than the same words shuffled."""
+    import pyarrow as pa
+
+    assert lmscore._last_two(pa.array(["", "a", "xyz"])).tolist() == [0, 97, 122 | 121 << 8]
+    draw = random.Random(7)
+    nouns = [f"{c}{i}" for c in "bcdfghjklm" for i in range(10)]
+    after = {w: draw.choice("npqrstvwxz") + "o" for w in nouns}
+    say = lambda: " ".join(x for _ in range(20) for w in [draw.choice(nouns)] for x in (w, after[w]))
+    rows = [(i, say(), "en") for i in range(600)]
+    odd = [i for i, *_ in rows if zlib.crc32(str(i).encode()) % 7 == 2]
+    mixed = {i: " ".join(draw.sample(rows[i][1].split(), 40)) for i in odd[: len(odd) // 2]}
+    docs = spark.createDataFrame([(i, mixed.get(i, t), lang) for i, t, lang in rows], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in lmscore.score(docs).collect()}
+    usual = [got[i]["score"] for i in odd if i not in mixed]
+    assert max(got[i]["score"] for i in mixed) < min(usual) and np.mean(usual) > np.mean([got[i]["base_score"] for i in odd])
+    again = {r["doc_id"]: r["score"] for r in lmscore.score(docs.repartition(5)).collect()}
+    assert all(again[i] == pytest.approx(got[i]["score"], rel=0.02) for i in again)
 
 
 def test_lm_trains_on_words_as_often_as_they_occur():
