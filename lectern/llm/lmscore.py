@@ -48,6 +48,8 @@ LEARN, MOST, BATCH, PLACES = 0.02, 11.0, 1 << 14, 45
 RATES, WHOLE = (0.0, 0.02, 0.1, 0.3, 0.6), (0.0, 0.5, 0.9)
 #: Bytes of text of a block; tokens of the corpus for each part of the words and of the tables; slices in which fixed tables are merged.
 BLOCK, PART, SLICES = 12 << 20, 1 << 22, 64
+#: Tokens of a block handled at a time, or those of one text.
+SLICE = 1 << 19
 
 
 def held_out():
@@ -417,27 +419,34 @@ def _last_two(words: pa.Array) -> np.ndarray:
     return byte(1) | byte(2) << np.uint64(8)
 
 
-def _beginnings(row: dict, n_classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block: its tokens' codes, and for the distinct beginnings their contexts (a row for each kind) and symbols, how often
-    each occurs in training, and each token's beginning. Before a text stands the end of another one."""
-    words, classes = _words_of(row["words"], row["sizes"]), _numbers(row["classes"], "<u2").astype(np.uint64)
+def _slices(row: dict, n_classes: int) -> Iterator[tuple]:
+    """A block's texts, some at a time: the first and the last, their tokens' codes, and for the distinct beginnings among them
+    the contexts (a row for each kind) and symbols, how often each occurs in training, and each token's beginning."""
+    words, classes = _words_of(row["words"], row["sizes"]), _numbers(row["classes"], "<u2").astype(np.int64)
     s, first = _symbols(words)
-    codes, n = _numbers(row["codes"], "<u4").astype(np.int64), np.frombuffer(row["n_tokens"], "<i8")
-    symbol = s[first[:-1]].astype(np.uint64)
-    word = (_hashes(words) % np.uint64(HASHED)).astype(np.uint64)
-    tail = (common.mix64((_last_two(words) + (classes << np.uint64(20)) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(HASHED)).astype(np.uint64)
-    before = np.concatenate((codes[-1:], codes[:-1]))  # the last token is an end, as the one before any text
-    starts = np.concatenate(([0], np.cumsum(n)[:-1]))
-    ends = tail[before].copy()
-    # A text's first word follows an end, whatever the class of the text before was.
-    ends[starts] = 0
-    keys = (((classes[codes] << np.uint64(12) | word[before]) << np.uint64(12)) | ends) << np.uint64(9) | symbol[codes]
-    distinct, at = np.unique(keys, return_inverse=True)
-    held = np.repeat(np.frombuffer(row["held"], np.uint8).astype(bool), n)
-    often = np.bincount(at[~held], minlength=len(distinct))
-    low = distinct >> np.uint64(9)
-    contexts = np.stack([(low >> np.uint64(24)), (low >> np.uint64(12) & np.uint64(HASHED - 1)) + np.uint64(n_classes), (low & np.uint64(HASHED - 1)) + np.uint64(n_classes + HASHED)]).astype(np.int64)
-    return codes, contexts, (distinct & np.uint64(511)).astype(np.int64), often, at
+    symbol = s[first[:-1]]
+    del s, first
+    # Of a list's word what the next one's beginning sees; before a text stands an empty word.
+    word = (_hashes(words) % np.uint64(HASHED)).astype(np.int64) << 12
+    word |= (common.mix64((_last_two(words) + (classes.astype(np.uint64) << np.uint64(20)) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(HASHED)).astype(np.int64)
+    empty = int(_hashes(pa.array([""]))[0] % HASHED) << 12
+    own = classes << 33 | symbol
+    every, n = _numbers(row["codes"], "<u4"), np.frombuffer(row["n_tokens"], "<i8")
+    held, to = np.frombuffer(row["held"], np.uint8).astype(bool), np.concatenate(([0], np.cumsum(n)))
+    lo = 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(to, to[lo] + SLICE, side="right")) - 1)
+        codes = every[to[lo] : to[hi]].astype(np.int64)
+        keys = np.empty(len(codes), np.int64)
+        keys[1:] = word.take(codes[:-1])
+        keys[to[lo:hi] - to[lo]] = empty
+        keys <<= 9
+        keys |= own.take(codes)
+        distinct, at = np.unique(keys, return_inverse=True)
+        often = np.bincount(at[np.repeat(~held[lo:hi], n[lo:hi])], minlength=len(distinct))
+        contexts = np.stack([distinct >> 33, (distinct >> 21 & (HASHED - 1)) + n_classes, (distinct >> 9 & (HASHED - 1)) + n_classes + HASHED])
+        yield lo, hi, codes, contexts, distinct & 511, often, at
+        lo = hi
 
 
 def _fixed_counts(n_classes: int):
@@ -449,9 +458,9 @@ def _fixed_counts(n_classes: int):
             for row in b.to_pylist():
                 s, first = _symbols(_words_of(row["words"], row["sizes"]))
                 total[:257] += np.bincount(s, np.repeat(_numbers(row["counts"], "<u4"), np.diff(first)), 257).astype(np.int64)
-                _, contexts, symbols, often, _ = _beginnings(row, n_classes)
-                for k in range(BEGIN):
-                    total[257:] += np.bincount(contexts[k] * 257 + symbols, often, len(total) - 257).astype(np.int64)
+                for _, _, _, contexts, symbols, often, _ in _slices(row, n_classes):
+                    for k in range(BEGIN):
+                        np.add.at(total, 257 + contexts[k] * 257 + symbols, often)
         parts = np.array_split(total, SLICES)
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([_squeezed(x) for x in parts], pa.binary())], ["slice", "counts"])
 
@@ -611,12 +620,12 @@ def _learning_begins(shared, n_classes: int):
         for b in batches:
             for row in b.to_pylist():
                 learner, begins = Learner(BEGIN_GATES, BEGIN), shared.value
-                _, contexts, symbols, often, _ = _beginnings(row, n_classes)
-                own, weight, first = dealt(often, max(1, int(begins.code.size[symbols].sum()) // BATCH))
-                for lo, hi in zip(first[:-1], first[1:], strict=True):
-                    x, gate, bit, starts = begins.inputs(contexts[:, own[lo:hi]], symbols[own[lo:hi]], True)
-                    if len(bit):
-                        learner.step(x, gate, bit, np.repeat(weight[lo:hi], np.diff(starts)))
+                for _, _, _, contexts, symbols, often, _ in _slices(row, n_classes):
+                    own, weight, first = dealt(often, max(1, int(begins.code.size[symbols].sum()) // BATCH))
+                    for lo, hi in zip(first[:-1], first[1:], strict=True):
+                        x, gate, bit, starts = begins.inputs(contexts[:, own[lo:hi]], symbols[own[lo:hi]], True)
+                        if len(bit):
+                            learner.step(x, gate, bit, np.repeat(weight[lo:hi], np.diff(starts)))
                 yield from learner.rows(1).to_batches()
 
     return run
@@ -671,18 +680,20 @@ def _score(shared, parts: int):
         seen, cost = np.zeros(len(words), np.float64), np.zeros(len(words))
         seen[order] = np.concatenate([_numbers(x, "<u8") for x in given["seen"].to_pylist()])
         cost[order] = np.concatenate([_numbers(x, "<f4") for x in given["cost"].to_pylist()])
-        codes, contexts, symbols, _, at = _beginnings(row, n_classes)
-        first_cost = np.empty(len(symbols))
-        for lo in range(0, len(symbols), 1 << 16):
-            x, gate, bit, first = begins.inputs(contexts[:, lo : lo + (1 << 16)], symbols[lo : lo + (1 << 16)], False)
-            total = np.concatenate(([0.0], np.cumsum(_cost(mixer.mix(x, gate), bit))))
-            first_cost[lo : lo + (1 << 16)] = np.diff(total[first])
         n = np.frombuffer(row["n_tokens"], "<i8")
-        first = np.concatenate(([0], np.cumsum(n)))[:-1]
-        bits = adapted(cost[codes] + first_cost[at], seen[codes] / (n_all + n_kinds + 1), codes, n) + np.log2(max(1, n_classes))
-        log = np.log10((seen + 1) / (n_all + n_kinds + 1))
-        base, known = np.add.reduceat(log[codes], first), np.add.reduceat(seen[codes] > 0, first, dtype=np.int64)
-        size = np.add.reduceat((pc.binary_length(words).to_numpy(zero_copy_only=False) + 1)[codes], first)
+        bits, base, known, size = np.zeros(len(n)), np.zeros(len(n)), np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+        log, share = np.log10((seen + 1) / (n_all + n_kinds + 1)), seen / (n_all + n_kinds + 1)
+        wide = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        for lo, hi, codes, contexts, symbols, _, at in _slices(row, n_classes):
+            first_cost = np.empty(len(symbols))
+            for i in range(0, len(symbols), 1 << 14):
+                x, gate, bit, first = begins.inputs(contexts[:, i : i + (1 << 14)], symbols[i : i + (1 << 14)], False)
+                total = np.concatenate(([0.0], np.cumsum(_cost(mixer.mix(x, gate), bit))))
+                first_cost[i : i + (1 << 14)] = np.diff(total[first])
+            first = np.cumsum(n[lo:hi]) - n[lo:hi]
+            bits[lo:hi] = adapted(cost.take(codes) + first_cost.take(at), share.take(codes), codes, n[lo:hi]) + np.log2(max(1, n_classes))
+            base[lo:hi], known[lo:hi] = np.add.reduceat(log.take(codes), first), np.add.reduceat(seen.take(codes) > 0, first, dtype=np.int64)
+            size[lo:hi] = np.add.reduceat(wide.take(codes), first)
         ids = pa.array(np.frombuffer(row["doc_ids"], "<i8"), mask=np.frombuffer(row["null_ids"], np.uint8).astype(bool))
         held = np.frombuffer(row["held"], np.uint8).astype(bool)
         return pa.table({"doc_id": ids, "held_out": held, "n_tokens": n, "n_known": known, "train_tokens": np.full(len(held), n_all), "base_score": base, "score": -bits * np.log10(2), "bits_per_byte": bits / size})
