@@ -47,9 +47,9 @@ LEARN, MOST, BATCH, PLACES = 0.02, 11.0, 1 << 14, 45
 #: Rates at which a text's own words predict the next one, and at which whole words' frequencies do in the rest.
 RATES, WHOLE = (0.0, 0.02, 0.1, 0.3, 0.6), (0.0, 0.5, 0.9)
 #: Bytes of text of a block; tokens of the corpus for each part of the words and of the tables; slices in which fixed tables are merged.
-BLOCK, PART, SLICES = 12 << 20, 1 << 22, 64
+BLOCK, PART, SLICES = 9 << 20, 3 << 20, 64
 #: Tokens of a block handled at a time, or those of one text.
-SLICE = 1 << 19
+SLICE = 1 << 18
 
 
 def held_out():
@@ -705,7 +705,9 @@ def _grouped(f):
     """A function of a table that Spark takes as one of a group."""
 
     def run(table: pa.Table) -> pa.Table:
-        return f(table)
+        out = f(table)
+        pa.default_memory_pool().release_unused()
+        return out
 
     return run
 
