@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, linededup
 
 THRESHOLD, RECALL, FUNCTIONS = 0.8, 0.9995, 100
 #: Shingles and members of a chunk of candidates; a block verifies two chunks against each other.
@@ -172,12 +172,15 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     chunked = common.stored(sized.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")))
     paired = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     blocks = paired.select("component", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", "copies")
-    # A representative's text: of rows that share its id, one with its words.
-    wanted = chunked.select("rep").distinct() if not mixed else common.stored(chunked.select("rep").distinct().join(classes.select("rep", "least", "words"), "rep"))
+    # A representative's text: of rows that share its id, one with its words. Only the texts of representatives are shuffled.
+    wanted = chunked.select("rep").distinct()
+    wanted = common.stored(wanted.join(classes.select("rep", "least", "words"), "rep") if mixed else wanted)
+    pick = linededup.id_filter(wanted.select(F.col("least" if mixed else "rep").alias("doc_id")))
+    texts = usable.select("doc_id", "text").mapInArrow(pick(True), "doc_id long, text string")
     if mixed:
-        told = usable.select("doc_id", "text").mapInArrow(_digests, "least long, words binary, text string").join(wanted, ["least", "words"]).select("rep", "text")
+        told = texts.mapInArrow(_digests, "least long, words binary, text string").join(wanted, ["least", "words"]).select("rep", "text")
     else:
-        told = usable.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi")
+        told = texts.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi")
     one = common.stored(told.groupBy("rep").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))) if _repeats(usable, "doc_id") else told
     dealt = blocks.join(one, "rep").select("component", "i", "j", "chunk", "rep", "copies", "text")
     checked = common.stored(dealt.repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j", "rep").mapInArrow(_verify(threshold), "rep long, links long, root long"))

@@ -130,6 +130,26 @@ def twice_filter(docs: DataFrame, least: int = 40) -> np.ndarray:
     return _bloom(docs.select("text"), _line_hashes(least), _wide(n), "twice", common.text_chunks)
 
 
+def id_filter(ids: DataFrame):
+    """Of a table of ids (doc_id) a function that makes functions of batches: those let through the rows (doc_id, ...) whose id is
+    among them, and a few others, or else the rest."""
+    bits = _bloom(ids.select("doc_id"), _id_hashes, _wide(2 * ids.count()), "once", lambda batches: (b for b in batches if b.num_rows))
+    hit = ids.sparkSession.sparkContext.broadcast(zlib.compress(bits.tobytes(), 1))
+
+    def pick(among: bool):
+        def run(batches):
+            bloom = np.frombuffer(zlib.decompress(hit.value), np.uint8)
+            for chunk in common.text_chunks(batches):
+                key = common.column_of(chunk, "doc_id")
+                own = _known(bloom, _id_hashes(pa.RecordBatch.from_arrays([pc.fill_null(key, 0)], ["doc_id"]))) & key.is_valid().to_numpy(zero_copy_only=False)
+                if (own == among).any():
+                    yield chunk.filter(pa.array(own == among))
+
+        return run
+
+    return pick
+
+
 def _digest(key: str) -> bytes:
     return hashlib.blake2b(key.encode(), digest_size=16).digest()
 
@@ -194,20 +214,7 @@ def dedup(docs: DataFrame, least: int = 40, copies: int = 5) -> DataFrame:
     all lines and are not counted; rows with the same id are one document.
     """
     drops = dropped_keys(docs, least, copies)
-    ids = _bloom(drops.select("doc_id"), _id_hashes, _wide(2 * drops.count()), "once", lambda batches: (b for b in batches if b.num_rows))
-    hit = docs.sparkSession.sparkContext.broadcast(zlib.compress(ids.tobytes(), 1))
-
-    def pick(affected: bool):
-        def run(batches):
-            bloom = np.frombuffer(zlib.decompress(hit.value), np.uint8)
-            for chunk in common.text_chunks(batches):
-                key = common.column_of(chunk, "doc_id")
-                own = _known(bloom, _id_hashes(pa.RecordBatch.from_arrays([pc.fill_null(key, 0)], ["doc_id"]))) & key.is_valid().to_numpy(zero_copy_only=False)
-                if (own == affected).any():
-                    yield chunk.filter(pa.array(own == affected))
-
-        return run
-
+    pick = id_filter(drops)
     rebuild, schema = _rebuild(least), "doc_id long, n_lines long, n_dropped long, kept string"
 
     def whole(batches):
