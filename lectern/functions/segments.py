@@ -126,7 +126,15 @@ def all_segments(text: str, siblings: list[tuple[int, str, str]]) -> list[str]:
 
 @vectorised("string")
 def segment_udf(text: pd.Series, siblings: pd.Series, position: pd.Series) -> pd.Series:
-    return pd.Series([segment(t or "", [(s["position"], s["snippet"], s["title"]) for s in sib], p) for t, sib, p in zip(text, siblings, position, strict=True)])
+    """segment of each row; rows of one text that follow each other share the search for its anchors."""
+    out, last, parts = [], None, None
+    for t, sib, p in zip(text, siblings, position, strict=True):
+        rows = [(s["position"], s["snippet"], s["title"]) for s in sib]
+        if (t, rows) != last:
+            last, places = (t, rows), [r[0] for r in rows]
+            parts = dict(zip(places, all_segments(t or "", rows), strict=True)) if len(set(places)) == len(places) else None
+        out.append(segment(t or "", rows, p) if parts is None else parts.get(p, ""))
+    return pd.Series(out, dtype=object)
 
 
 @vectorised("array<string>")

@@ -141,10 +141,12 @@ def item_detail(item: DataFrame, stories: DataFrame, newsletters: DataFrame) ->
     """Items (few, by id) with their newsletter's markup (raw_html), whether it has other items, and if so the part of
     its text that is theirs. Only the newsletters of these items are read further."""
     near = siblings(stories.join(item.select("newsletter_id").distinct(), "newsletter_id", "left_semi"))
-    joined = item.join(near, "newsletter_id").join(newsletters.select(F.col("id").alias("newsletter_id"), "raw_html"), "newsletter_id", "left")
+    letters = newsletters.select(F.col("id").alias("newsletter_id"), "raw_html").join(item.select("newsletter_id").distinct(), "newsletter_id", "left_semi")
+    read = letters.withColumn("_body", markup.block_text_udf(F.coalesce("raw_html", F.lit(""))))  # once for each newsletter
+    joined = item.join(near, "newsletter_id").join(read, "newsletter_id", "left")
     told = joined.withColumn("segmented", F.size("siblings") > 1)
-    part = segments.segment_udf(markup.block_text_udf(F.coalesce("raw_html", F.lit(""))), F.col("siblings"), F.col("position"))
-    return told.withColumn("segment_text", F.when(F.col("segmented") & F.col("raw_html").isNotNull(), F.nullif(part, F.lit("")))).drop("siblings")
+    part = segments.segment_udf(F.coalesce("_body", F.lit("")), F.col("siblings"), F.col("position"))
+    return told.withColumn("segment_text", F.when(F.col("segmented") & F.col("raw_html").isNotNull(), F.nullif(part, F.lit("")))).drop("siblings", "_body")
 
 
 def source_rollup(sources: DataFrame, stories: DataFrame) -> DataFrame:
