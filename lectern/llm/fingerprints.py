@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -61,19 +61,41 @@ def similar(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9995) ->
 # --- neighbours in order of doc_id -------------------------------------------------------------
 
 
+def _place() -> tuple[Column, Column]:
+    """Where a row stands: by id (null first), then by a hash of the text, which cuts an id with many rows into ranges too."""
+    return F.coalesce("doc_id", F.lit(-(1 << 63))), F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _cuts(got: list[int]):
+    """Number of a row's range by its id and hash; ``got`` are quantiles of the ids. An id that is r of them gets r ranges."""
+    ids, times = np.unique(np.array(got, np.int64), return_counts=True)
+    first = 1 + np.cumsum(times) - times
+
+    def number(key: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+        if not len(ids):
+            return np.zeros(len(key), np.int32)
+        at = np.searchsorted(ids, key, side="right") - 1
+        r = times[at]
+        part = np.minimum(((hashed / 2.0**64 + 0.5) * r).astype(np.int64), r - 1)
+        return np.where(at < 0, 0, first[at] + np.where(ids[at] == key, part, r - 1)).astype(np.int32)
+
+    return number
+
+
 def _ranges(docs: DataFrame, n: int):
-    """Bounds that cut the ids into about n ranges, and the first id of each range with documents."""
-    ids = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"))
+    """The function that numbers about n ranges, and the first id and hash of each range with documents."""
+    key, hashed = _place()
+    rows = docs.select(key.alias("key"), hashed.alias("hash"))
     probs = [i / n for i in range(1, n)]
-    got = ids.agg(F.percentile_approx("key", F.array(*map(F.lit, probs)), max(10_000, 10 * n)).alias("b")).first()["b"] if probs else []
-    bounds = np.unique(np.array(got or [], np.int64))
+    got = rows.agg(F.percentile_approx("key", F.array(*map(F.lit, probs)), max(10_000, 10 * n)).alias("b")).first()["b"] if probs else []
+    number = _cuts(got or [])
 
     @F.pandas_udf("int")
-    def bucket(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, key.to_numpy(), side="right").astype(np.int32))
+    def bucket(key: pd.Series, hashed: pd.Series) -> pd.Series:
+        return pd.Series(number(key.to_numpy(), hashed.to_numpy()))
 
-    heads = {r["bucket"]: r["key"] for r in ids.withColumn("bucket", bucket("key")).groupBy("bucket").agg(F.min("key").alias("key")).collect()}
-    return bounds, heads
+    least = rows.withColumn("bucket", bucket("key", "hash")).groupBy("bucket").agg(F.min(F.struct("key", "hash")).alias("m"))
+    return number, {r["bucket"]: (r["m"]["key"], r["m"]["hash"]) for r in least.collect()}
 
 
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -111,25 +133,23 @@ def against_next(docs: DataFrame, k: int = FUNCTIONS) -> DataFrame:
 
     The edited text ends with the beginning of the next document's text, by ascending doc_id, after the
     last the first; a sole document is its own next. Null ids come first; rows with one id are ordered by
-    text. Ids are cut into ranges; the first row of a range is also sent to the one before, so that no
-    task needs more than its range.
+    xxhash64 of the text, then by text. Rows are cut into ranges in this order, so that rows of one id, or
+    without one, are shared out by their texts; only rows alike in both stay together, and are read as a
+    stream. The first row of a range is also sent to the one before, so that no task needs more than its range.
     """
     n = common.partitions(docs)
-    bounds, heads = _ranges(docs, 2 * n)
+    number, heads = _ranges(docs, 2 * n)
     order = sorted(heads)
-    back = {heads[b]: order[i - 1] for i, b in enumerate(order)}
-    firsts = np.array(sorted(back), np.int64)
-    to = np.array([back[x] for x in sorted(back)], np.int32)
-
-    @F.pandas_udf("int")
-    def bucket(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, key.to_numpy(), side="right").astype(np.int32))
+    head = np.array([heads[b] for b in order], np.int64).reshape(-1, 2)
+    before = np.array([*order[-1:], *order[:-1]], np.int32)
 
-    @F.pandas_udf("int")
-    def also(key: pd.Series) -> pd.Series:
-        x = key.to_numpy()
-        at = np.minimum(np.searchsorted(firsts, x), max(0, len(firsts) - 1))
-        return pd.Series(np.where(firsts[at] == x, to[at], -1).astype(np.int32) if len(firsts) else np.full(len(x), -1, np.int32))
+    @F.pandas_udf("array<int>")
+    def places(key: pd.Series, hashed: pd.Series) -> pd.Series:
+        x, h = key.to_numpy(), hashed.to_numpy()
+        own = number(x, h)
+        at = np.searchsorted(order, own)
+        leads = (head[at, 0] == x) & (head[at, 1] == h)
+        return pd.Series([[b, a] if first else [b] for b, a, first in zip(own.tolist(), before[at].tolist(), leads.tolist(), strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
@@ -144,9 +164,8 @@ def against_next(docs: DataFrame, k: int = FUNCTIONS) -> DataFrame:
         if (out := _compare(rows, k)) is not None:
             yield out
 
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    placed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), bucket(key).alias("b"), also(key).alias("a"))
-    own = F.struct(F.col("b").alias("range"), F.lit(0).alias("copy"))
-    sent = placed.select("doc_id", "text", F.explode(F.when(F.col("a") < 0, F.array(own)).otherwise(F.array(own, F.struct(F.col("a").alias("range"), F.lit(1).alias("copy"))))).alias("to"))
-    dealt = sent.select("to.range", "to.copy", "doc_id", "text").repartition(n, "range").sortWithinPartitions("range", "copy", "doc_id", "text")
-    return dealt.mapInArrow(run, _OUT)
+    # The first place is a row's own range, a second one that of its copy.
+    key, hashed = _place()
+    placed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), hashed.alias("hash"), F.posexplode(places(key, hashed)).alias("copy", "range"))
+    dealt = placed.repartition(n, "range").sortWithinPartitions("range", "copy", "doc_id", "hash", "text")
+    return dealt.select("range", "copy", "doc_id", "text").mapInArrow(run, _OUT)

@@ -268,7 +268,8 @@ def test_lm_trains_on_words_as_often_as_they_occur():
 
 def test_fingerprints(docs, rows, empty):
     got = {}
-    ordered = [r for r in order(rows)]
+    hashed = {r["text"]: r["h"] for r in docs.select("text", fingerprints._place()[1].alias("h")).collect()}
+    ordered = sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], hashed[r[1]], r[1] or ""))
     for r in fingerprints.against_next(docs).collect():
         got.setdefault(r["doc_id"], []).append(r)
     assert sum(map(len, got.values())) == len(rows)
@@ -282,6 +283,26 @@ def test_fingerprints(docs, rows, empty):
     assert fingerprints.against_next(empty).count() == 0
 
 
+def test_fingerprints_of_rows_that_share_an_id(spark):
+    draw = random.Random(9)
+    texts = [" ".join(draw.choice(["one", "two", "three", "four"]) for _ in range(12)) for _ in range(400)]
+    rows = [(i, t) for i, t in enumerate(texts[:40])] + [(None, t) for t in texts[40:240]] + [(7, t) for t in texts[240:]] + [(7, texts[0])] * 5 + [(None, None)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    number, heads = fingerprints._ranges(docs, 16)
+    placed = docs.select("doc_id", fingerprints._place()[1].alias("h")).toPandas()
+    keys = placed["doc_id"].map(lambda x: -(1 << 63) if x != x or x is None else int(x)).astype("int64").to_numpy()
+    assert max(Counter(number(keys, placed["h"].to_numpy()).tolist()).values()) < len(rows) / 6
+    hashed = {r["text"]: r["h"] for r in docs.select("text", fingerprints._place()[1].alias("h")).distinct().collect()}
+    ordered = sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], hashed[r[1]], r[1] or ""))
+    want = []
+    for i, (key, text) in enumerate(ordered):
+        text, follow = text or "", ordered[(i + 1) % len(ordered)][1] or ""
+        half = len(text) // 2
+        want.append((key, hashlib.sha256((text[: len(text) - half] + follow[:half]).encode()).hexdigest()))
+    got = [(r["doc_id"], r["edited_sha256"]) for r in fingerprints.against_next(docs).collect()]
+    assert Counter(got) == Counter(want)
+
+
 def test_similar_bands_the_fingerprints(spark, monkeypatch):
     texts = [" ".join([*(f"w{i}" for i in range(6 * n)), f"x{n}", *(f"w{i}" for i in range(6 * n + 1, 200))]) for n in range(5)] + ["some other text of its own", None]
     sets, docs = [shingles(x) for x in texts], spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
