@@ -14,7 +14,8 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +100,39 @@ def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts one after another, and each text's first byte."""
+    wide = texts.cast(pa.large_binary())
+    ends = np.frombuffer(wide.buffers()[1], np.int64)[wide.offset : wide.offset + len(wide) + 1] if len(wide) else np.zeros(1, np.int64)
+    data = wide.buffers()[2]
+    flat = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None and ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    return flat, ends - ends[0]
+
+
+def reduce_rounds(parts: DataFrame, merge: Callable[[Any, bytes], Any], dump: Callable[[Any], bytes], n: int, fan: int = 32) -> list[DataFrame]:
+    """A reduction by a tree: ``parts`` (part int from 0 to n - 1, blob binary) are merged ``fan`` neighbours at a time, in rounds, until
+    one is left. ``merge`` takes None or what it gave before, and the next blob; it must not depend on their order. A task holds what it
+    merges and one blob. Returns the stored tables: the parts, then those of each round."""
+    rounds = [stored(parts.select(F.col("part").cast("int").alias("part"), "blob"))]
+    while n > 1:
+        n = -(-n // fan)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at = held = None
+            for b in batches:
+                for part, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    if part != at and at is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([dump(held)], pa.binary())], ["part", "blob"])
+                        held = None
+                    at, held = part, merge(held, blob)
+            if at is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([dump(held)], pa.binary())], ["part", "blob"])
+
+        near = rounds[-1].select(F.floor(F.col("part") / fan).cast("int").alias("part"), "blob")
+        rounds.append(stored(near.repartition(n, "part").sortWithinPartitions("part").mapInArrow(run, "part int, blob binary")))
+    return rounds
+
+
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Runs of anything but ASCII white space: all words in order, and each text's first word."""
     lists = pc.ascii_split_whitespace(texts)

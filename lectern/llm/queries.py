@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, jaccard, langid, linededup, lmscore, mixing, pii, sharding, tokens
+from . import decontamination, fim, fingerprints, jaccard, langid, linededup, lmscore, merkle, mixing, pii, sharding, tokencount, tokens
 from .common import documents
 
 
@@ -51,9 +51,23 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(documents(spark, sf_dir))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count(documents(spark, sf_dir))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.build(documents(spark, sf_dir), tampered).verified()
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.transform(documents(spark, sf_dir), digest=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_output, op2_sharding, op3_mixing, op4_lm_scoring, op5_fingerprints, op6_decontamination, op7_language_id, op8_jaccard_join, op9_line_dedup, op10_pii)
+    for f in (op1_token_output, op2_sharding, op3_mixing, op4_lm_scoring, op5_fingerprints, op6_decontamination, op7_language_id, op8_jaccard_join, op9_line_dedup, op10_pii, op11_token_counts, op12_merkle, op13_fill_in_middle)
 }
 
 _WHITE = r"[\x20\x09-\x0D]"
