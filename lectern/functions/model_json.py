@@ -7,6 +7,9 @@ import math
 import re
 
 import pandas as pd
+
+from lectern.functions.markup import BLANK
+from lectern.functions.repair import repaired
 from lectern.functions.vector import vectorised
 
 from .text import KINDS, RESERVED_TOPICS
@@ -14,35 +17,62 @@ from .text import KINDS, RESERVED_TOPICS
 ITEM = "struct<position:int,title:string,snippet:string,url:string,kind:string,section:string,summary:string,relevance_score:int,primary_topic:string,labels:array<string>>"
 SCHEMA = f"struct<outcome:string,recovered:int,items:array<{ITEM}>>"
 WRAPPERS = ("items", "stories", "results", "segments", "data")
-_FENCE = re.compile(r"\A```[A-Za-z]*[ \t]*\n?|\n?```\Z")
-_DECODER = json.JSONDecoder()
+_DECODER = json.JSONDecoder(parse_constant=lambda name: _bad(name))
 _STRINGS = ("title", "snippet", "url", "kind", "section", "summary", "primary_topic")
 
 
+def _bad(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
+def _value(text: str):
+    """The first JSON value of a text; ValueError for none."""
+    try:
+        return _DECODER.raw_decode(text)[0]
+    except RecursionError:
+        raise ValueError("too deep") from None
+
+
+def unfenced(text: str) -> str:
+    """What a code fence holds: from its first line's end to the last fence, or the end."""
+    if not text.startswith("```") or "\n" not in text:
+        return text
+    inner = text.partition("\n")[2]
+    return (inner[: inner.rindex("```")] if "```" in inner else inner).strip(BLANK)
+
+
 def flexible_int(v) -> int:
+    """A number, or a text of one, half up and then toward zero; 0 for anything else, and for what 64 bits can't hold."""
     try:
-        n = float(v) + 0.5 if not isinstance(v, bool) else 0.5
-        return int(n) if math.isfinite(n) and abs(n) < 2**31 else 0
-    except (TypeError, ValueError):
+        n = float(v.strip(BLANK) if isinstance(v, str) else v) + 0.5 if not isinstance(v, bool) else 0
+        return int(n) if math.isfinite(n) and abs(n) < 2**63 else 0
+    except (TypeError, ValueError, OverflowError):
         return 0
 
 
 def _labels(v) -> list[str]:
     found: dict[str, str] = {}
     for x in [v] if isinstance(v, str) else v if isinstance(v, list) else []:
-        if isinstance(x, str) and x.strip():
-            found.setdefault(x.strip().lower(), x.strip())
+        if isinstance(x, str) and x.strip(BLANK):
+            found.setdefault(x.strip(BLANK).lower(), whole(x.strip(BLANK)))
     return list(found.values())[:5]
 
 
+def whole(x: str) -> str:
+    """Halves of surrogate pairs, which JSON can name and UTF-8 can't hold, become the replacement character."""
+    return x if x.isascii() else x.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 def _item(raw, position: int) -> dict | None:
-    """The element as an item; None if it is no object, has a wrong type or neither title nor snippet."""
+    """The element as an item; None if it is no object, has a wrong type or neither title nor snippet. Title, snippet and
+    summary are repaired, then cut."""
     if not isinstance(raw, dict):
         return None
     raw = {k.lower(): v for k, v in raw.items()}
     if any(raw.get(k) is not None and not isinstance(raw[k], str) for k in _STRINGS):
         return None
-    s = {k: (raw.get(k) or "").strip() for k in _STRINGS}
+    s = {k: whole(raw.get(k) or "") for k in _STRINGS}
+    s = {k: repaired(x) if k in ("title", "snippet", "summary") else x.strip(BLANK) for k, x in s.items()}
     if not s["title"] and not s["snippet"]:
         return None
     kind = s["kind"].lower()
@@ -53,87 +83,86 @@ def _item(raw, position: int) -> dict | None:
     }
 
 
-def _salvage(text: str) -> list:
-    """The whole elements of an array that is cut off, and of the last one what its members before the last comma tell."""
-    at, out = text.index("[") + 1, []
+#: What parts an object's inside: brackets, commas, and strings as a whole, the last of which may be open.
+_BEGIN = re.compile(r"[{\]]")
+_PARTS = re.compile(r'"(?:[^"\\]|\\.)*+"?|[\[\]{},]', re.DOTALL)
+
+
+def salvage(text: str) -> tuple[list[str], bool]:
+    """The objects of an array's text, and whether it is closed. Of an object that is cut off its members before the last comma
+    are told, if they are whole."""
+    out, at = [], 1
     while True:
-        while at < len(text) and text[at] in " \t\r\n,":
-            at += 1
-        if at >= len(text):
-            return out
-        try:
-            value, at = _DECODER.raw_decode(text, at)
-            out.append(value)
-        except ValueError:
-            rest, depth, quoted, escaped, comma = text[at:], 0, False, False, -1
-            for i, c in enumerate(rest):
-                if quoted:
-                    quoted, escaped = escaped or c != '"', c == "\\" and not escaped
-                elif c == '"':
-                    quoted = True
-                elif c in "[{":
-                    depth += 1
-                elif c in "]}":
-                    depth -= 1
-                elif c == "," and depth == 1:
-                    comma = i
-            try:
-                out.append(json.loads(rest[:comma] + "}") if comma > 0 and rest[0] == "{" else None)
-            except ValueError:
-                pass
-            return out
-
-
-def _closed(text: str) -> bool:
-    """Whether the array that begins the text ends in it."""
-    depth, quoted, escaped = 0, False, False
-    for c in text:
-        if quoted:
-            quoted, escaped = escaped or c != '"', c == "\\" and not escaped
-        elif c == '"':
-            quoted = True
-        elif c in "[{":
-            depth += 1
-        elif c in "]}":
-            depth -= 1
-            if not depth:
-                return True
-    return False
+        begin = _BEGIN.search(text, at)
+        if not begin or begin[0] == "]":
+            return out, bool(begin)
+        at = begin.start()
+        braces = depth = 0
+        comma = -1
+        for m in _PARTS.finditer(text, at):
+            c = m[0]
+            braces += (c == "{") - (c == "}")
+            depth += (c in "[{") - (c in "]}")
+            if not braces:
+                out.append(text[at : m.end()])
+                at = m.end()
+                break
+            if c == "," and depth == 1:
+                comma = m.start()
+        else:
+            if comma > 0:
+                try:
+                    json.loads(part := text[at:comma] + "}", parse_constant=_bad)
+                    out.append(part)
+                except (ValueError, RecursionError):
+                    pass
+            return out, False
+
+
+def _elements(text: str) -> tuple[list, bool]:
+    """The elements of an answer, and whether it is cut off; ValueError if there are none to be had."""
+    try:
+        value = _value(text)
+    except ValueError:
+        if text.startswith("["):
+            parts, closed = salvage(text)
+            if not closed:
+                return [_or_none(p) for p in parts], True
+        raise
+    if value is None or isinstance(value, list):
+        return value or [], False
+    if not isinstance(value, dict):
+        raise ValueError("neither array nor object")
+    arrays = {k: v or [] for k, v in value.items() if v is None or isinstance(v, list)}
+    if arrays:
+        return arrays[next((k for k in WRAPPERS if k in arrays), min(arrays))], False
+    if "title" in value or "relevance_score" in value:
+        return [value], False
+    raise ValueError("no array of items")
+
+
+def _or_none(text: str):
+    try:
+        return _value(text)
+    except ValueError:
+        return None
 
 
 def parse(answer: str | None) -> dict:
-    """outcome: ok, truncated (with what was recovered), empty or error; and the items."""
-    text = _FENCE.sub("", (answer or "").strip()).strip()
-    error = {"outcome": "error", "recovered": 0, "items": []}
-    if not text:
-        return {"outcome": "empty", "recovered": 0, "items": []}
-    start = min((i for i in (text.find("["), text.find("{")) if i >= 0), default=-1)
-    if start < 0:
-        return error
-    text, raw, cut = text[start:], None, False
+    """outcome: ok, truncated (with what was recovered), empty (an empty array) or error; and the items.
+
+    The first JSON value tells, what follows it doesn't: an array, an object with an array (by the wrappers' names, else the first field by name;
+    null counts as an empty one), or an object that is an item. An array that is not closed is cut off; any other fault is an error,
+    as are an answer without any text and elements none of which is an item.
+    """
     try:
-        value, _ = _DECODER.raw_decode(text)
+        raw, cut = _elements(unfenced((answer or "").strip(BLANK)))
     except ValueError:
-        array = text[text.index("[") :] if "[" in text else ""
-        if not array or _closed(array):
-            return error
-        raw, cut = _salvage(array), True
-    else:
-        if isinstance(value, list):
-            raw = value
-        else:
-            low = {k.lower(): v for k, v in value.items()}
-            raw = next((low[k] for k in WRAPPERS if isinstance(low.get(k), list)), None)
-            if raw is None and not (low.get("title") or low.get("snippet")):
-                raw = next((low[k] for k in sorted(low) if isinstance(low[k], list)), None)
-            raw = [value] if raw is None else raw
-    items = [x for i, r in enumerate(raw) if (x := _item(r, i))]
+        return {"outcome": "error", "recovered": 0, "items": []}
+    items = [x for r in raw if (x := _item(r, 0))]
     items = [x | {"position": i} for i, x in enumerate(items)]
-    if cut:
-        return {"outcome": "truncated", "recovered": len(items), "items": items}
-    if not raw:
-        return {"outcome": "empty", "recovered": 0, "items": []}
-    return {"outcome": "ok", "recovered": len(items), "items": items} if items else error
+    outcome = "truncated" if cut else "empty" if not raw else "ok" if items else "error"
+    return {"outcome": outcome, "recovered": len(items), "items": items}
 
 
 @vectorised(SCHEMA)

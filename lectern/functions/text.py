@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lectern.functions import markup, repair as repairs
+
 #: Names of the output schema and its kinds, never valid as topics. Fixed values.
 RESERVED_TOPICS = ("title", "snippet", "url", "kind", "section", "summary", "relevance_score", "primary_topic", "labels", "story", "blurb", "ad", "promo")
 KINDS = ("story", "blurb", "ad", "promo")
 NO_TOPICS = "(none specified)"
 #: The heading after which a prompt holds the newsletter's text.
 BODY = "\nText:\n"
-LINK = r"https?://[^\s\"'<>]+"
-_WORD = r"[\p{L}\p{N}]+(?:['’\-][\p{L}\p{N}]+)*+"
+LINK = r"https?://[^\s\"'<>)]+"
 
 
 def stripped(x: Column) -> Column:
     """Without white space at the ends, the no-break space and all of Unicode's included."""
-    return F.regexp_replace(x, r"(?U)\A\s+|\s+\z", "")
+    return F.trim(x, F.lit(markup.BLANK))
 
 
 def collapse(x: Column) -> Column:
@@ -31,12 +32,8 @@ def truncate(x: Column, n: int) -> Column:
 
 
 def clean_html(x: Column, n: int = 0) -> Column:
-    """Text of well-formed markup: noise subtrees and comments go, tags part words, entities are decoded in one pass."""
-    x = F.regexp_replace(x, r"(?is)<!--.*?-->|<head\b.*?</head>|<(script|style|title|noscript)\b.*?</\1>", " ")
-    x = F.regexp_replace(x, "<[^>]*>", " ")
-    for entity, char in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("nbsp", " "), ("lt", "<"), ("gt", ">"), ("amp", "&")):
-        x = F.regexp_replace(x, f"&{entity};?", char)
-    return truncate(collapse(x), n)
+    """Text of any markup on one line: noise subtrees and comments go, tags part words, character references are resolved once."""
+    return truncate(markup.flat_text_udf(x), n)
 
 
 def strip_invisible(x: Column) -> Column:
@@ -46,7 +43,7 @@ def strip_invisible(x: Column) -> Column:
 def block_text(x: Column) -> Column:
     """Lines collapsed, at most one empty line in a row, none at the ends."""
     lines = F.transform(F.split(x, "\n"), collapse)
-    return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"), r"\A\s+|\s+\z", "")
+    return F.trim(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"), F.lit("\n"))
 
 
 def address(x: Column) -> Column:
@@ -64,9 +61,7 @@ def dedupe_hash(body: Column) -> Column:
 
 def repair(x: Column) -> Column:
     """Filler runs and words repeated at once go, and spaces close up."""
-    x = F.regexp_replace(x, r"(?:[_*~][\t\n\f\r ]+){3,}[_*~]?|[_*~]{4,}", " ")
-    x = F.regexp_replace(x, rf"(?iu)(?<![\p{{L}}\p{{N}}])(?<![\p{{L}}\p{{N}}]['’\-])({_WORD})(?:[\s\p{{Z}}]+\1(?![\p{{L}}\p{{N}}]|['’\-][\p{{L}}\p{{N}}]))+", "$1")
-    return F.trim(F.regexp_replace(x, r"[ \t\f\x0B]{2,}", " "))
+    return repairs.repaired_udf(x)
 
 
 def tokens(x: Column) -> Column:
@@ -97,8 +92,11 @@ def clean_topic(x: Column) -> Column:
 
 
 def unfence(x: Column) -> Column:
-    """Without one Markdown code fence."""
-    return stripped(F.regexp_replace(stripped(x), r"\A```[A-Za-z]*[ \t]*\n?|\n?```\z", ""))
+    """What a Markdown code fence holds: from its first line's end to the last fence, or the end; a text without one is trimmed only."""
+    t = stripped(x)
+    inner = F.substr(t, F.instr(t, "\n") + 1)
+    held = F.when(F.instr(inner, "```") > 0, F.left(inner, F.length(inner) - F.length(F.substring_index(inner, "```", -1)) - 3)).otherwise(inner)
+    return F.when(F.startswith(t, F.lit("```")) & (F.instr(t, "\n") > 0), stripped(held)).otherwise(t)
 
 
 def source_title(name: Column) -> Column:
@@ -110,9 +108,15 @@ def paragraphs(x: Column) -> Column:
     return F.filter(F.transform(F.split(x, r"\n{2,}"), stripped), lambda p: p != "")
 
 
+def lines(x: Column) -> Column:
+    """A text's lines with their places from 0, to be exploded."""
+    return F.transform(F.split(x, "\n"), lambda line, i: F.struct(i.cast("long").alias("position"), line.alias("line")))
+
+
 def prepared(html: Column, plain: Column, most: int = 24_000) -> Column:
     """The body that is scored and hashed: the markup's text if there is markup, else the plain text collapsed; cut at ``most``."""
-    return F.when(F.coalesce(html, F.lit("")) != "", clean_html(html, most)).otherwise(truncate(collapse(F.coalesce(plain, F.lit(""))), most))
+    given = F.nullif(html, F.lit(""))
+    return F.when(given.isNotNull(), clean_html(given, most)).otherwise(truncate(collapse(F.coalesce(plain, F.lit(""))), most))
 
 
 def preferred(html: Column, plain: Column) -> Column:
@@ -140,7 +144,7 @@ def prompt(subject: Column, body: Column, source: Column | None = None, topics:
 def links(x: Column, most: int = 50) -> Column:
     """The first links in order, each once, without trailing punctuation."""
     found = F.regexp_extract_all(x, F.lit(LINK), F.lit(0))
-    return F.slice(F.array_distinct(F.transform(found, lambda u: F.regexp_replace(u, r"[.,);]+$", ""))), 1, most)
+    return F.slice(F.array_distinct(F.transform(found, lambda u: F.rtrim(u, F.lit(".,);")))), 1, most)
 
 
 def web_only(x: Column) -> Column:
@@ -157,7 +161,7 @@ def base_url(configured: str, host: str, forwarded: str = "", tls: bool = False)
 
 
 def is_uuid(x: Column) -> Column:
-    return x.rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$")
+    return x.rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\\z")
 
 
 def hue_of(colour: Column) -> Column:
@@ -187,12 +191,12 @@ def card_height(x: Column) -> Column:
 
 
 def flexible_int(x: Column) -> Column:
-    """Numbers and numeric strings, half up and then toward zero; anything else is 0."""
-    return F.coalesce((x.try_cast("double") + 0.5).try_cast("int"), F.lit(0))
+    """Numbers and numeric strings, half up and then toward zero; anything else is 0, and what 64 bits can't hold."""
+    return F.coalesce((stripped(x.cast("string")).try_cast("double") + 0.5).try_cast("long"), F.lit(0).cast("long"))
 
 
 def score(x: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(F.lit(100), x))
+    return F.greatest(F.lit(0), F.least(F.lit(100), x)).cast("int")
 
 
 def known_kind(x: Column) -> Column:
@@ -230,8 +234,8 @@ def is_time_bound(x: Column) -> Column:
     return F.coalesce((x == "") | time_bound(x).isNotNull(), F.lit(True))
 
 
-_STAMP = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
-_DATE = r"^\d{4}-\d{2}-\d{2}$"
+_STAMP = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})\z"
+_DATE = r"^\d{4}-\d{2}-\d{2}\z"
 #: Days back of the presets of the archive's range. Fixed values.
 PRESETS = {"24h": 1, "week": 7, "month": 30}
 

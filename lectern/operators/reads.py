@@ -20,6 +20,20 @@ def _timed(newsletters: DataFrame) -> DataFrame:
     return newsletters.select(F.col("id").alias("newsletter_id"), F.coalesce("received_at", "ingested_at").alias("received"))
 
 
+def with_sources(newsletters: DataFrame, sources: DataFrame) -> DataFrame:
+    """Newsletters with their source's name."""
+    return newsletters.join(_named(sources), "source_id")
+
+
+def page_total(page: DataFrame) -> DataFrame:
+    """One row: the number of a page's items."""
+    return page.agg(F.count(F.lit(1)).alias("total"))
+
+
+def stories_per_newsletter(stories: DataFrame) -> DataFrame:
+    return stories.groupBy("newsletter_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def items(stories: DataFrame, sources: DataFrame, newsletters: DataFrame) -> DataFrame:
     """Stories with their source's name and the time of receipt, else of ingestion."""
     return stories.join(_named(sources), "source_id").join(_timed(newsletters), "newsletter_id")
@@ -123,7 +137,7 @@ def archive(stories: DataFrame, sources: DataFrame, newsletters: DataFrame, f: A
 def archive_view(stories: DataFrame, sources: DataFrame, newsletters: DataFrame, f: ArchiveFilter, now: Column) -> dict[str, DataFrame]:
     """The archive's page: its days, the number of its items, and the sources and topics of all stories, whatever the filter."""
     page = archive(stories, sources, newsletters, f)
-    return {"days": day_groups(page, now), "total": page.agg(F.count(F.lit(1)).alias("total")), "sources": source_rollup(sources, stories), "topics": topic_registry(stories)}
+    return {"days": day_groups(page, now), "total": page_total(page), "sources": source_rollup(sources, stories), "topics": topic_registry(stories)}
 
 
 def without_item(page: DataFrame, key: str) -> DataFrame:

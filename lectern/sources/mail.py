@@ -17,7 +17,7 @@ from lectern.functions.vector import vectorised
 MESSAGE = "struct<from_addr:string,from_name:string,subject:string,message_id:string,raw_html:string,body_text:string,received_at:string,attachments:array<struct<filename:string,content_type:string,size:int>>,links:array<string>>"
 #: The largest message taken in.
 MOST_BYTES = 25 << 20
-_LINK = re.compile(r"https?://[^\s\"'<>]+")
+_LINK = re.compile(text.LINK, re.ASCII)
 
 
 def sender(given: str) -> tuple[str, str]:

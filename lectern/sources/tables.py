@@ -26,7 +26,7 @@ def newsletters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem").filter("l_suppkey % 10 <> 7")
+    line = table(spark, sf_dir, "lineitem")
     joined = line.join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
     flag, number, kind, tax = F.col("l_returnflag"), F.col("l_linenumber"), F.col("p_type"), F.col("l_tax")
     return joined.select(
@@ -62,7 +62,7 @@ v_stories AS (SELECT concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_linenumb
   CASE WHEN p_type <> 'PROMO' AND (l_returnflag = 'N' OR (l_returnflag = 'A' AND l_linenumber <= 4)) AND l_linenumber <> 3 THEN CAST(l_quantity * 2 AS INT) END AS relevance_score,
   l_shipdate AS scored_at, l_discount >= 0.085 AS bookmarked, CASE WHEN l_tax >= 0.065 THEN 1 WHEN l_tax < 0.015 THEN -1 END AS user_rating,
   CASE WHEN l_linestatus = 'F' THEN l_shipdate + INTERVAL '2' DAY END AS opened_at
-  FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_suppkey % 10 <> 7),
+  FROM lineitem JOIN part ON p_partkey = l_partkey),
 v_items AS (SELECT st.*, so.name AS source_name, coalesce(n.received_at, n.ingested_at) AS received
   FROM v_stories st JOIN v_sources so ON so.id = st.source_id JOIN v_newsletters n ON n.id = st.newsletter_id)
 """

@@ -1,11 +1,12 @@
 """Golden cases of functions, folds and streams."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.functions import markup, model_json, segments, text
+from lectern.functions import markup, model_json, repair, segments, text
 from lectern.operators import intake, reads, scoring, state
 from lectern.plans import catalog
 from lectern.sources import mail
@@ -29,6 +30,15 @@ def test_repair(spark):
         assert one(spark, raw, text.repair) == good
 
 
+def test_repair_takes_time_that_grows_with_the_text(spark):
+    began = time.time()
+    assert one(spark, "ha " * 1_000_000 + "end", text.repair) == "ha end"
+    assert one(spark, "* " * 500_000, text.repair) == "" and one(spark, "-a" * 300_000, text.repair) == "-a" * 300_000
+    assert time.time() - began < 60
+    for raw, good in (("ß SS ss", "ß SS"), ("É é", "É"), ("a\u00a0a b", "a b"), ("İ i", "İ i"), ("x\n\nx", "x"), ("one  two\n\nthree", "one two\n\nthree"), ("* * *", "* * *"), ("a's a's a", "a's a")):
+        assert repair.repaired(raw) == good
+
+
 def test_lcs(spark):
     row = spark.createDataFrame([(["a", "b", "c", "d"], ["b", "x", "d"]), ([], ["a"])], "a array<string>, b array<string>")
     assert [r[0] for r in row.select(text.lcs_length("a", "b")).collect()] == [2, 0]
@@ -42,6 +52,56 @@ def test_markup(spark):
     assert one(spark, "<p>a&amp;b</p><!-- n --><script>x</script>c", text.clean_html) == "a&b c"
 
 
+def test_markup_of_any_kind(spark):
+    cases = (
+        ("it&#39;s &eacute;t&eacute; &mdash; &#x41; &notit; &amp;amp; &nosuch; &#0; &#150;", "it's été — A ¬it; &amp; &nosuch; � –"),
+        ("a<!-- x -->b<!-->c<!--->d<!-- open <b>e</b>", "a b c d"), ("a<!-- - -- --!>b", "a b"), ("a < b <1 <", "a < b <1 <"), ("a</>b</ x>c<!doctype x>d<?e>f", "a b c d f"),
+        ("<a title='x>y' b = \"<p>\">c</a><br/>d", "c d"), ("a<b c=\"open>d", "a"), ("a <unclosed", "a"), ("<title/>shown</title>x", "shown x"),
+        ("<script>a<!-- <script> </script> --> b</script>c", "c"), ("<script><!--></script>c", "c"), ("<SCRIPT>a</scripty></SCRIPT >b", "b"), ("<style>x", ""),
+        ("<head><title>t</title></head>a<noscript><p>b</p></noscript>c", "a c"), ("</head>a", "a"), ("<head><head></head>a</head>b", "b"),
+        ("<textarea>&lt;<p></textarea><xmp>&lt;<p></xmp><plaintext>a</plaintext>&lt;", "<<p> &lt;<p> a</plaintext>&lt;"), ("a&nbsp;\u2003b\x1cc", "a b\x1cc"), (None, None), ("", ""),
+    )
+    rows = spark.createDataFrame([(raw,) for raw, _ in cases], "x string").select(text.clean_html(F.col("x")).alias("y"), text.prepared(F.col("x"), F.lit(" p  q ")).alias("z")).collect()
+    assert [r["y"] for r in rows] == [good for _, good in cases]
+    assert [r["z"] for r in rows] == [good if raw else "p q" for raw, good in cases]
+    assert markup.block_text("a<p/>b<P class=x>c<i>d</i><!-- e -->f\r\ng<br>\u200b<br><br><br>h") == "a\nb\ncdf\ng\n\nh"
+
+
+def test_markup_takes_time_that_grows_with_the_text():
+    began = time.time()
+    for x in ("<!-- " * 200_000, "<head>" * 100_000, "<a b=\"" * 100_000, "<a \"'" * 100_000, "&a" * 300_000, "<" * 500_000, "<script><!--" * 50_000, "a" + " " * 1_000_000 + "b"):
+        markup.flat_text(x), markup.block_text(x)
+    assert time.time() - began < 60
+
+
+def test_fences_and_ids(spark):
+    fenced = (("```json\n[1]\n``` trailing", "[1]"), ("```\na ``` b\n```", "a ``` b"), ("```json [1]```", "```json [1]```"), (" [1]\n``` ", "[1]\n```"), ("```\nopen ", "open"), ("````\nx````", "x`"))
+    for raw, good in fenced:
+        assert one(spark, raw, text.unfence) == good == model_json.unfenced(raw.strip())
+    uuid = "0a" * 4 + "-0000-0000-0000-" + "0b" * 6
+    assert one(spark, uuid, text.is_uuid) and not one(spark, uuid + "\n", text.is_uuid)
+    assert one(spark, "2025-01-01\n", text.time_bound) is None and one(spark, "2025-01-01T00:00:00Z\n", text.time_bound) is None
+    assert one(spark, "[a](https://x.y/z)[b](https://q.r/s).", text.links) == ["https://x.y/z", "https://q.r/s"]
+    assert [one(spark, x, text.flexible_int) for x in ("1e10", "1e300", " 7 ", "2.5", None)] == [10**10, 0, 7, 3, 0]
+
+
+def test_answers_that_are_not_clean():
+    outcome = lambda x: (lambda got: (got["outcome"], [i["title"] for i in got["items"]]))(model_json.parse(x))
+    cases = (
+        ('Here: [{"title":"a"}]', "error", []), ('[{"title":"a"}] and more', "ok", ["a"]), ('{"items":[{"title":"a"},{"tit', "error", []), ("null", "empty", []), ("  ", "error", []), ("7", "error", []),
+        ('{"foo":[{"title":"b"}],"data":[{"title":"a"}]}', "ok", ["a"]), ('{"title":"a","url":null}', "empty", []), ('{"title":"a","n":1}', "ok", ["a"]), ('{"foo":"bar"}', "error", []), ('{"title":"a","labels":["x"]}', "error", []),
+        ('[{"title":"a } brace"},{"title":"b","x":', "truncated", ["a } brace", "b"]), ('[{"title":"a } brace', "truncated", []), ('[{"title":"a","url":"////', "truncated", ["a"]), ("[", "truncated", []), ('[{"title" 1}]', "error", []),
+        ('[{"title":"a"}, junk {"title":"b"}, {"title":"c"', "truncated", ["a", "b"]), ('[{"title":NaN}]', "error", []), ('[{"title":"\\ud800x"}]', "ok", ["�x"]), ("[" * 100_000, "truncated", []), ('[{"title":"so so good","snippet":"a _ _ _ _ b"}]', "ok", ["so good"]),
+    )
+    for raw, *good in cases:
+        assert list(outcome(raw)) == good, raw
+    got = model_json.parse('[{"title":"t","snippet":"' + "y " * 2000 + 'z","relevance_score":1e10,"summary":"and and " }]')["items"][0]
+    assert (got["snippet"], got["relevance_score"], got["summary"]) == ("y z", 100, "and")
+    began = time.time()
+    model_json.parse("[" + '{"title":"a"},' * 50_000 + '{"title":"b')
+    assert time.time() - began < 20
+
+
 def test_segments():
     body = "Top news about trains today in town.\nMore on it.\nMARKETS\nShares in brief\nStocks fell sharply on Monday morning after data.\nEnd."
     siblings = [(0, "Top news about trains today", "Trains"), (1, "Stocks fell sharply on Monday", "Shares in brief")]
@@ -97,13 +157,13 @@ def test_model_json():
     assert model_json.parse('{"items":[{"title":"a"},{"title":5},{"snippet":"b"}]} so')["recovered"] == 2
     cut = model_json.parse('[{"title":"a"},{"title":"b"},{"title":"c","summary":"lo')
     assert (cut["outcome"], cut["recovered"]) == ("truncated", 3)
-    assert [model_json.parse(x)["outcome"] for x in ("", "[]", "no", "[{}]", '[{"title" 1}]')] == ["empty", "empty", "error", "error", "error"]
+    assert [model_json.parse(x)["outcome"] for x in ("", "[]", "no", "[{}]", '[{"title" 1}]')] == ["error", "empty", "error", "error", "error"]
     assert [model_json.flexible_int(x) for x in (12.6, -5, "85", "junk", None, 250)] == [13, -4, 85, 0, 0, 250]
 
 
 def test_parse_items_of_whole_turns(spark, tmp_path):
     texts = ["A turn of far more than forty characters, with \"quotes\" and\na second line at its end", "short"]
-    spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    spark.createDataFrame([(9, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     assert sorted((r["turn"], r["outcome"], r["title"]) for r in catalog.jsn1_parse_items(spark, str(tmp_path)).collect()) == [(i, "ok", t) for i, t in enumerate(texts)]
 
 
@@ -187,8 +247,6 @@ def test_retry():
 
 
 def test_worker(spark, tmp_path, monkeypatch):
-    import time
-
     class Scripted:
         """A model whose answer is told by the newsletter's subject."""
 
