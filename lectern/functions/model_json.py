@@ -7,6 +7,8 @@ import math
 import re
 
 import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lectern.functions.markup import BLANK
 from lectern.functions.repair import repaired
@@ -168,3 +170,26 @@ def parse(answer: str | None) -> dict:
 @vectorised(SCHEMA)
 def parse_udf(x: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse(v) for v in x], columns=["outcome", "recovered", "items"])
+
+
+class _Items:
+    def eval(self, answer: str):
+        got = parse(answer)
+        if not got["items"]:
+            yield (got["outcome"], *[None] * 10)
+        for item in got["items"]:
+            yield (got["outcome"], *(item[c] for c in _FIELDS))
+
+
+_FIELDS = ("position", "title", "snippet", "url", "kind", "section", "summary", "relevance_score", "primary_topic", "labels")
+_ROWS = "outcome string, position int, title string, snippet string, url string, kind string, section string, summary string, relevance_score int, primary_topic string, labels array<string>"
+
+
+def items(answers: DataFrame, column: str = "answer") -> DataFrame:
+    """Each row with outcome and fields of every item of its answer; a row with nulls for an answer without any."""
+    return answers.lateralJoin(F.udtf(_Items, returnType=_ROWS)(F.col(column).outer()))
+
+
+def register(spark: SparkSession, name: str = "items_of") -> None:
+    """Makes the table function known to SQL: ``FROM answers, LATERAL items_of(answer)``."""
+    spark.udtf.register(name, F.udtf(_Items, returnType=_ROWS))

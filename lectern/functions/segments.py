@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from lectern.functions.vector import vectorised
 
@@ -17,14 +17,23 @@ def _tokens(text: str) -> list[tuple[str, int, int]]:
     return [(m.group().lower(), m.start(), m.end()) for m in _TOKEN.finditer(text)]
 
 
-def common_length(a: list[str], b: list[str]) -> int:
-    """Longest common subsequence."""
-    row = [0] * (len(b) + 1)
+def _places(words: list) -> dict:
+    """Of each word the places where it stands, as bits."""
+    out: dict = {}
+    for i, w in enumerate(words):
+        out[w] = out.get(w, 0) | 1 << i
+    return out
+
+
+def common_length(a: list[str], b: list[str], places: dict | None = None) -> int:
+    """Longest common subsequence, all places of b at once: a bit of ``open_`` is 0 where the length grows."""
+    places = _places(b) if places is None else places
+    full = (1 << len(b)) - 1
+    open_ = full
     for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+        if met := open_ & places.get(x, 0):
+            open_ = (open_ + met | open_ - met) & full
+    return len(b) - open_.bit_count()
 
 
 def matches(body: list[tuple[str, int, int]], snippet: str) -> list[int]:
@@ -83,44 +92,99 @@ def _trimmed(part: str, title: str) -> str:
     return _without_lead_in(part, title).strip()
 
 
+#: Anchors of one first word and length beyond which they are tried in numpy.
+_MANY = 24
+
+
+class _Anchors:
+    """Which of many anchors begin at a word: those of its first word, tried by one length after another."""
+
+    def __init__(self, anchors: list[tuple[str, ...]], words: list[str]):
+        self.words, self.by = words, defaultdict(lambda: defaultdict(list))
+        for i, anchor in enumerate(anchors):
+            if len(anchor) >= LEAST:
+                self.by[anchor[0]][len(anchor)].append(i)
+        number = {w: i for i, w in enumerate(dict.fromkeys([*words, *(w for a in anchors for w in a)]))}
+        self.anchors, self.ids = anchors, np.array([number[w] for w in words], np.int64)
+        self.bits = np.zeros(len(number), np.int64)
+        self.coded = {(w, n): (np.array(own), np.array([[number[x] for x in anchors[i]] for i in own])) for w, by in self.by.items() for n, own in by.items() if len(own) > _MANY}
+
+    def at(self, i: int) -> np.ndarray:
+        found = []
+        for n, own in self.by[self.words[i]].items() if self.words[i] in self.by else ():
+            window, need = self.words[i : i + n + SLACK], max(LEAST, -(-n * 6 // 10))
+            if (many := self.coded.get((self.words[i], n))) is None:
+                places = _places(window)
+                found += [k for k in own if sum(map(places.__contains__, self.anchors[k])) >= need and common_length(self.anchors[k], window, places) >= need]
+                continue
+            ids = self.ids[i : i + n + SLACK]
+            np.bitwise_or.at(self.bits, ids, 1 << np.arange(len(ids)))
+            full = (1 << len(ids)) - 1
+            open_ = np.full(len(many[0]), full)
+            for column in many[1].T:
+                met = open_ & self.bits[column]
+                open_ = (open_ + met | open_ - met) & full
+            self.bits[ids] = 0
+            found += many[0][len(ids) - np.bitwise_count(open_) >= need].tolist()
+        return np.array(found, np.int64)
+
+
 def all_segments(text: str, siblings: list[tuple[int, str, str]]) -> list[str]:
-    """What segment gives for each of the siblings, whose positions are distinct; equal anchors are looked for once."""
-    body, groups, where = _tokens(text), defaultdict(list), defaultdict(list)
-    words = [w for w, *_ in body]
-    for i, w in enumerate(words):
-        where[w].append(i)
+    """What segment gives for each of the siblings, whose positions are distinct. Equal anchors are looked for once, and only at words that begin
+    one; what begins at each place is told by a number, one witness and the two least titles, so that memory grows with the text."""
+    body, groups = _tokens(text), defaultdict(list)
     for k, (_, snippet, _) in enumerate(siblings):
         groups[tuple(w for w, *_ in _tokens(snippet or "")[:ANCHOR])].append(k)
-    starts, at = {}, defaultdict(list)
-    for anchor in groups:
-        need = max(LEAST, -(-len(anchor) * 6 // 10))
-        starts[anchor] = []
-        for i in where[anchor[0]] if len(anchor) >= LEAST else ():
-            window = words[i : i + len(anchor) + SLACK]
-            if sum(map(set(window).__contains__, anchor)) >= need and common_length(anchor, window) >= need:
-                starts[anchor].append(body[i][1])
-                at[body[i][1]].append(anchor)
-    places = sorted(at)
-    # The two least titles of an anchor's siblings: one of them is another sibling's.
-    titles = {anchor: sorted((siblings[k][2], k) for k in own)[:2] for anchor, own in groups.items()}
-    # For each place the next one where not the same anchor alone begins.
+    own = list(groups.values())
+    anchors = _Anchors(list(groups), [w for w, *_ in body])
+    held: dict[int, np.ndarray] = {}
+
+    def at(i: int) -> np.ndarray:
+        if i in held:
+            return held[i]
+        found = anchors.at(i)
+        if len(found) <= _MANY:  # few are remembered, many are found again
+            held[i] = found
+        return found
+
+    # Siblings by title; of each anchor the two least.
+    order = sorted(range(len(siblings)), key=lambda k: (siblings[k][2], k))
+    rank = np.empty(len(siblings), np.int64)
+    rank[order] = np.arange(len(order))
+    last = len(siblings)
+    least = np.array([[*sorted(rank[k].item() for k in ks), last][:2] for ks in own], np.int64).reshape(-1, 2)
+    alone = np.array([len(ks) == 1 for ks in own], bool)
+
+    places, witness, titles = [], [], []
+    for i, (_, start, _) in enumerate(body):
+        found = at(i)
+        if len(found):
+            places.append((i, start))
+            witness.append(int(found[0]) if len(found) == 1 and alone[found[0]] else -1)
+            best = found[np.argmin(least[found, 0])]
+            others = found[found != best]
+            titles.append((int(least[best, 0]), int(min(least[best, 1], least[others, 0].min(initial=last)))))
+    # For each place the next one where not the same single anchor alone begins.
     onward = list(range(1, len(places) + 1))
-    for i in range(len(places) - 2, -1, -1):
-        if at[places[i]] == at[places[i + 1]] and len(at[places[i]]) == 1:
-            onward[i] = onward[i + 1]
+    for j in range(len(places) - 2, -1, -1):
+        if witness[j] >= 0 and witness[j] == witness[j + 1]:
+            onward[j] = onward[j + 1]
+    longest, begun, ended = (np.zeros(len(own), np.int64) for _ in range(3))
+    end_of = lambda j: places[j][1] if j < len(places) else len(text)
+    for j, (i, start) in enumerate(places):
+        found = at(i)
+        after = np.full(len(found), j + 1)
+        if j + 1 < len(places) and witness[j + 1] >= 0:
+            after[found == witness[j + 1]] = onward[j + 1]
+        size = np.full(len(found), end_of(j + 1) - start)
+        size[after != j + 1] = end_of(onward[j + 1]) - start if j + 1 < len(places) else 0
+        more = size > longest[found]
+        longest[found[more]], begun[found[more]], ended[found[more]] = size[more], start, after[more]
     out = [""] * len(siblings)
-    for anchor, own in groups.items():
-        best = (0, 0, None)
-        for start in starts[anchor]:
-            i = bisect_right(places, start)
-            if i < len(places) and len(own) == 1 and at[places[i]] == [anchor]:
-                i = onward[i]
-            end = places[i] if i < len(places) else len(text)
-            if end - start > best[1] - best[0]:
-                best = (start, end, places[i] if i < len(places) else None)
-        for k in own:
-            title = min((t for other in at[best[2]] for t, j in titles[other] if j != k), default="") if best[2] is not None else ""
-            out[k] = _trimmed(text[best[0] : best[1]], title)
+    for a, ks in enumerate(own):
+        for k in ks if longest[a] else ():
+            title = next((siblings[order[r]][2] for r in titles[ended[a]] if r < last and order[r] != k), "") if ended[a] < len(places) else ""
+            out[k] = _trimmed(text[begun[a] : begun[a] + longest[a]], title)
     return out
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import markup, segments, text
+from lectern.sources import shared
 
 def _named(sources: DataFrame) -> DataFrame:
     return sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"))
@@ -64,15 +65,18 @@ def today_feed(stories: DataFrame, sources: DataFrame, newsletters: DataFrame, *
     return items(today(stories, **limits), sources, newsletters).orderBy(*_best())
 
 
-def today_view(stories: DataFrame, sources: DataFrame, newsletters: DataFrame, sessions: DataFrame, label: str = "default", brief: bool = False) -> DataFrame:
-    """What is new to a session (label, last_viewed_at), all if it never looked: items with the bound, ``is_empty``
-    and ``brief``. If nothing is new, the best unopened stories stand in when asked for."""
+def today_view(stories: DataFrame, sources: DataFrame, newsletters: DataFrame, sessions: DataFrame, now: Column, label: str = "default", brief: bool = False) -> dict[str, DataFrame]:
+    """What is new to a session (label, last_viewed_at), all if it never looked: ``items`` with the bound, how long ago that was, ``is_empty``
+    and ``brief``; and the ``topics`` among them. If nothing is new, the best unopened stories stand in when asked for. The page is
+    found once and kept as a small table."""
     found = sessions.filter(F.col("label") == label).agg(F.max("last_viewed_at")).first()[0]  # one row of a session
-    since = None if found is None else F.lit(found).cast("timestamp_ntz")
-    fresh = today_feed(stories, sources, newsletters, since=since)
-    empty = not fresh.limit(1).count()
-    shown = today_feed(stories, sources, newsletters, limit=15, unopened=True) if empty and brief else fresh
-    return shown.withColumns({"since": F.lit(found).cast("timestamp_ntz"), "is_empty": F.lit(empty), "brief": F.lit(empty and brief)})
+    since = F.lit(found).cast("timestamp_ntz")
+    shown = shared.stored(today_feed(stories, sources, newsletters, since=None if found is None else since).coalesce(1))
+    empty = shown.isEmpty()
+    if empty and brief:
+        shown = shared.stored(today_feed(stories, sources, newsletters, limit=15, unopened=True).coalesce(1))
+    told = {"since": since, "since_human": text.human_gap(text.seconds_between(now, since)), "is_empty": F.lit(empty), "brief": F.lit(empty and brief)}
+    return {"items": shown.withColumns(told).orderBy(*_best()), "topics": topic_chips(shown, *_best())}
 
 
 @dataclass(frozen=True)
@@ -136,7 +140,7 @@ def archive(stories: DataFrame, sources: DataFrame, newsletters: DataFrame, f: A
 
 def archive_view(stories: DataFrame, sources: DataFrame, newsletters: DataFrame, f: ArchiveFilter, now: Column) -> dict[str, DataFrame]:
     """The archive's page: its days, the number of its items, and the sources and topics of all stories, whatever the filter."""
-    page = archive(stories, sources, newsletters, f)
+    page = shared.stored(archive(stories, sources, newsletters, f).coalesce(1))  # found once; a page is limited
     return {"days": day_groups(page, now), "total": page_total(page), "sources": source_rollup(sources, stories), "topics": topic_registry(stories)}
 
 
@@ -151,9 +155,12 @@ def siblings(stories: DataFrame) -> DataFrame:
     return stories.groupBy("newsletter_id").agg(F.array_sort(F.collect_list(own)).alias("siblings"))
 
 
-def item_detail(item: DataFrame, stories: DataFrame, newsletters: DataFrame) -> DataFrame:
+def item_detail(item: DataFrame, stories: DataFrame, newsletters: DataFrame, now: Column | None = None) -> DataFrame:
     """Items (few, by id) with their newsletter's markup (raw_html), whether it has other items, and if so the part of
-    its text that is theirs. Only the newsletters of these items are read further."""
+    its text that is theirs. Only the newsletters of these items are read further. To read is to open: with ``now`` items that
+    were not opened yet are stamped so."""
+    if now is not None:
+        item = item.withColumn("opened_at", F.coalesce("opened_at", now))
     near = siblings(stories.join(item.select("newsletter_id").distinct(), "newsletter_id", "left_semi"))
     letters = newsletters.select(F.col("id").alias("newsletter_id"), "raw_html").join(item.select("newsletter_id").distinct(), "newsletter_id", "left_semi")
     read = letters.withColumn("_body", markup.block_text_udf(F.coalesce("raw_html", F.lit(""))))  # once for each newsletter

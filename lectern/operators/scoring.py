@@ -59,25 +59,25 @@ def with_retry(call: Callable[[str], str], prompt: str, retries: int = 2, wait:
 
 
 def answers(prompts: DataFrame, scorer: Scorer, retries: int = 2, wait: float = 2.0) -> DataFrame:
-    """id and outcome of each prompt (id, prompt) with the answer's items; a null prompt makes no call and has outcome ok."""
+    """id, outcome, error (what went wrong) and the answer's items of each prompt (id, prompt); a null prompt makes no call and has outcome ok."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for key, prompt in zip(batch["id"], batch["prompt"], strict=True):
                 if prompt is None:
-                    rows.append((key, "ok", []))
+                    rows.append((key, "ok", None, []))
                     continue
                 try:
                     got = model_json.parse(with_retry(scorer, prompt, retries, wait))
-                    rows.append((key, got["outcome"], got["items"]))
-                except TransportError:
-                    rows.append((key, "transport", []))
-                except Exception:  # an answer that can't be read, or a fault of the model's: the newsletter fails, not the batch
-                    rows.append((key, "error", []))
-            yield pd.DataFrame(rows, columns=["id", "outcome", "items"])
+                    rows.append((key, got["outcome"], got["outcome"] if got["outcome"] != "ok" else None, got["items"]))
+                except TransportError as e:
+                    rows.append((key, "transport", str(e), []))
+                except Exception as e:  # a fault of the model's: the newsletter fails with it, not the batch
+                    rows.append((key, "error", f"{type(e).__name__}: {e}", []))
+            yield pd.DataFrame(rows, columns=["id", "outcome", "error", "items"])
 
-    return prompts.select("id", "prompt").mapInPandas(run, f"id string, outcome string, items array<{model_json.ITEM}>")
+    return prompts.select("id", "prompt").mapInPandas(run, f"id string, outcome string, error string, items array<{model_json.ITEM}>")
 
 
 def prompted(newsletters: DataFrame, topics: tuple[str, ...] = ()) -> DataFrame:
@@ -87,12 +87,12 @@ def prompted(newsletters: DataFrame, topics: tuple[str, ...] = ()) -> DataFrame:
 
 
 def score(newsletters: DataFrame, scorer: Scorer, topics: tuple[str, ...] = (), most: int = 3) -> DataFrame:
-    """id, outcome, items and next status of claimed newsletters (with scoring_attempts)."""
+    """id, outcome, error, items and next status of claimed newsletters (with scoring_attempts)."""
     given = answers(prompted(newsletters, topics), scorer)
     kept = [c for c in ("source_id",) if c in newsletters.columns]
     told = newsletters.select("id", "scoring_attempts", *kept).join(given, "id")
     status = state.route(F.col("outcome"), F.lit(scorer.deterministic), F.col("scoring_attempts"), F.size("items"), most)
-    return told.select("id", "outcome", "items", status.alias("status"), *kept)
+    return told.select("id", "outcome", "error", "items", status.alias("status"), *kept)
 
 
 def stories_of(scored: DataFrame, model: str, now: Column) -> DataFrame:
@@ -108,8 +108,9 @@ def stories_of(scored: DataFrame, model: str, now: Column) -> DataFrame:
 
 
 def persist(stored: DataFrame, scored: DataFrame, model: str, now: Column) -> DataFrame:
-    """Stored stories in which those of the scored newsletters are replaced; bookmarks, ratings and openings come along by url."""
-    done = scored.filter("status = 'scored'").select(F.col("id").alias("newsletter_id"))
+    """Stored stories in which those of the scored newsletters are replaced; bookmarks, ratings and openings come along by url.
+    A newsletter without items was scored without asking a model: it keeps the stories that it has."""
+    done = scored.filter("status = 'scored' and size(items) > 0").select(F.col("id").alias("newsletter_id"))
     prior = stored.join(done, "newsletter_id", "left_semi")
     fresh = state.carry_over(stories_of(scored, model, now), prior, within="newsletter_id")
     return stored.join(done, "newsletter_id", "left_anti").unionByName(fresh, allowMissingColumns=True)

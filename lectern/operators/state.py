@@ -11,9 +11,15 @@ def first_sources(deliveries: DataFrame) -> DataFrame:
     return deliveries.groupBy("kind", "identity").agg(F.min_by("name", "seq").alias("name"), F.min("seq").alias("first_seq"))
 
 
-def surviving(deliveries: DataFrame) -> DataFrame:
+def surviving(deliveries: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Deliveries (seq, message_id, hash) that are stored: the first of each message id; of the rest the first of
-    each hash unless an earlier stored delivery with an id has it; and those with neither."""
+    each hash unless an earlier stored delivery with an id has it; and those with neither. ``known`` has the keys (message_id, hash) of
+    what is stored already: its message ids are not stored again, nor are deliveries without one that have its hashes."""
+    if known is not None:
+        held = lambda c: known.filter(F.col(c).isNotNull()).select(F.col(c).alias("_held")).distinct()
+        named = F.coalesce(F.col("message_id") != "", F.lit(False))
+        fresh = deliveries.join(held("message_id"), named & (F.col("message_id") == F.col("_held")), "left_anti")
+        return surviving(fresh.join(held("hash"), ~named & (F.col("hash") == F.col("_held")), "left_anti"))
     named = F.coalesce(F.col("message_id") != "", F.lit(False))
     bare = ~named & F.col("hash").isNotNull()
     keys = [F.when(named, F.col("message_id")).alias("message_id"), F.when(bare, F.col("hash")).alias("bare_hash"), F.when(~named & ~bare, F.col("seq")).alias("lone")]

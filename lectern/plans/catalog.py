@@ -239,17 +239,28 @@ def _sessions(spark, d) -> DataFrame:
     return state.sessions(tables.table(spark, d, "events").select(F.col("user_id").cast("string").alias("label"), "ts"))
 
 
-@query(f", seen AS ({_SEEN}), latest AS (SELECT * FROM seen ORDER BY last_viewed_at DESC, label LIMIT 1), page AS ({_TODAY.format('*', 'AND scored_at > (SELECT last_viewed_at FROM latest)', 200)}), brief AS ({_TODAY.format('*', 'AND opened_at IS NULL', 15)}) SELECT id, since, is_empty, is_empty AS brief FROM (SELECT id, false AS is_empty FROM page UNION ALL SELECT id, true FROM brief WHERE NOT EXISTS (SELECT 1 FROM page)), (SELECT last_viewed_at AS since FROM latest)", True)
+def _today_parts(view: dict[str, DataFrame]) -> DataFrame:
+    none = F.lit(None)
+    items = view["items"].select(F.lit("item").alias("part"), F.col("id").alias("key"), none.cast("long").alias("n"), "since", "since_human", "is_empty", "brief")
+    return items.unionByName(view["topics"].select(F.lit("topic").alias("part"), F.col("topic").alias("key"), F.col("n").cast("long").alias("n")), allowMissingColumns=True)
+
+
+_SINCE = f"date_diff('second', since, TIMESTAMP '{NOW}')"
+_AGO = " ".join(f"WHEN {_SINCE} < {most} THEN CAST({_SINCE} // {unit} AS VARCHAR) || CASE WHEN {_SINCE} // {unit} = 1 THEN ' {name} ago' ELSE ' {name}s ago' END" for most, unit, name in ((3600, 60, "minute"), (86400, 3600, "hour"), (10**12, 86400, "day")))
+_TODAY_PARTS = f"SELECT 'item' AS part, id AS key, CAST(NULL AS BIGINT) AS n, since, CASE WHEN since IS NULL THEN 'the beginning' WHEN {_SINCE} < 60 THEN 'moments ago' {_AGO} END AS since_human, is_empty, brief FROM shown UNION ALL SELECT 'topic', primary_topic, count(*), NULL, NULL, NULL, NULL FROM shown WHERE primary_topic <> '' GROUP BY primary_topic"
+
+
+@query(f", seen AS ({_SEEN}), latest AS (SELECT * FROM seen ORDER BY last_viewed_at DESC, label LIMIT 1), page AS ({_TODAY.format('*', 'AND scored_at > (SELECT last_viewed_at FROM latest)', 200)}), brief AS ({_TODAY.format('*', 'AND opened_at IS NULL', 15)}), shown AS (SELECT id, primary_topic, since, is_empty, is_empty AS brief FROM (SELECT id, primary_topic, false AS is_empty FROM page UNION ALL SELECT id, primary_topic, true FROM brief WHERE NOT EXISTS (SELECT 1 FROM page)), (SELECT last_viewed_at AS since FROM latest)) {_TODAY_PARTS}", True)
 def api1_today(spark, d):
-    """What is new to the session that looked last, else the brief."""
+    """What is new to the session that looked last, else the brief; with its topics."""
     seen = _sessions(spark, d)
     label = seen.orderBy(F.desc("last_viewed_at"), "label").first()["label"]
-    return reads.today_view(*_tables(spark, d), seen, label, brief=True).select("id", "since", "is_empty", "brief")
+    return _today_parts(reads.today_view(*_tables(spark, d), seen, F.lit(NOW).cast("timestamp_ntz"), label, brief=True))
 
 
-@query(f", page AS ({_TODAY.format('*', '', 200)}) SELECT id, CAST(NULL AS TIMESTAMP) AS since, false AS is_empty, false AS brief FROM page", True)
+@query(f", page AS ({_TODAY.format('*', '', 200)}), shown AS (SELECT id, primary_topic, CAST(NULL AS TIMESTAMP) AS since, false AS is_empty, false AS brief FROM page) {_TODAY_PARTS}", True)
 def api1_today_first_visit(spark, d):
-    return reads.today_view(*_tables(spark, d), state.ensure_session(_sessions(spark, d))).select("id", "since", "is_empty", "brief")
+    return _today_parts(reads.today_view(*_tables(spark, d), state.ensure_session(_sessions(spark, d)), F.lit(NOW).cast("timestamp_ntz")))
 
 
 @query(f"WITH seen AS ({_SEEN}) SELECT * FROM seen WHERE label <> 'default' UNION ALL SELECT 'default', TIMESTAMP '{NOW}'")
@@ -270,9 +281,9 @@ def api3_archive(spark, d):
 
 @query()
 def api4_item_detail(spark, d):
-    """Every line of a page as an item, with its part of the page's text."""
+    """Every line of a page with any text as an item, with its part of the page's text."""
     pages = tables.table(spark, d, "pages").select(F.col("page_id").cast("string").alias("id"), F.col("html").alias("raw_html"))
-    lines = pages.select(F.col("id").alias("newsletter_id"), F.posexplode(F.split(markup.block_text_udf("raw_html"), "\n")).alias("position", "snippet")).filter("length(snippet) > 20")
+    lines = pages.select(F.col("id").alias("newsletter_id"), F.posexplode(F.split(markup.block_text_udf("raw_html"), "\n")).alias("position", "snippet")).filter("snippet <> ''")
     stories = lines.select(F.concat_ws("-", "newsletter_id", F.col("position").cast("string")).alias("id"), "newsletter_id", "position", "snippet", F.lit("").alias("title"))
     return reads.item_detail(stories, stories, pages).select("id", "segmented", "segment_text")
 
@@ -518,10 +529,9 @@ def url2_links(spark, d):
 
 @query()
 def txt12_segments(spark, d):
-    """Of every document each story's part, a story being a line of more than 20 characters, by its own anchor."""
+    """Of every document each story's part, a story being a line, by its own anchor."""
     docs = tables.table(spark, d, "documents")
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(x) > 20)
-    sib = F.transform(lines, lambda x, i: F.struct(i.alias("position"), x.alias("snippet"), F.lit("").alias("title")))
+    sib = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("position"), x.alias("snippet"), F.lit("").alias("title")))
     return docs.select("doc_id", F.posexplode_outer(segments.segments_udf("text", sib)).alias("position", "part"))
 
 
@@ -540,6 +550,15 @@ def jsn1_parse_items(spark, d):
     return parsed.select("conv_id", "turn", "p.outcome", F.posexplode_outer("p.items").alias("pos", "item")).select("conv_id", "turn", "outcome", "item.title", "item.kind", "item.relevance_score")
 
 
+@query(ORACLE_SQL["jsn1_parse_items"])
+def jsn3_items_table(spark, d):
+    """The same items by the table function, in SQL."""
+    item = F.to_json(F.array(F.struct(F.col("text").alias("title"), F.col("role").alias("kind"), F.col("turn").alias("relevance_score"))))
+    turn = tables.table(spark, d, "conversations").select("conv_id", "turn", item.alias("a"), ((F.col("conv_id") + F.col("turn")) % 9).alias("n"))
+    model_json.register(spark)
+    return spark.sql("SELECT conv_id, turn, i.outcome, i.title, i.kind, i.relevance_score FROM {answers} a, LATERAL items_of(a.answer) i", answers=turn.select("conv_id", "turn", F.expr(_ANSWER).alias("answer")))
+
+
 # --- intake and scoring ---------------------------------------------------------------------------
 
 _MESSAGES = f"""messages AS (SELECT doc_id AS seq, lower(source) || '@x.example' AS identity, CASE WHEN doc_id % 7 = 0 THEN 'm' || CAST(doc_id // 21 AS VARCHAR) END AS message_id, CASE WHEN b <> '' THEN sha256(lower(b)) END AS hash FROM (SELECT *, left({_BODY.replace('text', "coalesce(text, '')")}, 24000) AS b FROM documents)),
@@ -562,6 +581,16 @@ def api9_ingest(spark, d):
     return intake.ingest(_messages(spark, d))
 
 
+@query(ORACLE_SQL["api9_ingest"])
+def api9_ingest_again(spark, d):
+    """The same deliveries in two batches, the second against what the first one stored."""
+    rows, at = _messages(spark, d), F.lit(NOW).cast("timestamp_ntz")
+    cut = rows.agg(F.max("seq")).first()[0] // 2
+    early, late = rows.filter(F.col("seq") <= cut), rows.filter(F.col("seq") > cut)
+    told = intake.ingest(early)
+    return told.unionByName(intake.ingest(late, intake.fresh(early, told, at + F.make_dt_interval(secs=F.col("seq"))), span=100))
+
+
 @query(f"SELECT doc_id AS seq, lower(source) || '@x.example' AS identity, CASE WHEN lang <> 'en' THEN lang ELSE lower(source) END AS name, TIMESTAMP '{NOW}' AS received_at FROM documents")
 def txt5_senders(spark, d):
     return _messages(spark, d).select("seq", "identity", "name", "received_at")

@@ -66,8 +66,13 @@ def parse_udf(x: pd.Series) -> pd.DataFrame:
 
 def read(spark: SparkSession, path: str, most: int = MOST_BYTES) -> DataFrame:
     """Messages from files, a file each; larger ones are left out before they are read."""
-    files = spark.read.format("binaryFile").load(path).filter(F.col("length") <= most)
-    return files.select("path", parse_udf("content").alias("m")).filter("m.from_addr is not null").select("path", "m.*")
+    return parsed(spark.read.format("binaryFile").load(path), most)
+
+
+def parsed(files: DataFrame, most: int = MOST_BYTES) -> DataFrame:
+    """Messages from rows of files (path, length, content), of a table or a stream."""
+    read = files.filter(F.col("length") <= most).select("path", parse_udf("content").alias("m"))
+    return read.filter("m.from_addr is not null").select("path", "m.*")
 
 
 @vectorised("struct<from_addr:string,from_name:string>")

@@ -1,7 +1,9 @@
 """Golden cases of functions, folds and streams."""
 
+import hashlib
 import random
 import time
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -137,17 +139,41 @@ def test_segments_find_their_place():
     assert segments.segment(f"{a}.\n\n{other}.", [(1, a, ""), (2, other, "")], 1) == f"{a}."
 
 
-def test_segments_of_all_siblings(spark, tmp_path):
+def test_segments_of_many_like_lines():
+    lines = [f"Item number {i} of the long list about trains and boats and planes in town" for i in range(3000)]
+    began, body = time.time(), "\n".join(lines)
+    got = segments.all_segments(body, [(i, x, "") for i, x in enumerate(lines)])
+    assert time.time() - began < 40
+    few = lines[:60]
+    siblings = [(i, x, "") for i, x in enumerate(few)]
+    assert segments.all_segments("\n".join(few), siblings) == [segments.segment("\n".join(few), siblings, i) for i in range(60)]
+    assert len(got) == 3000 and all(got)
+
+
+def test_common_length_against_rows():
+    draw = random.Random(9)
+    for _ in range(500):
+        a, b = (draw.choices("abcd", k=draw.randint(0, 12)) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            diagonal = 0
+            for j, y in enumerate(b, 1):
+                diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
+        assert segments.common_length(a, b) == row[-1]
+
+
+def test_segments_of_all_siblings(spark, tmp_path, monkeypatch):
     draw = random.Random(4)
     for n in range(300):
         lines = [" ".join(draw.choice("a b c d e f".split()[: 2 + n % 5]) for _ in range(draw.randint(1, 8))) + draw.choice(["", "\nNEWS", "\n"]) for _ in range(draw.randint(0, 9))]
         siblings = [(i, x, draw.choice(["", "b c d", "a a"])) for i, x in enumerate(lines)]
         body = "\n".join(lines)
         assert segments.all_segments(body, siblings) == [segments.segment(body, siblings, i) for i in range(len(lines))]
+        monkeypatch.setattr(segments, "_MANY", n % 3)
     texts = ["Top news about trains today in town.\nStocks fell sharply on Monday morning.", "One line alone about the weather.", "short", "", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted((r["doc_id"], r["position"], r["part"]) for r in catalog.txt12_segments(spark, str(tmp_path)).collect() if r["part"] is not None)
-    assert got == [(0, 0, "Top news about trains today in town."), (0, 1, "Stocks fell sharply on Monday morning."), (1, 0, "One line alone about the weather.")]
+    assert got == [(0, 0, "Top news about trains today in town."), (0, 1, "Stocks fell sharply on Monday morning."), (1, 0, "One line alone about the weather."), (2, 0, ""), (3, 0, "")]
 
 
 def test_model_json():
@@ -221,6 +247,9 @@ def test_item_detail(spark):
     stories = spark.createDataFrame([("1", "n", 0, "Harbour works start in the spring", ""), ("2", "n", 1, "Ferry fares rise again this coming", ""), ("3", "o", 0, "Alone in its letter as it were", "")], "id string, newsletter_id string, position int, snippet string, title string")
     news = spark.createDataFrame([("n", html), ("o", html)], "id string, raw_html string")
     got = {r["id"]: (r["segmented"], r["segment_text"]) for r in reads.item_detail(stories.filter("id <> '2'"), stories, news).collect()}
+    seen = stories.withColumn("opened_at", F.when(F.col("id") == "2", F.lit("2024-01-01")).cast("timestamp_ntz"))
+    stamped = reads.item_detail(seen, seen, news, F.lit("2025-01-01").cast("timestamp_ntz"))
+    assert {r["id"]: str(r["opened_at"])[:10] for r in stamped.collect()} == {"1": "2025-01-01", "2": "2024-01-01", "3": "2025-01-01"}
     assert got == {"1": (True, "Harbour works start in the spring as planned here."), "3": (False, None)}
 
 
@@ -246,7 +275,7 @@ def test_retry():
         assert len(calls) == n
 
 
-def test_worker(spark, tmp_path, monkeypatch):
+def scripted():
     class Scripted:
         """A model whose answer is told by the newsletter's subject."""
 
@@ -258,23 +287,164 @@ def test_worker(spark, tmp_path, monkeypatch):
                 raise scoring.TransportError(503)
             return {"good": '[{"title":"T","url":"https://n/1","kind":"story","relevance_score":80},{"title":"Ad","kind":"ad","relevance_score":9}]', "cut": '[{"title":"K"},{"title":"L', "none": "[]"}.get(kind, "no")
 
+    return Scripted()
+
+
+NEWS = "id string, subject string, body_text string, processing_status string, scoring_attempts int, scoring_error string, ingested_at timestamp_ntz, source_id string, message_id string, hash string"
+OLD = "id string, newsletter_id string, position int, url string, bookmarked boolean, user_rating int, opened_at timestamp_ntz, kind string"
+
+
+def started(spark, path, rows, buckets=4):
+    at = lambda i: datetime(2025, 1, 1, 0, i)
+    news = spark.createDataFrame([(*r, None, at(i), "s", None, None) for i, r in enumerate(rows)], NEWS)
+    old = spark.createDataFrame([("o1", "a", 0, "https://n/1", True, None, None, "story"), ("o2", "z", 0, "https://n/1", True, None, None, "story"), ("o3", "f", 0, None, True, None, None, "story")], OLD)
+    tables = jobs.Tables(spark, str(path), buckets)
+    jobs.create(tables, news, old)
+    return tables
+
+
+def told(tables):
+    stories = {(r["newsletter_id"], r["position"]): r for r in tables.read("stories").collect()}
+    return {r["id"]: (r["processing_status"], r["scoring_attempts"], r["scoring_error"]) for r in tables.read("newsletters").collect()}, stories
+
+
+ROWS = [("a", "good", "x", "scoring", 0), ("b", "cut", "x", "pending_scoring", 0), ("c", "cut", "x", "pending_scoring", 2), ("d", "none", "x", "pending_scoring", 2), ("e", "down", "x", "pending_scoring", 7), ("f", " ", None, "pending_scoring", 0), ("g", "odd", "x", "pending_scoring", 0)]
+AFTER = {"a": ("scored", 1, None), "b": ("pending_scoring", 1, None), "c": ("scored", 3, None), "d": ("failed", 3, "empty"), "e": ("pending_scoring", 8, None), "f": ("scored", 1, None), "g": ("failed", 1, "error")}
+
+
+def test_worker(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(scoring.answers, "__defaults__", (0, 0.0))
-    rows = [("a", "good", "x", "scoring", 0), ("b", "cut", "x", "pending_scoring", 0), ("c", "cut", "x", "pending_scoring", 2), ("d", "none", "x", "pending_scoring", 2), ("e", "down", "x", "pending_scoring", 7), ("f", " ", None, "pending_scoring", 0), ("g", "odd", "x", "pending_scoring", 0)]
-    news = spark.createDataFrame([(*r, None, i, "s") for i, r in enumerate(rows)], "id string, subject string, body_text string, processing_status string, scoring_attempts int, scoring_error string, ingested_at int, source_id string")
-    old = spark.createDataFrame([("o1", "a", 0, "https://n/1", True, None, None, "story"), ("o2", "z", 0, "https://n/1", True, None, None, "story")], "id string, newsletter_id string, position int, url string, bookmarked boolean, user_rating int, opened_at timestamp_ntz, kind string")
-    tables = jobs.Tables(spark, str(tmp_path / "t"))
-    jobs.recover(news, old, tables)
-    assert tables.read("newsletters", 0).filter("processing_status = 'scoring'").count() == 0
-    query = jobs.poll(spark, jobs.tick(tables, Scripted(), "2025-01-01", limit=10), str(tmp_path / "c"), "1 second")
+    tables, reports = started(spark, tmp_path / "t", ROWS), []
+    query = jobs.poll(spark, jobs.tick(tables, scripted(), "2025-01-01", limit=10, report=lambda n, r: reports.append((n, r))), str(tmp_path / "c"), "1 hour")
     began = time.time()
-    while time.time() - began < 120 and not (tmp_path / "t/newsletters/v1/_SUCCESS").exists():
+    while time.time() - began < 120 and not reports:
         time.sleep(0.5)
     jobs.stop(query)
-    after = {r["id"]: (r["processing_status"], r["scoring_attempts"], r["scoring_error"]) for r in tables.read("newsletters", 1).collect()}
-    assert after == {"a": ("scored", 1, None), "b": ("pending_scoring", 1, None), "c": ("scored", 3, None), "d": ("failed", 3, "empty"), "e": ("pending_scoring", 8, None), "f": ("scored", 1, None), "g": ("failed", 1, "error")}
-    stories = {(r["newsletter_id"], r["position"]): r for r in tables.read("stories", 1).collect()}
-    assert set(stories) == {("a", 0), ("a", 1), ("c", 0), ("z", 0), ("c", 1)} or set(stories) == {("a", 0), ("a", 1), ("c", 0), ("z", 0)}
+    assert reports == [(0, {"claimed": 7, "scored": 3, "failed": 2, "requeued": 2, "items": 4})]
+    after, stories = told(tables)
+    assert after == AFTER and set(stories) == {("a", 0), ("a", 1), ("c", 0), ("z", 0), ("f", 0)}
     assert stories["a", 0]["bookmarked"] and stories["a", 0]["relevance_score"] == 80 and stories["a", 0]["source_id"] == "s" and stories["a", 1]["relevance_score"] is None and not stories["a", 1]["bookmarked"]
+    assert stories["f", 0]["id"] == "o3"  # a blank newsletter keeps what it had
+
+
+def test_worker_killed_between_its_steps(spark, tmp_path, monkeypatch):
+    """Wherever a batch breaks off, doing it again, by the same worker or a new one, gives what one go gives."""
+    monkeypatch.setattr(scoring.answers, "__defaults__", (0, 0.0))
+    for i, (name, same) in enumerate((("claim", True), ("finish", True), ("finish", False))):
+        tables = started(spark, tmp_path / str(i), ROWS)
+
+        def broken(*_, **__):
+            raise RuntimeError("killed")
+
+        with monkeypatch.context() as m:
+            m.setattr(jobs, name, broken)
+            with pytest.raises(RuntimeError):
+                jobs.tick(tables, scripted(), "2025-01-01", limit=10, run="w")(None, 0)
+        again = jobs.tick(jobs.Tables(spark, tables.path, 4), scripted(), "2025-01-01", limit=10, run="w" if same else "other")
+        again(None, 0)
+        after, stories = told(tables)
+        extra = 0 if same else 1  # a claim that was given back counts as an attempt
+        assert {k: (s, n - extra) for k, (s, n, _) in after.items() if k in "ef"} == {k: AFTER[k][:2] for k in "ef"}
+        assert (after == AFTER) == same and len(stories) == 5 and stories["a", 0]["bookmarked"]
+        version = tables.last().version
+        again(None, 0)  # a batch that is done is known
+        assert tables.last().version == version
+
+
+def test_a_version_holds_what_changed_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scoring.answers, "__defaults__", (0, 0.0))
+    rows = [(f"n{i}", "good", "x", "pending_scoring", 0) for i in range(60)]
+    tables = started(spark, tmp_path / "t", rows, 16)
+    handle = jobs.tick(tables, scripted(), "2025-01-01", limit=2)
+    for n in range(4):
+        handle(None, n)
+        at = tables.last()
+        assert sum(v == at.version for v in at.holds["newsletters"].values()) <= 2 and len(at.holds["newsletters"]) == 16
+    after, stories = told(tables)
+    assert sum(s == "scored" for s, *_ in after.values()) == 8 and len(after) == 60 and len(stories) == 3 + 16
+    assert tables._numbers("commits", "v") == [at.version - 2, at.version - 1, at.version]
+    held = {(b, v) for c in map(tables.commit, tables._numbers("commits", "v")) for b, v in c.holds["newsletters"].items()}
+    assert {(b, v) for v in tables._numbers("newsletters", "v") for b in tables._numbers(f"newsletters/v{v}", "bucket=")} == held
+    # A version that was not committed is not seen, and is written anew.
+    spark.createDataFrame([("x", 1)], "id string, bucket int").write.partitionBy("bucket").parquet(f"{tables.path}/newsletters/v{at.version + 1}")
+    handle(None, 4)
+    assert len(told(tables)[0]) == 60
+
+
+def test_messages_stream_into_tables(spark, tmp_path):
+    say = lambda key, body, who="a@x.org": f"From: {who}\r\n{f'Message-ID: <{key}>' + chr(13) + chr(10) if key else ''}Date: Mon, 02 Jun 2025 10:00:00 +0200\r\n\r\n{body}\r\n".encode()
+    (tmp_path / "in").mkdir()
+    files = {"1": say("m1", "One body"), "2": say("m1", "Other"), "3": say("", "one  BODY"), "4": say("", "fresh"), "5": b"none", "6": say("m2", "x" * 5000)}
+    tables, reports = started(spark, tmp_path / "t", []), []
+    for part in (("1", "5"), ("2", "3", "4", "6")):
+        for name in part:
+            (tmp_path / "in" / name).write_bytes(files[name])
+        stream = jobs.messages(spark, str(tmp_path / "in"), most=4000)
+        jobs.start(stream, jobs.taking_in(tables, "2025-07-01", report=lambda n, r: reports.append(r)), str(tmp_path / "c")).awaitTermination()
+    assert reports == [{"deliveries": 1, "duplicates": 0}, {"deliveries": 3, "duplicates": 2}]
+    rows = tables.read("newsletters").orderBy("body_text").collect()
+    assert [(r["message_id"], r["body_text"], r["processing_status"], str(r["received_at"])) for r in rows] == [("m1", "One body", "pending_scoring", "2025-06-02 08:00:00"), (None, "fresh", "pending_scoring", "2025-06-02 08:00:00")]
+    batch = mail.read(spark, str(tmp_path / "in"), 4000)
+    assert sorted(r["body_text"] for r in batch.collect()) == sorted(["One body\r\n", "Other\r\n", "one  BODY\r\n", "fresh\r\n"])
+
+
+def test_ingest_in_batches_gives_what_one_gives(spark):
+    draw, at = random.Random(6), F.lit("2025-01-01").cast("timestamp_ntz")
+    for _ in range(2):
+        rows = [(i, draw.choice("ab"), draw.choice([None, None, "m1", "m2", "m3"]), draw.choice([None, "h1", "h2", "h3"])) for i in range(40)]
+        df = spark.createDataFrame(rows, "seq long, identity string, message_id string, hash string")
+        stored, want = [], []  # one after another, as a table with its keys would do it
+        for seq, who, name, hashed in rows:
+            key = hashlib.sha256(f"{who}|{seq}".encode()).hexdigest()
+            found = next((k for k, n, _ in stored if n == name), None) if name else next((k for k, _, h in reversed(stored) if h == hashed), None) if hashed else None
+            want.append((seq, found or key, found is not None))
+            if not found:
+                stored.append((key, name, hashed))
+        known, got = None, []
+        for lo, hi in ((0, 15), (15, 16), (16, 40)):
+            part = df.filter(F.col("seq").between(lo, hi - 1))
+            told = intake.ingest(part, known, span=7).cache()
+            got += [(r["seq"], r["id"], r["duplicate"]) for r in told.collect()]
+            new = intake.fresh(part, told, at + F.make_dt_interval(secs=F.col("seq"))).select("id", "message_id", "hash", "ingested_at")
+            known = spark.createDataFrame([*(known.collect() if known else []), *new.collect()], intake.KNOWN)
+        assert sorted(got) == want
+        early = {key for seq, key, duplicate in want if seq < 16 and not duplicate}
+        kept = state.surviving(df.filter("seq >= 16"), spark.createDataFrame([(n, h) for key, n, h in stored if key in early], "message_id string, hash string"))
+        assert sorted(r["seq"] for r in kept.collect()) == [s for s, _, d in want if s >= 16 and not d]
+
+
+def test_lives_equal_the_fold(spark, tmp_path):
+    draw, rows = random.Random(8), []
+    for seq in range(120):
+        rows.append((f"n{draw.randint(0, 9)}", seq, draw.choice(["claim", "requeue", "done", "fail"]), draw.choice([None, "why"]), datetime(2025, 1, 1) + timedelta(seconds=seq)))
+    schema = "id string, seq long, action string, reason string, at timestamp"
+    news = spark.createDataFrame([(f"n{i}", "pending_scoring", None, 0) for i in range(10)], "id string, processing_status string, scoring_error string, scoring_attempts int")
+    want = {tuple(r) for r in state.transitions(news, spark.createDataFrame(rows, schema)).select("id", "processing_status", "scoring_error", "scoring_attempts").collect() if r["scoring_attempts"] is not None}
+    for k, v in jobs.STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:
+        draw.shuffle(rows)
+        for i in range(4):
+            spark.createDataFrame(rows[i * 30 : i * 30 + 30], schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+        last = {}
+
+        def keep(df, n):
+            last.update({r["id"]: tuple(r)[:4] for r in df.collect()})
+
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+        jobs.start(jobs.lives(stream), keep, str(tmp_path / "c")).awaitTermination()
+        seen = {r[0] for r in rows}
+        assert set(last.values()) == {w for w in want if w[0] in seen}
+        # Claims that nothing follows are given back.
+        got = []
+        for i, part in enumerate(([("a", 1, "claim", None, 0), ("b", 1, "claim", None, 0)], [("b", 2, "done", None, 50)], [("c", 1, "claim", None, 500)], [("c", 2, "done", None, 501)])):
+            spark.createDataFrame([(*r[:4], datetime(2025, 1, 1) + timedelta(seconds=r[4])) for r in part], schema).coalesce(1).write.parquet(str(tmp_path / "late" / str(i)))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "late" / "*"))
+        jobs.start(jobs.lives(stream, stale=100, late="1 second"), lambda df, n: got.extend(tuple(r) for r in df.collect()), str(tmp_path / "d")).awaitTermination()
+        assert [r for r in got if r[4]] == [("a", "pending_scoring", None, 1, True)] and ("b", "scored", None, 1, False) in got
+    finally:
+        for k in jobs.STATE_STORE:
+            spark.conf.unset(k)
 
 
 def test_dedupe_precedence(spark):
