@@ -322,11 +322,14 @@ def _counts(vocabulary: int):
 def write(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", block: int = BLOCK) -> None:
     """Tokenises every text (null: empty), ends it with id 1 and writes the ids below ``path``.
 
-    Documents go in ascending order of doc_id, null ids first, repeated ids by their texts. An empty
+    Documents go in ascending order of doc_id, null ids first, repeated ids by a hash of their texts; by both they are cut into ranges, and by a
+    running number, so that no id and no repeated row fills a task. Long texts are encoded whole, one at a time. An empty
     table makes files without blocks.
     """
     spark = docs.sparkSession
-    ranged = docs.select("doc_id", "text").repartitionByRange(common.partitions(docs), "doc_id").sortWithinPartitions("doc_id", "text")
+    keys = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), F.monotonically_increasing_id().alias("row"))
+    order = ["doc_id", "hash", "row"]
+    ranged = keys.repartitionByRange(common.partitions(docs), *order).sortWithinPartitions(*order).select("doc_id", "text")
     raw = ranged.mapInArrow(_raw_blocks(tokenizer, block), _RAW).checkpoint()  # keeps the partitions' order
     size = _tokenizer(tokenizer).vocabulary
     table = np.zeros(size, np.int64)
