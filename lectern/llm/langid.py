@@ -139,10 +139,13 @@ class Model:
         return out, np.diff(first)
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, everything: bool = False) -> Model:
-    """Fits the trees to about ``sample`` documents of each language among those not held out, or among all."""
+def train(docs: DataFrame, sample: int = SAMPLE, everything: bool = False, strict: bool = True) -> Model:
+    """Fits the trees to about ``sample`` documents of each language among those not held out, or among all. More languages than LANGUAGES
+    raise an error, or if not ``strict`` give a model of none."""
     usable = docs.select("doc_id", "text", "lang").filter((F.lit(everything) | ~F.coalesce(held_out(), F.lit(False))) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counted = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
+    if len(counted) > LANGUAGES and not strict:
+        return Model([], [], np.zeros(256, bool))
     if len(counted) > LANGUAGES:
         raise ValueError(f"lang has more than {LANGUAGES} values")
     languages = sorted(counted)
@@ -226,4 +229,4 @@ def keep_known(docs: DataFrame, model: Model | None = None, noise: float = NOISE
                 known = known & (bits.min(axis=1) < noise * np.maximum(size, 1))
             yield chunk.filter(pa.array(known))
 
-    return common.bounded(docs).mapInArrow(run, docs.schema)
+    return common.mapped(common.bounded(docs), run)

@@ -661,10 +661,19 @@ def adapted(cost: np.ndarray, share: np.ndarray, codes: np.ndarray, n: np.ndarra
     new = np.flatnonzero(np.diff(keys[order], prepend=-1))
     before = np.empty(len(keys), np.int64)
     before[order] = np.arange(len(keys)) - np.repeat(new, np.diff(np.append(new, len(keys))))
-    scale = np.exp2(np.minimum(cost, 1000))
     place = np.arange(len(keys)) - first[text]
-    own, whole, later = before / np.maximum(place, 1) * scale, share * scale, place > 0
-    each = [np.add.reduceat(cost - np.log2((1 - r * later) * ((1 - w) + w * whole) + r * own), first[:-1]) for r in RATES for w in WHOLE] if len(n) else [np.zeros(0)]
+    own, later, spelled = before / np.maximum(place, 1), place > 0, np.exp2(-np.minimum(cost, 1000))
+    far = np.flatnonzero(cost > 1000)  # words too long for floating point: their bits are added as logarithms
+
+    def bits(r: float, w: float) -> np.ndarray:
+        out = -np.log2((1 - r * later) * ((1 - w) * spelled + w * share) + r * own)
+        if len(far):
+            rest = 1 - r * later[far]
+            with np.errstate(divide="ignore"):
+                out[far] = -np.logaddexp2(np.log2(rest * (1 - w)) - cost[far], np.log2(rest * w * share[far] + r * own[far]))
+        return out
+
+    each = [np.add.reduceat(bits(r, w), first[:-1]) for r in RATES for w in WHOLE] if len(n) else [np.zeros(0)]
     least = np.min(each, axis=0)
     return least - np.log2(np.exp2(least - np.array(each)).mean(axis=0))
 
@@ -716,13 +725,13 @@ def score(docs: DataFrame) -> DataFrame:
     """The log10 probability of every text under the model, and under smoothed word frequencies.
 
     Learns from documents not held out. A null or empty text is its end alone. A row without an id is not
-    held out. Repeated rows count as often in training and get equal scores. Without training documents the
+    held out. With more languages than langid.LANGUAGES all texts are of one class. Repeated rows count as often in training and get equal scores. Without training documents the
     model gives every bit one half. Scores do not depend on how the table is partitioned, but for the order of the
     online learning of words' beginnings by blocks.
     """
     spark = docs.sparkSession
     own = docs.select("doc_id", held_out().alias("held"), "text", "lang")
-    trees = langid.train(own.filter("not held"), everything=True)
+    trees = langid.train(own.filter("not held"), everything=True, strict=False)
     n_classes = max(1, len(trees.languages))
     blocks = common.stored(common.bounded(own).select("doc_id", "held", "text").mapInArrow(_blocks(spark.sparkContext.broadcast(trees)), _BLOCK))
     parts = max(1, -(-(blocks.agg(F.sum("tokens")).first()[0] or 0) // PART))  # parts of words and of tables grow with the tokens
