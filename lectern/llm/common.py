@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 #: Bytes of text that a Python worker handles at a time.
 CHUNK_BYTES = 4 << 20
@@ -64,6 +65,11 @@ def free_name(df: DataFrame, name: str = "_met") -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    """A column's name as it is, points and all."""
+    return f"`{name.replace('`', '``')}`"
+
+
 def hash_key(*names: str):
     """A 64-bit key of a row's identity; null ids hash by what follows them."""
     return F.xxhash64(*names)
@@ -92,6 +98,15 @@ def bounded(df: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
     return df
 
 
+def mapped(docs: DataFrame, run: Callable, added: str = "") -> DataFrame:
+    """mapInArrow with the frame's own columns, whatever their names, and a binary one added behind them if named. The function sees
+    doc_id, text, lang and source by their names, and other columns by their places."""
+    seen = [c if c in ("doc_id", "text", "lang", "source") else f"_{i}" for i, c in enumerate(docs.columns)]
+    fields = [StructField(name, f.dataType) for name, f in zip(seen, docs.schema.fields, strict=True)]
+    more = [StructField(f"_{len(seen)}", BinaryType())] if added else []
+    return docs.toDF(*seen).mapInArrow(run, StructType([*fields, *more])).toDF(*docs.columns, *([added] if added else []))
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     return pc.fill_null(batch.column(batch.schema.get_field_index(column)), "")
 

@@ -152,6 +152,11 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     out. Rows that share an id count as documents of their own in ``n_links``, whatever their texts. sign: other
     signatures of shingles and texts' first ones than this module's.
     """
+    return _grouped(docs, threshold, recall, functions, sign).select("doc_id", "text_class", "class_id", "n_links")
+
+
+def _grouped(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, functions: int = FUNCTIONS, sign=None) -> DataFrame:
+    """join's rows with the digest of their words, the number of their class (rep) and that of their group's first class (root)."""
     bands, rows = common.choose_bands(threshold, recall, functions)
     k = bands * rows
     n = common.partitions(docs)
@@ -188,12 +193,12 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     groups = components(checked.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
     if mixed:  # a group's number is that of its first class; its id is that class's least one
         firsts = classes.select(F.col("rep").alias("root"), F.col("least").alias("class_id"))
-        groups = groups.join(firsts, "root").select("rep", "class_id")
+        groups = groups.join(firsts, "root").select("rep", "root", "class_id")
     else:
-        groups = groups.withColumnRenamed("root", "class_id")
+        groups = groups.withColumn("class_id", F.col("root"))
     told = classes.select("words", "rep", "least", "copies").join(linked, "rep", "left").join(groups, "rep", "left")
-    told = told.select("words", F.col("least").alias("text_class"), F.coalesce("class_id", "least").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return signed.select(F.col("row").alias("doc_id"), "words").join(told, "words").select("doc_id", "text_class", "class_id", "n_links")
+    told = told.select("words", "rep", F.coalesce("root", "rep").alias("root"), F.col("least").alias("text_class"), F.coalesce("class_id", "least").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return signed.select(F.col("row").alias("doc_id"), "words").join(told, "words")
 
 
 def _repeats(df: DataFrame, column: str) -> bool:
@@ -201,13 +206,16 @@ def _repeats(df: DataFrame, column: str) -> bool:
     return bool(df.groupBy(column).count().filter("count > 1").limit(1).count())
 
 
+def _word_digests(chunk: pa.RecordBatch) -> pa.Array:
+    words, starts = common.word_hashes(common.texts_of(chunk))
+    raw = words.tobytes()
+    return pa.array([xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)], pa.binary())
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows with the digest of their words, as classes have it."""
     for chunk in common.text_chunks(batches):
-        words, starts = common.word_hashes(common.texts_of(chunk))
-        raw = words.tobytes()
-        keys = [xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([common.column_of(chunk, "doc_id"), pa.array(keys, pa.binary()), common.texts_of(chunk)], ["least", "words", "text"])
+        yield pa.RecordBatch.from_arrays([common.column_of(chunk, "doc_id"), _word_digests(chunk), common.texts_of(chunk)], ["least", "words", "text"])
 
 
 def _numbered(classes: DataFrame) -> DataFrame:
@@ -222,8 +230,17 @@ def _numbered(classes: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each group, that with the least id, with the columns it came with. Rows without an
-    id are kept; of rows that share an id all stay or go."""
-    name = common.free_name(docs)
-    lost = common.stored(join(docs, threshold).filter("doc_id <> class_id").select(F.col("doc_id").alias(name)).distinct())
-    return docs.join(lost, docs["doc_id"] == lost[name], "left_anti")
+    """One document of each group, that with the least id (of texts that share it, the first by a digest of their words), with the columns it
+    came with. Rows without an id are kept; so are all rows that have the kept one's id and words."""
+    name, words = common.free_name(docs), common.free_name(docs, "_words")
+    rows = _grouped(docs, threshold)
+    lost = common.stored(rows.filter("rep <> root or doc_id <> text_class").select(F.col("doc_id").alias(name), F.col("words").alias(words)).distinct())
+    if not _repeats(docs.filter("doc_id is not null"), "doc_id"):
+        return docs.join(lost, docs["doc_id"] == lost[name], "left_anti")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in common.text_chunks(batches):
+            yield chunk.append_column(f"_{chunk.num_columns}", _word_digests(chunk))
+
+    told = common.mapped(common.bounded(docs), digest, words)
+    return told.join(lost, (told["doc_id"] == lost[name]) & (told[words] == lost[words]), "left_anti").drop(words)

@@ -128,6 +128,6 @@ def emit(docs: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
     sized = common.stored(measured(docs))
     planned, n = plan(sized, share, most)
     names = docs.columns
-    rows = docs.select(F.struct(*names).alias("_row"), *[c for c in ("doc_id", "source")], F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
+    rows = docs.select(F.struct(*[docs[common.quoted(c)] for c in names]).alias("_row"), *[c for c in ("doc_id", "source")], F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
     taken = copies_of(rows, (planned.select("source", "whole", "fraction", "seed"), n)).filter("copies > 0")
     return taken.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")

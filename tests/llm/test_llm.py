@@ -428,6 +428,66 @@ def test_stages_keep_columns_of_any_name(spark):
     assert decontamination.clean(docs, bench).columns == docs.columns and decontamination.clean(docs, bench).count() == 3
 
 
+def test_stages_keep_columns_with_points(spark):
+    rows = [(1, "one two three four five six", "en", "a", 1, None), (2, "one two three four five six", "en", "a", 2, {"x": 1}), (3, "seven eight nine ten eleven twelve", "en", "a", 3, None), (3, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, `a.b` int, `c``d` map<string,int>")
+    bench = spark.createDataFrame([(1, "absent words that stand nowhere else")], "item_id long, text string")
+    for stage in (langid.keep_known, jaccard.keep_one, lambda d: decontamination.clean(d, bench), mixing.emit):
+        got = stage(docs)
+        assert got.columns == docs.columns and {(r["doc_id"], r["a.b"]) for r in got.collect()} <= {(r[0], r[4]) for r in rows}
+    assert sharding.shard(docs, 2).count() == 4
+
+
+def test_keep_one_goes_by_text_where_ids_repeat(spark):
+    a, b, u = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen", "words of another kind that stand alone here"
+    rows = [(0, a), (1, a), (1, u), (2, b), (2, b + " "), (3, b), (None, a), (4, u.upper()), (1, u)]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in kept), key=str) == sorted([(0, a), (1, u), (1, u), (2, b), (2, b + " "), (None, a)], key=str)
+
+
+def test_sharding_keeps_large_groups_whole(spark):
+    draw = random.Random(4)
+    texts = ["copy " * 500] * 70 + ["other " * 400] * 40 + [f"{i} " * draw.randint(1, 400) for i in range(600)] + ["w" * 5000] * 2
+    docs = spark.createDataFrame([(i // 3, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = sharding.shard(docs, 4).collect()
+    homes, loads, slots = defaultdict(set), Counter(), defaultdict(list)
+    for r in got:
+        homes[r["text_crc32"]].add(r["shard"])
+        loads[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert len(got) == len(texts) and {len(v) for v in homes.values()} == {1}
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and max(loads.values()) < 1.02 * min(loads.values())
+
+
+def test_token_output_of_rows_that_share_an_id(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = [(7, f"text number {i}") for i in range(200)] + [(None, "none")] * 50 + [(9, "equal text")] * 150 + [(3, None)]
+    got = sorted(((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in tokens.encoded(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=lambda r: r[1])
+    own = lambda t: [*tok.encode(t or "", add_special_tokens=False).ids, 1]
+    assert Counter((k, n, crc) for k, _, n, crc in got) == Counter((k, len(own(t)), zlib.crc32(np.array(own(t), "<u4").tobytes())) for k, t in rows)
+    assert [r[1] for r in got] == np.cumsum([0, *(r[2] for r in got)])[:-1].tolist() and [r[0] for r in got] == sorted((r[0] for r in got), key=lambda k: -1 if k is None else k)
+
+
+def test_lm_takes_words_of_any_length(spark):
+    one = lmscore.adapted(np.array([5000.0]), np.zeros(1), np.array([0]), np.array([1]))[0]
+    two = lmscore.adapted(np.array([5000.0, 5000.0]), np.zeros(2), np.array([0, 0]), np.array([2]))[0]
+    assert 5000 <= one < 5004 and 0 < two - one < 6  # the second is told by the first
+    mixed = lmscore.adapted(np.array([5000.0, 900.0, 5000.0]), np.array([0.0, 0.1, 0.0]), np.array([0, 1, 0]), np.array([3]))[0]
+    assert 5000 < mixed < 5020
+    many = spark.createDataFrame([(i, "some words", f"l{i}") for i in range(6)], "doc_id long, text string, lang string")
+    assert langid.train(many, everything=True).languages
+    old, langid.LANGUAGES = langid.LANGUAGES, 3
+    try:
+        with pytest.raises(ValueError):
+            langid.train(many, everything=True)
+        assert lmscore.score(many).count() == 6
+    finally:
+        langid.LANGUAGES = old
+
+
 def test_components(spark):
     edges = [(i + 1, i) for i in range(40)] + [(100, 101), (102, 101), (200, 200)]
     with pytest.raises(RuntimeError):
