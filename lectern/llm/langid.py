@@ -26,9 +26,10 @@ ORDER, SYMBOLS, SAMPLE = 3, 48, 4000
 #: Different values of lang at most: the trees and tables are held per language, so that dirty labels raise an error.
 LANGUAGES = 2000
 UNKNOWN = "und"
-#: keep_known's threshold: a text whose best code takes more bits per byte is noise in no learned language. A byte that is
-#: rare in the samples counts log2(SYMBOLS) = 5.6 bits at most, so that a script not learned is no noise.
-NOISE_BITS = 7.0
+#: keep_known's test: a text is noise in no learned language if its best code takes this many bits per byte, and so many in all beyond
+#: that, as a short text of odd words is none. A byte that is rare in the samples counts log2(SYMBOLS) = 5.6 bits at most, so
+#: that a script not learned is no noise.
+NOISE_BITS, EVIDENCE = 7.0, 100.0
 
 
 def held_out(column="doc_id"):
@@ -215,7 +216,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 def keep_known(docs: DataFrame, model: Model | None = None, noise: float = NOISE_BITS) -> DataFrame:
     """The documents with a language, with the columns they came with: those with no letter go, and those
-    of which the best language's code takes ``noise`` bits a byte or more. If no row has a language to learn
+    of which the best language's code takes ``noise`` bits a byte and EVIDENCE more, or above that. If no row has a language to learn
     from, only texts without a letter go."""
     shared = docs.sparkSession.sparkContext.broadcast(model or train(docs))
 
@@ -226,7 +227,7 @@ def keep_known(docs: DataFrame, model: Model | None = None, noise: float = NOISE
             known = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
             if m.languages:
                 bits, size = m.bits(texts, noise=True)
-                known = known & (bits.min(axis=1) < noise * np.maximum(size, 1))
+                known = known & (bits.min(axis=1) < noise * np.maximum(size, 1) + EVIDENCE)
             yield chunk.filter(pa.array(known))
 
     return common.mapped(common.bounded(docs), run)
