@@ -233,9 +233,10 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each group, that with the least id (of texts that share it, the first by a digest of their words), with the columns it
     came with. Rows without an id are kept; so are all rows that have the kept one's id and words."""
     name, words = common.free_name(docs), common.free_name(docs, "_words")
-    rows = _grouped(docs, threshold)
-    lost = common.stored(rows.filter("rep <> root or doc_id <> text_class").select(F.col("doc_id").alias(name), F.col("words").alias(words)).distinct())
-    if not _repeats(docs.filter("doc_id is not null"), "doc_id"):
+    mixed = _repeats(docs.filter("doc_id is not null"), "doc_id")
+    keys = [F.col("doc_id").alias(name), *([F.col("words").alias(words)] if mixed else [])]
+    lost = common.stored(_grouped(docs, threshold).filter("rep <> root or doc_id <> text_class").select(*keys))
+    if not mixed:
         return docs.join(lost, docs["doc_id"] == lost[name], "left_anti")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
