@@ -48,8 +48,8 @@ LEARN, MOST, BATCH, PLACES = 0.02, 11.0, 1 << 14, 45
 RATES, WHOLE = (0.0, 0.02, 0.1, 0.3, 0.6), (0.0, 0.5, 0.9)
 #: Bytes of text of a block; tokens of the corpus for each part of the words and of the tables; slices in which fixed tables are merged.
 BLOCK, PART, SLICES = 9 << 20, 3 << 20, 64
-#: Tokens of a block handled at a time, or those of one text.
-SLICE = 1 << 18
+#: Tokens of a block handled at a time, or those of one text; bytes of a word that is hashed with others at once.
+SLICE, SHORT = 1 << 18, 32
 
 
 def held_out():
@@ -407,7 +407,24 @@ def _blocks(shared):
 
 
 def _hashes(words: pa.Array) -> np.ndarray:
-    return common.hash_strings(words.to_pylist())
+    """64-bit hashes of words: short ones are read eight bytes at a time, all words at once."""
+    own = pa.concat_arrays([words]) if words.offset else words
+    size = pc.binary_length(own).to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.cumsum(size) - size
+    raw = np.zeros(int(size.sum()) + 8, np.uint8)
+    if len(raw) > 8:
+        begin = np.frombuffer(own.buffers()[1], np.int32, 1)[0]
+        raw[:-8] = np.frombuffer(own.buffers()[2], np.uint8, len(raw) - 8, begin)
+    eights = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+    out = common.mix64((size.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    for at in range(0, SHORT, 8):
+        rows = np.flatnonzero((size > at) & (size <= SHORT))
+        rest = np.uint64(64) - np.uint64(8) * np.minimum(size[rows] - at, 8).astype(np.uint64)
+        out[rows] = common.mix64((out[rows] ^ (eights[first[rows] + at] << rest)) * np.uint64(0xC2B2AE3D27D4EB4F))
+    long = np.flatnonzero(size > SHORT)
+    if len(long):
+        out[long] = common.hash_strings(own.take(pa.array(long)).to_pylist())
+    return out
 
 
 def _last_two(words: pa.Array) -> np.ndarray:

@@ -644,3 +644,13 @@ def test_word_tokenizer_on_random_odd_texts_and_on_another_file(tmp_path):
         ids, n = mine.texts(pa.array(texts))
         want = [[*e.ids, 1] for e in Tokenizer.from_file(file).encode_batch(texts, add_special_tokens=False)]
         assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_word_hashes_of_every_length():
+    words = pa.array(["", "a", "b", "abcdefgh", "abcdefgha", "é", "x" * 32, "x" * 33, "y" * 5000, *[f"w{i}" for i in range(3000)], *[f"{i:08d}" * 3 for i in range(3000)]])
+    own = lmscore._hashes(words)
+    assert len(np.unique(own)) == len(words)
+    assert lmscore._hashes(words.slice(5, 90)).tolist() == own[5:95].tolist() and lmscore._hashes(pa.concat_arrays([words.slice(3)])).tolist() == own[3:].tolist()
+    assert len(lmscore._hashes(pa.array([], pa.string()))) == 0 and lmscore._hashes(pa.array([""]))[0] == own[0]
+    assert np.bincount((own % 16).astype(int), minlength=16).min() > 300  # evenly in low bits, and in high ones
+    assert np.bincount((own >> np.uint64(60)).astype(int), minlength=16).min() > 300
