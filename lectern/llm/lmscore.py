@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -202,7 +202,7 @@ class Model:
 
 def _cost(z: np.ndarray, bit: np.ndarray) -> np.ndarray:
     """Bits that a bit takes at a logit."""
-    return np.logaddexp(0, np.clip(np.where(bit > 0, -z, z), -MOST, MOST).astype(np.float64)) / np.log(2)
+    return np.log1p(np.exp(np.clip(np.where(bit > 0, -z, z), -MOST, MOST).astype(np.float64))) / np.log(2)
 
 
 class Mixer:
@@ -678,19 +678,28 @@ def adapted(cost: np.ndarray, share: np.ndarray, codes: np.ndarray, n: np.ndarra
     new = np.flatnonzero(np.diff(keys[order], prepend=-1))
     before = np.empty(len(keys), np.int64)
     before[order] = np.arange(len(keys)) - np.repeat(new, np.diff(np.append(new, len(keys))))
-    place = np.arange(len(keys)) - first[text]
-    own, later, spelled = before / np.maximum(place, 1), place > 0, np.exp2(-np.minimum(cost, 1000))
-    far = np.flatnonzero(cost > 1000)  # words too long for floating point: their bits are added as logarithms
-
-    def bits(r: float, w: float) -> np.ndarray:
-        out = -np.log2((1 - r * later) * ((1 - w) * spelled + w * share) + r * own)
-        if len(far):
-            rest = 1 - r * later[far]
-            with np.errstate(divide="ignore"):
-                out[far] = -np.logaddexp2(np.log2(rest * (1 - w)) - cost[far], np.log2(rest * w * share[far] + r * own[far]))
-        return out
-
-    each = [np.add.reduceat(bits(r, w), first[:-1]) for r in RATES for w in WHOLE] if len(n) else [np.zeros(0)]
+    # A word that the text has not had takes the same from the words so far at every rate: it is added up once for each share of the words' frequencies.
+    fresh, again = np.flatnonzero(before == 0), np.flatnonzero(before)
+    later = np.bincount(text[fresh], minlength=len(n)) - 1  # fresh words after each text's first
+
+    def summed(at: np.ndarray, own: np.ndarray) -> Callable[[float, float], np.ndarray]:
+        own_text, own_cost, own_share = text[at], cost[at], share[at]
+        spelled, far = np.exp2(-np.minimum(own_cost, 1000)), np.flatnonzero(own_cost > 1000)
+
+        def bits(r: float, w: float) -> np.ndarray:
+            out = -np.log2((1 - r) * ((1 - w) * spelled + w * own_share) + r * own)
+            if len(far):  # words too long for floating point: their bits are added as logarithms
+                with np.errstate(divide="ignore"):
+                    out[far] = -np.logaddexp2(np.log2((1 - r) * (1 - w)) - own_cost[far], np.log2((1 - r) * w * own_share[far] + r * own[far]))
+            return np.bincount(own_text, out, len(n))
+
+        return bits
+
+    new, old = summed(fresh, np.zeros(len(fresh))), summed(again, before[again] / (again - first[text[again]]))
+    each = []
+    for w in WHOLE:
+        spelling = new(0.0, w)
+        each += [spelling - later * np.log2(1 - r) + old(r, w) for r in RATES]
     least = np.min(each, axis=0)
     return least - np.log2(np.exp2(least - np.array(each)).mean(axis=0))
 
