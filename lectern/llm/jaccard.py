@@ -1,11 +1,12 @@
 """N-gram Jaccard self-join by MinHash banding.
 
 Texts with equal word sequences form classes, of which one represents all. Representatives' signatures
-are cut into bands, whose numbers and rows are chosen for a target recall; band hashes are shuffled and
-representatives that share one become neighbours of the bucket's least id. The connected candidates are
-then gathered once, in blocks of bounded size, and all pairs of a component are verified on their full
-n-gram sets by matrix products, without ever making a row per pair: a block yields each member's number of
-links and the edges that hold its groups together.
+are cut into bands, whose numbers and rows are chosen for a target recall; band hashes are shuffled, and a
+representative joins the unit of the least id it shares a bucket with. Blocks of bounded size, one for each
+unit and one for each two units that meet in a bucket, verify pairs on their full n-gram sets by matrix
+products, without ever making a row per pair: a block yields each member's number of links and the edges that
+hold its groups together. Groups are components of verified links, so unverified candidates never chain; a
+group that lies in several units is then verified once more as a whole.
 """
 
 from __future__ import annotations
@@ -88,15 +89,15 @@ def _overlaps(sets: list[np.ndarray], others: list[np.ndarray], step: int = 1 <<
 
 
 def _verify(threshold: float):
-    """Blocks, sorted by key, of rows (component, i, j, chunk, rep, copies, text)."""
+    """Blocks, sorted by key, of rows (i, j, chunk, rep, copies, text): the pairs of chunk i with chunk j."""
 
     def block(rows: list[tuple]) -> list[tuple]:
-        i, j = rows[0][1:3]
-        texts = pa.array([r[6] for r in rows])
+        i, j = rows[0][:2]
+        texts = pa.array([r[5] for r in rows])
         hashes, first = common.shingles(*common.word_hashes(texts))
         sets = [np.unique(hashes[first[x] : first[x + 1]]) for x in range(len(rows))]
-        a = [x for x, r in enumerate(rows) if r[3] == i]
-        b = a if i == j else [x for x, r in enumerate(rows) if r[3] == j]
+        a = [x for x, r in enumerate(rows) if r[2] == i]
+        b = a if i == j else [x for x, r in enumerate(rows) if r[2] == j]
         if not a or not b:
             return []
         common_ = _overlaps([sets[x] for x in a], [sets[x] for x in b])
@@ -105,7 +106,7 @@ def _verify(threshold: float):
         linked = common_ >= threshold * union - 1e-4
         if i == j:
             np.fill_diagonal(linked, False)
-        reps, copies = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
+        reps, copies = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
         out: dict[int, list] = {}
         for x, n in zip(reps[a], linked @ copies[b], strict=True):
             out[int(x)] = [int(x), int(n), int(x)]
@@ -130,7 +131,7 @@ def _verify(threshold: float):
         held, done = [], []
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and held[0][:3] != row[:3]:
+                if held and held[0][:2] != row[:2]:
                     done += block(held)
                     held = []
                 held.append(row)
@@ -143,6 +144,34 @@ def _verify(threshold: float):
     return run
 
 
+def _chunked(members: DataFrame) -> DataFrame:
+    """rep, copies, n_shingles, component, chunks and unit of the members: a component's are dealt by a hash to chunks of bounded size,
+    and unit is a chunk's number among all."""
+    least = CHUNK_SHINGLES // CHUNK_MEMBERS
+    large = members.groupBy("component").agg(F.ceil(F.sum(F.greatest("n_shingles", F.lit(least))) / CHUNK_SHINGLES).cast("int").alias("chunks")).filter("chunks > 1")
+    sized = members.join(large, "component", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    return sized.select("rep", "copies", "n_shingles", "component", "chunks", F.xxhash64("component", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).alias("unit"))
+
+
+def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the classes (rep, copies, n_shingles, bands) that share a bucket: their units (_chunked's columns; a component is the classes with the
+    same least neighbour), and the rows (rep, copies, i, j, chunk) of blocks. A class is in its unit's block, and in one more for each other
+    unit that it meets in a bucket: the rows grow with the buckets' members, whatever chains they form."""
+    buckets = classes.filter("n_shingles > 0").select("rep", F.posexplode("bands").alias("band", "hash"))
+    shared = buckets.groupBy("band", "hash").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    met = common.stored(buckets.join(shared, ["band", "hash"]))
+    labels = met.groupBy("rep").agg(F.min("least").alias("component"))
+    units = common.stored(_chunked(common.stored(labels.join(classes.select("rep", "copies", "n_shingles"), "rep"))))
+    placed = common.stored(met.drop("least").join(units.select("rep", "copies", "unit"), "rep"))
+    several = placed.groupBy("band", "hash").agg(F.min("unit").alias("low"), F.max("unit").alias("high")).filter("low <> high").select("band", "hash")
+    mixed = common.stored(placed.join(several, ["band", "hash"], "left_semi"))
+    # Tables of their own: the join then shuffles both sides, and a bucket with many members can be split by AQE.
+    others = common.stored(mixed.select("band", "hash", F.col("unit").alias("other")).distinct())
+    crossing = mixed.join(others, ["band", "hash"]).filter("unit <> other").select("rep", "copies", "unit", "other").distinct()
+    rows = units.select("rep", "copies", "unit", F.col("unit").alias("other")).unionByName(crossing)
+    return units, rows.select("rep", "copies", F.least("unit", "other").alias("i"), F.greatest("unit", "other").alias("j"), F.col("unit").alias("chunk"))
+
+
 def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, functions: int = FUNCTIONS, sign=None) -> DataFrame:
     """One row per document: ``text_class`` (least doc_id with the same words), ``class_id`` (least doc_id of
     the group that links hold together) and ``n_links``, the number of other documents whose n-gram sets
@@ -166,19 +195,9 @@ def _grouped(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     # A class's number: its least id, or if two classes share one, their place in order of id and words.
     mixed = _repeats(classes, "least")
     classes = _numbered(classes) if mixed else classes.withColumn("rep", F.col("least"))
-    buckets = classes.filter("n_shingles > 0").select("rep", F.posexplode("bands").alias("band", "hash"))
-    shared = buckets.groupBy("band", "hash").agg(F.min("rep").alias("root"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    candidates = common.stored(components(buckets.join(shared, ["band", "hash"]).select(F.col("rep").alias("a"), F.col("root").alias("b"))))
-    # Members are dealt by a hash to chunks of bounded size; every pair of chunks of a component is a block.
-    members = common.stored(candidates.select(F.col("node").alias("rep"), F.col("root").alias("component")).join(classes.select("rep", "copies", "n_shingles"), "rep"))
-    least = CHUNK_SHINGLES // CHUNK_MEMBERS
-    large = members.groupBy("component").agg(F.ceil(F.sum(F.greatest("n_shingles", F.lit(least))) / CHUNK_SHINGLES).cast("int").alias("chunks")).filter("chunks > 1")
-    sized = members.join(large, "component", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    chunked = common.stored(sized.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")))
-    paired = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    blocks = paired.select("component", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", "copies")
+    units, blocks = _candidates(classes)
     # A representative's text: of rows that share its id, one with its words. Only the texts of representatives are shuffled.
-    wanted = chunked.select("rep").distinct()
+    wanted = units.select("rep")
     wanted = common.stored(wanted.join(classes.select("rep", "least", "words"), "rep") if mixed else wanted)
     pick = linededup.id_filter(wanted.select(F.col("least" if mixed else "rep").alias("doc_id")))
     texts = usable.select("doc_id", "text").mapInArrow(pick(True), "doc_id long, text string")
@@ -186,11 +205,21 @@ def _grouped(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
         told = texts.mapInArrow(_digests, "least long, words binary, text string").join(wanted, ["least", "words"]).select("rep", "text")
     else:
         told = texts.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi")
-    one = common.stored(told.groupBy("rep").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))) if _repeats(usable, "doc_id") else told
-    dealt = blocks.join(one, "rep").select("component", "i", "j", "chunk", "rep", "copies", "text")
-    checked = common.stored(dealt.repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j", "rep").mapInArrow(_verify(threshold), "rep long, links long, root long"))
-    linked = checked.groupBy("rep").agg(F.sum("links").alias("links"))
-    groups = components(checked.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
+    one = common.stored(told.groupBy("rep").agg(F.max(F.coalesce("text", F.lit(""))).alias("text")) if _repeats(usable, "doc_id") else told)
+
+    def verified(blocks: DataFrame) -> DataFrame:
+        dealt = blocks.join(one, "rep").select("i", "j", "chunk", "rep", "copies", "text")
+        return common.stored(dealt.repartition(n, "i", "j").sortWithinPartitions("i", "j", "rep").mapInArrow(_verify(threshold), "rep long, links long, root long"))
+
+    checked = verified(blocks)
+    groups = common.stored(components(checked.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep"))
+    # Groups of one unit are told by its own block; of the others all pairs are verified, those without a common bucket too.
+    held = common.stored(groups.join(units, "rep"))
+    wide = held.groupBy("root").agg(F.min("unit").alias("low"), F.max("unit").alias("high")).filter("low <> high").select("root")
+    again = common.stored(_chunked(held.join(wide, "root", "left_semi").select("rep", F.col("root").alias("component"), "copies", "n_shingles")))
+    others = again.withColumn("other", F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.xxhash64("component", c))))
+    whole = verified(others.select("rep", "copies", F.least("unit", "other").alias("i"), F.greatest("unit", "other").alias("j"), F.col("unit").alias("chunk")))
+    linked = checked.join(again.select("rep"), "rep", "left_anti").unionByName(whole).groupBy("rep").agg(F.sum("links").alias("links"))
     if mixed:  # a group's number is that of its first class; its id is that class's least one
         firsts = classes.select(F.col("rep").alias("root"), F.col("least").alias("class_id"))
         groups = groups.join(firsts, "root").select("rep", "root", "class_id")

@@ -406,6 +406,28 @@ def test_jaccard_join_keeps_links_without_a_common_band(spark):
     assert {r["doc_id"]: r["n_links"] for r in got} == {i: sum(classes[i] == classes[j] and len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)}
 
 
+def test_jaccard_candidates_do_not_chain(spark):
+    """Classes that share buckets along a line are dealt to small blocks, not to every pair of a component's chunks."""
+    n = 3000
+    rows = [(i, 1, 100_000, [i // 2, (i + 1) // 2]) for i in range(n)]
+    units, blocks = jaccard._candidates(spark.createDataFrame(rows, "rep long, copies long, n_shingles long, bands array<long>"))
+    assert units.count() == n and blocks.count() <= 3 * n
+    got = blocks.groupBy("i", "j").agg({"rep": "collect_set"}).collect()
+    assert max(len(r[2]) for r in got) <= 4
+    together = {(a, b) for r in got for a in r[2] for b in r[2]}
+    assert all((i, i + 1) in together for i in range(n - 1))
+
+
+def test_jaccard_join_along_a_chain(spark):
+    """Neighbours in a chain of shifted texts are linked, distant ones are not; all are one group, which lies in several units."""
+    words = [f"w{i}" for i in range(1500)]
+    texts = [" ".join(words[6 * i : 6 * i + 120]) for i in range(200)]
+    sets = [shingles(x) for x in texts]
+    got = {r["doc_id"]: r for r in jaccard.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {r["class_id"] for r in got.values()} == {0}
+    assert [got[i]["n_links"] for i in range(200)] == [sum(len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
+
+
 def test_jaccard_join_with_ids_of_several_texts(spark):
     """Rows (1, a), (1, b), (2, like a), (3, like b), (3, c), (4, c): links are those of the rows."""
     say = lambda tag, odd="": " ".join([*(f"{tag}{i}" for i in range(100)), odd]).strip()
