@@ -167,7 +167,12 @@ def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     mixed = common.stored(placed.join(several, ["band", "hash"], "left_semi"))
     # Tables of their own: the join then shuffles both sides, and a bucket with many members can be split by AQE.
     others = common.stored(mixed.select("band", "hash", F.col("unit").alias("other")).distinct())
-    crossing = mixed.join(others, ["band", "hash"]).filter("unit <> other").select("rep", "copies", "unit", "other").distinct()
+    # Buckets of the same units are one meeting: the bands of a large group mostly hold the same ones, and each would make the same rows.
+    meeting = ["n", "x", "y"]
+    meetings = common.stored(others.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("other").alias("x"), F.bit_xor(F.xxhash64("other")).alias("y")))
+    there = common.stored(mixed.join(meetings, ["band", "hash"]).select("rep", "copies", "unit", *meeting).distinct())
+    held = common.stored(others.join(meetings, ["band", "hash"]).select("other", *meeting).distinct())
+    crossing = there.join(held, meeting).filter("unit <> other").select("rep", "copies", "unit", "other").distinct()
     rows = units.select("rep", "copies", "unit", F.col("unit").alias("other")).unionByName(crossing)
     return units, rows.select("rep", "copies", F.least("unit", "other").alias("i"), F.greatest("unit", "other").alias("j"), F.col("unit").alias("chunk"))
 

@@ -418,6 +418,31 @@ def test_jaccard_candidates_do_not_chain(spark):
     assert all((i, i + 1) in together for i in range(n - 1))
 
 
+def test_jaccard_bands_of_a_group_meet_once(spark):
+    """A group of several chunks that share all their buckets makes a row per member and chunk, not one for each of its bands besides."""
+    n, bands = 60, list(range(20))
+    rows = [(i, 1, jaccard.CHUNK_SHINGLES // 12, bands) for i in range(n)]
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.codegen.wholeStage": "false"}
+    was = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        units, blocks = jaccard._candidates(spark.createDataFrame(rows, "rep long, copies long, n_shingles long, bands array<long>"))
+        got = blocks.collect()
+        made, nodes = [], [blocks._jdf.queryExecution().executedPlan()]
+        while nodes:
+            node = nodes.pop()
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+            if "Join" in node.nodeName():
+                made.append(node.metrics().apply("numOutputRows").value())
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    chunks = units.select("unit").distinct().count()
+    assert chunks >= 3 and made and max(made) <= n * chunks
+    assert Counter(r["rep"] for r in got) == dict.fromkeys(range(n), chunks)
+
+
 def test_jaccard_join_along_a_chain(spark):
     """Neighbours in a chain of shifted texts are linked, distant ones are not; all are one group, which lies in several units."""
     words = [f"w{i}" for i in range(1500)]
