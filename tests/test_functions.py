@@ -5,10 +5,11 @@ import random
 import time
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.functions import markup, model_json, repair, segments, text
+from lectern.functions import markup, model_json, repair, segments, text, vector
 from lectern.operators import intake, reads, scoring, state
 from lectern.plans import catalog
 from lectern.sources import mail
@@ -473,3 +474,17 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = jobs.intake(spark, str(tmp_path / "in" / "*"), "message_id string, n int, received_at timestamp", files=1)
     jobs.start(stream, jobs.into_batches(str(tmp_path / "out")), str(tmp_path / "state")).awaitTermination()
     assert sorted(r["message_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
+
+
+def test_batches_for_python_are_bounded(spark):
+    """Rows of long texts come to a function some MB at a time, also where a session would give it 10000 rows."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key)
+    size = vector.vectorised("int")(lambda x: pd.Series([len(x)] * len(x)))
+    texts = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("word "), 2000).alias("t"))
+    try:
+        for given, most in (("64m", vector.BATCH_BYTES), ("1m", 1 << 20)):
+            spark.conf.set(key, given)
+            assert texts.select(size("t").alias("n")).agg(F.max("n")).first()[0] * 10_000 <= most + 10_000
+    finally:
+        spark.conf.set(key, was)
