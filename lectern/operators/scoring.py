@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import model_json, text
+from lectern.functions.vector import bounded
 from lectern.operators import state
 
 VERSION = "1"
@@ -77,6 +78,7 @@ def answers(prompts: DataFrame, scorer: Scorer, retries: int = 2, wait: float =
                     rows.append((key, "error", f"{type(e).__name__}: {e}", []))
             yield pd.DataFrame(rows, columns=["id", "outcome", "error", "items"])
 
+    bounded(prompts.sparkSession)
     return prompts.select("id", "prompt").mapInPandas(run, f"id string, outcome string, error string, items array<{model_json.ITEM}>")
 
 

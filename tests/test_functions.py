@@ -488,3 +488,15 @@ def test_batches_for_python_are_bounded(spark):
             assert texts.select(size("t").alias("n")).agg(F.max("n")).first()[0] * 10_000 <= most + 10_000
     finally:
         spark.conf.set(key, was)
+
+
+def test_prompts_come_in_bounded_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "64m")
+        got = scoring.answers(spark.createDataFrame([("a", text.BODY + "x"), ("b", None)], "id string, prompt string"), scoring.RuleScorer())
+        assert int(spark.conf.get(key)) == vector.BATCH_BYTES
+        assert {r["id"]: len(r["items"]) for r in got.collect()} == {"a": 1, "b": 0}
+    finally:
+        spark.conf.set(key, was)
