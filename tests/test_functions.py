@@ -500,3 +500,21 @@ def test_prompts_come_in_bounded_batches(spark):
         assert {r["id"]: len(r["items"]) for r in got.collect()} == {"a": 1, "b": 0}
     finally:
         spark.conf.set(key, was)
+
+
+def test_labels_of_long_lists(spark):
+    """The first labels are found wherever they stand; the list that they come from is made once."""
+    draw = random.Random(8)
+    lists = [None, [], ["", " "], [None, "a", None], ["a"] * 200, ["x", "X", " x "] * 40 + ["Y", "z", "y", "Q", "W", "v"], [f"w{i}" for i in range(300)], [""] * 64 + ["b", "B", "c"], [""] * 63 + ["b", "B", "c"]]
+    lists += [[draw.choice(["a", "A", " b", "\u00a0c", "", "D ", "e", "f"][: draw.randint(1, 8)]) for _ in range(draw.randint(0, 150))] for _ in range(60)]
+
+    def want(x):
+        out = {}
+        for t in x or ():
+            if t is not None and (t := t.strip(markup.BLANK)):
+                out.setdefault(t.lower(), t)
+        return None if x is None else list(out.values())[:5]
+
+    got = spark.createDataFrame(list(enumerate(lists)), "i int, x array<string>").select("i", text.labels(F.col("x")).alias("y")).collect()
+    assert {r["i"]: r["y"] for r in got} == {i: want(x) for i, x in enumerate(lists)}
+    assert str(text.labels(F.split("t", "once"))).count("once") == 1
