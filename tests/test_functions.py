@@ -518,3 +518,25 @@ def test_labels_of_long_lists(spark):
     got = spark.createDataFrame(list(enumerate(lists)), "i int, x array<string>").select("i", text.labels(F.col("x")).alias("y")).collect()
     assert {r["i"]: r["y"] for r in got} == {i: want(x) for i, x in enumerate(lists)}
     assert str(text.labels(F.split("t", "once"))).count("once") == 1
+
+
+def test_segments_look_only_where_an_anchor_may_begin(monkeypatch):
+    """Words that begin no story are passed over, and of a snippet only its anchor is read."""
+    tried, read = [], []
+    at, token = segments._Anchors.at, segments._TOKEN
+    monkeypatch.setattr(segments._Anchors, "at", lambda self, i: (tried.append(i), at(self, i))[1])
+    body = "alpha beta gamma delta " + "filler words and more of them " * 500
+    siblings = [(0, "alpha beta gamma delta", ""), (1, "zeta eta theta", "")]
+    assert segments.all_segments(body, siblings) == [segments.segment(body, siblings, p) for p in (0, 1)] == [body.strip(), ""]
+    assert tried and set(tried) == {0}
+
+    class Reading:
+        findall = staticmethod(token.findall)
+
+        @staticmethod
+        def finditer(x):
+            return (read.append(x) or m for m in token.finditer(x))
+
+    monkeypatch.setattr(segments, "_TOKEN", Reading)
+    assert segments.all_segments("alpha beta gamma", [(0, "alpha beta gamma " + "more words " * 900, "")]) == [""]
+    assert len(read) <= segments.ANCHOR + 3
